@@ -61,3 +61,65 @@ doc_pairs AS (
          list_filter([p.text, n.text], lambda x: x IS NOT NULL) AS answers, d.n_chars AS length
   FROM documents d LEFT JOIN documents p ON p.doc_id = d.doc_id - 1
                    LEFT JOIN documents n ON n.doc_id = d.doc_id + 1)"""
+
+WORDS = "list_filter(string_split_regex(text, '\\s+'), lambda t: t <> '')"
+
+RESPONSES = f"""
+rw AS (SELECT doc_id, text, {WORDS} AS w FROM documents),
+responses AS (
+  SELECT doc_id, text AS context, array_to_string(w[1:3], ' ') AS ground_truth,
+    CASE doc_id % 5
+      WHEN 0 THEN 'Answer: ' || array_to_string(w[1:3], ' ')
+      WHEN 1 THEN '<think>Looking it up. <retrieval>' || array_to_string(w[2:7], ' ')
+                  || '</retrieval></think>' || chr(10) || 'Answer: ' || array_to_string(w[1:3], ' ')
+      WHEN 2 THEN '<think><retrieval>' || translate(array_to_string(w[2:7], ' '),
+                  'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ')
+                  || '</retrieval> so</think> Answer: ' || coalesce(w[1], '')
+      WHEN 3 THEN '  <think><retrieval>' || array_to_string(list_reverse(w[greatest(len(w) - 4, 1):greatest(len(w) - 4, 1) + 4]), ' ')
+                  || '</retrieval></think>Answer:' || coalesce(w[-1], '') || chr(10)
+      ELSE '<think><retrieval>' || array_to_string(w[2:7], ' ') || '</retrieval> and <retrieval> '
+           || array_to_string(w[9:12], ' ' || chr(10) || '  ')
+           || ' </retrieval><retrieval>  </retrieval></think> Answer: ' || array_to_string(w[1:3], ' ') || ' Answer: again'
+    END AS response
+  FROM rw)"""
+
+TAGGED = f"""
+tw AS (SELECT doc_id, text, {WORDS} AS w FROM documents),
+tagged AS (
+  SELECT doc_id, coalesce(w[2], '') AS ground_truth,
+    CASE doc_id % 4
+      WHEN 0 THEN '<think>' || array_to_string(w[1:5], ' ') || '</think> so \\boxed{{' || coalesce(w[2], '') || '}} done'
+      WHEN 1 THEN '<think>' || array_to_string(w[1:5], ' ') || '</think>' || chr(10) || ' <answer> ' || coalesce(w[2], '') || ' </answer>'
+      WHEN 2 THEN '<think>x</think><answer>' || coalesce(w[2], '') || chr(10) || 'more</answer>'
+      ELSE ' ' || coalesce(w[2], '') || ' '
+    END AS response
+  FROM tw)"""
+
+
+def strip(x: str) -> str:
+    return py_strip(x)
+
+
+def spans_sql(resp: str) -> str:
+    return (f"list_filter(list_transform(regexp_extract_all({resp}, '(?s)<retrieval>(.*?)</retrieval>', 1), "
+            f"lambda s: {collapse_ws('s')}), lambda s: s <> '')")
+
+
+def evidence_format_sql(resp: str) -> str:
+    s = py_strip(resp)
+    return (f"CASE WHEN regexp_full_match({s}, '(?s)<think>.*</think>.*Answer:.*') AND "
+            f"regexp_matches(regexp_extract({s}, '(?s)<think>(.*?)</think>', 1), '(?s)<retrieval>.*?</retrieval>') "
+            f"THEN 1.0 ELSE 0.0 END")
+
+
+def extract_answer_sql(resp: str) -> str:
+    return (f"CASE WHEN strpos({resp}, 'Answer:') > 0 THEN "
+            f"{py_strip(f'substr({resp}, strpos({resp}, ' + chr(39) + 'Answer:' + chr(39) + ') + 7)')} ELSE '' END")
+
+
+def set_f1_sql(ans: str, truth: str) -> str:
+    a = f"list_distinct({ws_split(ans)})"
+    g = f"list_distinct({ws_split(truth)})"
+    c = f"len(list_intersect({a}, {g}))::DOUBLE"
+    return (f"CASE WHEN {ans} = '' OR {c} = 0 THEN 0.0 ELSE "
+            f"2.0 * ({c} / len({a})) * ({c} / len({g})) / (({c} / len({a})) + ({c} / len({g}))) END")

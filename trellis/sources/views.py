@@ -78,16 +78,18 @@ def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     up = lambda c: F.translate(c, "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
     span_a = F.array_join(F.slice(w, 2, 6), " ")
     span_b = F.array_join(F.slice(w, 9, 4), " \n  ")
-    span_r = F.array_join(F.reverse(F.slice(w, -5, 5)), " ")
+    span_r = F.array_join(F.reverse(F.slice(w, F.greatest(F.size(w) - 4, F.lit(1)), F.lit(5))), " ")
     truth = F.array_join(F.slice(w, 1, 3), " ")
     shape = F.pmod(F.col("doc_id"), F.lit(5))
     resp = (F.when(shape == 0, F.concat(F.lit("Answer: "), truth))
             .when(shape == 1, F.concat(F.lit("<think>Looking it up. <retrieval>"), span_a,
                                        F.lit("</retrieval></think>\nAnswer: "), truth))
             .when(shape == 2, F.concat(F.lit("<think><retrieval>"), up(span_a),
-                                       F.lit("</retrieval> so</think> Answer: "), F.element_at(w, 1)))
+                                       F.lit("</retrieval> so</think> Answer: "),
+                                       F.coalesce(F.try_element_at(w, F.lit(1)), F.lit(""))))
             .when(shape == 3, F.concat(F.lit("  <think><retrieval>"), span_r,
-                                       F.lit("</retrieval></think>Answer:"), F.element_at(w, -1), F.lit("\n")))
+                                       F.lit("</retrieval></think>Answer:"),
+                                       F.coalesce(F.try_element_at(w, F.lit(-1)), F.lit("")), F.lit("\n")))
             .otherwise(F.concat(F.lit("<think><retrieval>"), span_a, F.lit("</retrieval> and <retrieval> "),
                                 span_b, F.lit(" </retrieval><retrieval>  </retrieval></think> Answer: "),
                                 truth, F.lit(" Answer: again"))))
@@ -95,6 +97,26 @@ def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.col("text").alias("context"))
 
 
+def tagged_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Responses in the boxed / tagged answer formats over ``documents``.
+
+    Four shapes by ``doc_id mod 4``: 0 think + boxed answer; 1 think + tagged
+    answer; 2 a tagged answer spanning two lines; 3 the bare answer.
+    """
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    w = T.py_split("text")
+    truth = F.coalesce(F.try_element_at(w, F.lit(2)), F.lit(""))
+    head = F.array_join(F.slice(w, 1, 5), " ")
+    shape = F.pmod(F.col("doc_id"), F.lit(4))
+    resp = (F.when(shape == 0, F.concat(F.lit("<think>"), head, F.lit("</think> so \\boxed{"), truth,
+                                        F.lit("} done")))
+            .when(shape == 1, F.concat(F.lit("<think>"), head, F.lit("</think>\n <answer> "), truth,
+                                       F.lit(" </answer>")))
+            .when(shape == 2, F.concat(F.lit("<think>x</think><answer>"), truth, F.lit("\nmore</answer>")))
+            .otherwise(F.concat(F.lit(" "), truth, F.lit(" "))))
+    return d.select("doc_id", resp.alias("response"), truth.alias("ground_truth"))
+
+
 def groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Group-relative input: uid = order key, one response per line item."""
     li = table(spark, sf_dir, "lineitem")
