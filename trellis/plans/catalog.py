@@ -9,6 +9,7 @@ from trellis.plans.registry import ORACLE, QUERIES
 _MODULES = (
     "trellis.plans.evaluation_queries",
     "trellis.plans.reward_queries",
+    "trellis.plans.statistics_queries",
 )
 
 

@@ -123,3 +123,29 @@ def set_f1_sql(ans: str, truth: str) -> str:
     c = f"len(list_intersect({a}, {g}))::DOUBLE"
     return (f"CASE WHEN {ans} = '' OR {c} = 0 THEN 0.0 ELSE "
             f"2.0 * ({c} / len({a})) * ({c} / len({g})) / (({c} / len({a})) + ({c} / len({g}))) END")
+
+SEQS = """
+seqs AS (
+  SELECT user_id, rn // 128 AS piece, (rn % 128)::INTEGER AS pos, ts, event_id, value AS reward,
+         event_type = 'purchase' AS is_eos
+  FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS rn FROM events))"""
+
+TOKENS = SEQS + """,
+tokens AS (
+  SELECT user_id, piece, pos, event_id,
+         CASE WHEN coalesce(max(is_eos::INTEGER) OVER (PARTITION BY user_id, piece ORDER BY pos
+              ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 1 THEN 0 ELSE 1 END AS mask,
+         reward AS score, ln(1 + reward) AS vals, -ln(1 + reward) / 10.0 AS old_lp,
+         (-ln(1 + reward) / 10.0) * 1.1 - 0.01 AS ref_lp, (-ln(1 + reward) / 10.0) * 0.9 AS lp,
+         ln(1 + reward) * 1.05 + 0.01 AS vpred
+  FROM seqs)"""
+
+STEP_LOG = """
+step_log AS (
+  SELECT event_type AS run, date_diff('day', DATE '2024-01-01', ts::DATE)::INTEGER AS step,
+         avg(value) / 1000.0 AS kl, count(*) AS n, sum(value) / 100.0 AS seconds
+  FROM events GROUP BY ALL)"""
+
+GROUPS = """
+groups AS (SELECT l_orderkey AS uid, l_linenumber AS sample_id, l_discount AS score, l_extendedprice AS price
+           FROM lineitem)"""

@@ -146,6 +146,42 @@ def seqs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Response-token table over :func:`seqs`.
+
+    ``mask`` is the eos mask (1 up to and including the first eos of the
+    sequence); scores are the event values; critic values and log-probs are
+    fixed transforms of the value so that every statistic has real inputs.
+    """
+    from pyspark.sql import Window
+
+    s = seqs(spark, sf_dir)
+    w = Window.partitionBy("user_id", "piece").orderBy("pos")
+    prior = F.max(F.col("is_eos").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    old_lp = -F.log1p("reward") / 10.0
+    return s.select(
+        "user_id", "piece", "pos", "event_id",
+        F.when(F.coalesce(prior, F.lit(0)) == 1, 0).otherwise(1).alias("mask"),
+        F.col("reward").alias("score"),
+        F.log1p("reward").alias("vals"),
+        old_lp.alias("old_lp"),
+        (old_lp * 1.1 - 0.01).alias("ref_lp"),
+        (old_lp * 0.9).alias("lp"),
+        (F.log1p("reward") * 1.05 + 0.01).alias("vpred"),
+    )
+
+
+def step_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per-step training log from ``events``: run = event type, step = day
+    index; kl = mean value / 1000, n = events that day, seconds = value sum / 100."""
+    ev = table(spark, sf_dir, "events")
+    day0 = F.lit("2024-01-01").cast("date")
+    return (ev.groupBy(F.col("event_type").alias("run"),
+                       F.datediff(F.to_date("ts"), day0).alias("step"))
+            .agg((F.avg("value") / 1000.0).alias("kl"), F.count(F.lit(1)).alias("n"),
+                 (F.sum("value") / 100.0).alias("seconds")))
+
+
 def logits(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings")
     return e.select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("logits"), "label")
