@@ -10,6 +10,7 @@ _MODULES = (
     "trellis.plans.evaluation_queries",
     "trellis.plans.reward_queries",
     "trellis.plans.statistics_queries",
+    "trellis.plans.batch_queries",
 )
 
 

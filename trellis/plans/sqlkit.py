@@ -149,3 +149,24 @@ step_log AS (
 GROUPS = """
 groups AS (SELECT l_orderkey AS uid, l_linenumber AS sample_id, l_discount AS score, l_extendedprice AS price
            FROM lineitem)"""
+
+ARRAYS = SEQS + """,
+arrays AS (
+  SELECT seqs.user_id, piece,
+         list((CASE e.event_type WHEN 'view' THEN 1 WHEN 'click' THEN 2 WHEN 'error' THEN 3 WHEN 'purchase' THEN 4
+               WHEN 'signup' THEN 5 END)::BIGINT ORDER BY pos) AS ids,
+         list(reward ORDER BY pos) AS vals
+  FROM seqs JOIN events e USING (event_id) GROUP BY seqs.user_id, piece)"""
+
+
+def zeros(n: str, typ: str = "BIGINT") -> str:
+    return f"list_transform(range({n}), lambda x: 0::{typ})"
+
+
+def eos_mask_sql(ids: str, eos: int) -> str:
+    first = f"coalesce(list_position({ids}, {eos}), len({ids}))"
+    return f"list_transform({ids}, lambda x, i: CASE WHEN i <= {first} THEN 1 ELSE 0 END)"
+
+
+def position_ids_sql(mask: str) -> str:
+    return f"list_transform({mask}, lambda x, i: greatest(list_sum({mask}[1:i]) - 1, 0))"

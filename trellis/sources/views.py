@@ -171,6 +171,26 @@ def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# Token id of each event type in the array view; purchase is the eos id.
+EVENT_TOKEN = {"view": 1, "click": 2, "error": 3, "purchase": 4, "signup": 5}
+EOS_ID = 4
+
+
+def arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Array form of :func:`seqs`: one row per sequence piece (at most
+    SEQ_LEN tokens), ``ids`` = event-type token ids in position order and
+    ``vals`` = the event values."""
+    ev = table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "event_type", "value")
+    from trellis.operators.sequence import ranked
+
+    r = ranked(ev, ["user_id"], ["ts", "event_id"], "rn")
+    code = F.create_map(*[F.lit(x) for kv in EVENT_TOKEN.items() for x in kv])[F.col("event_type")]
+    r = r.select("user_id", (F.col("rn") / SEQ_LEN).cast("long").alias("piece"),
+                 (F.col("rn") % SEQ_LEN).cast("int").alias("pos"), code.cast("long").alias("id"), "value")
+    g = r.groupBy("user_id", "piece").agg(F.sort_array(F.collect_list(F.struct("pos", "id", "value"))).alias("s"))
+    return g.select("user_id", "piece", F.col("s")["id"].alias("ids"), F.col("s")["value"].alias("vals"))
+
+
 def step_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per-step training log from ``events``: run = event type, step = day
     index; kl = mean value / 1000, n = events that day, seconds = value sum / 100."""
