@@ -150,7 +150,7 @@ def b17_take(spark, sf_dir):
 
 
 @register("b18_size_report", f"""
-SELECT {Q.r6("count(*) * 8.0 * 4 / 1073741824")} AS batch_gb,
+SELECT {Q.r6("count(*) * 8.0 * 3 / 1073741824")} AS batch_gb,
        {Q.r6("sum(strlen(o_orderstatus) + strlen(o_orderpriority))::DOUBLE / 1073741824")} AS non_tensor_gb
 FROM orders""")
 def b18_size_report(spark, sf_dir):
