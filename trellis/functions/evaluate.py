@@ -125,7 +125,7 @@ def code_first_line(pred) -> Column:
     ``#`` or ``//``; empty string if none."""
     lines = F.split(T.lstrip_newlines(pred), "\n")
     ok = F.filter(lines, lambda l: ~(l.contains("`") | l.contains("#") | l.contains("//")))
-    return F.coalesce(F.element_at(ok, 1), F.lit(""))
+    return F.coalesce(F.try_element_at(ok, F.lit(1)), F.lit(""))
 
 
 # Datasets whose prediction is cut to its first line.

@@ -157,11 +157,13 @@ def length_bucket_score(scored: DataFrame, length: str = "length", dataset: str
 def category_average(ds_scores: DataFrame, config: DataFrame) -> DataFrame:
     """macro average of dataset scores per category, plus the overall
     average (``rollup``)."""
-    cfg = F.broadcast(config.select("dataset", "category"))
+    cfg = F.broadcast(config.filter(F.col("category").isNotNull()).select("dataset", "category"))
     j = ds_scores.join(cfg, "dataset", "inner")
     return (j.rollup("category").agg(F.count(F.lit(1)).alias("n_datasets"),
-                                     F.avg("mean_score").alias("macro_mean"))
-            .withColumn("category", F.coalesce("category", F.lit("all"))))
+                                     F.avg("mean_score").alias("macro_mean"),
+                                     F.grouping("category").alias("_total"))
+            .withColumn("category", F.when(F.col("_total") == 1, F.lit("all")).otherwise(F.col("category")))
+            .drop("_total"))
 
 
 def generation_limits(items: DataFrame, config: DataFrame, model: str) -> DataFrame:

@@ -11,6 +11,7 @@ _MODULES = (
     "trellis.plans.reward_queries",
     "trellis.plans.statistics_queries",
     "trellis.plans.batch_queries",
+    "trellis.plans.sampling_queries",
 )
 
 

@@ -175,3 +175,89 @@ SELECT grid.dataset, grid.bucket, coalesce(agg.n_items, 0) AS n_items,
 FROM grid LEFT JOIN agg ON agg.dataset = grid.dataset AND agg.bucket = grid.bucket""")
 def f17_length_bucket(spark, sf_dir):
     return finish(OE.length_bucket_score(_doc_scored(spark, sf_dir)))
+
+
+@register("f6_rouge_l")
+def f6_rouge_l(spark, sf_dir):
+    """Rouge-L F of each turn against the previous one (Arrow UDF metric)."""
+    qa = V.qa_pairs(spark, sf_dir).withColumn("item_id", F.col("conv_id") * 100000 + F.col("turn"))
+    out = OE.best_of_references_udf(qa, "rouge", key="item_id")
+    return finish(out.select("conv_id", "turn", "score"))
+
+
+@register("f7_rouge_l_zh")
+def f7_rouge_l_zh(spark, sf_dir):
+    qa = V.qa_pairs(spark, sf_dir).withColumn("item_id", F.col("conv_id") * 100000 + F.col("turn"))
+    out = OE.best_of_references_udf(qa, "rouge_zh", key="item_id")
+    return finish(out.select("conv_id", "turn", "score"))
+
+
+@register("f12_code_line_similarity")
+def f12_code_line_similarity(spark, sf_dir):
+    """First code-like line of the page against its URL (edit ratio UDF)."""
+    from trellis.functions.similarity import code_sim_udf
+
+    p = V.table(spark, sf_dir, "pages")
+    return finish(p.select("page_id", code_sim_udf(F.col("html"), F.col("url")).alias("score")))
+
+
+def _dispatch_items(spark, sf_dir):
+    names = list(OE.DATASET_METRIC)
+    ds = F.element_at(F.array(*[F.lit(n) for n in names]), (F.pmod("doc_id", F.lit(len(names))) + 1).cast("int"))
+    items = V.doc_pairs(spark, sf_dir).withColumn("dataset", ds)
+    docs = V.table(spark, sf_dir, "documents")
+    classes = docs.select(F.sort_array(F.collect_set("lang"))).scalar()
+    return items.withColumn("all_classes", classes).withColumnRenamed("doc_id", "item_id")
+
+
+@register("f15_metric_dispatch")
+def f15_metric_dispatch(spark, sf_dir):
+    """Every item scored by its dataset's metric (23-way dispatch), then the
+    per-dataset report."""
+    scored = OE.score_by_dataset(_dispatch_items(spark, sf_dir), OE.dataset_config(spark))
+    return finish(OE.dataset_score(scored))
+
+
+def _qa_dataset_sql():
+    names = list(OE.DATASET_METRIC)
+    arr = "[" + ", ".join("'" + n + "'" for n in names) + "]"
+    qa = [n for n, m in OE.DATASET_METRIC.items() if m == "qa_f1"]
+    cats = " ".join(f"WHEN '{d}' THEN '{c}'" for d, c in OE.DATASET_CATEGORY.items())
+    qa_list = ", ".join("'" + n + "'" for n in qa)
+    return f"""
+WITH {Q.DOC_PAIRS},
+it0 AS (SELECT doc_id, {arr}[doc_id % {len(names)} + 1] AS dataset, pred, answers FROM doc_pairs),
+it1 AS (SELECT doc_id, dataset,
+               CASE WHEN dataset IN ('trec', 'triviaqa', 'samsum', 'lsht')
+                    THEN split_part(regexp_replace(pred, '^\\n+', ''), chr(10), 1) ELSE pred END AS pred, answers
+        FROM it0 WHERE dataset IN ({qa_list})),
+items AS (SELECT doc_id * 2 + i - 1 AS k, doc_id, pred, answers[i] AS ans
+          FROM (SELECT doc_id, pred, answers, unnest(range(1, len(answers) + 1)) AS i FROM it1)),
+{Q.f1_table('items', 'k', Q.norm_tokens('pred'), Q.norm_tokens('ans'))},
+per_ans AS (SELECT items.doc_id, {Q.f1_expr()} AS s FROM items LEFT JOIN ov ON ov.k = items.k),
+best AS (SELECT doc_id, greatest(0.0, max(s)) AS score FROM per_ans GROUP BY doc_id),
+scored AS (SELECT it1.doc_id, it1.dataset, coalesce(best.score, 0.0) AS score FROM it1 LEFT JOIN best USING (doc_id)),
+ds AS (SELECT dataset, avg(score) AS mean_score FROM scored GROUP BY dataset),
+cat AS (SELECT *, CASE dataset {cats} END AS category FROM ds WHERE CASE dataset {cats} END IS NOT NULL)
+SELECT coalesce(category, 'all') AS category, count(*) AS n_datasets, {Q.r6('avg(mean_score)')} AS macro_mean
+FROM cat GROUP BY ROLLUP (category)"""
+
+
+@register("f18_category_average", _qa_dataset_sql())
+def f18_category_average(spark, sf_dir):
+    """Category macro averages over the QA-metric datasets (with ``rollup``)."""
+    items = _dispatch_items(spark, sf_dir)
+    cfg = OE.dataset_config(spark)
+    qa = items.join(F.broadcast(cfg.filter(F.col("metric") == "qa_f1").select("dataset")), "dataset")
+    scored = OE.best_of_references(OE.prepare_pred(qa), "qa_f1")
+    return finish(OE.category_average(OE.dataset_score(scored), cfg))
+
+
+@register("f19_generation_limits", f"""
+WITH items AS (SELECT doc_id, {"[" + ", ".join("'" + n + "'" for n in OE.DATASET_METRIC) + "]"}[doc_id % 23 + 1] AS dataset FROM documents)
+SELECT doc_id, dataset, CASE WHEN dataset = '2hop_qa_v2' THEN NULL ELSE 4096 END AS max_gen, 32768 AS max_input
+FROM items""")
+def f19_generation_limits(spark, sf_dir):
+    items = _dispatch_items(spark, sf_dir).select(F.col("item_id").alias("doc_id"), "dataset")
+    return OE.generation_limits(items, OE.dataset_config(spark), "Qwen2.5-7B-Instruct") \
+        .select("doc_id", "dataset", "max_gen", "max_input")
