@@ -12,35 +12,41 @@ from pyspark.sql import functions as F
 from trellis.functions import text as T
 
 
-def multiset_overlap(p, g) -> Column:
-    """``sum((Counter(p) & Counter(g)).values())`` in O(n log n).
-
-    Both token arrays are tagged with their side, sorted together and folded
-    once; at every change of token the smaller of the two run counts is added.
-    """
-    p, g = T.col(p), T.col(g)
+def _overlap_fold(p, g, finish):
+    """One pass over both token arrays: tag each token with its side, sort
+    together, fold once; at every change of token the smaller of the two run
+    counts is added.  The fold also counts both sides, so each input array is
+    referenced exactly once (O(n log n), no repeated sub-expressions)."""
     tagged = F.concat(
-        F.transform(p, lambda x: F.struct(x.alias("t"), F.lit(0).alias("side"))),
-        F.transform(g, lambda x: F.struct(x.alias("t"), F.lit(1).alias("side"))),
+        F.transform(T.col(p), lambda x: F.struct(x.alias("t"), F.lit(0).alias("side"))),
+        F.transform(T.col(g), lambda x: F.struct(x.alias("t"), F.lit(1).alias("side"))),
     )
-    ordered = F.sort_array(tagged)
     init = F.struct(
         F.lit(None).cast("string").alias("prev"),
         F.lit(0).cast("long").alias("cp"),
         F.lit(0).cast("long").alias("cg"),
         F.lit(0).cast("long").alias("acc"),
+        F.lit(0).cast("long").alias("np"),
+        F.lit(0).cast("long").alias("ng"),
     )
 
     def step(s, e):
         is_p = (e["side"] == 0).cast("long")
         is_g = (e["side"] == 1).cast("long")
+        np_, ng_ = (s["np"] + is_p).alias("np"), (s["ng"] + is_g).alias("ng")
         same = F.struct(s["prev"].alias("prev"), (s["cp"] + is_p).alias("cp"),
-                        (s["cg"] + is_g).alias("cg"), s["acc"].alias("acc"))
+                        (s["cg"] + is_g).alias("cg"), s["acc"].alias("acc"), np_, ng_)
         new = F.struct(e["t"].alias("prev"), is_p.alias("cp"), is_g.alias("cg"),
-                       (s["acc"] + F.least(s["cp"], s["cg"])).alias("acc"))
+                       (s["acc"] + F.least(s["cp"], s["cg"])).alias("acc"), np_, ng_)
         return F.when(e["t"] == s["prev"], same).otherwise(new)
 
-    return F.aggregate(ordered, init, step, lambda s: s["acc"] + F.least(s["cp"], s["cg"]))
+    return F.aggregate(F.sort_array(tagged), init, step,
+                       lambda s: finish(s["acc"] + F.least(s["cp"], s["cg"]), s["np"], s["ng"]))
+
+
+def multiset_overlap(p, g) -> Column:
+    """``sum((Counter(p) & Counter(g)).values())``."""
+    return _overlap_fold(p, g, lambda same, n_p, n_g: same)
 
 
 def f1_from_counts(same, n_pred, n_truth) -> Column:
@@ -53,8 +59,7 @@ def f1_from_counts(same, n_pred, n_truth) -> Column:
 
 def token_f1(p, g) -> Column:
     """multiset token F1 of two token arrays."""
-    p, g = T.col(p), T.col(g)
-    return f1_from_counts(multiset_overlap(p, g), F.size(p), F.size(g))
+    return _overlap_fold(p, g, f1_from_counts)
 
 
 def qa_f1(pred, truth) -> Column:

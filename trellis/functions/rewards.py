@@ -29,13 +29,14 @@ def extract_answer(resp) -> Column:
 
 def set_f1(answer, truth) -> Column:
     """F1 of the white-space token *sets*, case-sensitive; 0 if empty."""
-    a = F.array_distinct(T.py_split(answer))
-    g = F.array_distinct(T.py_split(truth))
-    common = F.size(F.array_intersect(a, g)).cast("double")
-    prec = common / F.size(a)
-    rec = common / F.size(g)
-    return F.when((T.col(answer) == "") | (common == 0), F.lit(0.0)) \
-        .otherwise(2.0 * prec * rec / (prec + rec))
+    def body(v):
+        common = F.size(F.array_intersect(v["a"], v["g"])).cast("double")
+        prec = common / F.size(v["a"])
+        rec = common / F.size(v["g"])
+        return F.when(F.size(v["a"]) == 0, F.lit(0.0)).when(common == 0, F.lit(0.0)) \
+            .otherwise(2.0 * prec * rec / (prec + rec))
+
+    return T.bind({"a": F.array_distinct(T.py_split(answer)), "g": F.array_distinct(T.py_split(truth))}, body)
 
 
 def retrieval_spans(resp) -> Column:

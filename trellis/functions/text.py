@@ -41,9 +41,17 @@ def py_strip(c) -> Column:
 
 
 def py_split(c) -> Column:
-    """``str.split()`` with no argument: runs of white space, no empty tokens."""
-    s = py_strip(c)
-    return F.when(s == "", F.array().cast("array<string>")).otherwise(F.split(s, WS_RUN))
+    """``str.split()`` with no argument: runs of white space, no empty tokens.
+    (The input is referenced once, so no sub-expression is evaluated twice.)"""
+    return F.array_remove(F.split(col(c), WS_RUN), "")
+
+
+def bind(values: dict, body) -> Column:
+    """Evaluate each value once and use it several times in ``body``: a
+    one-element ``aggregate`` whose initial struct holds the values (Spark does
+    not share sub-expressions across higher-order functions)."""
+    init = F.struct(*[v.alias(k) for k, v in values.items()])
+    return F.aggregate(F.array(F.lit(0)), init, lambda acc, _: acc, body)
 
 
 def collapse_ws(c) -> Column:

@@ -88,14 +88,31 @@ def prepare_pred(df: DataFrame, dataset: str = "dataset", pred: str = "pred") ->
     return df.withColumn(pred, E.first_line_if(dataset, pred))
 
 
+TOKENIZERS = {"qa_f1": T.normalize_answer_tokens, "qa_f1_zh": E.zh_tokens}
+
+
 def best_of_references(df: DataFrame, metric: str, pred: str = "pred", answers: str = "answers",
                        classes: str | None = "all_classes", out: str = "score") -> DataFrame:
-    """F14 for a native metric: max over the references in one pass (no shuffle)."""
+    """F14 for a native metric: max over the references in one pass (no shuffle).
+
+    Token metrics tokenise the prediction once per row (not once per reference)."""
+    if metric in TOKENIZERS:
+        tok = TOKENIZERS[metric]
+        t = df.withColumn("_pt", tok(pred))
+        return t.withColumn(out, E.best_of(answers, lambda a: E.token_f1(F.col("_pt"), tok(a)))).drop("_pt")
     fn = NATIVE_METRICS[metric]
     cls = F.col(classes) if classes and classes in df.columns else F.array().cast("array<string>")
     return df.withColumn(out, E.best_of(answers, lambda a: fn(F.col(pred), a, cls).cast("double")))
 
 
+def best_of_token_f1(df: DataFrame, pred_tokens: str, answer_tokens: str, out: str = "score") -> DataFrame:
+    """F14 over pre-tokenised text: ``answer_tokens`` is an array of token
+    arrays.  Lets a plan tokenise every text exactly once and join token
+    arrays instead of raw text (a document that is both a prediction and a
+    reference is normalised once)."""
+    return df.withColumn(out, E.best_of(answer_tokens, lambda a: E.token_f1(F.col(pred_tokens), a)))
+
+
 def best_of_references_udf(df: DataFrame, metric: str, pred: str = "pred", answers: str = "answers",
                            key: str = "item_id", out: str = "score") -> DataFrame:
     """F14 for a UDF metric: explode the references, score each pair in Arrow
