@@ -88,7 +88,9 @@ def discounted_suffix_sum(df: DataFrame, seq_keys: Sequence[str], pos: str, x: C
 
 
 def _suffix_sum_grouped(df: DataFrame, seq_keys, pos, x, c, out) -> DataFrame:
-    schema = df.schema.add(out, "double")
+    from pyspark.sql import types as Ty
+
+    schema = Ty.StructType(list(df.schema.fields) + [Ty.StructField(out, Ty.DoubleType())])
 
     def fn(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(pos)
@@ -106,14 +108,14 @@ def _suffix_sum_grouped(df: DataFrame, seq_keys, pos, x, c, out) -> DataFrame:
 
 def gae(df: DataFrame, seq_keys: Sequence[str], pos: str = "pos", reward: str = "reward",
         values: str = "vals", mask: str = "mask", gamma: float = 1.0, lam: float = 1.0,
-        by: Sequence[str] = ()) -> DataFrame:
+        by: Sequence[str] = (), max_len: int = 4096) -> DataFrame:
     """``delta = r + gamma*V' - V`` (V' = 0 after the last position),
     ``A = delta + gamma*lam*A'``; returns = A + V; advantages whitened over the
     batch with the mask (not masked afterwards)."""
     w = _seq_window(seq_keys, pos)
     delta = F.col(reward) + gamma * F.coalesce(F.lead(values, 1).over(w), F.lit(0.0)) - F.col(values)
     out = df.withColumn("_delta", delta)
-    out = discounted_suffix_sum(out, seq_keys, pos, F.col("_delta"), gamma * lam, "_adv_raw")
+    out = discounted_suffix_sum(out, seq_keys, pos, F.col("_delta"), gamma * lam, "_adv_raw", max_len)
     out = out.withColumn("returns", F.col("_adv_raw") + F.col(values))
     out = masked_whiten(out, "_adv_raw", mask, "advantages", by)
     return out.drop("_delta", "_adv_raw")
@@ -143,13 +145,13 @@ def rloo(df: DataFrame, uid: str = "uid", score: str = "score", out: str = "adva
 
 
 def reinforce_pp(df: DataFrame, seq_keys: Sequence[str], pos: str = "pos", reward: str = "reward",
-                 mask: str = "mask", gamma: float = 1.0, by: Sequence[str] = ()) -> DataFrame:
+                 mask: str = "mask", gamma: float = 1.0, by: Sequence[str] = (), max_len: int = 4096) -> DataFrame:
     """Reverse discounted return whose carry is reset after a masked
     position; advantages = whitened returns × mask; returns unmasked."""
     w = _seq_window(seq_keys, pos).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     seg = F.sum(1 - F.col(mask)).over(w)
     out = df.withColumn("_seg", seg)
-    out = discounted_suffix_sum(out, [*seq_keys, "_seg"], pos, F.col(reward), gamma, "returns")
+    out = discounted_suffix_sum(out, [*seq_keys, "_seg"], pos, F.col(reward), gamma, "returns", max_len)
     out = masked_whiten(out, "returns", mask, "advantages", by)
     return out.withColumn("advantages", F.col("advantages") * F.col(mask)).drop("_seg")
 

@@ -53,7 +53,7 @@ def assert_consistent(df: DataFrame, arrays: Sequence[str]) -> DataFrame:
     for a in arrays[1:]:
         cond = cond & (F.size(a) == first)
     return df.withColumn("_ok", F.when(cond, F.lit(True)).otherwise(
-        F.raise_error(F.lit("array columns differ in length")))).drop("_ok")
+        F.raise_error(F.lit("array columns differ in length")))).filter(F.col("_ok")).drop("_ok")
 
 
 def select(df: DataFrame, keys: Sequence[str] | None = None) -> DataFrame:
@@ -92,7 +92,8 @@ def union(a: DataFrame, b: DataFrame) -> DataFrame:
         F.lit("union: rows are not aligned or a shared column differs"))).otherwise(F.lit(True)))
     cols = [F.col(f"a.{c}").alias(c) for c in a.columns] + \
         [F.col(f"b.{c}").alias(c) for c in b.columns if c not in a.columns]
-    return checked.select(*cols)
+    # filtering on the check keeps it in the plan (an unused column is pruned)
+    return checked.filter(F.col("_chk")).select(*cols)
 
 
 def concat(parts: Sequence[DataFrame]) -> DataFrame:

@@ -101,7 +101,7 @@ a AS (SELECT *, sum(delta * power({_G * _L}, pos)) {W_SUFFIX} / power({_G * _L},
 SELECT user_id, piece, pos, {Q.r6('(adv_raw - mu) / sqrt(va + 1e-8)')} AS advantages,
        {Q.r6('adv_raw + vals')} AS returns FROM a, st""")
 def g8_gae(spark, sf_dir):
-    out = A.gae(V.tokens(spark, sf_dir), SEQ, reward="score", gamma=_G, lam=_L)
+    out = A.gae(V.tokens(spark, sf_dir), SEQ, reward="score", gamma=_G, lam=_L, max_len=V.SEQ_LEN)
     return finish(out.select("user_id", "piece", "pos", "advantages", "returns"))
 
 
@@ -134,7 +134,7 @@ r AS (SELECT *, sum(score * power({_G}, pos)) OVER (PARTITION BY user_id, piece,
 SELECT user_id, piece, pos, {Q.r6('(returns - mu) / sqrt(va + 1e-8) * mask')} AS advantages,
        {Q.r6('returns')} AS returns FROM r, st""")
 def g11_reinforce_pp(spark, sf_dir):
-    out = A.reinforce_pp(V.tokens(spark, sf_dir), SEQ, reward="score", gamma=_G)
+    out = A.reinforce_pp(V.tokens(spark, sf_dir), SEQ, reward="score", gamma=_G, max_len=V.SEQ_LEN)
     return finish(out.select("user_id", "piece", "pos", "advantages", "returns"))
 
 
@@ -162,8 +162,8 @@ def g13_advantage_dispatch(spark, sf_dir):
     t = V.tokens(spark, sf_dir)
     g = V.groups(spark, sf_dir)
     parts = [
-        A.compute_advantage(t, "gae", seq_keys=SEQ, reward="score", gamma=_G, lam=_L).select(F.lit("gae").alias("kind"), "advantages"),
-        A.compute_advantage(t, "reinforce_plus_plus", seq_keys=SEQ, reward="score", gamma=_G).select(F.lit("reinforce_plus_plus").alias("kind"), "advantages"),
+        A.compute_advantage(t, "gae", seq_keys=SEQ, reward="score", gamma=_G, lam=_L, max_len=V.SEQ_LEN).select(F.lit("gae").alias("kind"), "advantages"),
+        A.compute_advantage(t, "reinforce_plus_plus", seq_keys=SEQ, reward="score", gamma=_G, max_len=V.SEQ_LEN).select(F.lit("reinforce_plus_plus").alias("kind"), "advantages"),
         A.compute_advantage(A.greedy_baseline(t, _baselines(t), SEQ), "remax", seq_keys=SEQ, reward="score").select(F.lit("remax").alias("kind"), "advantages"),
         A.compute_advantage(g, "grpo").select(F.lit("grpo").alias("kind"), "advantages"),
         A.compute_advantage(g, "rloo").select(F.lit("rloo").alias("kind"), "advantages"),
@@ -345,7 +345,7 @@ SELECT name, {Q.r6('value')} AS value FROM (
   UNION ALL SELECT 'critic/values/min', v3 FROM w UNION ALL SELECT 'critic/vf_explained_var', ev FROM w)""")
 def i2_data_metrics(spark, sf_dir):
     t = A.apply_kl_penalty(V.tokens(spark, sf_dir), SEQ, _BETA)
-    t = A.gae(t, SEQ, reward="token_level_rewards", gamma=_G, lam=_L)
+    t = A.gae(t, SEQ, reward="token_level_rewards", gamma=_G, lam=_L, max_len=V.SEQ_LEN)
     return finish(MT.data_metrics(t, SEQ, 128))
 
 
