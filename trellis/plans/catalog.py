@@ -12,6 +12,7 @@ _MODULES = (
     "trellis.plans.statistics_queries",
     "trellis.plans.batch_queries",
     "trellis.plans.sampling_queries",
+    "trellis.plans.streaming_queries",
 )
 
 

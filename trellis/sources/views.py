@@ -73,7 +73,12 @@ def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     upper-cased (ASCII); 3 a span whose word order is reversed; 4 two spans, a
     blank one and a repeated ``Answer:``.
     """
-    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return responses_from(table(spark, sf_dir, "documents"))
+
+
+def responses_from(docs: DataFrame) -> DataFrame:
+    """The :func:`responses` shapes over any documents frame (batch or stream)."""
+    d = docs.select("doc_id", "text")
     w = T.py_split("text")
     up = lambda c: F.translate(c, "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
     span_a = F.array_join(F.slice(w, 2, 6), " ")
