@@ -174,3 +174,32 @@ def last_boxed(text: str) -> str:
 @F.pandas_udf(Ty.StringType())
 def last_boxed_udf(text: pd.Series) -> pd.Series:
     return pd.Series([last_boxed(t or "") for t in text], dtype=object)
+
+
+# ------------------------------------------------------- per-row metric choice
+
+def _first_code_line(pred: str) -> str:
+    for line in pred.lstrip("\n").split("\n"):
+        if "`" not in line and "#" not in line and "//" not in line:
+            return line
+    return ""
+
+
+def _zh_join(s: str) -> str:
+    return " ".join(ch for ch in s if ch != "")
+
+
+def score_pair(metric: str, pred: str, truth: str) -> float:
+    """UDF-metric dispatch for one (prediction, reference) pair."""
+    if metric == "rouge":
+        return rouge_l(pred, truth)
+    if metric == "rouge_zh":
+        return rouge_l(_zh_join(pred), _zh_join(truth))
+    if metric == "code_sim":
+        return edit_ratio(_first_code_line(pred), truth)
+    raise KeyError(metric)
+
+
+@F.pandas_udf(Ty.DoubleType())
+def udf_metric(metric: pd.Series, pred: pd.Series, truth: pd.Series) -> pd.Series:
+    return pd.Series([score_pair(m, p or "", t or "") for m, p, t in zip(metric, pred, truth)], dtype="float64")

@@ -113,40 +113,45 @@ def best_of_token_f1(df: DataFrame, pred_tokens: str, answer_tokens: str, out: s
     return df.withColumn(out, E.best_of(answer_tokens, lambda a: E.token_f1(F.col(pred_tokens), a)))
 
 
-def best_of_references_udf(df: DataFrame, metric: str, pred: str = "pred", answers: str = "answers",
+def best_of_references_udf(df: DataFrame, metric: str | None, pred: str = "pred", answers: str = "answers",
                            key: str = "item_id", out: str = "score") -> DataFrame:
     """F14 for a UDF metric: explode the references, score each pair in Arrow
-    batches, then take the per-item maximum (partial aggregation first)."""
+    batches, then take the per-item maximum (partial aggregation first).
+    ``metric=None`` reads the metric name from each row's ``metric`` column."""
     from trellis.functions import similarity as S
 
-    udf = {"rouge": S.rouge_l_udf, "rouge_zh": S.rouge_l_zh_udf, "code_sim": S.code_sim_udf}[metric]
-    pairs = df.select(key, pred, F.explode_outer(answers).alias("_ans"))
+    pairs = df.select(key, pred, F.explode_outer(answers).alias("_ans"),
+                      (F.col("metric") if metric is None else F.lit(metric)).alias("_metric"))
     scored = pairs.withColumn("_s", F.when(F.col("_ans").isNull(), F.lit(0.0))
-                              .otherwise(udf(F.col(pred), F.col("_ans"))))
+                              .otherwise(S.udf_metric(F.col("_metric"), F.col(pred), F.col("_ans"))))
     best = scored.groupBy(key).agg(F.greatest(F.lit(0.0), F.max("_s")).alias(out))
     return df.join(best, key, "left").withColumn(out, F.coalesce(F.col(out), F.lit(0.0)))
 
 
+def _native_case(metric: str, pred, answer, classes):
+    """One CASE over every native metric: each row evaluates only its own branch."""
+    out = None
+    for name, fn in NATIVE_METRICS.items():
+        branch = fn(pred, answer, classes).cast("double")
+        out = F.when(F.col(metric) == name, branch) if out is None else out.when(F.col(metric) == name, branch)
+    return out
+
+
 def score_by_dataset(df: DataFrame, config: DataFrame, key: str = "item_id") -> DataFrame:
     """metric chosen per dataset through the (broadcast) config table.
 
-    One branch per metric family, so that UDF metrics only see their own rows;
-    the branches are unioned back.  Unknown datasets are dropped with a null
-    metric (the reference raises a KeyError).
+    Two branches: native metrics in one CASE expression (no Python, each row
+    evaluates only its metric), and the Arrow-UDF metrics (Rouge-L, edit
+    ratio), which see only their own rows.  Unknown datasets are dropped (the
+    reference raises a KeyError).
     """
     cfg = F.broadcast(config.select("dataset", "metric"))
     items = prepare_pred(df.join(cfg, "dataset", "inner"))
-    parts = []
-    for metric in sorted(set(DATASET_METRIC.values())):
-        branch = items.filter(F.col("metric") == metric)
-        if metric in NATIVE_METRICS:
-            parts.append(best_of_references(branch, metric))
-        else:
-            parts.append(best_of_references_udf(branch, metric, key=key))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    cls = F.col("all_classes") if "all_classes" in items.columns else F.array().cast("array<string>")
+    native = items.filter(F.col("metric").isin(*NATIVE_METRICS))
+    native = native.withColumn("score", E.best_of("answers", lambda a: _native_case("metric", F.col("pred"), a, cls)))
+    udf_rows = items.filter(~F.col("metric").isin(*NATIVE_METRICS))
+    return native.unionByName(best_of_references_udf(udf_rows, None, key=key))
 
 
 def dataset_score(scored: DataFrame, dataset: str = "dataset", score: str = "score") -> DataFrame:

@@ -35,7 +35,8 @@ def spread(df: DataFrame) -> DataFrame:
     the scan already has many splits and no shuffle is added."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores)
+        # several slices per core so that long texts do not leave cores idle
+        return df.repartition(cores * 2)
     return df
 
 
