@@ -221,3 +221,23 @@ def a9_validation_samples(spark, sf_dir):
         cols += [F.col("s")[i]["input"].alias(f"input_{i + 1}"), F.col("s")[i]["output"].alias(f"output_{i + 1}"),
                  F.col("s")[i]["score"].alias(f"score_{i + 1}")]
     return s.select(*cols)
+
+
+def _f16_sql_scores():
+    from trellis.plans.evaluation_queries import _DOC_BEST
+
+    return _DOC_BEST + """
+SELECT dataset, round(100.0 * avg(score), 2) AS score FROM scored GROUP BY dataset"""
+
+
+@register("a6_write_report", _f16_sql_scores())
+def a6_write_report(spark, sf_dir):
+    """Write the ``{dataset: score}`` report and read it back."""
+    from trellis.plans.evaluation_queries import _doc_scored
+    from trellis.operators.evaluate import dataset_score
+
+    scores = dataset_score(_doc_scored(spark, sf_dir)).select("dataset", "score")
+    path = IO.scratch_path(spark, f"report-{uuid.uuid4().hex}")
+    IO.write_report(scores, path)
+    back = spark.read.text(path).select(F.from_json("value", "map<string,double>").alias("m"))
+    return finish(back.select(F.explode("m").alias("dataset", "score")))
