@@ -123,9 +123,12 @@ def test_f15_dispatch_native_families_match_python(spark):
 
 def test_ranked_equals_row_number(spark):
     ev = V.table(spark, SF_SMALL, "events").select("user_id", "ts", "event_id")
-    mine = ranked(ev, ["user_id"], ["ts", "event_id"], "rn", num_partitions=7)
+    mine = ranked(ev, ["user_id"], ["ts", "event_id"], "rn", num_partitions=7, max_group_rows=0)
     ref = ev.withColumn("rn", F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - 1)
     assert mine.select("event_id", "rn").exceptAll(ref.select("event_id", "rn")).count() == 0
+    hot = ev.withColumn("user_id", F.lit(1))  # one key holding every row
+    mine = ranked(hot, ["user_id"], ["ts", "event_id"], "rn", num_partitions=6, max_group_rows=10)
+    assert sorted(r.rn for r in mine.collect()) == list(range(hot.count()))
     g = global_rank(ev, ["ts", "event_id"], "pos", num_partitions=5)
     assert sorted(r.pos for r in g.collect()) == list(range(ev.count()))
 

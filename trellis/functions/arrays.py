@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from trellis.functions.text import col
+from trellis.functions.text import bind, col
 
 
 def middle_truncate(tokens, max_len: int) -> Column:
@@ -44,21 +44,28 @@ def pad_or_truncate(arr, max_len: int, pad_value, left_pad: bool = True, truncat
 
 
 def position_ids(mask) -> Column:
-    """``clip(cumsum(mask) - 1, 0)`` along the array."""
-    m = col(mask)
-    return F.transform(m, lambda _, i: F.greatest(
-        F.aggregate(F.slice(m, 1, i + 1), F.lit(0).cast("long"), lambda acc, x: acc + x) - 1, F.lit(0).cast("long")))
+    """``clip(cumsum(mask) - 1, 0)`` along the array (one running fold)."""
+    init = F.struct(F.lit(0).cast("long").alias("run"), F.array().cast("array<bigint>").alias("out"))
+
+    def step(s, x):
+        run = s["run"] + x
+        return F.struct(run.alias("run"),
+                        F.concat(s["out"], F.array(F.greatest(run - 1, F.lit(0).cast("long")))).alias("out"))
+
+    return F.aggregate(col(mask), init, step, lambda s: s["out"])
 
 
 def eos_mask(ids, eos) -> Column:
     """1 up to and including the first eos token, 0 after; all 1 without eos.
     ``eos`` is one id or a list of ids."""
     eos_ids = eos if isinstance(eos, (list, tuple)) else [eos]
-    a = col(ids)
-    hits = F.filter(F.sequence(F.lit(1), F.greatest(F.size(a), F.lit(1))),
-                    lambda i: F.element_at(a, i).isin(*eos_ids))
-    first = F.coalesce(F.array_min(hits), F.size(a))
-    return F.transform(a, lambda _, i: F.when(i + 1 <= first, 1).otherwise(0))
+
+    def body(v):
+        hits = F.filter(F.transform(v["a"], lambda x, i: F.when(x.isin(*eos_ids), i + 1)), lambda i: i.isNotNull())
+        first = F.coalesce(F.array_min(hits), F.size(v["a"]))
+        return F.transform(v["a"], lambda _, i: F.when(i + 1 <= first, 1).otherwise(0))
+
+    return bind({"a": col(ids)}, body)
 
 
 def pad_ragged(arr, width: Column | int, pad_value) -> Column:
@@ -71,9 +78,11 @@ def pad_ragged(arr, width: Column | int, pad_value) -> Column:
 
 def continue_positions(prompt_pos, response_width: int) -> Column:
     """Response positions continue from the last prompt position."""
-    p = col(prompt_pos)
-    last = F.element_at(p, -1)
-    return F.concat(p, F.transform(F.sequence(F.lit(1), F.lit(response_width)), lambda d: last + d))
+    def body(v):
+        last = F.element_at(v["p"], -1)
+        return F.concat(v["p"], F.transform(F.sequence(F.lit(1), F.lit(response_width)), lambda d: last + d))
+
+    return bind({"p": col(prompt_pos)}, body)
 
 
 def response_part(arr, response_width: int) -> Column:

@@ -58,14 +58,34 @@ def _local_rank_fn(keys: Sequence[str]):
     return fn
 
 
+# Largest key group a single window task may sort (rows).
+MAX_WINDOW_GROUP = 1_000_000
+
+
 def ranked(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str = "rn",
-           num_partitions: int | None = None) -> DataFrame:
+           num_partitions: int | None = None, max_group_rows: int | None = None) -> DataFrame:
     """Add ``out`` = 0-based row number of each row within ``keys`` by ``order``.
 
     ``order`` must make the order total within a key (append a unique column).
     Equals ``row_number() over (partition by keys order by order) - 1``.
+
+    The largest key group is counted first (one aggregate, partial before the
+    shuffle).  When it is within ``max_group_rows`` the plain window is used —
+    every window task is then bounded; otherwise the range-partitioned form
+    below spreads hot keys over many tasks.
     """
     keys, order = list(keys), list(order)
+    limit = MAX_WINDOW_GROUP if max_group_rows is None else max_group_rows
+    if limit > 0:
+        largest = df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+        if largest <= limit:
+            w = Window.partitionBy(*keys).orderBy(*order)
+            return df.withColumn(out, F.row_number().over(w) - 1)
+    return _ranked_distributed(df, keys, order, out, num_partitions)
+
+
+def _ranked_distributed(df: DataFrame, keys: list[str], order: list[str], out: str,
+                        num_partitions: int | None) -> DataFrame:
     n = _num_partitions(df, num_partitions)
     parted = df.repartitionByRange(n, *keys, *order).sortWithinPartitions(*keys, *order)
     schema = Ty.StructType(list(parted.schema.fields) + [
