@@ -212,3 +212,15 @@ def test_registry_contract(spark):
     assert len(qs) >= 100
     df = entry.entry(spark)
     assert df.count() > 0
+
+
+def test_corpus_contains_short_and_long_spans(spark):
+    from trellis.operators.spans import corpus_contains
+
+    docs = spark.createDataFrame([(0, "alpha beta gamma delta"), (1, "betamax gamma"), (2, "x y z")],
+                                 "doc_id long, text string")
+    items = spark.createDataFrame([(0, "beta"), (1, "ta gam"), (2, "alpha beta gamma"), (3, "a"), (4, "q"),
+                                   (5, "beta gamma delta")], "item_id long, span string")
+    got = sorted(tuple(r) for r in corpus_contains(docs, items, "doc_id", "text", "item_id", "span").collect())
+    want = sorted((i, d) for i, s in items.collect() for d, t in docs.collect() if s in t)
+    assert got == want

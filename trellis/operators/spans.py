@@ -8,9 +8,9 @@ is answered exactly without pairing everything with everything:
   so an equi-join of the span's longest interior word with the documents'
   distinct tokens yields a superset of the hits, then ``contains`` verifies;
 * spans of one or two words: their first word is a substring of some
-  document token.  Up to ``broadcast_limit`` such spans are broadcast and
-  tested against each document; beyond that, a q-gram index over the token
-  vocabulary (not over raw text) finds the candidate tokens exactly.
+  document token, so a q-gram index over the token *vocabulary* (not over
+  raw text) finds the candidate tokens exactly; candidate documents come
+  from the (document, token) postings and are verified with ``contains``.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ def _longest(words: Column) -> Column:
 
 
 def corpus_contains(docs: DataFrame, items: DataFrame, doc_key: str, doc_text: str,
-                    item_key: str, span: str, broadcast_limit: int = 10_000) -> DataFrame:
+                    item_key: str, span: str) -> DataFrame:
     """All ``(item_key, doc_key)`` with ``doc_text`` containing ``span`` verbatim."""
     words = T.py_split(span)
     spans = items.select(item_key, span, words.alias("_w")).filter(F.col(span) != "")
@@ -46,23 +46,16 @@ def corpus_contains(docs: DataFrame, items: DataFrame, doc_key: str, doc_text: s
                  .select(item_key, doc_key))
 
     short = spans.filter(F.size("_w") < 3).select(item_key, span, F.element_at("_w", 1).alias("_w1"))
-    n_short = short.count()
-    if n_short <= broadcast_limit:
-        # size proven above: at most broadcast_limit short spans
-        short_hits = (text.join(F.broadcast(short.select(item_key, span)),
-                                F.instr(F.col(doc_text), F.col(span)) > 0)
-                      .select(item_key, doc_key))
-    else:
-        vocab = tokens.select("_tok").distinct()
-        grams = vocab.select("_tok", F.explode(F.array_distinct(F.flatten(F.transform(
-            F.sequence(F.lit(1), F.lit(QGRAM)),
-            lambda q: F.transform(F.sequence(F.lit(1), F.greatest(F.length("_tok") - q + 1, F.lit(1))),
-                                  lambda i: F.substring("_tok", i, q)))))).alias("_g"))
-        keyed = short.withColumn("_g", F.substring("_w1", 1, QGRAM))
-        cand_tok = (keyed.join(grams, "_g").filter(F.instr(F.col("_tok"), F.col("_w1")) > 0)
-                    .select(item_key, "_tok").distinct())
-        cand = cand_tok.join(tokens, "_tok").select(item_key, doc_key).distinct()
-        short_hits = (cand.join(short.select(item_key, span), item_key).join(text, doc_key)
-                      .filter(F.instr(F.col(doc_text), F.col(span)) > 0)
-                      .select(item_key, doc_key))
+    vocab = tokens.select("_tok").distinct()
+    grams = vocab.select("_tok", F.explode(F.array_distinct(F.flatten(F.transform(
+        F.sequence(F.lit(1), F.lit(QGRAM)),
+        lambda q: F.transform(F.sequence(F.lit(1), F.greatest(F.length("_tok") - q + 1, F.lit(1))),
+                              lambda i: F.substring("_tok", i, q)))))).alias("_g"))
+    keyed = short.withColumn("_g", F.substring("_w1", 1, QGRAM))
+    cand_tok = (keyed.join(grams, "_g").filter(F.instr(F.col("_tok"), F.col("_w1")) > 0)
+                .select(item_key, "_tok").distinct())
+    cand = cand_tok.join(tokens, "_tok").select(item_key, doc_key).distinct()
+    short_hits = (cand.join(short.select(item_key, span), item_key).join(text, doc_key)
+                  .filter(F.instr(F.col(doc_text), F.col(span)) > 0)
+                  .select(item_key, doc_key))
     return long_hits.unionByName(short_hits)

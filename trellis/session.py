@@ -16,9 +16,11 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
     split at run time; the UI stays off; the session time zone is UTC so that
     event-time windows do not depend on the host.
     """
-    cpus = os.environ.get("BENCH_CPUS", "8")
+    cpus = int(os.environ.get("BENCH_CPUS", "8"))
     master = master or f"local[{cpus}]"
-    parts = shuffle_partitions or int(os.environ.get("TRELLIS_SHUFFLE_PARTITIONS", "16"))
+    # several partitions per core: text scoring is CPU-heavy per row and
+    # document lengths vary widely, so one partition per core leaves stragglers
+    parts = shuffle_partitions or int(os.environ.get("TRELLIS_SHUFFLE_PARTITIONS", str(4 * cpus)))
     builder = (
         SparkSession.builder.master(master)
         .appName(app_name)
@@ -27,6 +29,7 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
         .config("spark.sql.shuffle.partitions", str(parts))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionNum", str(parts))
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
