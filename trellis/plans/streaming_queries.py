@@ -61,6 +61,7 @@ def j3_adaptive_kl_stream(spark, sf_dir):
 @register("j4_curriculum_stream")
 def j4_curriculum_stream(spark, sf_dir):
     """Step stream joined to the static sources; equals the batch feed (tested)."""
-    main = V.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("row_id"))
-    extra = V.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("row_id"))
+    ss = S.stream_session(spark)
+    main = V.table(ss, sf_dir, "documents").select(F.col("doc_id").alias("row_id"))
+    extra = V.table(ss, sf_dir, "benchmark").select(F.col("item_id").alias("row_id"))
     return S.curriculum_stream(spark, _step_dir(spark, sf_dir), main, extra, 32, 30)

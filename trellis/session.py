@@ -61,3 +61,23 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint into the shared checkpoint folder (never local)."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+_SHIPPED: set[int] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``trellis`` importable in the Python workers (UDFs, pandas
+    operators): zip the package into the shared checkpoint folder once per
+    SparkContext and register it with ``addPyFile``."""
+    import shutil
+
+    sc = spark.sparkContext
+    ensure_checkpoint_dir(spark)
+    if id(sc) in _SHIPPED:
+        return
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    out = tempfile.mkdtemp(prefix="trellis-pkg-")
+    archive = shutil.make_archive(os.path.join(out, "trellis"), "zip", os.path.dirname(pkg), "trellis")
+    sc.addPyFile(archive)
+    _SHIPPED.add(id(sc))

@@ -31,6 +31,15 @@ def _sink(path: str):
     return write
 
 
+def stream_session(spark: SparkSession) -> SparkSession:
+    """A sibling session for streaming jobs: state partitions are fixed when a
+    stream first starts, so size them to the cluster's cores rather than the
+    batch shuffle width."""
+    s = spark.newSession()
+    s.conf.set("spark.sql.shuffle.partitions", str(spark.sparkContext.defaultParallelism))
+    return s
+
+
 def run_available_now(stream: DataFrame, name: str, output_mode: str = "append") -> str:
     """Run ``stream`` until the available input is consumed; returns the sink path."""
     spark = stream.sparkSession
@@ -77,6 +86,7 @@ EVENTS_SCHEMA = "event_id long, ts timestamp_ntz, user_id long, event_type strin
 
 def score_stream(spark: SparkSession, source_dir: str, responses_fn) -> DataFrame:
     """Evidence reward (verbatim spans) on arriving responses."""
+    batch_spark, spark = spark, stream_session(spark)
     docs = file_stream(spark, source_dir, "doc_id long, text string, lang string, source string, n_chars long",
                        maxFilesPerTrigger=1)
     resp = responses_fn(docs)
@@ -88,7 +98,7 @@ def score_stream(spark: SparkSession, source_dir: str, responses_fn) -> DataFram
               .withColumn("reward", R.evidence_reward("format_score", "accuracy", "span_score"))
               .select("doc_id", "format_score", "accuracy", "span_score", "reward"))
     sink = run_available_now(scored, "score-stream")
-    return read_sink(spark, sink, scored.schema)
+    return read_sink(batch_spark, sink, scored.schema)
 
 
 # ---------------------------------------------------------------- J2
@@ -98,6 +108,7 @@ def metric_windows(spark: SparkSession, events_dir: str, window: str = "1 day",
     """Per event type and tumbling (or sliding) event-time window: count,
     mean and max value, with a watermark; rows later than the watermark are
     dropped by the engine."""
+    batch_spark, spark = spark, stream_session(spark)
     ev = file_stream(spark, events_dir, EVENTS_SCHEMA)
     ev = ev.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay)
     w = F.window("ts", window, slide) if slide else F.window("ts", window)
@@ -107,11 +118,12 @@ def metric_windows(spark: SparkSession, events_dir: str, window: str = "1 day",
                      F.date_format("w.end", "yyyy-MM-dd HH:mm:ss").alias("window_end"),
                      "event_type", "n", "mean_value", "max_value")
     sink = run_available_now(out, "metric-windows", output_mode="update")
-    return read_sink(spark, sink, out.schema, keys=["window_start", "window_end", "event_type"])
+    return read_sink(batch_spark, sink, out.schema, keys=["window_start", "window_end", "event_type"])
 
 
 def session_metrics(spark: SparkSession, events_dir: str, gap: str = "2 hours", delay: str = "6 hours") -> DataFrame:
     """J2 (session form): per user activity session (gap-based)."""
+    batch_spark, spark = spark, stream_session(spark)
     ev = file_stream(spark, events_dir, EVENTS_SCHEMA)
     ev = ev.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay)
     agg = ev.groupBy(F.session_window("ts", gap).alias("s"), "user_id") \
@@ -119,7 +131,7 @@ def session_metrics(spark: SparkSession, events_dir: str, gap: str = "2 hours",
     out = agg.select("user_id", F.date_format("s.start", "yyyy-MM-dd HH:mm:ss").alias("session_start"),
                      F.date_format("s.end", "yyyy-MM-dd HH:mm:ss").alias("session_end"), "n", "total_value")
     sink = run_available_now(out, "session-metrics", output_mode="append")
-    return read_sink(spark, sink, out.schema)
+    return read_sink(batch_spark, sink, out.schema)
 
 
 # ---------------------------------------------------------------- J3
@@ -149,13 +161,15 @@ def _kl_controller(init: float, target: float, horizon: float):
 
 def adaptive_kl_stream(spark: SparkSession, step_dir: str, init: float, target: float, horizon: float) -> DataFrame:
     """The adaptive KL coefficient as per-run state, updated in step order
-    as steps arrive (one step per micro-batch when the log is partitioned by step)."""
+    as steps arrive (the log is partitioned by step; ten step files per
+    micro-batch, applied in step order; a replayed step is skipped)."""
+    batch_spark, spark = spark, stream_session(spark)
     steps = spark.readStream.schema("run string, kl double, n long, seconds double, step int") \
-        .option("maxFilesPerTrigger", 1).parquet(step_dir)
+        .option("maxFilesPerTrigger", 10).parquet(step_dir)
     out = steps.groupBy("run").applyInPandasWithState(
         _kl_controller(init, target, horizon), _KL_OUT, _KL_STATE, "append", GroupStateTimeout.NoTimeout)
     sink = run_available_now(out, "adaptive-kl")
-    return read_sink(spark, sink, _KL_OUT)
+    return read_sink(batch_spark, sink, _KL_OUT)
 
 
 # ---------------------------------------------------------------- J4
@@ -167,8 +181,10 @@ def curriculum_stream(spark: SparkSession, step_dir: str, main: DataFrame, extra
     from trellis.operators.curriculum import mix_ratio, uniform
 
     n_main, n_extra = main.count(), extra.count()
+    batch_spark = spark
+    spark = main.sparkSession
     steps = spark.readStream.schema("run string, kl double, n long, seconds double, step int") \
-        .option("maxFilesPerTrigger", 1).parquet(step_dir).select("step").dropDuplicates(["step"])
+        .option("maxFilesPerTrigger", 10).parquet(step_dir).select("step").dropDuplicates(["step"])
     slots = steps.select(F.col("step").cast("long").alias("step"),
                          F.explode(F.sequence(F.lit(0), F.lit(batch_size - 1))).alias("slot")) \
         .withColumn("slot", F.col("slot").cast("long"))
@@ -181,7 +197,7 @@ def curriculum_stream(spark: SparkSession, step_dir: str, main: DataFrame, extra
     e = extra.withColumn("source", F.lit("extra")).withColumnRenamed("row_id", "pick").select("source", "pick")
     joined = drawn.join(m.unionByName(e), ["source", "pick"])
     sink = run_available_now(joined.select("step", "slot", "source", "pick"), "curriculum-stream")
-    return read_sink(spark, sink, Ty.StructType([Ty.StructField("step", Ty.LongType()),
+    return read_sink(batch_spark, sink, Ty.StructType([Ty.StructField("step", Ty.LongType()),
                                                  Ty.StructField("slot", Ty.LongType()),
                                                  Ty.StructField("source", Ty.StringType()),
                                                  Ty.StructField("pick", Ty.LongType())]))
