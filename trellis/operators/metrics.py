@@ -29,35 +29,51 @@ def data_metrics(tokens: DataFrame, seq_keys: Sequence[str], max_response_length
                  values: str = "vals", mask: str = "mask") -> DataFrame:
     """Batch statistics of sequence scores and rewards, valid advantages,
     returns and values, response lengths and the critic's explained variance.
+
+    One pass over the token table: a per-sequence aggregate carries the
+    sequence sums and the partial token statistics of its valid positions
+    (count, sum, max, min, sum of squares); one batch aggregate combines them.
     Returned in long form ``(by..., name, value)``."""
-    seq = (tokens.groupBy(*by, *seq_keys)
-           .agg(F.sum(score).alias("_score"), F.sum(reward).alias("_reward"),
-                F.sum(mask).cast("double").alias("_rlen")))
-    seq_stats = seq.groupBy(*by).agg(
+    v = F.col(mask) != 0
+
+    def vcol(c):
+        return F.when(v, F.col(c))
+
+    diff = F.col(ret) - F.col(values)
+    seq = tokens.groupBy(*by, *seq_keys).agg(
+        F.sum(score).alias("_score"), F.sum(reward).alias("_reward"),
+        F.sum(mask).cast("double").alias("_rlen"),
+        F.sum(v.cast("long")).alias("_n"),
+        F.sum(vcol(adv)).alias("_as"), F.max(vcol(adv)).alias("_ax"), F.min(vcol(adv)).alias("_an"),
+        F.sum(vcol(ret)).alias("_rs"), F.max(vcol(ret)).alias("_rx"), F.min(vcol(ret)).alias("_rn"),
+        F.sum(F.when(v, F.col(ret) * F.col(ret))).alias("_rq"),
+        F.sum(vcol(values)).alias("_vs"), F.max(vcol(values)).alias("_vx"), F.min(vcol(values)).alias("_vn"),
+        F.sum(F.when(v, diff)).alias("_ds"), F.sum(F.when(v, diff * diff)).alias("_dq"))
+    n = F.sum("_n").cast("double")
+
+    def var(s, q):
+        return (F.sum(q) - F.sum(s) * F.sum(s) / n) / (n - 1.0)
+
+    aggs = [
         F.avg("_score").alias("critic/score/mean"), F.max("_score").alias("critic/score/max"),
         F.min("_score").alias("critic/score/min"),
         F.avg("_reward").alias("critic/rewards/mean"), F.max("_reward").alias("critic/rewards/max"),
         F.min("_reward").alias("critic/rewards/min"),
+        (F.sum("_as") / n).alias("critic/advantages/mean"), F.max("_ax").alias("critic/advantages/max"),
+        F.min("_an").alias("critic/advantages/min"),
+        (F.sum("_rs") / n).alias("critic/returns/mean"), F.max("_rx").alias("critic/returns/max"),
+        F.min("_rn").alias("critic/returns/min"),
         F.avg("_rlen").alias("response_length/mean"), F.max("_rlen").alias("response_length/max"),
         F.min("_rlen").alias("response_length/min"),
-        F.avg((F.col("_rlen") == max_response_length).cast("double")).alias("response_length/clip_ratio"))
-    valid = tokens.filter(F.col(mask) != 0)
-    aggs = [F.avg(adv).alias("critic/advantages/mean"), F.max(adv).alias("critic/advantages/max"),
-            F.min(adv).alias("critic/advantages/min"),
-            F.avg(ret).alias("critic/returns/mean"), F.max(ret).alias("critic/returns/max"),
-            F.min(ret).alias("critic/returns/min")]
+        F.avg((F.col("_rlen") == max_response_length).cast("double")).alias("response_length/clip_ratio"),
+    ]
     if use_critic:
-        aggs += [F.avg(values).alias("critic/values/mean"), F.max(values).alias("critic/values/max"),
-                 F.min(values).alias("critic/values/min"),
-                 (1.0 - F.var_samp(F.col(ret) - F.col(values)) / (F.var_samp(ret) + 1e-5))
-                 .alias("critic/vf_explained_var")]
-    tok_stats = valid.groupBy(*by).agg(*aggs)
-    if by:
-        wide = seq_stats.join(F.broadcast(tok_stats), list(by))  # one row per batch
-    else:
-        wide = seq_stats.withColumns({c: tok_stats.select(c).scalar() for c in tok_stats.columns})
+        aggs += [(F.sum("_vs") / n).alias("critic/values/mean"), F.max("_vx").alias("critic/values/max"),
+                 F.min("_vn").alias("critic/values/min"),
+                 (1.0 - var("_ds", "_dq") / (var("_rs", "_rq") + 1e-5)).alias("critic/vf_explained_var")]
+    wide = seq.groupBy(*by).agg(*aggs)
     names = [c for c in wide.columns if c not in by]
-    return to_long(wide, list(by), {n: n for n in names})
+    return to_long(wide, list(by), {nm: nm for nm in names})
 
 
 # Sections whose per-token time uses response tokens ("gen") or all tokens.
