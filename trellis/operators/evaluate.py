@@ -105,6 +105,17 @@ def best_of_references(df: DataFrame, metric: str, pred: str = "pred", answers:
     return df.withColumn(out, E.best_of(answers, lambda a: fn(F.col(pred), a, cls).cast("double")))
 
 
+def best_of_normalized_f1(df: DataFrame, pred: str = "pred", answers: str = "answers",
+                          out: str = "score") -> DataFrame:
+    """F14 + F4 over text already passed through ``normalize_answer`` (tokens
+    joined by one blank): tokens are recovered with a plain single-blank split."""
+    def toks(c):
+        return F.array_remove(F.split(c, " "), "")
+
+    t = df.withColumn("_pt", toks(F.col(pred)))
+    return t.withColumn(out, E.best_of(answers, lambda a: E.token_f1(F.col("_pt"), toks(a)))).drop("_pt")
+
+
 def best_of_token_f1(df: DataFrame, pred_tokens: str, answer_tokens: str, out: str = "score") -> DataFrame:
     """F14 over pre-tokenised text: ``answer_tokens`` is an array of token
     arrays.  Lets a plan tokenise every text exactly once and join token

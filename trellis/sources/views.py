@@ -51,7 +51,7 @@ def qa_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
                     (F.char_length("a.text") + F.char_length("b.text")).alias("length")))
 
 
-def doc_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+def doc_pairs(spark: SparkSession, sf_dir: str, text_fn=None) -> DataFrame:
     """Each document is a prediction; its neighbours by id are the references.
 
     ``answers`` holds the texts of documents ``doc_id-1`` and ``doc_id+1`` that
@@ -60,8 +60,13 @@ def doc_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     is emitted once per role (itself, reference of the next, reference of the
     previous) keyed by the target id and grouped (three rows per key at most),
     instead of two self-joins that would shuffle the text five times.
+    ``text_fn`` (a Column function) is applied to each document once, before
+    pairing — e.g. a normaliser, so that prediction and references are not
+    normalised again per pair.
     """
     d = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "n_chars")
+    if text_fn is not None:
+        d = d.withColumn("text", text_fn(F.col("text")))
     roles = d.select(F.explode(F.array(
         F.struct(F.col("doc_id").alias("key"), F.lit(0).alias("role"), "text", "lang", "n_chars"),
         F.struct((F.col("doc_id") - 1).alias("key"), F.lit(1).alias("role"), "text", "lang", "n_chars"),
