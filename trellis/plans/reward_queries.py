@@ -111,7 +111,25 @@ def e9_boxed_format(spark, sf_dir):
     return finish(t.select("doc_id", R.boxed_format("response").alias("format_score")))
 
 
-@register("e11_math_reward")
+def _norm_math_sql(x: str) -> str:
+    s = f"regexp_replace({x}, '\\\\left|\\\\right|\\\\!|\\$', '', 'g')"
+    s = f"regexp_replace({s}, '\\\\[dt]frac', '\\\\frac', 'g')"
+    s = f"regexp_replace({s}, '\\s+', '', 'g')"
+    return f"regexp_replace({s}, '\\.$', '')"
+
+
+_BOXED = "coalesce(nullif(regexp_extract(response, '.*\\\\boxed\\{([^{}]*)\\}', 1), ''), '')"
+_MATH_ACC = (f"CASE WHEN {_norm_math_sql(_BOXED)} = {_norm_math_sql('ground_truth')} "
+             f"OR (TRY_CAST({_norm_math_sql(_BOXED)} AS DOUBLE) IS NOT NULL "
+             f"AND abs(TRY_CAST({_norm_math_sql(_BOXED)} AS DOUBLE) - TRY_CAST({_norm_math_sql('ground_truth')} AS DOUBLE)) "
+             f"<= 1e-9 * greatest(1.0, abs(TRY_CAST({_norm_math_sql('ground_truth')} AS DOUBLE)))) THEN 1.0 ELSE 0.0 END")
+_MATH_FMT = ("CASE WHEN regexp_full_match(response, '(?s)<think>.*</think>.*\\\\boxed\\{.*\\}.*') "
+             "THEN 1.0 ELSE 0.0 END")
+
+
+@register("e11_math_reward", _TAG + f"""
+SELECT doc_id, {_BOXED} AS answer, {_MATH_ACC} AS accuracy, {_MATH_FMT} AS format_score,
+       {Q.r6(f"0.9 * ({_MATH_ACC}) + 0.1 * ({_MATH_FMT})")} AS reward FROM tagged""")
 def e11_math_reward(spark, sf_dir):
     """E10 + E11: last balanced ``\\boxed{}`` content graded against the truth."""
     out = OR.score_math(V.tagged_responses(spark, sf_dir))
