@@ -156,7 +156,34 @@ def g12_remax(spark, sf_dir):
     return finish(out.select("user_id", "piece", "pos", "returns", "advantages"))
 
 
-@register("g13_advantage_dispatch")
+_DISPATCH_SQL = TOK + f""",
+d AS (SELECT *, score + {_G} * coalesce(lead(vals) {W_SEQ}, 0.0) - vals AS delta FROM tokens),
+a AS (SELECT *, sum(delta * power({_G * _L}, pos)) {W_SUFFIX} / power({_G * _L}, pos) AS adv_raw FROM d),
+sa AS (SELECT sum(adv_raw * mask) / sum(mask) AS mu, var_samp(CASE WHEN mask <> 0 THEN adv_raw END) AS va FROM a),
+gae AS (SELECT (adv_raw - mu) / sqrt(va + 1e-8) AS adv FROM a, sa),
+s2 AS (SELECT *, sum(1 - mask) {W_PREFIX} AS seg FROM tokens),
+r2 AS (SELECT *, sum(score * power({_G}, pos)) OVER (PARTITION BY user_id, piece, seg ORDER BY pos
+                 ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) / power({_G}, pos) AS ret FROM s2),
+sr AS (SELECT sum(ret * mask) / sum(mask) AS mu, var_samp(CASE WHEN mask <> 0 THEN ret END) AS va FROM r2),
+rpp AS (SELECT (ret - mu) / sqrt(va + 1e-8) * mask AS adv FROM r2, sr),
+b AS (SELECT user_id, piece, min(score) AS baseline FROM tokens GROUP BY user_id, piece),
+rmx AS (SELECT sum(t.score * t.mask) OVER (PARTITION BY t.user_id, t.piece ORDER BY t.pos
+               ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) - b.baseline * t.mask AS adv
+        FROM tokens t JOIN b ON b.user_id = t.user_id AND b.piece = t.piece),
+{Q.GROUPS.strip()},
+gs AS (SELECT uid, count(*) AS n, avg(score) AS m, stddev_samp(score) AS sd FROM groups GROUP BY uid),
+grpo AS (SELECT (g.score - CASE WHEN n = 1 THEN 0.0 ELSE m END) / (CASE WHEN n = 1 THEN 1.0 ELSE sd END + 1e-6) AS adv
+         FROM groups g JOIN gs ON gs.uid = g.uid),
+rloo AS (SELECT CASE WHEN n > 1 THEN g.score * n / (n - 1) - m * n / (n - 1) ELSE g.score END AS adv
+         FROM groups g JOIN gs ON gs.uid = g.uid)
+SELECT 'gae' AS kind, count(*) AS n, {Q.r6('avg(adv)')} AS mean_advantage FROM gae
+UNION ALL SELECT 'reinforce_plus_plus', count(*), {Q.r6('avg(adv)')} FROM rpp
+UNION ALL SELECT 'remax', count(*), {Q.r6('avg(adv)')} FROM rmx
+UNION ALL SELECT 'grpo', count(*), {Q.r6('avg(adv)')} FROM grpo
+UNION ALL SELECT 'rloo', count(*), {Q.r6('avg(adv)')} FROM rloo"""
+
+
+@register("g13_advantage_dispatch", _DISPATCH_SQL)
 def g13_advantage_dispatch(spark, sf_dir):
     """All five estimators through the dispatcher; per kind: rows and mean."""
     t = V.tokens(spark, sf_dir)

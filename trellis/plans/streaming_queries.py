@@ -35,10 +35,18 @@ def j2_metric_windows(spark, sf_dir):
     return finish(S.metric_windows(spark, f"{sf_dir}/events.parquet"))
 
 
-@register("j2_session_metrics")
+@register("j2_session_metrics", f"""
+WITH e AS (SELECT user_id, ts, event_id, value, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS prev FROM events),
+s AS (SELECT *, sum(CASE WHEN prev IS NULL OR ts >= prev + INTERVAL 2 HOUR THEN 1 ELSE 0 END)
+                 OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS sid FROM e),
+g AS (SELECT user_id, sid, min(ts) AS st, max(ts) + INTERVAL 2 HOUR AS en, count(*) AS n, sum(value) AS total_value
+      FROM s GROUP BY user_id, sid)
+SELECT user_id, strftime(st, '%Y-%m-%d %H:%M:%S') AS session_start, strftime(en, '%Y-%m-%d %H:%M:%S') AS session_end,
+       n, {Q.r6('total_value')} AS total_value
+FROM g WHERE en <= (SELECT max(ts) FROM events) - INTERVAL 6 HOUR""")
 def j2_session_metrics(spark, sf_dir):
-    """Gap-based sessions per user; append mode emits only sessions the
-    watermark has closed (rows-only: the last open sessions stay in state)."""
+    """Gap-based sessions per user; append mode emits the sessions the
+    watermark (latest event time - 6 h) has closed."""
     return finish(S.session_metrics(spark, f"{sf_dir}/events.parquet"))
 
 
