@@ -19,7 +19,6 @@ _LSTRIP_NL = r"^\n+"
 
 # Python's string.punctuation (the 32 ASCII punctuation marks).
 ASCII_PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
-_ASCII_PUNCT_CLASS = r"[!-/:-@\[-`{-~]"
 
 # CJK and typographic punctuation removed by the Chinese normaliser.
 CJK_PUNCTUATION = (

@@ -46,10 +46,8 @@ def _local_rank_fn(keys: Sequence[str]):
             local = pd.Series(pd.RangeIndex(len(pdf))).groupby(grp).cumcount().to_numpy()
             if not change[0]:
                 local[grp == grp[0]] += run
-            last_grp = grp[-1]
             run = int(local[-1]) + 1
             prev_key = tuple(k.iloc[-1].tolist())
-            del last_grp
             out = pdf.copy()
             out[_PID] = pid
             out[_LR] = local.astype("int64")

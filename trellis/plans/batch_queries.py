@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+import re
+
 from trellis.functions import arrays as AR
-from trellis.functions import text as T
 from trellis.operators import batch as B
 from trellis.operators import prompts as P
+from trellis.operators.evaluate import DATASET_METRIC
 from trellis.plans import sqlkit as Q
 from trellis.plans.registry import finish, register
 from trellis.sources import views as V
@@ -252,9 +254,10 @@ def c2_render_chat(spark, sf_dir):
                     P.render_chat("text", "Qwen2.5-7B-Instruct").alias("chatml"))
 
 
-def _eval_items(spark, sf_dir):
-    from trellis.operators.evaluate import DATASET_METRIC
+_DATASETS_SQL = "[" + ", ".join("'" + n + "'" for n in DATASET_METRIC) + "]"
+
 
+def _eval_items(spark, sf_dir):
     names = list(DATASET_METRIC)
     d = V.table(spark, sf_dir, "documents")
     ds = F.element_at(F.array(*[F.lit(n) for n in names]), (F.pmod("doc_id", F.lit(len(names))) + 1).cast("int"))
@@ -263,25 +266,19 @@ def _eval_items(spark, sf_dir):
 
 
 def _fill_sql():
-    from trellis.operators.evaluate import DATASET_METRIC
     from trellis.sources.eval_config import DATASET_PROMPT
 
-    names = list(DATASET_METRIC)
-    arr = "[" + ", ".join("'" + n + "'" for n in names) + "]"
     cases = []
     for name, tpl in DATASET_PROMPT.items():
-        pieces, rest = [], tpl
-        import re as _re
-
-        last = 0
-        for m in _re.finditer(r"\{(context|input)\}", tpl):
+        pieces, last = [], 0
+        for m in re.finditer(r"\{(context|input)\}", tpl):
             pieces.append(_sql_lit(tpl[last:m.start()]))
             pieces.append("context" if m.group(1) == "context" else "input")
             last = m.end()
         pieces.append(_sql_lit(tpl[last:]))
         cases.append(f"WHEN '{name}' THEN " + " || ".join(pieces))
     return f"""
-WITH items AS (SELECT doc_id, {arr}[doc_id % {len(names)} + 1] AS dataset, text AS context,
+WITH items AS (SELECT doc_id, {_DATASETS_SQL}[doc_id % {len(DATASET_METRIC)} + 1] AS dataset, text AS context,
                       'Which source is {{input}} ' || source || '?' AS input FROM documents)
 SELECT doc_id, dataset, CASE dataset {' '.join(cases)} END AS prompt FROM items"""
 
@@ -309,7 +306,7 @@ def c4_middle_truncate(spark, sf_dir):
 
 
 @register("c5_needs_chat", f"""
-WITH items AS (SELECT doc_id, {"[" + ", ".join("'" + n + "'" for n in __import__('trellis.operators.evaluate', fromlist=['x']).DATASET_METRIC) + "]"}[doc_id % 23 + 1] AS dataset FROM documents)
+WITH items AS (SELECT doc_id, {_DATASETS_SQL}[doc_id % {len(DATASET_METRIC)} + 1] AS dataset FROM documents)
 SELECT doc_id, dataset, dataset NOT IN ('trec', 'triviaqa', 'samsum', 'lsht', 'lcc', 'repobench-p') AS chat FROM items""")
 def c5_needs_chat(spark, sf_dir):
     from trellis.operators.evaluate import dataset_config
