@@ -134,7 +134,7 @@ def b15_fold_batch_dim(spark, sf_dir):
 
 
 @register("b16_minibatches", """
-SELECT o_orderkey AS row_id, e AS epoch, o_orderkey // 500 AS minibatch FROM orders, range(2) t(e)""")
+SELECT o_orderkey AS row_id, e::INTEGER AS epoch, o_orderkey // 500 AS minibatch FROM orders, range(2) t(e)""")
 def b16_minibatches(spark, sf_dir):
     return B.minibatches(_orders(spark, sf_dir).select("row_id"), 500, 2)
 
@@ -162,7 +162,7 @@ def b18_size_report(spark, sf_dir):
 
 
 @register("b19_collate", f"""WITH {Q.ARRAYS},
-x AS (SELECT user_id // 40 AS batch, user_id, piece, len(ids) AS n FROM arrays)
+x AS (SELECT user_id // 40 AS batch, user_id, piece, len(ids)::INTEGER AS n FROM arrays)
 SELECT batch, list(n ORDER BY user_id, piece) AS n FROM x GROUP BY batch""")
 def b19_collate(spark, sf_dir):
     a = V.arrays(spark, sf_dir)
@@ -418,9 +418,9 @@ _PACK_SQL = f"""WITH {Q.TOKENS},
 kept AS (SELECT user_id // 40 AS pack, * FROM tokens WHERE mask <> 0),
 lens AS (SELECT pack, user_id, piece, count(*) AS seq_len FROM kept GROUP BY ALL),
 st AS (SELECT *, coalesce(sum(seq_len) OVER (PARTITION BY pack ORDER BY user_id, piece
-              ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS cu_start FROM lens),
+              ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS cu_start FROM lens),
 packed AS (SELECT k.pack, k.user_id, k.piece, k.pos, k.event_id, s.cu_start,
-                  s.cu_start + row_number() OVER (PARTITION BY k.pack, k.user_id, k.piece ORDER BY k.pos) - 1 AS packed_pos
+                  (s.cu_start + row_number() OVER (PARTITION BY k.pack, k.user_id, k.piece ORDER BY k.pos) - 1)::BIGINT AS packed_pos
            FROM kept k JOIN st s USING (pack, user_id, piece))"""
 
 

@@ -41,14 +41,14 @@ def e3_set_f1(spark, sf_dir):
 
 
 @register("e4_retrieval_spans", _RESP + f"""
-SELECT doc_id, len({_SPANS}) AS n_spans, array_to_string({_SPANS}, '|') AS spans FROM responses""")
+SELECT doc_id, len({_SPANS})::INTEGER AS n_spans, array_to_string({_SPANS}, '|') AS spans FROM responses""")
 def e4_retrieval_spans(spark, sf_dir):
     r = V.responses(spark, sf_dir).withColumn("s", R.retrieval_spans("response"))
     return r.select("doc_id", F.size("s").alias("n_spans"), F.array_join("s", "|").alias("spans"))
 
 
 @register("e5_exact_span_match", _RESP + f"""
-SELECT doc_id, i - 1 AS idx, s AS span, CASE WHEN contains(context, s) THEN 1 ELSE 0 END AS exact
+SELECT doc_id, (i - 1)::INTEGER AS idx, s AS span, CASE WHEN contains(context, s) THEN 1 ELSE 0 END AS exact
 FROM (SELECT doc_id, context, unnest({_SPANS}) AS s, unnest(range(1, len({_SPANS}) + 1)) AS i FROM responses)""")
 def e5_exact_span_match(spark, sf_dir):
     r = V.responses(spark, sf_dir)
@@ -104,7 +104,7 @@ _TAG = f"WITH {Q.TAGGED}"
 
 
 @register("e9_boxed_format", _TAG + """
-SELECT doc_id, CASE WHEN regexp_full_match(response, '(?s)<think>.*</think>.*\\\\boxed\\{.*\\}.*') THEN 1.0 ELSE 0.0 END
+SELECT doc_id, CASE WHEN regexp_full_match(response, '(?s)<think>.*</think>.*\\\\boxed\\{.*\\}.*') THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END
        AS format_score FROM tagged""")
 def e9_boxed_format(spark, sf_dir):
     t = V.tagged_responses(spark, sf_dir)
@@ -122,9 +122,9 @@ _BOXED = "coalesce(nullif(regexp_extract(response, '.*\\\\boxed\\{([^{}]*)\\}',
 _MATH_ACC = (f"CASE WHEN {_norm_math_sql(_BOXED)} = {_norm_math_sql('ground_truth')} "
              f"OR (TRY_CAST({_norm_math_sql(_BOXED)} AS DOUBLE) IS NOT NULL "
              f"AND abs(TRY_CAST({_norm_math_sql(_BOXED)} AS DOUBLE) - TRY_CAST({_norm_math_sql('ground_truth')} AS DOUBLE)) "
-             f"<= 1e-9 * greatest(1.0, abs(TRY_CAST({_norm_math_sql('ground_truth')} AS DOUBLE)))) THEN 1.0 ELSE 0.0 END")
+             f"<= 1e-9 * greatest(1.0, abs(TRY_CAST({_norm_math_sql('ground_truth')} AS DOUBLE)))) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END")
 _MATH_FMT = ("CASE WHEN regexp_full_match(response, '(?s)<think>.*</think>.*\\\\boxed\\{.*\\}.*') "
-             "THEN 1.0 ELSE 0.0 END")
+             "THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END")
 
 
 @register("e11_math_reward", _TAG + f"""
@@ -137,7 +137,7 @@ def e11_math_reward(spark, sf_dir):
 
 
 _TAGGED_FMT = ("CASE WHEN regexp_full_match(response, '(?s)<think>.*?</think>\\s*<answer>.*?</answer>') "
-               "THEN 1.0 ELSE 0.0 END")
+               "THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END")
 _TAGGED_ANS = (f"CASE WHEN regexp_matches(response, '<answer>(.*?)</answer>') "
                f"THEN {Q.py_strip(chr(39).join(['regexp_extract(response, ', '<answer>(.*?)</answer>', ', 1)']))} "
                f"ELSE {Q.py_strip('response')} END")
@@ -152,7 +152,7 @@ def e12_tagged_format(spark, sf_dir):
 
 @register("e13_tagged_answer", _TAG + f"""
 SELECT doc_id, {_TAGGED_ANS} AS answer,
-       CASE WHEN {_TAGGED_ANS} = {Q.py_strip('ground_truth')} THEN 1.0 ELSE 0.0 END AS accuracy FROM tagged""")
+       CASE WHEN {_TAGGED_ANS} = {Q.py_strip('ground_truth')} THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS accuracy FROM tagged""")
 def e13_tagged_answer(spark, sf_dir):
     t = V.tagged_responses(spark, sf_dir)
     return finish(t.select("doc_id", R.tagged_answer("response").alias("answer"),
@@ -160,8 +160,8 @@ def e13_tagged_answer(spark, sf_dir):
 
 
 @register("e14_tagged_reward", _TAG + f"""
-SELECT doc_id, 0.5 * (CASE WHEN {_TAGGED_ANS} = {Q.py_strip('ground_truth')} THEN 1.0 ELSE 0.0 END)
-       + 0.5 * ({_TAGGED_FMT}) AS reward FROM tagged""")
+SELECT doc_id, (0.5 * (CASE WHEN {_TAGGED_ANS} = {Q.py_strip('ground_truth')} THEN 1.0 ELSE 0.0 END)
+       + 0.5 * ({_TAGGED_FMT}))::DOUBLE AS reward FROM tagged""")
 def e14_tagged_reward(spark, sf_dir):
     t = V.tagged_responses(spark, sf_dir)
     return finish(t.select("doc_id", R.tagged_reward("response", "ground_truth").alias("reward")))
@@ -180,7 +180,7 @@ _WIDTH = 64
 
 @register("e16_place_reward", _RESP + f""",
 sc AS (SELECT doc_id, {Q.r6(f"0.7 * ({_ACC}) + 0.1 * ({Q.evidence_format_sql('response')}) + 0.2 * ({_SPAN_SCORE})")} AS reward,
-              least(len({Q.ws_split('response')}), {_WIDTH}) AS response_len FROM responses)
+              least(len({Q.ws_split('response')}), {_WIDTH})::INTEGER AS response_len FROM responses)
 SELECT doc_id, response_len, list_transform(range(0, {_WIDTH}),
        lambda i: CASE WHEN i = (CASE WHEN response_len = 0 THEN {_WIDTH - 1} ELSE response_len - 1 END)
                  THEN reward ELSE 0.0 END) AS token_level_scores

@@ -127,7 +127,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY batch_id ORDER BY doc_id) - 1 AS
              count(*) OVER (PARTITION BY batch_id) AS n FROM l),
 c AS (SELECT batch_id, rk // greatest(n // {_K}, 1) AS ch, sum(n_tokens) AS s FROM r GROUP BY ALL),
 t AS (SELECT batch_id, sum(n_tokens) / {_K}.0 AS mean FROM l GROUP BY batch_id)
-SELECT c.batch_id, min(s) AS min_before, max(s) AS max_before, max(s) - min(s) AS diff_before, {Q.r6('any_value(t.mean)')} AS mean
+SELECT c.batch_id, min(s)::BIGINT AS min_before, max(s)::BIGINT AS max_before, (max(s) - min(s))::BIGINT AS diff_before, {Q.r6('any_value(t.mean)')} AS mean
 FROM c JOIN t USING (batch_id) GROUP BY c.batch_id""")
 def h5_unbalance_before(spark, sf_dir):
     assign = H.balance(_lens(spark, sf_dir), "batch_id", "doc_id", "n_tokens", _K)
@@ -184,7 +184,7 @@ def a3_export_read_jsonl(spark, sf_dir):
 
 
 @register("a5_append_read_predictions", f"""WITH {Q.QA_PAIRS}
-SELECT dataset, count(*) AS n_items, sum(length) AS total_length FROM qa_pairs GROUP BY dataset""")
+SELECT dataset, count(*) AS n_items, sum(length)::BIGINT AS total_length FROM qa_pairs GROUP BY dataset""")
 def a5_append_read_predictions(spark, sf_dir):
     """A5 then A4: append prediction lines per dataset, read them back."""
     qa = V.qa_pairs(spark, sf_dir).select("dataset", "pred", "answers", F.col("length").cast("long").alias("length"),

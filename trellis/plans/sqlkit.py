@@ -109,7 +109,7 @@ def evidence_format_sql(resp: str) -> str:
     s = py_strip(resp)
     return (f"CASE WHEN regexp_full_match({s}, '(?s)<think>.*</think>.*Answer:.*') AND "
             f"regexp_matches(regexp_extract({s}, '(?s)<think>(.*?)</think>', 1), '(?s)<retrieval>.*?</retrieval>') "
-            f"THEN 1.0 ELSE 0.0 END")
+            f"THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END")
 
 
 def extract_answer_sql(resp: str) -> str:
@@ -169,4 +169,4 @@ def eos_mask_sql(ids: str, eos: int) -> str:
 
 
 def position_ids_sql(mask: str) -> str:
-    return f"list_transform({mask}, lambda x, i: greatest(list_sum({mask}[1:i]) - 1, 0))"
+    return f"list_transform({mask}, lambda x, i: greatest(list_sum({mask}[1:i]) - 1, 0)::BIGINT)"
