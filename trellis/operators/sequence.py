@@ -106,27 +106,18 @@ def _ranked_distributed(df: DataFrame, keys: list[str], order: list[str], out: s
 def global_rank(df: DataFrame, order: Sequence[str], out: str = "rn",
                 num_partitions: int | None = None) -> DataFrame:
     """0-based position of each row in the total order ``order`` (a distributed
-    ``zipWithIndex``): range partition, count per partition, add the counts of
-    all earlier partitions (one row per partition, broadcast)."""
+    ``zipWithIndex``), all in the JVM: range partition and sort, then
+    ``monotonically_increasing_id`` holds the partition index in its upper 31
+    bits and the position inside the sorted partition in the lower 33; the
+    counts of all earlier partitions (one row per partition, broadcast) are
+    added.  ``repartitionByRange`` with an explicit count is not coalesced by
+    AQE, so the partition index is stable."""
     order = list(order)
     n = _num_partitions(df, num_partitions)
-    parted = df.repartitionByRange(n, *order).sortWithinPartitions(*order)
-    schema = Ty.StructType(list(parted.schema.fields) + [
-        Ty.StructField(_PID, Ty.IntegerType(), False), Ty.StructField(_LR, Ty.LongType(), False)])
-
-    def fn(batches):
-        from pyspark import TaskContext
-
-        pid = TaskContext.get().partitionId()
-        run = 0
-        for pdf in batches:
-            out_df = pdf.copy()
-            out_df[_PID] = pid
-            out_df[_LR] = pd.RangeIndex(run, run + len(pdf)).to_numpy(dtype="int64")
-            run += len(pdf)
-            yield out_df
-
-    local = parted.mapInPandas(fn, schema)
+    mid = F.monotonically_increasing_id()
+    local = (df.repartitionByRange(n, *order).sortWithinPartitions(*order)
+             .withColumn(_PID, F.shiftright(mid, 33))
+             .withColumn(_LR, mid.bitwiseAND(F.lit((1 << 33) - 1))))
     counts = local.groupBy(_PID).agg(F.count(F.lit(1)).alias(_CNT))
     offs = counts.select(_PID, F.coalesce(F.sum(_CNT).over(
         Window.orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias(_OFF))
