@@ -264,3 +264,12 @@ def test_i3(spark):
     toks = spark.createDataFrame([(0, 100, 50)], "step int, response_tokens long, prompt_tokens long")
     got = {r.name: r.value for r in MT.timing_metrics(timing, toks).collect()}
     assert got["timing_per_token_ms/gen"] == pytest.approx(20.0)
+
+
+def test_best_of_token_f1(spark):
+    from trellis.operators import evaluate as OE
+
+    df = spark.createDataFrame([(["cat", "sat"], [["a", "cat", "sat", "down"], ["dog"]]), (["x"], [])],
+                               "p array<string>, a array<array<string>>")
+    got = [r.score for r in OE.best_of_token_f1(df, "p", "a").collect()]
+    assert got == pytest.approx([2 * 1.0 * 0.5 / 1.5, 0.0])

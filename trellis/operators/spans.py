@@ -46,6 +46,9 @@ def corpus_contains(docs: DataFrame, items: DataFrame, doc_key: str, doc_text: s
                  .select(item_key, doc_key))
 
     short = spans.filter(F.size("_w") < 3).select(item_key, span, F.element_at("_w", 1).alias("_w1"))
+    if short.isEmpty():
+        # the vocabulary q-gram index is only built when short spans exist
+        return long_hits
     vocab = tokens.select("_tok").distinct()
     grams = vocab.select("_tok", F.explode(F.array_distinct(F.flatten(F.transform(
         F.sequence(F.lit(1), F.lit(QGRAM)),
