@@ -243,3 +243,16 @@ def test_grpo_with_a_hot_group_matches_python(spark):
         mean, sd = (0.0, 1.0) if len(vals) == 1 else (statistics.mean(vals), statistics.stdev(vals))
         want.append((u, s, round((s - mean) / (sd + 1e-6), 9)))
     assert got == sorted(want)
+
+
+def test_soft_credit_paths_agree(spark):
+    """Rows sharing a context (n samples of one prompt): the distinct-pair
+    path gives the same rewards as scoring every row in place."""
+    from trellis.operators import rewards as OR
+
+    r = V.responses(spark, SF_SMALL).filter(F.pmod("doc_id", F.lit(5)).isin(2, 3, 4))
+    rep = r.withColumn("sample", F.explode(F.array(F.lit(0), F.lit(1)))) \
+        .withColumn("row_id", F.col("doc_id") * 2 + F.col("sample"))
+    shared = OR.score_evidence(rep, "row_id", context_key="doc_id").select("row_id", "reward")
+    local = OR.score_evidence(rep, "row_id").select("row_id", "reward")
+    assert shared.exceptAll(local).count() == 0 and local.exceptAll(shared).count() == 0

@@ -78,6 +78,20 @@ def soft_contains_udf(span: pd.Series, context: pd.Series) -> pd.Series:
     return pd.Series([soft_contains(s, c) for s, c in zip(span, context)], dtype=bool)
 
 
+@F.pandas_udf(Ty.IntegerType())
+def soft_count_udf(spans: pd.Series, exact: pd.Series, context: pd.Series) -> pd.Series:
+    """Per row: how many spans without a verbatim hit soft-match the row's context."""
+    out = []
+    for sp, ex, ctx in zip(spans, exact, context):
+        n = 0
+        if sp is not None:
+            for s, e in zip(sp, ex):
+                if e == 0 and soft_contains(s, ctx or ""):
+                    n += 1
+        out.append(n)
+    return pd.Series(out, dtype="int32")
+
+
 # ----------------------------------------------------------- F12 edit ratio
 
 def edit_ratio(a: str, b: str) -> float:

@@ -43,8 +43,15 @@ def score_evidence(df: DataFrame, key: str, response: str = "response", truth: s
            .withColumn("spans", R.retrieval_spans(response))
            .withColumn("exact", R.exact_credits("spans", context)))
     credit = F.aggregate("exact", F.lit(0.0), lambda a, e: a + e)
-    if soft:
-        counts = soft_credits(out, key, context_key or key, context)
+    if soft and (context_key is None or context_key == key):
+        # every row has its own context: score its non-verbatim spans in place
+        # (no shuffle; the kernel skips verbatim spans)
+        out = out.withColumn("n_soft", S.soft_count_udf("spans", "exact", context))
+        credit = credit + 0.5 * F.col("n_soft")
+    elif soft:
+        # contexts shared by several rows (n samples of one prompt): judge each
+        # distinct (context, span) once
+        counts = soft_credits(out, key, context_key, context)
         out = out.join(counts, key, "left")
         credit = credit + 0.5 * F.coalesce(F.col("n_soft"), F.lit(0))
     out = out.withColumn("span_score", R.span_score("spans", credit))
