@@ -30,13 +30,15 @@ def main() -> None:
     print(f"Generated by `scripts/explain.py {sf_dir}` with size-based broadcast off and AQE off "
           "(the static plan a large cluster starts from).\n")
     for name in bench.HEADLINE:
-        plan = queries[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+        df = queries[name](spark, sf_dir)
+        mode = spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+        text = df._jdf.queryExecution().explainString(mode)
         nodes = Counter()
+        for m in re.finditer(r"^\((\d+)\) ([A-Za-z][A-Za-z ]*?)(?: \[codegen id : \d+\])?$", text, re.M):
+            nodes[m.group(2).strip()] += 1
+        plan = df._jdf.queryExecution().executedPlan().toString()
         exchanges, scans = [], []
         for line in plan.splitlines():
-            m = re.match(r"^[\s:+\-*()0-9]*([A-Z][A-Za-z]+)", line)
-            if m:
-                nodes[m.group(1)] += 1
             if "Exchange" in line and "Reused" not in line:
                 exchanges.append(re.sub(r"^[\s:+\-]*", "", line).split(", [plan_id")[0][:140])
             if "FileScan" in line:

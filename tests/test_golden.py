@@ -273,3 +273,32 @@ def test_best_of_token_f1(spark):
                                "p array<string>, a array<array<string>>")
     got = [r.score for r in OE.best_of_token_f1(df, "p", "a").collect()]
     assert got == pytest.approx([2 * 1.0 * 0.5 / 1.5, 0.0])
+
+
+def test_fill_template_no_reexpansion(spark):
+    df = spark.createDataFrame([("ctx with {input} inside", "Q?")], "context string, input string")
+    got = one(df.select(P.fill_template("A {context} B {input} C", {"context": F.col("context"),
+                                                                      "input": F.col("input")}).alias("p"))).p
+    assert got == "A ctx with {input} inside B Q? C"
+
+
+def test_parse_path_and_total_steps():
+    from trellis.operators.curriculum import total_steps
+    from trellis.sources.io import parse_path
+
+    assert parse_path("/data/x.parquet@test") == ("/data/x.parquet", "test")
+    assert parse_path("/data/x.parquet") == ("/data/x.parquet", "train")
+    assert total_steps(1000, 32, 2, None) == 62 and total_steps(1000, 32, 2, 7) == 7
+
+
+def test_micro_batches_strict_limit(spark):
+    df = spark.createDataFrame([("b", i, v) for i, v in enumerate([5, 5, 5, 30])], "batch string, item int, n int")
+    loose = H.micro_batches(df, "batch", "item", "n", 20)
+    assert loose.select("part").distinct().count() == 3  # ceil(45 / 20)
+    with pytest.raises(Exception):
+        H.micro_batches(df, "batch", "item", "n", 20, strict=True).collect()
+
+
+def test_normalize_zh(spark):
+    df = spark.createDataFrame([("Ａb，C d。e!",)], "s string")
+    assert one(df.select(T.normalize_zh("s").alias("n"))).n == "ａbcde"
