@@ -48,12 +48,18 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     ``spark.checkpoint.dir`` is read from the session; only when it is unset
     (local tests) is a scratch folder chosen here.
     """
-    conf = spark.sparkContext.getConf()
-    path = conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    try:
+        conf_path = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    except Exception:  # no SparkContext access (e.g. Spark Connect)
+        conf_path = None
+    path = conf_path or spark.conf.get("spark.checkpoint.dir", None)
     if path is None:
         path = tempfile.mkdtemp(prefix="trellis-ckpt-")
         spark.conf.set("spark.checkpoint.dir", path)
-    spark.sparkContext.setCheckpointDir(path)
+    try:
+        spark.sparkContext.setCheckpointDir(path)
+    except Exception:
+        pass
     return path
 
 
@@ -72,7 +78,10 @@ def ship_package(spark: SparkSession) -> None:
     SparkContext and register it with ``addPyFile``."""
     import shutil
 
-    sc = spark.sparkContext
+    try:
+        sc = spark.sparkContext
+    except Exception:  # no SparkContext access: artifacts are the session's business
+        return
     ensure_checkpoint_dir(spark)
     if id(sc) in _SHIPPED:
         return

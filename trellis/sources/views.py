@@ -33,8 +33,12 @@ def spread(df: DataFrame) -> DataFrame:
     """Round-robin the rows over the cluster's cores when the scan yields fewer
     splits than cores (a small file with a single row group).  On large inputs
     the scan already has many splits and no shuffle is added."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < cores:
+    try:
+        cores = df.sparkSession.sparkContext.defaultParallelism
+        splits = df.rdd.getNumPartitions()
+    except Exception:  # a session without RDD access (e.g. Spark Connect)
+        return df
+    if splits < cores:
         # several slices per core so that long texts do not leave cores idle
         return df.repartition(cores * 2)
     return df
