@@ -302,3 +302,16 @@ def test_micro_batches_strict_limit(spark):
 def test_normalize_zh(spark):
     df = spark.createDataFrame([("Ａb，C d。e!",)], "s string")
     assert one(df.select(T.normalize_zh("s").alias("n"))).n == "ａbcde"
+
+
+def test_log_metrics_backends(spark):
+    from trellis.sources.io import scratch_path
+
+    m = spark.createDataFrame([(1, "a", 0.5), (1, "b", 2.0)], "step int, name string, value double")
+    with pytest.raises(ValueError):
+        MT.log_metrics(m, ["console", "hosted"])
+    path = scratch_path(spark, "metrics-test")
+    lines = MT.log_metrics(m, ["console", "table"], table_path=path).collect()
+    assert lines[0].line == "step 1: - a:0.500 - b:2.000"
+    assert spark.read.parquet(path).count() >= 2
+    assert MT.validation_samples(m, 0) is None

@@ -54,6 +54,9 @@ def data_metrics(tokens: DataFrame, seq_keys: Sequence[str], max_response_length
     def var(s, q):
         return (F.sum(q) - F.sum(s) * F.sum(s) / n) / (n - 1.0)
 
+    # The metric names of the batch report (critic/score,
+    # critic/rewards, critic/advantages, critic/returns, response_length,
+    # critic/values, critic/vf_explained_var).
     aggs = [
         F.avg("_score").alias("critic/score/mean"), F.max("_score").alias("critic/score/max"),
         F.min("_score").alias("critic/score/min"),
@@ -151,3 +154,40 @@ def console_lines(metrics: DataFrame, step: str = "step") -> DataFrame:
         F.concat(F.lit("step "), F.col(step).cast("string"), F.lit(": - "),
                  F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("name", item.alias("s")))),
                                           lambda x: x["s"]), " - ")).alias("line"))
+
+
+# The logging backends this library writes to.
+BACKENDS = ("console", "table")
+
+
+def log_metrics(metrics: DataFrame, backends: Sequence[str], table_path: str | None = None,
+                step: str = "step") -> DataFrame | None:
+    """Fan a long metric table ``(step, name, value)`` out to the named
+    backends; an unsupported backend is rejected.  ``table`` appends to a
+    parquet metrics table partitioned by step; ``console`` returns the
+    one-line-per-step form.  Returns the console lines when requested."""
+    unknown = [b for b in backends if b not in BACKENDS]
+    if unknown:
+        raise ValueError(f"{unknown} is not supported")
+    if "table" in backends:
+        if table_path is None:
+            raise ValueError("the table backend needs a path")
+        metrics.write.mode("append").partitionBy(step).parquet(table_path)
+    return console_lines(metrics, step) if "console" in backends else None
+
+
+def validation_samples(df: DataFrame, n: int, input_col: str = "input", output_col: str = "output",
+                       score_col: str = "score", key: str = "row_id", seed: int = 42) -> DataFrame | None:
+    """A fixed, seeded sample of ``n`` (input, output, score) rows as one
+    wide row ``input_i, output_i, score_i``; ``n = 0`` logs nothing (None).
+    The order is a seeded hash of the input (not numpy's permutation)."""
+    if n == 0:
+        return None
+    h = F.xxhash64(F.lit(seed), F.col(input_col))
+    top = df.select(h.alias("_h"), key, input_col, output_col, score_col).orderBy("_h", key).limit(n)
+    s = top.agg(F.sort_array(F.collect_list(F.struct("_h", key, input_col, output_col, score_col))).alias("s"))
+    cols = []
+    for i in range(n):
+        cols += [F.col("s")[i][input_col].alias(f"input_{i + 1}"), F.col("s")[i][output_col].alias(f"output_{i + 1}"),
+                 F.col("s")[i][score_col].alias(f"score_{i + 1}")]
+    return s.select(*cols)

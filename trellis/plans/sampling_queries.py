@@ -208,19 +208,12 @@ def a7_save_load_batch(spark, sf_dir):
 def a9_validation_samples(spark, sf_dir):
     """Deterministic sample of (input, output, score) rows, one wide row."""
     from trellis.operators import rewards as OR
+    from trellis.operators.metrics import validation_samples
 
     r = OR.score_evidence(V.responses(spark, sf_dir), "doc_id", soft=False)
     r = r.select(F.col("ground_truth").alias("input"), F.col("response").alias("output"),
                  F.col("reward").alias("score"), "doc_id")
-    n = 3
-    top = r.orderBy(F.xxhash64(F.lit(42), "input"), "doc_id").limit(n)
-    s = top.agg(F.sort_array(F.collect_list(F.struct(F.xxhash64(F.lit(42), "input").alias("h"), "doc_id",
-                                                     "input", "output", "score"))).alias("s"))
-    cols = []
-    for i in range(n):
-        cols += [F.col("s")[i]["input"].alias(f"input_{i + 1}"), F.col("s")[i]["output"].alias(f"output_{i + 1}"),
-                 F.col("s")[i]["score"].alias(f"score_{i + 1}")]
-    return s.select(*cols)
+    return validation_samples(r, 3, key="doc_id")
 
 
 def _f16_sql_scores():
