@@ -44,7 +44,13 @@ def pad_or_truncate(arr, max_len: int, pad_value, left_pad: bool = True, truncat
 
 
 def position_ids(mask) -> Column:
-    """``clip(cumsum(mask) - 1, 0)`` along the array (one running fold)."""
+    """``clip(cumsum(mask) - 1, 0)`` along the array (one running fold).
+
+    Spark has no array scan, so the fold appends to its output array (cost
+    grows with the square of the width): meant for prompt-width arrays.  For
+    long sequences use the token-grain form
+    :func:`trellis.operators.prompts.with_position_ids` (a running-sum window
+    per sequence)."""
     init = F.struct(F.lit(0).cast("long").alias("run"), F.array().cast("array<bigint>").alias("out"))
 
     def step(s, x):
