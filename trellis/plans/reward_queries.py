@@ -207,3 +207,14 @@ FROM responses ORDER BY doc_id LIMIT 5""")
 def e18_inspect_samples(spark, sf_dir):
     out = OR.score_evidence(V.responses(spark, sf_dir), "doc_id", soft=False)
     return finish(OR.inspect_samples(out.select("doc_id", "response", "ground_truth", "reward"), 5, "doc_id"))
+
+
+@register("e15_score_by_name_tagged", _TAG + f"""
+SELECT doc_id, {_TAGGED_FMT} AS format_score,
+       CASE WHEN {_TAGGED_ANS} = {Q.py_strip('ground_truth')} THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS accuracy,
+       (0.5 * (CASE WHEN {_TAGGED_ANS} = {Q.py_strip('ground_truth')} THEN 1.0 ELSE 0.0 END)
+        + 0.5 * ({_TAGGED_FMT}))::DOUBLE AS reward FROM tagged""")
+def e15_score_by_name_tagged(spark, sf_dir):
+    """The scorer registry resolving the two-argument tagged scorer by name."""
+    out = OR.score_rollouts(V.tagged_responses(spark, sf_dir), "r1v")
+    return finish(out.select("doc_id", "format_score", "accuracy", "reward"))
