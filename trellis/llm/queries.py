@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from trellis.llm import decontaminate, simhash
+from trellis.llm import decontaminate, mixing, simhash
 from trellis.llm.common import read_table
 from trellis.llm.registry import ORACLE, QUERIES, register
 
@@ -47,3 +47,50 @@ def op9_decontaminate(spark, sf_dir):
     found = decontaminate.contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items",
                         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
+_WORDS = "[^\\x20\\x09-\\x0D]+"
+
+
+@register("op6_mix", f"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS r, doc_id, source,
+         len(regexp_extract_all(coalesce(text, ''), '{_WORDS}'))::BIGINT AS size,
+         ('0x' || substr(md5(concat_ws(chr(31), '0', doc_id::VARCHAR, text)), 1, 13))::BIGINT AS o FROM documents),
+s AS (
+  SELECT source, sum(size)::BIGINT AS source_size,
+         [5.0, 2.0, 1.0][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::BIGINT]::DOUBLE AS weight
+  FROM d GROUP BY source),
+fill AS (  -- clamp and share out again, round by round
+  SELECT 0 AS round, source, source_size, weight, false AS clamped,
+         (SELECT sum(source_size) FROM s)::DOUBLE AS pool, (SELECT sum(weight) FROM s) AS open_weight FROM s
+  UNION ALL
+  SELECT round + 1, source, source_size, weight, c,
+         (sum(source_size) OVER () - coalesce(sum(3 * source_size) FILTER (c) OVER (), 0))::DOUBLE,
+         sum(weight) FILTER (NOT c) OVER ()
+  FROM (SELECT *, clamped OR pool / open_weight * weight >= 3 * source_size AS c, count(*) OVER () AS n FROM fill WHERE round <= 40)
+  WHERE round < 40),
+t AS (
+  SELECT source, source_size, CASE WHEN clamped THEN 3.0 * source_size ELSE pool / open_weight * weight END::DOUBLE AS target
+  FROM fill WHERE round = 40),
+p AS (
+  SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS whole FROM t),
+c AS (
+  SELECT d.*, p.source_size, p.target, p.whole, greatest(p.target - p.whole * p.source_size, 0) AS rest,
+         coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY o, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start,
+         sum(d.size) OVER (PARTITION BY d.source, o >> 40 ORDER BY o, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS in_bucket,
+         min(o) OVER (PARTITION BY d.source, o >> 40) AS first_o
+  FROM d JOIN p ON p.source IS NOT DISTINCT FROM d.source),
+e AS (SELECT *, min(start) OVER (PARTITION BY source, o >> 40) AS bucket_start FROM c),
+f AS (
+  SELECT *, min(CASE WHEN bucket_start < rest AND bucket_start + in_bucket >= rest THEN o >> 40 END) OVER (PARTITION BY source) AS edge FROM e)
+SELECT doc_id, size, source_size, round(target, 6) + 0.0 AS target,
+       size * (whole + CASE WHEN (o >> 40) < edge OR ((o >> 40) = edge AND start + size / 2.0 <= rest) THEN 1 ELSE 0 END)::BIGINT AS taken
+FROM f""")
+def op6_mix(spark, sf_dir):
+    return mix_digest(mixing.mix(read_table(spark, sf_dir, "documents")))
+
+
+def mix_digest(mixed):
+    return mixed.select(F.col("row.doc_id").cast("long").alias("doc_id"), "size", "source_size",
+                        (F.round("target", 6) + F.lit(0.0)).alias("target"), (F.col("size") * F.col("repeats")).alias("taken"))
