@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from trellis.llm import decontaminate, mixing, simhash
+from trellis.llm import decontaminate, linededup, mixing, simhash
 from trellis.llm.common import read_table
 from trellis.llm.registry import ORACLE, QUERIES, register
 
@@ -94,3 +94,9 @@ def op6_mix(spark, sf_dir):
 def mix_digest(mixed):
     return mixed.select(F.col("row.doc_id").cast("long").alias("doc_id"), "size", "source_size",
                         (F.round("target", 6) + F.lit(0.0)).alias("target"), (F.col("size") * F.col("repeats")).alias("taken"))
+
+
+@register("op10_line_dedup")
+def op10_line_dedup(spark, sf_dir):
+    found = linededup.dedup_lines(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select(F.col("row.doc_id").cast("long").alias("doc_id"), "n_lines", "n_deleted", "text")
