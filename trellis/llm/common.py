@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trellis.session import ensure_checkpoint_dir
+from trellis.session import ensure_checkpoint_dir, ship_package
 
 #: Space, tab, line feed, vertical tab, form feed, carriage return: the only
 #: word separators of the white-space tokenisation. ``bytes.split()`` splits on
@@ -67,3 +67,9 @@ def join_checked(left: DataFrame, right: DataFrame, on, how: str, bound: int = 1
     """Join with ``right`` broadcast only when it was counted to have at most
     ``bound`` rows; else an ordinary join, whose hot keys AQE splits."""
     return left.join(F.broadcast(right) if small_enough(right, bound) else right, on, how)
+
+
+def map_arrow(df: DataFrame, run: Callable, schema: str) -> DataFrame:
+    """``df.mapInArrow`` with the package shipped to the Python workers."""
+    ship_package(df.sparkSession)
+    return df.mapInArrow(run, schema)

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trellis.llm.common import ALNUM_BYTES, shared_table
+from trellis.llm.common import ALNUM_BYTES, map_arrow, shared_table
 
 #: Words of the benchmark in one broadcast index.
 BLOCK_WORDS = 1_000_000
@@ -175,7 +175,7 @@ def _scan(docs: DataFrame, index: Index) -> DataFrame:
                  pa.array(spans + s, pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))),
                  pa.array(items + i, pa.list_(pa.string()))], ["row", "n_words", "spans", "items"])
 
-    return docs.mapInArrow(run, f"row {docs.schema[0].dataType.simpleString()}, n_words long, "
+    return docs.transform(map_arrow, run, f"row {docs.schema[0].dataType.simpleString()}, n_words long, "
                                 "spans array<struct<a:bigint,b:bigint>>, items array<string>")
 
 
@@ -204,7 +204,7 @@ def _measured(rows: DataFrame, benchmark: DataFrame, span: int, k: int) -> DataF
     out = None
     for n in range(blocks):
         got = [(r.name, words_of(r.text.encode() if r.text is not None else None))
-               for r in items.where(block == n).toLocalIterator()]
+               for r in items.where(block == n).collect()]
         scan = _scan(rows.select("row", "text"), Index(got, span, k))
         out = scan if out is None else out.unionByName(scan)
     if blocks > 1:  # one row per document and block: at most `blocks` rows meet

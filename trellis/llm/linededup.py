@@ -29,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from trellis.llm.common import map_arrow
+
 MIN_WORDS = 5
 _LAST = (1 << 63) - 1
 
@@ -102,7 +104,7 @@ def _lines(docs: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, schema.types)], schema=schema)
                     rows = []
 
-    return docs.select(*_identity(F.col("doc_id"), F.col("text")), F.col("text").cast("string")).mapInArrow(
+    return docs.select(*_identity(F.col("doc_id"), F.col("text")), F.col("text").cast("string")).transform(map_arrow, 
         run, "id long, body long, rank int, k int, h long, g long, words int")
 
 
@@ -123,7 +125,7 @@ def deletions(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ranks, pa.list_(pa.int32()))],
                                              ["id", "body", "ranks"])
 
-    cut = pairs.select("id", "body", "pairs").mapInArrow(run, "id long, body long, ranks array<int>").where(F.size("ranks") > 0)
+    cut = pairs.select("id", "body", "pairs").transform(map_arrow, run, "id long, body long, ranks array<int>").where(F.size("ranks") > 0)
     return cut.groupBy("id", "body").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ranks")))).alias("ranks"))
 
 
@@ -153,7 +155,7 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
     joined = rows.join(cut, ["id", "body"], "left").select("row", "text", "ranks")
     kind = joined.schema["row"].dataType.simpleString()
-    return joined.mapInArrow(run, f"row {kind}, text string, n_lines long, n_deleted long")
+    return joined.transform(map_arrow, run, f"row {kind}, text string, n_lines long, n_deleted long")
 
 
 def deduped_documents(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:

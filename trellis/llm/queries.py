@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from trellis.llm import decontaminate, linededup, mixing, simhash
+from trellis.llm import decontaminate, langid, linededup, mixing, simhash, tokencount
 from trellis.llm.common import read_table
 from trellis.llm.registry import ORACLE, QUERIES, register
 
@@ -100,3 +100,17 @@ def mix_digest(mixed):
 def op10_line_dedup(spark, sf_dir):
     found = linededup.dedup_lines(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select(F.col("row.doc_id").cast("long").alias("doc_id"), "n_lines", "n_deleted", "text")
+
+
+@register("op3_language_mixture")
+def op3_language_mixture(spark, sf_dir):
+    docs = read_table(spark, sf_dir, "documents")
+    found = langid.identified(docs.select("doc_id", "text"), docs)
+    id_ = F.col("row.doc_id")
+    return found.select(id_.cast("long").alias("doc_id"), F.coalesce(~langid.may_train(id_), F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+@register("op2_token_counts")
+def op2_token_counts(spark, sf_dir):
+    found = tokencount.token_counts(read_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 4096).alias("over_limit"))

@@ -31,7 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trellis.llm.common import shared_table
+from trellis.llm.common import map_arrow, shared_table
+from trellis.session import ship_package
 
 #: Most distinct fingerprints below one trie node before the join starts deeper.
 NODE_SIZE = 30_000
@@ -73,7 +74,7 @@ def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
             fp = np.fromiter((text_fingerprint(texts[i].as_py(), width) for i in range(len(texts))), np.uint64, len(texts))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).transform(map_arrow, run, "doc_id long, fp long")
 
 
 def _children(values: np.ndarray, lo: np.ndarray, hi: np.ndarray, bit: int) -> np.ndarray:
@@ -141,6 +142,7 @@ def _forest(n: int, links: Iterator[tuple]) -> np.ndarray:
 def links(fps: DataFrame, max_bits: int = 2) -> DataFrame:
     """Distinct ``fps`` (fp long) to (u, v): links whose transitive closure is
     that of all pairs within ``max_bits``."""
+    ship_package(fps.sparkSession)
     depth = DEPTHS[-1]
     for d in DEPTHS:  # one small aggregate each; the first is nearly always enough
         most = fps.groupBy(F.shiftrightunsigned("fp", 64 - d)).count().agg(F.max("count")).first()[0]
