@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from trellis.llm import decontaminate, langid, linededup, mixing, simhash, tokencount
+from trellis.llm import decontaminate, langid, licenses, linededup, mixing, quality, simhash, tokencount
 from trellis.llm.common import read_table
 from trellis.llm.registry import ORACLE, QUERIES, register
 
@@ -114,3 +114,78 @@ def op3_language_mixture(spark, sf_dir):
 def op2_token_counts(spark, sf_dir):
     found = tokencount.token_counts(read_table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 4096).alias("over_limit"))
+
+
+_MASK = quality.mask(quality.POLICIES["v2"])
+
+
+@register("op5_quality_ledger", f"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text,
+         regexp_extract_all(coalesce(text, ''), '{_WORDS}') AS w,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '{_WORDS}')) AS lines FROM documents),
+v AS (SELECT r, unnest(range(1, len(w) - 6)) AS p, w FROM d WHERE len(w) >= 8),
+g AS (SELECT r, p, count(*) OVER (PARTITION BY r, array_to_string(w[p : p + 7], ' ')) AS n FROM v),
+rep AS (SELECT r, count(DISTINCT q) AS n FROM (SELECT r, unnest(range(p, p + 8)) AS q FROM g WHERE n > 1) GROUP BY r),
+m AS (
+  SELECT doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
+         length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+         (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words,
+         len(lines)::BIGINT AS n_lines, length(regexp_replace(text, '[^!]', '', 'g'))::BIGINT AS n_exclaims
+  FROM d LEFT JOIN rep USING (r)),
+b AS (SELECT *, ({" + ".join(f"CASE WHEN {c} THEN {1 << k} ELSE 0 END" for k, (_, c) in enumerate(quality.RULES))})::BIGINT AS fail_bits FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, fail_bits, 'v2' AS policy,
+       fail_bits & {quality.mask(quality.BASE)} <> 0 AS base_failed, fail_bits & {_MASK} = 0 AS kept FROM b""")
+def op5_quality_ledger(spark, sf_dir):
+    book = quality.verdicts(quality.ledger(read_table(spark, sf_dir, "documents")), "v2")
+    base = F.col("fail_bits").bitwiseAND(F.lit(quality.mask(quality.BASE)).cast("long")) != 0
+    return book.select(F.col("row.doc_id").cast("long").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines",
+                       "n_repeat_words", "fail_bits", "policy", base.alias("base_failed"), "kept")
+
+
+_ALNUM = "[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
+_LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_TEMPLATE_ROWS = ", ".join(f"('{label}', {licenses.template_tokens(text)!r}::VARCHAR[])" for label, text in licenses.TEMPLATES)
+
+
+def _phrase_sql(phrase, label):
+    words = phrase.split()
+    same = " AND ".join(f"w[i + {k}] = '{x}'" for k, x in enumerate(words))
+    return f"SELECT r, '{label}' AS label, i - 1 AS pos FROM v WHERE {same}"
+
+
+@register("op7_license_scan", f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOWERED}, '{_ALNUM}') AS w, {_LOWERED} AS t FROM documents),
+v AS (SELECT r, w, unnest(range(1, len(w) + 1)) AS i FROM d),
+places AS ({" UNION ALL ".join(_phrase_sql(p, x) for p, x in licenses.PHRASES.items())}),
+base AS (SELECT r, count(*) AS n, min(pos) AS a, max(pos) AS b FROM places GROUP BY r),
+t(label, tokens) AS (VALUES {_TEMPLATE_ROWS}),
+lines AS (SELECT r, list_distinct(regexp_extract_all(unnest(string_split(t, chr(10))), '{_ALNUM}')) AS b FROM d),
+m AS (
+  SELECT r, label, max(len(list_intersect(b, tokens)) / len(tokens)) AS c FROM lines, t
+  WHERE len(list_intersect(b, tokens)) >= ceil({licenses.THRESHOLD} * len(tokens) - 1e-9) GROUP BY r, label),
+bl AS (SELECT r, string_agg(label, ',' ORDER BY label) AS s FROM (SELECT DISTINCT r, label FROM places) GROUP BY r),
+al AS (
+  SELECT r, string_agg(label, ',' ORDER BY label) AS s
+  FROM (SELECT r, label FROM places UNION SELECT r, label FROM m) GROUP BY r),
+sc AS (SELECT r, max(c) AS c FROM (SELECT r, c FROM m UNION ALL SELECT r, 1.0 FROM places) GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(base.n, 0)::BIGINT AS n_base, base.a::BIGINT AS first_word,
+       base.b::BIGINT AS last_word, coalesce(bl.s, '') AS base_labels, coalesce(al.s, '') AS labels,
+       round(coalesce(sc.c, 0), 6) + 0.0 AS score
+FROM d LEFT JOIN base USING (r) LEFT JOIN bl USING (r) LEFT JOIN al USING (r) LEFT JOIN sc USING (r)""")
+def op7_license_scan(spark, sf_dir):
+    found = licenses.scan(read_table(spark, sf_dir, "documents"))
+    labels = list(licenses.PHRASES.values())
+    places = F.concat(*[F.col(f"places.`{x}`") for x in labels])
+    own = F.concat(*[F.when(F.size(F.col(f"places.`{x}`")) > 0, F.array(F.lit(x))).otherwise(F.array().cast("array<string>")) for x in labels])
+    added = F.coalesce(F.col("matches.label"), F.array().cast("array<string>"))
+    best = F.coalesce(F.array_max("matches.containment"), F.lit(0.0))
+
+    def joined(x):
+        return F.array_join(F.array_sort(F.array_distinct(x)), ",")
+
+    return found.select(
+        "doc_id", "n_words", F.size(places).cast("long").alias("n_base"), F.array_min(places).cast("long").alias("first_word"),
+        F.array_max(places).cast("long").alias("last_word"), joined(own).alias("base_labels"),
+        joined(F.concat(own, added)).alias("labels"),
+        (F.round(F.when(F.size(places) > 0, F.lit(1.0)).otherwise(best), 6) + F.lit(0.0)).alias("score"))

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trellis.llm.common import map_arrow, shared_table
+from trellis.llm.common import join_checked, map_arrow, shared_table
 from trellis.session import ship_package
 
 #: Most distinct fingerprints below one trie node before the join starts deeper.
@@ -65,16 +65,19 @@ def text_fingerprint(text: bytes | None, width: int = 3) -> int:
     return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
-    """``docs`` (doc_id, text) to (doc_id, fp long: the fingerprint's bits)."""
+def fingerprints(docs: DataFrame, width: int = 3, keep: str | None = None) -> DataFrame:
+    """``docs`` (doc_id, text) to (doc_id, fp long: the fingerprint's bits), and the
+    long column ``keep`` if one is named."""
+    more = [keep] if keep else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = b.column(1).cast(pa.binary())
             fp = np.fromiter((text_fingerprint(texts[i].as_py(), width) for i in range(len(texts))), np.uint64, len(texts))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64)), *b.columns[2:]], ["doc_id", "fp", *more])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).transform(map_arrow, run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *more).transform(
+        map_arrow, run, "doc_id long, fp long" + "".join(f", {c} long" for c in more))
 
 
 def _children(values: np.ndarray, lo: np.ndarray, hi: np.ndarray, bit: int) -> np.ndarray:
@@ -212,7 +215,8 @@ def near_duplicates(docs: DataFrame, width: int = 3, max_bits: int = 2) -> DataF
 
 
 def classes(marked: DataFrame, max_bits: int) -> DataFrame:
-    """Adds component_id to a written table of (doc_id, fp, ...)."""
+    """Adds component_id and root (the component's least fingerprint) to a written
+    table of (doc_id, fp, ...)."""
     own = marked.groupBy("fp").agg(F.min("doc_id").alias("own_id"))
     fps = shared_table(own, "distinct-fingerprints")
     roots = components(links(fps.select("fp"), max_bits))
@@ -220,5 +224,17 @@ def classes(marked: DataFrame, max_bits: int) -> DataFrame:
     group = fps.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").select(
         "fp", "own_id", F.coalesce("root", "fp").alias("root"))
     ids = group.groupBy("root").agg(F.min("own_id").alias("component_id"))
-    named = shared_table(group.join(ids, "root").select("fp", "component_id"), "classes")
+    named = shared_table(group.join(ids, "root").select("fp", "component_id", "root"), "classes")
     return marked.join(named, "fp", "left")
+
+
+def one_of_each(docs: DataFrame, width: int = 3, max_bits: int = 2) -> DataFrame:
+    """The documents, columns as they are, but of each component only the one with
+    the smallest doc_id (null last; of equal ids one row)."""
+    rows = shared_table(docs.select(F.monotonically_increasing_id().alias("at"), F.struct("*").alias("row")), "numbered")
+    texts = rows.select(F.col("row.doc_id").alias("doc_id"), F.col("row.text").alias("text"), "at")
+    marked = shared_table(fingerprints(texts, width, keep="at"), "fingerprints")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "at"))
+    kept = classes(marked, max_bits).groupBy("root").agg(first.alias("first")).select("first.at")
+    gone = shared_table(marked.select("at").join(kept, "at", "left_anti"), "near-duplicates")
+    return join_checked(rows, gone, "at", "left_anti").select("row.*")
