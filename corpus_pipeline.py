@@ -3,30 +3,55 @@
 Each stage takes ``(spark, docs, sf_dir)`` and works on all that its predecessor
 kept; the output is written as Parquet into the shared folder and read back as
 the next stage's ``docs``. All stages but the last return the columns of
-``documents``.
+``documents``; the last adds how often the mix takes each document.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from trellis.llm import decontaminate, langid, linededup, mixing, simhash
 from trellis.llm.common import read_table, shared_table
-from trellis.llm import decontaminate
-from trellis.session import ship_package
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a determined main language go."""
+    return langid.accepted(docs, docs)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Aligned common blocks of lines go from the later documents, and documents
+    that lose every line."""
+    return linededup.deduped_documents(docs)
+
+
+def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group stays."""
+    return simhash.one_of_each(docs, width=3, max_bits=2)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a window of a benchmark item go."""
-    ship_package(spark)
     return decontaminate.remove_contaminated(docs, read_table(spark, sf_dir, "benchmark"))
 
 
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document with its share of the mix: repeats, and words taken."""
+    mixed = mixing.mix(docs)
+    return mixed.select("row.*", "size", "source_size", "target", "repeats", (F.col("size") * F.col("repeats")).alias("taken"))
+
+
 STAGES = [
+    ("language_id", language_id),
+    ("line_dedup", line_dedup),
+    ("simhash_dedup", simhash_dedup),
     ("benchmark_decontamination", benchmark_decontamination),
+    ("source_mix", source_mix),
 ]
 
-#: The learned and hashed stages cannot be expressed in SQL; tests hold them
-#: against brute force.
+#: The learned, aligned and hashed stages cannot be expressed in SQL; tests hold
+#: them against brute force.
 ORACLE_SQL = None
 
 
