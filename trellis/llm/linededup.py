@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trellis.llm.common import map_arrow
+from trellis.llm.common import join_checked, map_arrow, shared_table
 
 MIN_WORDS = 5
 _LAST = (1 << 63) - 1
@@ -104,8 +104,8 @@ def _lines(docs: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, schema.types)], schema=schema)
                     rows = []
 
-    return docs.select(*_identity(F.col("doc_id"), F.col("text")), F.col("text").cast("string")).transform(map_arrow, 
-        run, "id long, body long, rank int, k int, h long, g long, words int")
+    return docs.select(*_identity(F.col("doc_id"), F.col("text")), F.col("text").cast("string")).transform(
+        map_arrow, run, "id long, body long, rank int, k int, h long, g long, words int")
 
 
 def deletions(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -114,7 +114,8 @@ def deletions(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     holder = F.struct("id", "body", "rank")
     owners = lines.groupBy("h", "g", "k").agg(F.min(holder).alias("own"), F.max(holder).alias("last")).where(
         "own.id != last.id OR own.body != last.body").select("h", "g", "k", "own")
-    common = lines.join(owners, ["h", "g", "k"]).where("own.id != id OR own.body != body")
+    owners = shared_table(owners, "shared-lines")  # a table, so that AQE can split a line that very many hold
+    common = join_checked(lines, owners, ["h", "g", "k"], "inner").where("own.id != id OR own.body != body")
     pairs = common.groupBy(F.col("own.id").alias("a"), F.col("own.body").alias("b"), "id", "body").agg(
         F.collect_list(F.struct(F.col("own.rank").alias("x"), F.col("rank").alias("y"), "words")).alias("pairs"))
 

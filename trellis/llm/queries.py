@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from trellis.llm import decontaminate, langid, licenses, linededup, mixing, quality, simhash, tokencount
+from trellis.llm import decontaminate, langid, licenses, linededup, mixing, quality, simhash, sitetree, tokencount
 from trellis.llm.common import read_table
 from trellis.llm.registry import ORACLE, QUERIES, register
 
@@ -189,3 +189,9 @@ def op7_license_scan(spark, sf_dir):
         F.array_max(places).cast("long").alias("last_word"), joined(own).alias("base_labels"),
         joined(F.concat(own, added)).alias("labels"),
         (F.round(F.when(F.size(places) > 0, F.lit(1.0)).otherwise(best), 6) + F.lit(0.0)).alias("score"))
+
+
+@register("op1_site_tree")
+def op1_site_tree(spark, sf_dir):
+    found = sitetree.main_texts(read_table(spark, sf_dir, "pages"))
+    return found.select(F.col("row.page_id").alias("page_id"), F.col("row.url").alias("url"), "text", F.length("text").cast("long").alias("n_chars"))
