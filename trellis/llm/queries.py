@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from trellis.llm import decontaminate, langid, licenses, linededup, mixing, quality, simhash, sitetree, tokencount
+from trellis.llm import decontaminate, katz, langid, licenses, linededup, mixing, quality, simhash, sitetree, tokencount
 from trellis.llm.common import read_table
 from trellis.llm.registry import ORACLE, QUERIES, register
 
@@ -195,3 +195,10 @@ def op7_license_scan(spark, sf_dir):
 def op1_site_tree(spark, sf_dir):
     found = sitetree.main_texts(read_table(spark, sf_dir, "pages"))
     return found.select(F.col("row.page_id").alias("page_id"), F.col("row.url").alias("url"), "text", F.length("text").cast("long").alias("n_chars"))
+
+
+@register("op4_katz_backoff")
+def op4_katz_backoff(spark, sf_dir):
+    found = katz.score(read_table(spark, sf_dir, "documents"))
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 10 == 0, F.lit(False))
+    return found.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
