@@ -27,6 +27,9 @@ def test_broken_pages():
     assert text('<article><p hidden>h</p><p style="display: none">i</p><p aria-hidden="true">j</p>k</article>') == "k"
     assert text("<main><p>a</p></main><div><p>b</p></div>") == "a"
     assert text("<ul><li><a href=x>menu one</a><li><a href=y>menu two</a></ul><p>text of it</p>") == "text of it"
+    many = "<b>" * 30_000 + "<br>x</i>" * 30_000 + "<p><div>" * 30_000 + "</p>" * 30_000
+    assert text(many) == "x " * 29_999 + "x"
+    assert max(map(len, S.Page(many).children)) <= S.DEPTH * (S.LABEL + 1)
     long = "<article>" + "<div>" * 3000 + "deep " * 50_000 + "</article>"
     assert text(long) == ("deep " * 50_000).strip()
 

@@ -7,6 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from trellis.session import ensure_checkpoint_dir, ship_package
 
@@ -69,7 +70,12 @@ def join_checked(left: DataFrame, right: DataFrame, on, how: str, bound: int = 1
     return left.join(F.broadcast(right) if small_enough(right, bound) else right, on, how)
 
 
-def map_arrow(df: DataFrame, run: Callable, schema: str) -> DataFrame:
+def with_row(df: DataFrame, rest: str) -> T.StructType:
+    """Schema of the column ``row`` of ``df`` and the columns in ``rest`` (DDL)."""
+    return T.StructType([df.schema["row"], *T.StructType.fromDDL(rest).fields])
+
+
+def map_arrow(df: DataFrame, run: Callable, schema: str | T.StructType) -> DataFrame:
     """``df.mapInArrow`` with the package shipped to the Python workers."""
     ship_package(df.sparkSession)
     return df.mapInArrow(run, schema)

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trellis.llm.common import ALNUM_BYTES, map_arrow, shared_table
+from trellis.llm.common import ALNUM_BYTES, map_arrow, shared_table, with_row
 
 #: Words of the benchmark in one broadcast index.
 BLOCK_WORDS = 1_000_000
@@ -175,8 +175,7 @@ def _scan(docs: DataFrame, index: Index) -> DataFrame:
                  pa.array(spans + s, pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))),
                  pa.array(items + i, pa.list_(pa.string()))], ["row", "n_words", "spans", "items"])
 
-    return docs.transform(map_arrow, run, f"row {docs.schema[0].dataType.simpleString()}, n_words long, "
-                                "spans array<struct<a:bigint,b:bigint>>, items array<string>")
+    return docs.transform(map_arrow, run, with_row(docs, "n_words long, spans array<struct<a:bigint,b:bigint>>, items array<string>"))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, span: int = 10, k: int = 5) -> DataFrame:

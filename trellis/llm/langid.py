@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trellis.llm.common import map_arrow
+from trellis.llm.common import map_arrow, with_row
 
 BUCKETS = 1 << 16
 #: Bound of the labelled sample: documents per language, about.
@@ -183,7 +183,7 @@ def _predicted(rows: DataFrame, model: dict[str, np.ndarray]) -> DataFrame:
                 score[ids] = np.clip(share.max(axis=1), 0, 1)
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(lang, pa.string()), pa.array(score)], ["row", "lang_pred", "score"])
 
-    return rows.transform(map_arrow, run, f"row {rows.schema[0].dataType.simpleString()}, lang_pred string, score double")
+    return rows.transform(map_arrow, run, with_row(rows, "lang_pred string, score double"))
 
 
 def identified(docs: DataFrame, training: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFrame:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trellis.llm.common import join_checked, map_arrow, shared_table
+from trellis.llm.common import map_arrow, with_row
 
 MIN_WORDS = 5
 _LAST = (1 << 63) - 1
@@ -114,8 +114,7 @@ def deletions(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     holder = F.struct("id", "body", "rank")
     owners = lines.groupBy("h", "g", "k").agg(F.min(holder).alias("own"), F.max(holder).alias("last")).where(
         "own.id != last.id OR own.body != last.body").select("h", "g", "k", "own")
-    owners = shared_table(owners, "shared-lines")  # a table, so that AQE can split a line that very many hold
-    common = join_checked(lines, owners, ["h", "g", "k"], "inner").where("own.id != id OR own.body != body")
+    common = lines.join(owners, ["h", "g", "k"]).where("own.id != id OR own.body != body")
     pairs = common.groupBy(F.col("own.id").alias("a"), F.col("own.body").alias("b"), "id", "body").agg(
         F.collect_list(F.struct(F.col("own.rank").alias("x"), F.col("rank").alias("y"), "words")).alias("pairs"))
 
@@ -155,8 +154,7 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
                 ["row", "text", "n_lines", "n_deleted"])
 
     joined = rows.join(cut, ["id", "body"], "left").select("row", "text", "ranks")
-    kind = joined.schema["row"].dataType.simpleString()
-    return joined.transform(map_arrow, run, f"row {kind}, text string, n_lines long, n_deleted long")
+    return joined.transform(map_arrow, run, with_row(joined, "text string, n_lines long, n_deleted long"))
 
 
 def deduped_documents(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:

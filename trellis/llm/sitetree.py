@@ -35,13 +35,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trellis.llm.common import join_checked, map_arrow, shared_table
+from trellis.llm.common import join_checked, map_arrow, shared_table, with_row
 
 #: Importance below which a branch goes, and the least pages that can tell.
 THRESHOLD = 0.5
 LEAST_PAGES = 8
 #: Weight of what lies one level deeper.
 DECAY = 0.9
+#: Labels of a path, and characters of a label, that tell branches apart; what lies
+#: deeper belongs to the branch above it. Texts are not affected.
+DEPTH, LABEL = 64, 80
 #: Distinct (host, path, feature) that a task gathers before it passes them on.
 GATHER = 300_000
 
@@ -96,8 +99,9 @@ class Page:
         self._parse(html)
 
     def _parse(self, html: str) -> None:
-        # open elements: tag, path, boilerplate, inside the article
-        stack: list[tuple[str, str, bool, bool]] = [("", "", False, False)]
+        # open elements: tag, path, boilerplate, inside the article, path of its block, depth
+        stack: list[tuple[str, str, bool, bool, str, int]] = [("", "", False, False, "", 0)]
+        opened: Counter[str] = Counter()
         text: list[str] = []
         links = linked = 0
         at, size = 0, len(html)
@@ -107,8 +111,7 @@ class Page:
             line = " ".join("".join(text).split())
             text.clear()
             if line:
-                holder = next(e for e in reversed(stack) if e[0] in _BLOCK or not e[0])
-                self.blocks.append((holder[1], line, stack[-1][2], stack[-1][3], linked))
+                self.blocks.append((stack[-1][4], line, stack[-1][2], stack[-1][3], linked))
             linked = 0
 
         def add(piece: str) -> None:
@@ -123,6 +126,7 @@ class Page:
             if any(e[0] in _BLOCK for e in stack[k:]):
                 flush()
             links -= sum(e[0] == "a" for e in stack[k:])
+            opened.subtract(e[0] for e in stack[k:])
             del stack[k:]
 
         while at < size:
@@ -140,7 +144,7 @@ class Page:
             if m[1] or m[4]:
                 if tag == "br":
                     flush()
-                for k in range(len(stack) - 1, 0, -1):
+                for k in range(len(stack) - 1, 0, -1) if opened[tag] else ():
                     if stack[k][0] == tag:
                         pop_to(k)
                         break
@@ -152,15 +156,15 @@ class Page:
                 flush()
                 closes = _CLOSES.get(tag, ()) + (() if tag in ("br", "td", "th", "tr", "option") else ("p",))
                 for name in closes:
-                    for k in range(len(stack) - 1, 0, -1):
+                    for k in range(len(stack) - 1, 0, -1) if opened[name] else ():
                         if stack[k][0] == name:
                             pop_to(k)
                             break
                         if stack[k][0] in _SCOPE.get(name, ()):
                             break
-            _, path, noise, inside = stack[-1]
+            _, path, noise, inside, holder, depth = stack[-1]
             label, marked = _attributes(raw) if raw and not raw.isspace() else ("", False)
-            label = tag + label
+            label = (tag + label)[:LABEL].replace("/", "")
             self.children.setdefault(path, []).append(label)
             if tag in _VOID or raw.endswith("/") and tag not in _BLOCK:
                 continue
@@ -172,9 +176,11 @@ class Page:
             root = tag in _ROOT or "itemprop" in raw and "articleBody" in raw
             noise = noise or (marked and not (root and not inside)) or tag in _NOISE or tag == "header" and not inside
             links += tag == "a"
-            path = f"{path}/{label}"
-            self.children.setdefault(path, [])
-            stack.append((tag, path, noise, inside or root and not noise))
+            if depth < DEPTH:
+                path = f"{path}/{label}"
+                self.children.setdefault(path, [])
+            opened[tag] += 1
+            stack.append((tag, path, noise, inside or root and not noise, path if tag in _BLOCK else holder, depth + 1))
         flush()
 
     def text(self, removed: frozenset[str] | set[str] = frozenset()) -> str:
@@ -276,4 +282,4 @@ def main_texts(pages: DataFrame, threshold: float = THRESHOLD, least_pages: int
 
     removed = shared_table(removed, "removed-branches")
     joined = join_checked(rows, removed, "host", "left").select("row", "html", "removed")
-    return joined.transform(map_arrow, run, f"row {joined.schema['row'].dataType.simpleString()}, text string")
+    return joined.transform(map_arrow, run, with_row(joined, "text string"))
