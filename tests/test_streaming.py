@@ -1,11 +1,16 @@
 """Streams drained with availableNow equal the batch jobs (SURVEY §5 (5))."""
 
+import uuid
+
+import pytest
 from pyspark.sql import functions as F
 
 from conftest import SF_SMALL
 from trellis.operators import curriculum as D
 from trellis.plans.catalog import load
+from trellis.session import scratch_path
 from trellis.sources import views as V
+from trellis.streaming import streams as S
 
 QUERIES, _ = load()
 
@@ -20,12 +25,49 @@ def test_curriculum_stream_equals_batch(spark):
 
 
 def test_score_stream_equals_batch(spark):
-    s = QUERIES["j1_score_stream"](spark, SF_SMALL)
-    b = QUERIES["e8_evidence_reward_exact"](spark, SF_SMALL)
-    assert s.exceptAll(b).count() == 0 and b.exceptAll(s).count() == 0
+    for stream, batch in (("j1_score_stream", "e8_evidence_reward_exact"), ("j1_score_stream_full", "e8_evidence_reward")):
+        s, b = QUERIES[stream](spark, SF_SMALL), QUERIES[batch](spark, SF_SMALL)
+        assert s.exceptAll(b).count() == 0 and b.exceptAll(s).count() == 0
 
 
 def test_adaptive_kl_stream_equals_batch(spark):
     s = QUERIES["j3_adaptive_kl_stream"](spark, SF_SMALL)
     b = QUERIES["g15_adaptive_kl"](spark, SF_SMALL)
     assert s.exceptAll(b).count() == 0 and b.exceptAll(s).count() == 0
+
+
+def _steps(spark, order):
+    """One file per step, written (and so streamed) in the given order."""
+    path = scratch_path(spark, f"steps-{uuid.uuid4().hex}")
+    for k in order:
+        spark.createDataFrame([(r, 0.1 * (k + 1), 10 + k, 1.0, k) for r in ("a", "b")], S.STEP_SCHEMA).coalesce(1) \
+            .write.mode("append").parquet(path)
+    return path
+
+
+def test_early_steps_wait_and_gaps_raise(spark):
+    run = lambda order: sorted(S.adaptive_kl_stream(
+        spark, _steps(spark, order), 0.2, 0.3, 100.0, files_per_trigger=1).collect())
+    first = run([0, 1, 2, 3, 4])
+    assert len(first) == 10 and run([4, 2, 3, 0, 1]) == first and run([0, 0, 1, 2, 3, 4, 1]) == first
+    with pytest.raises(ValueError, match="predecessor"):
+        run([0, 1, 3])
+
+
+def test_steps_with_uncoalesced_partitions(spark):
+    old = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert QUERIES["j3_adaptive_kl_stream"](spark, SF_SMALL).count() == V.step_log(spark, SF_SMALL).count()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", old)
+
+
+def test_replayed_batch_overwrites_itself_and_equal_rows_stay(spark):
+    path = scratch_path(spark, f"sink-{uuid.uuid4().hex}")
+    df = spark.createDataFrame([(1,), (1,), (2,)], "x int")
+    write = S._sink(path)
+    write(df, 0)
+    write(df, 0)
+    write(df, 1)
+    assert sorted(r.x for r in S.read_sink(spark, path, df.schema).collect()) == [1, 1, 1, 1, 2, 2]

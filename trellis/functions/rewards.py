@@ -115,9 +115,11 @@ def tagged_reward(resp, truth) -> Column:
     return 0.5 * tagged_accuracy(resp, truth) + 0.5 * tagged_format(resp)
 
 
-def place_reward(score, valid_len, width: int) -> Column:
-    """Zero array of ``width`` with the score at the last valid response
-    position; a length of 0 puts it at index -1, i.e. the last slot."""
-    last = F.when(T.col(valid_len) == 0, F.lit(width - 1)).otherwise(T.col(valid_len) - 1)
-    return F.transform(F.sequence(F.lit(0), F.lit(width - 1)),
+def place_reward(score, valid_len, width) -> Column:
+    """Zero array of ``width`` (a number or a column) with the score at the
+    last valid response position; a length of 0 puts it at index -1, i.e. the last
+    slot."""
+    width = F.lit(width) if isinstance(width, int) else T.col(width)
+    last = F.when(T.col(valid_len) == 0, width - 1).otherwise(T.col(valid_len) - 1)
+    return F.transform(F.sequence(F.lit(0), width - 1),
                        lambda i: F.when(i == last, T.col(score).cast("double")).otherwise(F.lit(0.0)))

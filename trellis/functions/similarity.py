@@ -8,6 +8,7 @@ pairs, one metric branch).
 from __future__ import annotations
 
 import difflib
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -17,79 +18,62 @@ from pyspark.sql import types as Ty
 
 # ---------------------------------------------------------------- E6 soft span
 
-def soft_contains(span: str, context: str, threshold: float = 0.85) -> bool:
-    """Any window of ``len(span words)`` context words (lower-cased, joined by
-    one blank) whose difflib ratio against the span reaches ``threshold``.
-
-    The matcher is called as ``SequenceMatcher(None, window, span)`` with its
-    default junk heuristic.  Windows are first screened with two exact upper
-    bounds of the ratio — ``2*min(la, lb)/(la+lb)`` and the character-multiset
-    bound — computed for all windows at once with numpy; only survivors reach
-    the dynamic programme, so no true match is ever skipped.
-    """
-    span_l = span.lower()
-    words = context.lower().split()
-    n = len(span_l.split())
-    if n == 0 or len(words) < n:
+SOFT_THRESHOLD = 0.85
+
+
+class _Windows:
+    """A context prepared once for all its spans: the lower-cased words joined by
+    one blank, as text and code points, with each word's begin and end."""
+
+    def __init__(self, context: str):
+        words = context.lower().split()
+        self.text = " ".join(words)
+        self.points = np.frombuffer(self.text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        self.stops = np.cumsum(size + 1) - 1
+        self.starts = self.stops - size
+
+    def holds(self, span: str, threshold: float) -> bool:
+        """Whether any run of as many words as the span has is similar to it.
+        Two upper bounds of the ratio, from the lengths and from the characters in
+        common, rule out most runs; the characters are counted one at a time."""
+        wanted, n = span.lower(), len(span.split())
+        if not 0 < n <= len(self.starts):
+            return False
+        begin, end = self.starts[:len(self.starts) - n + 1], self.stops[n - 1:]
+        least = threshold * (end - begin + len(wanted)) / 2 - 1e-9  # characters that must match
+        near = np.flatnonzero(np.minimum(end - begin, len(wanted)) >= least)
+        if len(near):
+            begin, end, least = begin[near], end[near], least[near]
+            common = np.zeros(len(near), np.int64)
+            seen = np.zeros(len(self.points) + 1, np.int64)
+            for char, times in Counter(wanted).items():
+                np.cumsum(self.points == ord(char), out=seen[1:])
+                common += np.minimum(seen[end] - seen[begin], times)
+            left = common >= least
+            begin, end = begin[left], end[left]
+        else:
+            begin = end = near
+        matcher = difflib.SequenceMatcher(None)
+        matcher.set_seq2(wanted)
+        for a, b in zip(begin.tolist(), end.tolist()):
+            matcher.set_seq1(self.text[a:b])
+            if matcher.ratio() >= threshold:
+                return True
         return False
-    lb = len(span_l)
-    wlen = np.fromiter((len(w) for w in words), dtype=np.int64, count=len(words))
-    cum_len = np.concatenate(([0], np.cumsum(wlen)))
-    n_win = len(words) - n + 1
-    la = cum_len[n:n + n_win] - cum_len[:n_win] + (n - 1)
-    total = la + lb
-    keep = 2.0 * np.minimum(la, lb) / total >= threshold
-    if not keep.any():
-        return False
-    # character-multiset bound over the span's alphabet
-    alphabet = sorted(set(span_l))
-    index = {c: i for i, c in enumerate(alphabet)}
-    span_counts = np.zeros(len(alphabet), dtype=np.int64)
-    for ch in span_l:
-        span_counts[index[ch]] += 1
-    hist = np.zeros((len(words) + 1, len(alphabet)), dtype=np.int64)
-    for wi, w in enumerate(words):
-        row = hist[wi + 1]
-        for ch in w:
-            j = index.get(ch)
-            if j is not None:
-                row[j] += 1
-    np.cumsum(hist, axis=0, out=hist)
-    cand = np.flatnonzero(keep)
-    win_counts = hist[cand + n] - hist[cand]
-    sp = index.get(" ")
-    if sp is not None:
-        win_counts[:, sp] += n - 1
-    bag = np.minimum(win_counts, span_counts).sum(axis=1)
-    cand = cand[2.0 * bag / total[cand] >= threshold]
-    if len(cand) == 0:
-        return False
-    matcher = difflib.SequenceMatcher(None)
-    matcher.set_seq2(span_l)
-    for i in cand:
-        matcher.set_seq1(" ".join(words[i:i + n]))
-        if matcher.ratio() >= threshold:
-            return True
-    return False
 
 
-@F.pandas_udf(Ty.BooleanType())
-def soft_contains_udf(span: pd.Series, context: pd.Series) -> pd.Series:
-    return pd.Series([soft_contains(s, c) for s, c in zip(span, context)], dtype=bool)
+def soft_hits(spans: list[str], context: str, threshold: float = SOFT_THRESHOLD) -> list[bool]:
+    """For each span: does a window of as many context words (lower-cased, joined
+    by one blank) reach a difflib ratio of ``threshold``?"""
+    windows = _Windows(context)
+    return [windows.holds(s, threshold) for s in spans]
 
 
-@F.pandas_udf(Ty.IntegerType())
-def soft_count_udf(spans: pd.Series, exact: pd.Series, context: pd.Series) -> pd.Series:
-    """Per row: how many spans without a verbatim hit soft-match the row's context."""
-    out = []
-    for sp, ex, ctx in zip(spans, exact, context):
-        n = 0
-        if sp is not None:
-            for s, e in zip(sp, ex):
-                if e == 0 and soft_contains(s, ctx or ""):
-                    n += 1
-        out.append(n)
-    return pd.Series(out, dtype="int32")
+@F.pandas_udf(Ty.ArrayType(Ty.BooleanType()))
+def soft_hits_udf(spans: pd.Series, context: pd.Series) -> pd.Series:
+    """Per row; a row without spans needs no context (pass null there)."""
+    return pd.Series([soft_hits(list(s), c or "") if s is not None and len(s) else [] for s, c in zip(spans, context)], dtype=object)
 
 
 # ----------------------------------------------------------- F12 edit ratio
@@ -190,30 +174,26 @@ def last_boxed_udf(text: pd.Series) -> pd.Series:
     return pd.Series([last_boxed(t or "") for t in text], dtype=object)
 
 
-# ------------------------------------------------------- per-row metric choice
-
-def _first_code_line(pred: str) -> str:
-    for line in pred.lstrip("\n").split("\n"):
-        if "`" not in line and "#" not in line and "//" not in line:
-            return line
-    return ""
+# ------------------------------------------------------- best of references
 
+#: Kernels of the metrics that SQL functions cannot express. Their texts are
+#: prepared in the plan (segmenting, first code line); only the kernel is Python.
+KERNELS = {"rouge": rouge_l, "rouge_zh": rouge_l, "code_sim": edit_ratio}
 
-def _zh_join(s: str) -> str:
-    return " ".join(ch for ch in s if ch != "")
 
+@F.pandas_udf(Ty.DoubleType())
+def best_udf(metric: pd.Series, pred: pd.Series, answers: pd.Series) -> pd.Series:
+    """F14 in one call per row: the largest score over the references, 0 without."""
+    return pd.Series([max((KERNELS[m](p or "", a or "") for a in answers_), default=0.0) if answers_ is not None else 0.0
+                      for m, p, answers_ in zip(metric, pred, answers)], dtype="float64")
 
-def score_pair(metric: str, pred: str, truth: str) -> float:
-    """UDF-metric dispatch for one (prediction, reference) pair."""
-    if metric == "rouge":
-        return rouge_l(pred, truth)
-    if metric == "rouge_zh":
-        return rouge_l(_zh_join(pred), _zh_join(truth))
-    if metric == "code_sim":
-        return edit_ratio(_first_code_line(pred), truth)
-    raise KeyError(metric)
 
+def prepared(metric, text, is_pred: bool):
+    """The text as the metric's kernel takes it."""
+    from trellis.functions import text as T
+    from trellis.functions.evaluate import code_first_line
 
-@F.pandas_udf(Ty.DoubleType())
-def udf_metric(metric: pd.Series, pred: pd.Series, truth: pd.Series) -> pd.Series:
-    return pd.Series([score_pair(m, p or "", t or "") for m, p, t in zip(metric, pred, truth)], dtype="float64")
+    out = F.when(metric == "rouge_zh", F.array_join(T.char_tokens(text), " "))
+    if is_pred:
+        out = out.when(metric == "code_sim", code_first_line(text))
+    return out.otherwise(text)

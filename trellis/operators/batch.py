@@ -1,15 +1,21 @@
 """Aligned-batch algebra (B*): a batch is a DataFrame with a dense ``row_id``.
 
 Row identity is explicit (DataFrames are unordered).  Operators that need the
-batch size run one ``count`` and do driver arithmetic on that scalar; every
+batch size run one aggregate, which also proves that the ids are 0..n-1
+(:func:`dense_size`: a gap would silently lose or misplace rows); every
 row-level step is a narrow expression, an ``explode`` or an equi-join.
+
+Batch constants (``meta``: one value per batch, not per row) travel with
+:class:`Batch`, a pair of rows and constants.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
+from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as Ty
 
@@ -37,6 +43,19 @@ def assign_row_ids(df: DataFrame, order: Sequence[str], out: str = ROW_ID) -> Da
     return global_rank(df, order, out)
 
 
+def dense_size(df: DataFrame, id_col: str = ROW_ID) -> int:
+    """Number of rows; raises unless the ids are exactly 0..n-1 (each once).
+    One aggregate without a shuffle of rows: smallest, largest, sum and sum of
+    squares must be those of 0..n-1."""
+    i = F.col(id_col).cast("decimal(38,0)")
+    r = df.agg(F.count(F.lit(1)).alias("n"), F.count(id_col).alias("k"), F.min(id_col).alias("lo"), F.max(id_col).alias("hi"),
+               F.sum(i).alias("s"), F.sum((i * i).cast("decimal(38,0)")).alias("q")).first()
+    n = r.n
+    if n and (r.k, r.lo, r.hi, int(r.s), int(r.q)) != (n, 0, n - 1, n * (n - 1) // 2, (n - 1) * n * (2 * n - 1) // 6):
+        raise ValueError(f"{id_col} must number the {n} rows 0..{n - 1} without gaps or repeats")
+    return n
+
+
 def check_consistency(df: DataFrame, arrays: Sequence[str]) -> DataFrame:
     """B2: rows whose array columns differ in length (empty when consistent)."""
     first = F.size(arrays[0])
@@ -68,6 +87,54 @@ def pop(df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame]:
     return select(df, keys), df.drop(*[k for k in keys if k != ROW_ID])
 
 
+def merge_meta(*parts: dict) -> dict:
+    """All constants; a name with two different values raises."""
+    out: dict = {}
+    for part in parts:
+        for k, v in part.items():
+            if k in out and out[k] != v:
+                raise ValueError(f"batch constant {k!r} has two values: {out[k]!r} and {v!r}")
+            out[k] = v
+    return out
+
+
+@dataclass(frozen=True)
+class Batch:
+    """Aligned rows and the batch's constants."""
+
+    rows: DataFrame
+    meta: dict = field(default_factory=dict)
+
+    def select(self, keys: Sequence[str] | None = None, meta_keys: Sequence[str] | None = None) -> Batch:
+        """Columns and constants by name (None: all)."""
+        return Batch(select(self.rows, keys), dict(self.meta) if meta_keys is None else {k: self.meta[k] for k in meta_keys})
+
+    def pop(self, keys: Sequence[str], meta_keys: Sequence[str] = ()) -> tuple[Batch, Batch]:
+        """(taken, rest)."""
+        taken, rest = pop(self.rows, keys)
+        return (Batch(taken, {k: self.meta[k] for k in meta_keys}),
+                Batch(rest, {k: v for k, v in self.meta.items() if k not in meta_keys}))
+
+    def union(self, other: Batch) -> Batch:
+        """Shared columns and shared constants must agree."""
+        return Batch(union(self.rows, other.rows), merge_meta(self.meta, other.meta))
+
+    @staticmethod
+    def concat(parts: Sequence[Batch]) -> Batch:
+        """Rows after each other; constants must agree."""
+        return Batch(concat([p.rows for p in parts]), merge_meta(*(p.meta for p in parts)))
+
+    def save(self, path: str) -> None:
+        """Rows as Parquet, constants as one JSON line beside them."""
+        self.rows.write.mode("overwrite").parquet(f"{path}/rows")
+        line = self.rows.sparkSession.createDataFrame([(json.dumps(self.meta, sort_keys=True),)], "value string")
+        line.coalesce(1).write.mode("overwrite").text(f"{path}/meta")
+
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> Batch:
+        return Batch(spark.read.parquet(f"{path}/rows"), json.loads(spark.read.text(f"{path}/meta").first().value))
+
+
 def rename(df: DataFrame, old: Sequence[str], new: Sequence[str]) -> DataFrame:
     """Rename columns pairwise."""
     if len(old) != len(new):
@@ -76,20 +143,16 @@ def rename(df: DataFrame, old: Sequence[str], new: Sequence[str]) -> DataFrame:
 
 
 def union(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Aligned column merge on ``row_id``.  Batch sizes must agree and
-    shared columns must be equal on every row, else the job fails."""
+    """Aligned column merge on ``row_id``.  Every row must be on both sides
+    and shared columns must be equal, else the job fails."""
     shared = [c for c in a.columns if c in b.columns and c != ROW_ID]
-    na, nb = a.count(), b.count()
-    if na != nb:
-        raise ValueError(f"batch sizes differ: {na} vs {nb}")
-    aa, bb = a.alias("a"), b.alias("b")
+    aa, bb = a.withColumn("_in", F.lit(True)).alias("a"), b.withColumn("_in", F.lit(True)).alias("b")
     j = aa.join(bb, F.col(f"a.{ROW_ID}") == F.col(f"b.{ROW_ID}"), "full_outer")
-    conflict = F.lit(False)
+    wrong = F.col("a._in").isNull() | F.col("b._in").isNull()
     for c in shared:
-        conflict = conflict | ~F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}"))
-    missing = F.col(f"a.{ROW_ID}").isNull() | F.col(f"b.{ROW_ID}").isNull()
-    checked = j.withColumn("_chk", F.when(missing | conflict, F.raise_error(
-        F.lit("union: rows are not aligned or a shared column differs"))).otherwise(F.lit(True)))
+        wrong = wrong | ~F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}"))
+    checked = j.withColumn("_chk", F.when(wrong, F.raise_error(
+        F.lit("union: a row is missing on one side or a shared column differs"))).otherwise(F.lit(True)))
     cols = [F.col(f"a.{c}").alias(c) for c in a.columns] + \
         [F.col(f"b.{c}").alias(c) for c in b.columns if c not in a.columns]
     # filtering on the check keeps it in the plan (an unused column is pruned)
@@ -101,27 +164,30 @@ def concat(parts: Sequence[DataFrame]) -> DataFrame:
     out, offset = None, 0
     for p in parts:
         shifted = p.withColumn(ROW_ID, F.col(ROW_ID) + F.lit(offset))
-        offset += p.count()
+        offset += dense_size(p)
         out = shifted if out is None else out.unionByName(shifted)
     return out
 
 
 def chunk(df: DataFrame, chunks: int, n: int | None = None, out: str = "chunk_id") -> DataFrame:
     """``chunks`` equal contiguous pieces; the size must divide evenly."""
-    n = df.count() if n is None else n
+    n = dense_size(df) if n is None else n
     if n % chunks != 0:
-        raise ValueError(f"only support equal chunk. Got size of DataProto {n} and chunk {chunks}.")
+        raise ValueError(f"{n} rows cannot be cut into {chunks} equal pieces")
     return df.withColumn(out, (F.col(ROW_ID) / F.lit(n // chunks)).cast("long"))
 
 
 def split(df: DataFrame, size: int, out: str = "chunk_id") -> DataFrame:
     """``len // size`` chunks through :func:`chunk` (non-divisible fails)."""
-    n = df.count()
+    n = dense_size(df)
     return chunk(df, n // size, n, out)
 
 
 def reorder(df: DataFrame, perm: DataFrame, new_pos: str = "new_pos") -> DataFrame:
-    """Apply a permutation given as ``(row_id, new_pos)``."""
+    """Apply a permutation given as ``(row_id, new_pos)``; both sides of it
+    must number all rows."""
+    if not dense_size(perm) == dense_size(perm, new_pos) == dense_size(df):
+        raise ValueError("the permutation does not cover every row")
     j = df.join(perm.select(ROW_ID, new_pos), ROW_ID)
     return j.drop(ROW_ID).withColumnRenamed(new_pos, ROW_ID)
 
@@ -133,7 +199,7 @@ def repeat(df: DataFrame, times: int, interleave: bool = True, n: int | None = N
     if interleave:
         new_id = F.col(ROW_ID) * times + F.col("_r")
     else:
-        n = df.count() if n is None else n
+        n = dense_size(df) if n is None else n
         new_id = F.col("_r") * n + F.col(ROW_ID)
     return out.withColumn(ROW_ID, new_id).drop("_r")
 
@@ -141,7 +207,7 @@ def repeat(df: DataFrame, times: int, interleave: bool = True, n: int | None = N
 def pad_to_divisor(df: DataFrame, k: int) -> tuple[DataFrame, int]:
     """Append rows from the head, cyclically, until ``len % k == 0``.
     Row ``i`` is copied to ids ``N + i + j*N`` for every ``j`` below the pad."""
-    n = df.count()
+    n = dense_size(df)
     pad = (k - n % k) % k
     if pad == 0:
         return df, 0
@@ -156,33 +222,38 @@ def unpad(df: DataFrame, pad: int, n: int | None = None) -> DataFrame:
     """Drop the last ``pad`` rows."""
     if pad == 0:
         return df
-    n = df.count() if n is None else n
+    n = dense_size(df) if n is None else n
     return df.filter(F.col(ROW_ID) < n - pad)
 
 
 def fold_batch_dim(df: DataFrame, m: int, n: int | None = None) -> DataFrame:
     """``[N, ...] → [m, N/m, ...]`` as index columns ``(fold, inner)``;
     rows stay rows (no group is collected into one value)."""
-    n = df.count() if n is None else n
+    n = dense_size(df) if n is None else n
     if n % m != 0:
         raise ValueError(f"batch size {n} is not divisible by {m}")
     per = n // m
     return df.withColumn("fold", (F.col(ROW_ID) / per).cast("long")).withColumn("inner", F.col(ROW_ID) % per)
 
 
+def seeded_order(*parts) -> Column:
+    """A hash that any engine reproduces: md5 of the parts joined by ``:``."""
+    return F.md5(F.concat_ws(":", *[p.cast("string") if isinstance(p, Column) else F.lit(str(p)) for p in parts]))
+
+
 def minibatches(df: DataFrame, size: int, epochs: int, seed: int | None = None) -> DataFrame:
     """Per epoch, ``minibatch = rank div size``; rank by ``row_id`` or, with
-    a seed, by ``xxhash64(seed, epoch, row_id)``.  Requires divisibility."""
-    n = df.count()
+    a seed, by ``md5(seed:epoch:row_id)``.  Requires divisibility."""
+    n = dense_size(df)
     if n % size != 0:
         raise ValueError(f"batch size {n} is not divisible by mini-batch size {size}")
     out = df.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))))
     if seed is None:
         out = out.withColumn("_rank", F.col(ROW_ID))
     else:
-        out = out.withColumn("_h", F.xxhash64(F.lit(seed), F.col("epoch"), F.col(ROW_ID)))
         from trellis.operators.sequence import ranked
 
+        out = out.withColumn("_h", seeded_order(seed, F.col("epoch"), F.col(ROW_ID)))
         out = ranked(out, ["epoch"], ["_h", ROW_ID], "_rank").drop("_h")
     return out.withColumn("minibatch", (F.col("_rank") / size).cast("long")).drop("_rank")
 
@@ -209,11 +280,15 @@ def size_report(df: DataFrame) -> DataFrame:
     return df.agg((F.sum(fixed) / 1024 ** 3).alias("batch_gb"), (F.sum(obj) / 1024 ** 3).alias("non_tensor_gb"))
 
 
-def collate(df: DataFrame, batch: str, cols: Sequence[str]) -> DataFrame:
-    """Rows → one row per batch with array columns in ``row_id`` order.
-    Only used at a model boundary, where batches are bounded in size."""
+def collate(df: DataFrame, batch: str, cols: Sequence[str], max_rows: int = 4096) -> DataFrame:
+    """Rows → one row per batch with array columns in ``row_id`` order, for
+    a model boundary. A batch of more than ``max_rows`` rows fails the job: the
+    caller cuts batches first (D4)."""
     s = F.sort_array(F.collect_list(F.struct(ROW_ID, *cols)))
-    return df.groupBy(batch).agg(s.alias("_s")).select(batch, *[F.col("_s")[c].alias(c) for c in cols])
+    too_many = F.raise_error(F.concat(F.lit("a batch has more rows than "), F.lit(str(max_rows))))
+    sized = df.join(df.groupBy(batch).agg(F.count(F.lit(1)).alias("_n")), batch)
+    bounded = sized.filter(F.when(F.col("_n") <= max_rows, F.lit(True)).otherwise(too_many.cast("boolean")))
+    return bounded.groupBy(batch).agg(s.alias("_s")).select(batch, *[F.col("_s")[c].alias(c) for c in cols])
 
 
 def map_chunks(df: DataFrame, fn, schema) -> DataFrame:
@@ -221,9 +296,11 @@ def map_chunks(df: DataFrame, fn, schema) -> DataFrame:
     return df.mapInArrow(fn, schema)
 
 
-def broadcast_args(df: DataFrame, args: DataFrame, on: Sequence[str]) -> DataFrame:
-    """The same small table for every row (broadcast join; ``args`` must be small)."""
-    return df.join(F.broadcast(args), list(on), "left")
+def broadcast_args(df: DataFrame, args: DataFrame, on: Sequence[str], max_rows: int = 100_000) -> DataFrame:
+    """The same table for every row. ``args`` is broadcast when it was
+    counted to have at most ``max_rows`` rows; else it is an ordinary join."""
+    small = args.limit(max_rows + 1).count() <= max_rows
+    return df.join(F.broadcast(args) if small else args, list(on), "left")
 
 
 def gather_slice(df: DataFrame, world: int, rank_col: str = "rank") -> DataFrame:

@@ -125,18 +125,14 @@ def best_of_token_f1(df: DataFrame, pred_tokens: str, answer_tokens: str, out: s
 
 
 def best_of_references_udf(df: DataFrame, metric: str | None, pred: str = "pred", answers: str = "answers",
-                           key: str = "item_id", out: str = "score") -> DataFrame:
-    """F14 for a UDF metric: explode the references, score each pair in Arrow
-    batches, then take the per-item maximum (partial aggregation first).
-    ``metric=None`` reads the metric name from each row's ``metric`` column."""
+                           out: str = "score") -> DataFrame:
+    """F14 for a kernel metric: one Arrow call per row takes the maximum over its
+    references; no shuffle.  ``metric=None`` reads each row's ``metric`` column."""
     from trellis.functions import similarity as S
 
-    pairs = df.select(key, pred, F.explode_outer(answers).alias("_ans"),
-                      (F.col("metric") if metric is None else F.lit(metric)).alias("_metric"))
-    scored = pairs.withColumn("_s", F.when(F.col("_ans").isNull(), F.lit(0.0))
-                              .otherwise(S.udf_metric(F.col("_metric"), F.col(pred), F.col("_ans"))))
-    best = scored.groupBy(key).agg(F.greatest(F.lit(0.0), F.max("_s")).alias(out))
-    return df.join(best, key, "left").withColumn(out, F.coalesce(F.col(out), F.lit(0.0)))
+    name = F.col("metric") if metric is None else F.lit(metric)
+    refs = F.transform(F.col(answers), lambda a: S.prepared(name, a, False))
+    return df.withColumn(out, S.best_udf(name, S.prepared(name, F.col(pred), True), refs))
 
 
 def _native_case(metric: str, pred, answer, classes):
@@ -148,21 +144,22 @@ def _native_case(metric: str, pred, answer, classes):
     return out
 
 
-def score_by_dataset(df: DataFrame, config: DataFrame, key: str = "item_id") -> DataFrame:
-    """metric chosen per dataset through the (broadcast) config table.
+def score_by_dataset(df: DataFrame, config: DataFrame) -> DataFrame:
+    """metric chosen per dataset through the (broadcast, fixed) config table.
 
-    Two branches: native metrics in one CASE expression (no Python, each row
-    evaluates only its metric), and the Arrow-UDF metrics (Rouge-L, edit
-    ratio), which see only their own rows.  Unknown datasets are dropped (the
-    reference raises a KeyError).
+    Native metrics in one CASE expression (each row evaluates only its own), and
+    one Arrow call for the kernel metrics, whose other rows carry no text to
+    Python.  A dataset that the table does not have fails the job.
     """
     cfg = F.broadcast(config.select("dataset", "metric"))
-    items = prepare_pred(df.join(cfg, "dataset", "inner"))
+    # part of the metric's value, so that no later filter can drop the row first
+    unknown = F.raise_error(F.concat(F.lit("no metric for dataset "), F.coalesce(F.col("dataset"), F.lit("null"))))
+    items = prepare_pred(df.join(cfg, "dataset", "left").withColumn("metric", F.coalesce("metric", unknown.cast("string"))))
     cls = F.col("all_classes") if "all_classes" in items.columns else F.array().cast("array<string>")
-    native = items.filter(F.col("metric").isin(*NATIVE_METRICS))
-    native = native.withColumn("score", E.best_of("answers", lambda a: _native_case("metric", F.col("pred"), a, cls)))
-    udf_rows = items.filter(~F.col("metric").isin(*NATIVE_METRICS))
-    return native.unionByName(best_of_references_udf(udf_rows, None, key=key))
+    is_native = F.col("metric").isin(*NATIVE_METRICS)
+    native = items.filter(is_native).withColumn(
+        "score", E.best_of("answers", lambda a: _native_case("metric", F.col("pred"), a, cls)))
+    return native.unionByName(best_of_references_udf(items.filter(~is_native), None))
 
 
 def dataset_score(scored: DataFrame, dataset: str = "dataset", score: str = "score") -> DataFrame:
@@ -179,7 +176,7 @@ def length_bucket_score(scored: DataFrame, length: str = "length", dataset: str
     agg = (scored.withColumn("bucket", E.length_bucket(length))
            .groupBy(dataset, "bucket")
            .agg(F.count(F.lit(1)).alias("n_items"), F.avg(score).alias("mean_score")))
-    grid = scored.select(dataset).distinct().withColumn(
+    grid = agg.select(dataset).distinct().withColumn(
         "bucket", F.explode(F.array(F.lit("0-4k"), F.lit("4-8k"), F.lit("8k+"))))
     out = grid.join(agg, [dataset, "bucket"], "left")
     return out.select(
@@ -199,8 +196,9 @@ def category_average(ds_scores: DataFrame, config: DataFrame) -> DataFrame:
             .drop("_total"))
 
 
-def generation_limits(items: DataFrame, config: DataFrame, model: str) -> DataFrame:
-    """max new tokens per dataset (config lookup) and max input of the model."""
+def generation_limits(items: DataFrame, config: DataFrame, model: str, limits: dict[str, int] | None = None) -> DataFrame:
+    """max new tokens per dataset (config lookup) and max input of the model,
+    from ``limits`` (model name to length; a model it lacks has no limit)."""
     cfg = F.broadcast(config.select("dataset", "max_gen"))
     return items.join(cfg, "dataset", "left").withColumn(
-        "max_input", F.lit(MODEL_MAX_INPUT.get(model)).cast("int"))
+        "max_input", F.lit((MODEL_MAX_INPUT if limits is None else limits).get(model)).cast("int"))

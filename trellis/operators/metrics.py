@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trellis.operators.batch import seeded_order
+
 
 def to_long(df: DataFrame, keys: Sequence[str], metrics: dict[str, str]) -> DataFrame:
     """Wide metric columns → ``(keys..., name, value)`` via ``stack``."""
@@ -30,53 +32,35 @@ def data_metrics(tokens: DataFrame, seq_keys: Sequence[str], max_response_length
     """Batch statistics of sequence scores and rewards, valid advantages,
     returns and values, response lengths and the critic's explained variance.
 
-    One pass over the token table: a per-sequence aggregate carries the
-    sequence sums and the partial token statistics of its valid positions
-    (count, sum, max, min, sum of squares); one batch aggregate combines them.
-    Returned in long form ``(by..., name, value)``."""
+    Token statistics are aggregates over the valid tokens (``var_samp``, which
+    keeps its digits for large means); sequence statistics aggregate one row per
+    sequence.  Both are partial before their shuffle and meet as one row per
+    batch.  Returned in long form ``(by..., name, value)``."""
     v = F.col(mask) != 0
 
-    def vcol(c):
+    def valid(c):
         return F.when(v, F.col(c))
 
-    diff = F.col(ret) - F.col(values)
-    seq = tokens.groupBy(*by, *seq_keys).agg(
-        F.sum(score).alias("_score"), F.sum(reward).alias("_reward"),
-        F.sum(mask).cast("double").alias("_rlen"),
-        F.sum(v.cast("long")).alias("_n"),
-        F.sum(vcol(adv)).alias("_as"), F.max(vcol(adv)).alias("_ax"), F.min(vcol(adv)).alias("_an"),
-        F.sum(vcol(ret)).alias("_rs"), F.max(vcol(ret)).alias("_rx"), F.min(vcol(ret)).alias("_rn"),
-        F.sum(F.when(v, F.col(ret) * F.col(ret))).alias("_rq"),
-        F.sum(vcol(values)).alias("_vs"), F.max(vcol(values)).alias("_vx"), F.min(vcol(values)).alias("_vn"),
-        F.sum(F.when(v, diff)).alias("_ds"), F.sum(F.when(v, diff * diff)).alias("_dq"))
-    n = F.sum("_n").cast("double")
-
-    def var(s, q):
-        return (F.sum(q) - F.sum(s) * F.sum(s) / n) / (n - 1.0)
-
     # The metric names of the batch report (critic/score,
     # critic/rewards, critic/advantages, critic/returns, response_length,
     # critic/values, critic/vf_explained_var).
-    aggs = [
-        F.avg("_score").alias("critic/score/mean"), F.max("_score").alias("critic/score/max"),
-        F.min("_score").alias("critic/score/min"),
-        F.avg("_reward").alias("critic/rewards/mean"), F.max("_reward").alias("critic/rewards/max"),
-        F.min("_reward").alias("critic/rewards/min"),
-        (F.sum("_as") / n).alias("critic/advantages/mean"), F.max("_ax").alias("critic/advantages/max"),
-        F.min("_an").alias("critic/advantages/min"),
-        (F.sum("_rs") / n).alias("critic/returns/mean"), F.max("_rx").alias("critic/returns/max"),
-        F.min("_rn").alias("critic/returns/min"),
-        F.avg("_rlen").alias("response_length/mean"), F.max("_rlen").alias("response_length/max"),
-        F.min("_rlen").alias("response_length/min"),
-        F.avg((F.col("_rlen") == max_response_length).cast("double")).alias("response_length/clip_ratio"),
-    ]
+    def spread(name, c):
+        return [F.avg(c).alias(f"{name}/mean"), F.max(c).alias(f"{name}/max"), F.min(c).alias(f"{name}/min")]
+
+    per_token = spread("critic/advantages", valid(adv)) + spread("critic/returns", valid(ret))
     if use_critic:
-        aggs += [(F.sum("_vs") / n).alias("critic/values/mean"), F.max("_vx").alias("critic/values/max"),
-                 F.min("_vn").alias("critic/values/min"),
-                 (1.0 - var("_ds", "_dq") / (var("_rs", "_rq") + 1e-5)).alias("critic/vf_explained_var")]
-    wide = seq.groupBy(*by).agg(*aggs)
-    names = [c for c in wide.columns if c not in by]
-    return to_long(wide, list(by), {nm: nm for nm in names})
+        unexplained = F.var_samp(F.when(v, F.col(ret) - F.col(values)))
+        per_token += spread("critic/values", valid(values))
+        per_token.append((1.0 - unexplained / (F.var_samp(valid(ret)) + 1e-5)).alias("critic/vf_explained_var"))
+    seq = tokens.groupBy(*by, *seq_keys).agg(F.sum(score).alias("_score"), F.sum(reward).alias("_reward"),
+                                             F.sum(mask).cast("double").alias("_rlen"))
+    per_seq = spread("critic/score", F.col("_score")) + spread("critic/rewards", F.col("_reward")) + spread("response_length", F.col("_rlen"))
+    per_seq.append(F.avg((F.col("_rlen") == max_response_length).cast("double")).alias("response_length/clip_ratio"))
+    out = None
+    for wide in (tokens.groupBy(*by).agg(*per_token), seq.groupBy(*by).agg(*per_seq)):
+        long = to_long(wide, list(by), {c: c for c in wide.columns if c not in by})
+        out = long if out is None else out.unionByName(long)
+    return out
 
 
 # Sections whose per-token time uses response tokens ("gen") or all tokens.
@@ -114,16 +98,20 @@ LLAMA_LIKE = ("llama", "qwen2", "qwen2_vl", "qwen2_5_vl")
 
 def model_flops_per_token(model_type: str, hidden: int, vocab: int, layers: int, heads: int, kv_heads: int,
                           intermediate: int) -> tuple[float, float]:
-    """``(6 * dense parameters, 12 * head_dim * heads * layers)`` of a decoder;
-    unknown model types count zero."""
+    """Training FLOPs of a decoder as ``(per token, per token and position)``.
+
+    A weight takes part in one multiply-add forward and two backward: 6 FLOPs per
+    token. Weights: per layer four attention maps (queries and output over all
+    heads, keys and values over the kv heads) and three of the gated MLP; the
+    embedding and the output map. Attention scores and their use are two products
+    over the head width per pair of positions: 12 FLOPs a head and layer in
+    training. Unknown model types count zero."""
     if model_type not in LLAMA_LIKE:
         return 0.0, 0.0
-    head_dim = hidden // heads
-    q, k, v = heads * head_dim, kv_heads * head_dim, kv_heads * head_dim
-    mlp = hidden * intermediate * 3
-    attn_linear = hidden * (q + k + v + heads * head_dim)
-    dense = (mlp + attn_linear) * layers + vocab * hidden * 2
-    return 6.0 * dense, 12.0 * head_dim * heads * layers
+    width = hidden // heads
+    per_layer = 2 * hidden * width * (heads + kv_heads) + 3 * hidden * intermediate
+    weights = layers * per_layer + 2 * vocab * hidden
+    return 6.0 * weights, 12.0 * layers * heads * width
 
 
 def device_peak(device_name: str) -> float:
@@ -180,10 +168,10 @@ def validation_samples(df: DataFrame, n: int, input_col: str = "input", output_c
                        score_col: str = "score", key: str = "row_id", seed: int = 42) -> DataFrame | None:
     """A fixed, seeded sample of ``n`` (input, output, score) rows as one
     wide row ``input_i, output_i, score_i``; ``n = 0`` logs nothing (None).
-    The order is a seeded hash of the input (not numpy's permutation)."""
+    The order is the md5 of seed and input (not numpy's permutation)."""
     if n == 0:
         return None
-    h = F.xxhash64(F.lit(seed), F.col(input_col))
+    h = seeded_order(seed, F.col(input_col))
     top = df.select(h.alias("_h"), key, input_col, output_col, score_col).orderBy("_h", key).limit(n)
     s = top.agg(F.sort_array(F.collect_list(F.struct("_h", key, input_col, output_col, score_col))).alias("s"))
     cols = []

@@ -2,30 +2,40 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trellis.functions import rewards as R
 from trellis.functions import similarity as S
 
 
+def missed_spans(spans: str, exact: str, with_index: bool = False) -> Column:
+    """The spans without a verbatim hit; ``with_index``: structs of place and span."""
+    pairs = F.transform(F.arrays_zip(F.col(spans).alias("s"), F.col(exact).alias("e")),
+                        lambda x, i: F.struct(i.alias("i"), x["s"].alias("s"), x["e"].alias("e")))
+    left = F.filter(pairs, lambda x: x["e"] == 0)
+    return F.transform(left, lambda x: F.struct(x["i"].alias("i"), x["s"].alias("s")) if with_index else x["s"])
+
+
+def soft_verdicts(spans: Column, context: Column) -> Column:
+    """E6 verdict per span; a context goes to Python only where a span needs it."""
+    return S.soft_hits_udf(spans, F.when(F.size(spans) > 0, context))
+
+
 def soft_credits(df: DataFrame, key: str, context_key: str, context: str = "context",
                  spans: str = "spans", exact: str = "exact") -> DataFrame:
-    """E6 for every span without an exact hit: ``(key, n_soft)``.
-
-    The similarity kernel runs once per distinct ``(context_key, span)`` — the
-    n samples of one prompt share their context — then the verdicts are
-    joined back to the rows and counted.
-    """
-    miss = (df.select(key, context_key, F.posexplode(F.arrays_zip(F.col(spans).alias("s"),
-                                                                  F.col(exact).alias("e")))))
-    miss = miss.filter(F.col("col.e") == 0).select(key, context_key, F.col("col.s").alias("span"))
+    """E6 for rows that share contexts (the n samples of one prompt):
+    ``(key, n_soft)``.  Each context is prepared once for the distinct spans that
+    its rows missed; the verdicts are joined back and counted."""
+    miss = df.select(key, context_key, F.explode(missed_spans(spans, exact)).alias("span"))
     ctx = df.select(context_key, context).dropDuplicates([context_key]) if context_key != key \
         else df.select(key, context)
-    uniq = miss.select(context_key, "span").dropDuplicates([context_key, "span"])
-    judged = (uniq.join(ctx, context_key)
-              .withColumn("soft", S.soft_contains_udf(F.col("span"), F.col(context)))
-              .select(context_key, "span", "soft"))
+    asked = miss.groupBy(context_key).agg(F.collect_set("span").alias("asked"))
+    judged = (asked.join(ctx, context_key).withColumn("hit", soft_verdicts(F.col("asked"), F.col(context)))
+              .select(context_key, F.explode(F.arrays_zip("asked", "hit")).alias("x"))
+              .select(context_key, F.col("x.asked").alias("span"), F.col("x.hit").alias("soft")))
     return (miss.join(judged, [context_key, "span"])
             .groupBy(key).agg(F.sum(F.col("soft").cast("int")).alias("n_soft")))
 
@@ -44,10 +54,9 @@ def score_evidence(df: DataFrame, key: str, response: str = "response", truth: s
            .withColumn("exact", R.exact_credits("spans", context)))
     credit = F.aggregate("exact", F.lit(0.0), lambda a, e: a + e)
     if soft and (context_key is None or context_key == key):
-        # every row has its own context: score its non-verbatim spans in place
-        # (no shuffle; the kernel skips verbatim spans)
-        out = out.withColumn("n_soft", S.soft_count_udf("spans", "exact", context))
-        credit = credit + 0.5 * F.col("n_soft")
+        # every row has its own context: judge its missed spans in place (no shuffle)
+        out = out.withColumn("_hits", soft_verdicts(missed_spans("spans", "exact"), F.col(context)))
+        credit = credit + 0.5 * F.size(F.filter("_hits", lambda h: h))
     elif soft:
         # contexts shared by several rows (n samples of one prompt): judge each
         # distinct (context, span) once
@@ -56,7 +65,7 @@ def score_evidence(df: DataFrame, key: str, response: str = "response", truth: s
         credit = credit + 0.5 * F.coalesce(F.col("n_soft"), F.lit(0))
     out = out.withColumn("span_score", R.span_score("spans", credit))
     out = out.withColumn("reward", R.evidence_reward("format_score", "accuracy", "span_score"))
-    return out.drop("exact", "n_soft")
+    return out.drop("exact", "n_soft", "_hits")
 
 
 def score_math(df: DataFrame, response: str = "response", truth: str = "ground_truth") -> DataFrame:
@@ -75,24 +84,32 @@ def score_tagged(df: DataFrame, response: str = "response", truth: str = "ground
     return out.withColumn("reward", 0.5 * F.col("accuracy") + 0.5 * F.col("format_score"))
 
 
-SCORERS = {"retrieve": "evidence", "math": "math", "r1v": "tagged"}
+#: Scorer by name: frame, id column and options to the frame with ``reward``.
+SCORERS: dict[str, Callable[..., DataFrame]] = {
+    "retrieve": score_evidence,
+    "math": lambda df, key, **kw: score_math(df, **kw),
+    "r1v": lambda df, key, **kw: score_tagged(df, **kw),
+}
+
+
+def register_scorer(name: str, scorer: Callable[..., DataFrame]) -> None:
+    """A user's own scorer ``(frame, key, **options) -> frame with reward``."""
+    if name in SCORERS:
+        raise ValueError(f"there is a scorer named {name!r}")
+    SCORERS[name] = scorer
 
 
 def score_rollouts(df: DataFrame, name: str, key: str = "row_id", **kw) -> DataFrame:
-    """Choose a scorer by name; unknown names raise.  The evidence
-    scorer takes the context column, the others only response and truth."""
+    """Choose a scorer by name; unknown names raise."""
     if name not in SCORERS:
-        raise NotImplementedError(f"unknown reward function {name!r}")
-    if name == "retrieve":
-        return score_evidence(df, key, **kw)
-    if name == "math":
-        return score_math(df, **kw)
-    return score_tagged(df, **kw)
+        raise NotImplementedError(f"no scorer named {name!r}")
+    return SCORERS[name](df, key, **kw)
 
 
-def place_rewards(df: DataFrame, width: int, score: str = "reward", valid_len: str = "response_len",
+def place_rewards(df: DataFrame, width: int | str, score: str = "reward", valid_len: str = "response_len",
                   out: str = "token_level_scores") -> DataFrame:
-    """Token-level score array with the score on the last valid token."""
+    """Token-level score array with the score on the last valid token;
+    ``width`` is a number or the column that holds it."""
     return df.withColumn(out, R.place_reward(score, valid_len, width))
 
 

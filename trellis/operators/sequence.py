@@ -1,125 +1,86 @@
 """Ordered numbering without single-key windows.
 
 ``Window.partitionBy(key).orderBy(...)`` puts every row of a key into one task,
-so a key holding a third of the data becomes one straggler task.  The helpers
-here rank rows by range-partitioning on ``(keys, order)`` — a hot key is split
-over many partitions — numbering rows locally, and adding per-partition
-offsets only for the keys that cross a partition boundary.  That offset table
-has at most two rows per partition, so its broadcast is bounded by the
-partition count, not by the data.
+so a key holding a third of the data becomes one straggler. The helpers here
+range-partition on ``(keys, order)`` — a hot key is then spread over many
+partitions — number the rows inside each sorted partition in the JVM, and add
+the sizes of what lies before.
+
+The numbered rows are written once to the shared folder and every later step
+reads that table. Range partitioning samples its boundaries, so two evaluations
+of the same plan may cut differently (as soon as column pruning makes them two
+plans); row positions and partition sizes must come from one of them.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as Ty
 
-_PID, _LR, _CNT, _OFF = "_trellis_pid", "_trellis_lr", "_trellis_cnt", "_trellis_off"
+from trellis.session import scratch_table
 
+_MID, _PID, _LR, _CNT, _OFF = "_trellis_mid", "_trellis_pid", "_trellis_lr", "_trellis_cnt", "_trellis_off"
+#: ``monotonically_increasing_id`` holds the partition above these bits.
+_BITS = 33
 
-def _num_partitions(df: DataFrame, n: int | None) -> int:
-    if n:
-        return n
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-
-def _local_rank_fn(keys: Sequence[str]):
-    keys = list(keys)
 
-    def fn(batches):
-        from pyspark import TaskContext
+def _num_partitions(df: DataFrame, n: int | None) -> int:
+    return n or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
-        pid = TaskContext.get().partitionId()
-        prev_key, run = None, 0
-        for pdf in batches:
-            if len(pdf) == 0:
-                continue
-            k = pdf[keys]
-            change = (k != k.shift()).any(axis=1).to_numpy()
-            first = tuple(k.iloc[0].tolist())
-            change[0] = first != prev_key
-            grp = change.cumsum()
-            local = pd.Series(pd.RangeIndex(len(pdf))).groupby(grp).cumcount().to_numpy()
-            if not change[0]:
-                local[grp == grp[0]] += run
-            run = int(local[-1]) + 1
-            prev_key = tuple(k.iloc[-1].tolist())
-            out = pdf.copy()
-            out[_PID] = pid
-            out[_LR] = local.astype("int64")
-            yield out
 
-    return fn
+def _sorted_once(df: DataFrame, order: Sequence[str], n: int | None) -> DataFrame:
+    """``df`` cut and sorted by ``order``, with each row's partition and its
+    place in it, as a written table."""
+    cut = df.repartitionByRange(_num_partitions(df, n), *order).sortWithinPartitions(*order)
+    table = scratch_table(cut.withColumn(_MID, F.monotonically_increasing_id()), "sorted")
+    return (table.withColumn(_PID, F.shiftright(_MID, _BITS))
+            .withColumn(_LR, F.col(_MID).bitwiseAND(F.lit((1 << _BITS) - 1))).drop(_MID))
 
 
-# Largest key group a single window task may sort (rows).
-MAX_WINDOW_GROUP = 1_000_000
+def _same(a: str, b: str, keys: Sequence[str]) -> Column:
+    """Key equality in which nulls are one key."""
+    cond = F.col(f"{a}.{_PID}") == F.col(f"{b}.{_PID}")
+    for k in keys:
+        cond = cond & F.col(f"{a}.`{k}`").eqNullSafe(F.col(f"{b}.`{k}`"))
+    return cond
 
 
 def ranked(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str = "rn",
-           num_partitions: int | None = None, max_group_rows: int | None = None) -> DataFrame:
-    """Add ``out`` = 0-based row number of each row within ``keys`` by ``order``.
-
-    ``order`` must make the order total within a key (append a unique column).
-    Equals ``row_number() over (partition by keys order by order) - 1``.
+           num_partitions: int | None = None) -> DataFrame:
+    """Add ``out`` = 0-based row number of each row within ``keys`` by ``order``
+    (``row_number() over (partition by keys order by order) - 1``; rows with a
+    null key form one group). ``order`` must be total within a key.
 
-    The largest key group is counted first (one aggregate, partial before the
-    shuffle).  When it is within ``max_group_rows`` the plain window is used —
-    every window task is then bounded; otherwise the range-partitioned form
-    below spreads hot keys over many tasks.
-    """
+    The window below groups by ``(partition, keys)``, so no task holds more of a
+    key than one range partition does."""
     keys, order = list(keys), list(order)
-    limit = MAX_WINDOW_GROUP if max_group_rows is None else max_group_rows
-    if limit > 0:
-        largest = df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
-        if largest <= limit:
-            w = Window.partitionBy(*keys).orderBy(*order)
-            return df.withColumn(out, F.row_number().over(w) - 1)
-    return _ranked_distributed(df, keys, order, out, num_partitions)
-
-
-def _ranked_distributed(df: DataFrame, keys: list[str], order: list[str], out: str,
-                        num_partitions: int | None) -> DataFrame:
-    n = _num_partitions(df, num_partitions)
-    parted = df.repartitionByRange(n, *keys, *order).sortWithinPartitions(*keys, *order)
-    schema = Ty.StructType(list(parted.schema.fields) + [
-        Ty.StructField(_PID, Ty.IntegerType(), False), Ty.StructField(_LR, Ty.LongType(), False)])
-    local = parted.mapInPandas(_local_rank_fn(keys), schema)
-    summary = local.groupBy(_PID, *keys).agg(F.count(F.lit(1)).alias(_CNT))
-    wk = Window.partitionBy(*keys)
-    crossing = (summary
-                .withColumn("_n", F.count(F.lit(1)).over(wk))
-                .filter(F.col("_n") > 1)
-                .withColumn(_OFF, F.coalesce(F.sum(_CNT).over(
-                    wk.orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-                .select(_PID, *keys, _OFF))
-    # At most two rows per partition cross a boundary: bounded by n.
-    joined = local.join(F.broadcast(crossing), [_PID, *keys], "left")
-    return joined.withColumn(out, F.col(_LR) + F.coalesce(F.col(_OFF), F.lit(0))) \
-        .drop(_PID, _LR, _OFF)
+    table = _sorted_once(df, [*keys, *order], num_partitions)
+    local = table.withColumn(_LR, F.row_number().over(Window.partitionBy(_PID, *keys).orderBy(_LR)) - 1)
+    parts = table.groupBy(_PID, *keys).agg(F.count(F.lit(1)).alias(_CNT))
+    # a key that goes on from an earlier partition: at most one per partition
+    first = table.where(F.col(_LR) == 0).select(_PID, *keys)
+    opening = (parts.alias("p").join(F.broadcast(first).alias("f"), _same("p", "f", keys))
+               .select(F.col(f"p.{_PID}").alias(_PID), *[F.col(f"p.`{k}`").alias(k) for k in keys]))
+    last = table.groupBy(_PID).agg(F.max_by(F.struct(*keys), _LR).alias("_k")).select(_PID, *[F.col(f"_k.`{k}`").alias(k) for k in keys])
+    edges = opening.unionByName(last).distinct()  # at most two keys per partition
+    sizes = (parts.alias("p").join(F.broadcast(edges).alias("e"), _same("p", "e", keys), "left_semi"))
+    before = Window.partitionBy(*keys).orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.withColumn(_OFF, F.sum(_CNT).over(before)).where(F.col(_OFF).isNotNull())
+    joined = local.alias("l").join(F.broadcast(offsets).alias("o"), _same("l", "o", keys), "left")
+    position = (F.col(f"l.{_LR}") + F.coalesce(F.col(f"o.{_OFF}"), F.lit(0))).cast("long")
+    return joined.select(*[F.col(f"l.`{c}`").alias(c) for c in df.columns], position.alias(out))
 
 
 def global_rank(df: DataFrame, order: Sequence[str], out: str = "rn",
                 num_partitions: int | None = None) -> DataFrame:
     """0-based position of each row in the total order ``order`` (a distributed
-    ``zipWithIndex``), all in the JVM: range partition and sort, then
-    ``monotonically_increasing_id`` holds the partition index in its upper 31
-    bits and the position inside the sorted partition in the lower 33; the
-    counts of all earlier partitions (one row per partition, broadcast) are
-    added.  ``repartitionByRange`` with an explicit count is not coalesced by
-    AQE, so the partition index is stable."""
-    order = list(order)
-    n = _num_partitions(df, num_partitions)
-    mid = F.monotonically_increasing_id()
-    local = (df.repartitionByRange(n, *order).sortWithinPartitions(*order)
-             .withColumn(_PID, F.shiftright(mid, 33))
-             .withColumn(_LR, mid.bitwiseAND(F.lit((1 << 33) - 1))))
-    counts = local.groupBy(_PID).agg(F.count(F.lit(1)).alias(_CNT))
-    offs = counts.select(_PID, F.coalesce(F.sum(_CNT).over(
-        Window.orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias(_OFF))
-    joined = local.join(F.broadcast(offs), _PID, "left")
-    return joined.withColumn(out, F.col(_LR) + F.col(_OFF)).drop(_PID, _LR, _OFF)
+    ``zipWithIndex``): place in the sorted partition plus the sizes of the
+    partitions before, one row each."""
+    table = _sorted_once(df, list(order), num_partitions)
+    sizes = table.groupBy(_PID).agg(F.count(F.lit(1)).alias(_CNT))
+    before = Window.orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select(_PID, F.coalesce(F.sum(_CNT).over(before), F.lit(0)).alias(_OFF))
+    joined = table.join(F.broadcast(offsets), _PID)
+    return joined.select(*[F.col(f"`{c}`") for c in df.columns], (F.col(_LR) + F.col(_OFF)).cast("long").alias(out))

@@ -182,16 +182,14 @@ def f17_length_bucket(spark, sf_dir):
 
 @register("f6_rouge_l")
 def f6_rouge_l(spark, sf_dir):
-    """Rouge-L F of each turn against the previous one (Arrow UDF metric)."""
-    qa = V.qa_pairs(spark, sf_dir).withColumn("item_id", F.col("conv_id") * 100000 + F.col("turn"))
-    out = OE.best_of_references_udf(qa, "rouge", key="item_id")
+    """Rouge-L F of each turn against the previous one (Arrow kernel)."""
+    out = OE.best_of_references_udf(V.qa_pairs(spark, sf_dir), "rouge")
     return finish(out.select("conv_id", "turn", "score"))
 
 
 @register("f7_rouge_l_zh")
 def f7_rouge_l_zh(spark, sf_dir):
-    qa = V.qa_pairs(spark, sf_dir).withColumn("item_id", F.col("conv_id") * 100000 + F.col("turn"))
-    out = OE.best_of_references_udf(qa, "rouge_zh", key="item_id")
+    out = OE.best_of_references_udf(V.qa_pairs(spark, sf_dir), "rouge_zh")
     return finish(out.select("conv_id", "turn", "score"))
 
 
@@ -204,10 +202,13 @@ def f12_code_line_similarity(spark, sf_dir):
     return finish(p.select("page_id", code_sim_udf(F.col("html"), F.col("url")).alias("score")))
 
 
-def _dispatch_items(spark, sf_dir):
+def _dataset_of(id_col):
     names = list(OE.DATASET_METRIC)
-    ds = F.element_at(F.array(*[F.lit(n) for n in names]), (F.pmod("doc_id", F.lit(len(names))) + 1).cast("int"))
-    items = V.doc_pairs(spark, sf_dir).withColumn("dataset", ds)
+    return F.element_at(F.array(*[F.lit(n) for n in names]), (F.pmod(id_col, F.lit(len(names))) + 1).cast("int")).alias("dataset")
+
+
+def _dispatch_items(spark, sf_dir):
+    items = V.doc_pairs(spark, sf_dir).withColumn("dataset", _dataset_of("doc_id"))
     docs = V.table(spark, sf_dir, "documents")
     classes = docs.select(F.sort_array(F.collect_set("lang"))).scalar()
     return items.withColumn("all_classes", classes).withColumnRenamed("doc_id", "item_id")
@@ -261,6 +262,7 @@ WITH items AS (SELECT doc_id, {"[" + ", ".join("'" + n + "'" for n in OE.DATASET
 SELECT doc_id, dataset, CASE WHEN dataset = '2hop_qa_v2' THEN NULL ELSE 4096 END AS max_gen, 32768 AS max_input
 FROM items""")
 def f19_generation_limits(spark, sf_dir):
-    items = _dispatch_items(spark, sf_dir).select(F.col("item_id").alias("doc_id"), "dataset")
+    docs = V.table(spark, sf_dir, "documents")
+    items = docs.select("doc_id", _dataset_of("doc_id"))
     return OE.generation_limits(items, OE.dataset_config(spark), "Qwen2.5-7B-Instruct") \
         .select("doc_id", "dataset", "max_gen", "max_input")

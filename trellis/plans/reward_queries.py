@@ -64,16 +64,35 @@ def e5_corpus_contains(spark, sf_dir):
     return OS.corpus_contains(docs, items, "doc_id", "text", "item_id", "span")
 
 
+def _soft(spark, sf_dir):
+    r = V.responses(spark, sf_dir).withColumn("spans", R.retrieval_spans("response"))
+    r = r.withColumn("exact", R.exact_credits("spans", "context"))
+    missed = OR.missed_spans("spans", "exact", with_index=True)
+    r = r.withColumn("m", missed).withColumn("hit", OR.soft_verdicts(F.col("m.s"), F.col("context")))
+    x = r.select("doc_id", "context", F.explode(F.arrays_zip("m", "hit")).alias("x"))
+    return x.select("doc_id", F.col("x.m.i").alias("idx"), F.col("x.m.s").alias("span"), "context", F.col("x.hit").cast("int").alias("soft"))
+
+
 @register("e6_soft_span_match")
 def e6_soft_span_match(spark, sf_dir):
-    """Per non-verbatim span: does a window reach ratio 0.85?  (Arrow UDF;
-    checked against brute force in the tests.)"""
-    r = V.responses(spark, sf_dir)
-    x = r.select("doc_id", "context", F.posexplode(R.retrieval_spans("response")).alias("idx", "span"))
-    x = x.filter(F.instr("context", F.col("span")) == 0)
-    from trellis.functions.similarity import soft_contains_udf
+    """Per non-verbatim span: does a window reach ratio 0.85?  (Arrow kernel;
+    checked against an exhaustive search in the tests.)"""
+    return _soft(spark, sf_dir).select("doc_id", "idx", "soft")
 
-    return x.select("doc_id", "idx", soft_contains_udf(F.col("span"), F.col("context")).cast("int").alias("soft"))
+
+_LOW = "' ' || array_to_string(list_filter(string_split_regex(lower(context), '\\s+'), lambda t: t <> ''), ' ') || ' '"
+
+
+@register("e6_soft_case_hits", _RESP + f"""
+SELECT doc_id, (i - 1)::INTEGER AS idx, 1 AS soft
+FROM (SELECT doc_id, context, unnest({_SPANS}) AS s, unnest(range(1, len({_SPANS}) + 1)) AS i FROM responses)
+WHERE NOT contains(context, s) AND contains({_LOW}, ' ' || lower(s) || ' ')""")
+def e6_soft_case_hits(spark, sf_dir):
+    """The part of E6 that SQL can tell: spans whose words stand in the context but
+    for case and white space reach ratio 1, so all of them are soft hits."""
+    low = F.concat(F.lit(" "), F.array_join(T.py_split(F.lower("context")), " "), F.lit(" "))
+    sure = F.contains(low, F.concat(F.lit(" "), F.lower("span"), F.lit(" ")))
+    return _soft(spark, sf_dir).where(sure).select("doc_id", "idx", "soft")
 
 
 @register("e7_span_score_exact", _RESP + f"""
@@ -174,39 +193,81 @@ def e15_score_by_name(spark, sf_dir):
     return finish(out.select("doc_id", "reward"))
 
 
-# Response width 64, valid length = response word count capped at 64.
-_WIDTH = 64
+_EXACT = f"0.7 * ({_ACC}) + 0.1 * ({Q.evidence_format_sql('response')}) + 0.2 * ({_SPAN_SCORE})"
+
+
+def _placed(spark, sf_dir, soft):
+    """Scores on the last token of each response; the width is that of the longest."""
+    out = OR.score_evidence(V.responses(spark, sf_dir), "doc_id", soft=soft)
+    out = finish(out.select("doc_id", "reward", T.word_count("response").alias("response_len")))
+    width = V.responses(spark, sf_dir).select(F.max(T.word_count("response"))).scalar()
+    return OR.place_rewards(out.withColumn("width", width), "width").select("doc_id", "response_len", "token_level_scores")
 
 
 @register("e16_place_reward", _RESP + f""",
-sc AS (SELECT doc_id, {Q.r6(f"0.7 * ({_ACC}) + 0.1 * ({Q.evidence_format_sql('response')}) + 0.2 * ({_SPAN_SCORE})")} AS reward,
-              least(len({Q.ws_split('response')}), {_WIDTH})::INTEGER AS response_len FROM responses)
-SELECT doc_id, response_len, list_transform(range(0, {_WIDTH}),
-       lambda i: CASE WHEN i = (CASE WHEN response_len = 0 THEN {_WIDTH - 1} ELSE response_len - 1 END)
+sc AS (SELECT doc_id, {Q.r6(_EXACT)} AS reward, len({Q.ws_split('response')})::INTEGER AS response_len FROM responses),
+m AS (SELECT max(response_len) AS width FROM sc)
+SELECT doc_id, response_len, list_transform(range(0, width),
+       lambda i: CASE WHEN i = (CASE WHEN response_len = 0 THEN width - 1 ELSE response_len - 1 END)
                  THEN reward ELSE 0.0 END) AS token_level_scores
-FROM sc""")
+FROM sc, m""")
 def e16_place_reward(spark, sf_dir):
-    out = OR.score_evidence(V.responses(spark, sf_dir), "doc_id", soft=False)
-    out = finish(out.select("doc_id", "reward",
-                            F.least(T.word_count("response"), F.lit(_WIDTH)).alias("response_len")))
-    return OR.place_rewards(out, _WIDTH).select("doc_id", "response_len", "token_level_scores")
+    """The verbatim reward, which SQL can check."""
+    return _placed(spark, sf_dir, False)
 
 
-@register("e17_validation_score", _RESP + f"""
-SELECT {Q.r6(f"avg(0.7 * ({_ACC}) + 0.1 * ({Q.evidence_format_sql('response')}) + 0.2 * ({_SPAN_SCORE}))")} AS val_score,
-       count(*) AS n_rows FROM responses""")
-def e17_validation_score(spark, sf_dir):
-    out = OR.score_evidence(V.responses(spark, sf_dir), "doc_id", soft=False)
+@register("e16_place_reward_full")
+def e16_place_reward_full(spark, sf_dir):
+    """With half credit for soft span matches."""
+    return _placed(spark, sf_dir, True)
+
+
+def _validated(spark, sf_dir, soft):
+    out = OR.score_evidence(V.responses(spark, sf_dir), "doc_id", soft=soft)
     placed = OR.place_rewards(out.select("doc_id", "reward", F.lit(1).alias("response_len")), 1)
     return finish(OR.validation_score(placed))
 
 
+@register("e17_validation_score", _RESP + f"""
+SELECT {Q.r6(f"avg({_EXACT})")} AS val_score, count(*) AS n_rows FROM responses""")
+def e17_validation_score(spark, sf_dir):
+    return _validated(spark, sf_dir, False)
+
+
+@register("e17_validation_score_full")
+def e17_validation_score_full(spark, sf_dir):
+    """The validation score with soft matching on."""
+    return _validated(spark, sf_dir, True)
+
+
+def _inspected(spark, sf_dir, soft):
+    out = OR.score_evidence(V.responses(spark, sf_dir), "doc_id", soft=soft)
+    return finish(OR.inspect_samples(out.select("doc_id", "response", "ground_truth", "reward"), 5, "doc_id"))
+
+
 @register("e18_inspect_samples", _RESP + f"""
-SELECT doc_id, response, ground_truth, {Q.r6(f"0.7 * ({_ACC}) + 0.1 * ({Q.evidence_format_sql('response')}) + 0.2 * ({_SPAN_SCORE})")} AS reward
+SELECT doc_id, response, ground_truth, {Q.r6(_EXACT)} AS reward
 FROM responses ORDER BY doc_id LIMIT 5""")
 def e18_inspect_samples(spark, sf_dir):
-    out = OR.score_evidence(V.responses(spark, sf_dir), "doc_id", soft=False)
-    return finish(OR.inspect_samples(out.select("doc_id", "response", "ground_truth", "reward"), 5, "doc_id"))
+    return _inspected(spark, sf_dir, False)
+
+
+@register("e18_inspect_samples_full")
+def e18_inspect_samples_full(spark, sf_dir):
+    return _inspected(spark, sf_dir, True)
+
+
+@register("e8_reward_bounds", _RESP + f"""
+SELECT doc_id, {Q.r6(_EXACT)} AS verbatim, true AS in_bounds FROM responses""")
+def e8_reward_bounds(spark, sf_dir):
+    """The full reward lies between the verbatim one and that plus half the
+    missed spans' credit."""
+    full = OR.score_evidence(V.responses(spark, sf_dir), "doc_id", soft=True).select("doc_id", "reward", "spans", "context")
+    full = full.withColumn("missed", F.size(F.filter(R.exact_credits("spans", "context"), lambda e: e == 0)))
+    exact = OR.score_evidence(V.responses(spark, sf_dir), "doc_id", soft=False).select("doc_id", F.col("reward").alias("verbatim"))
+    most = F.when(F.size("spans") > 0, 0.2 * 0.5 * F.col("missed") / F.size("spans")).otherwise(F.lit(0.0))
+    gain = F.col("reward") - F.col("verbatim")
+    return finish(full.join(exact, "doc_id").select("doc_id", "verbatim", ((gain >= -1e-9) & (gain <= most + 1e-9)).alias("in_bounds")))
 
 
 @register("e15_score_by_name_tagged", _TAG + f"""

@@ -9,6 +9,11 @@ def r6(expr: str) -> str:
     return f"(round(({expr})::DOUBLE, 6) + 0.0)"
 
 
+def draw_sql(*parts: str) -> str:
+    """52 bits of the md5 draw of :func:`trellis.operators.curriculum.draw`."""
+    return f"('0x' || substr(md5(concat_ws(':', {', '.join(parts)})), 1, 13))::BIGINT"
+
+
 def ws_split(x: str) -> str:
     """Python ``str.split()`` (ASCII white space is all the data holds)."""
     return f"list_filter(string_split_regex({x}, '\\s+'), lambda t: t <> '')"

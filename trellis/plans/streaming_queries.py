@@ -23,6 +23,13 @@ SELECT doc_id, {Q.r6(Q.evidence_format_sql('response'))} AS format_score, {Q.r6(
        {Q.r6(f"0.7 * ({_ACC}) + 0.1 * ({Q.evidence_format_sql('response')}) + 0.2 * ({_SPAN_SCORE})")} AS reward
 FROM responses""")
 def j1_score_stream(spark, sf_dir):
+    """Verbatim spans only: what SQL can check."""
+    return finish(S.score_stream(spark, f"{sf_dir}/documents.parquet", V.responses_from, soft=False))
+
+
+@register("j1_score_stream_full")
+def j1_score_stream_full(spark, sf_dir):
+    """The full reward on arriving responses; equals the batch job (tested)."""
     return finish(S.score_stream(spark, f"{sf_dir}/documents.parquet", V.responses_from))
 
 
@@ -35,6 +42,37 @@ def j2_metric_windows(spark, sf_dir):
     return finish(S.metric_windows(spark, f"{sf_dir}/events.parquet"))
 
 
+@register("j2_sliding_windows", f"""
+WITH w AS (SELECT *, unnest([time_bucket(INTERVAL 12 HOUR, ts), time_bucket(INTERVAL 12 HOUR, ts) - INTERVAL 12 HOUR]) AS st FROM events)
+SELECT strftime(st, '%Y-%m-%d %H:%M:%S') AS window_start, strftime(st + INTERVAL 1 DAY, '%Y-%m-%d %H:%M:%S') AS window_end,
+       event_type, count(*) AS n, {Q.r6('avg(value)')} AS mean_value, {Q.r6('max(value)')} AS max_value
+FROM w GROUP BY ALL""")
+def j2_sliding_windows(spark, sf_dir):
+    """Day-long windows every half day."""
+    return finish(S.metric_windows(spark, f"{sf_dir}/events.parquet", slide="12 hours"))
+
+
+_FILES = 4
+
+
+@register("j2_late_rows", f"""
+WITH a AS (SELECT *, event_id % 10 = 0 AS later, time_bucket(INTERVAL 1 DAY, ts) AS st FROM events),
+mark AS (SELECT max(ts) - INTERVAL 6 HOUR AS w FROM a WHERE event_id % 10 > 1)
+SELECT strftime(st, '%Y-%m-%d %H:%M:%S') AS window_start, strftime(st + INTERVAL 1 DAY, '%Y-%m-%d %H:%M:%S') AS window_end,
+       event_type, count(*) AS n, {Q.r6('avg(value)')} AS mean_value, {Q.r6('max(value)')} AS max_value
+FROM a, mark WHERE NOT later OR st + INTERVAL 1 DAY > w GROUP BY ALL""")
+def j2_late_rows(spark, sf_dir):
+    """A tenth of the events arrives after all others: rows whose window the
+    watermark has passed by then are dropped, the rest updates its window.
+    (Spark holds late rows against the watermark of the micro-batch before the
+    last, hence the second tenth in between.)"""
+    path = IO.scratch_path(spark, f"events-{uuid.uuid4().hex}")
+    ev, tenth = V.table(spark, sf_dir, "events"), F.col("event_id") % 10
+    for part in (tenth > 1, tenth == 1, tenth == 0):  # micro-batches, in the order of writing
+        ev.where(part).repartition(_FILES).write.mode("append").parquet(path)
+    return finish(S.metric_windows(spark, path, maxFilesPerTrigger=_FILES))
+
+
 @register("j2_session_metrics", f"""
 WITH e AS (SELECT user_id, ts, event_id, value, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS prev FROM events),
 s AS (SELECT *, sum(CASE WHEN prev IS NULL OR ts >= prev + INTERVAL 2 HOUR THEN 1 ELSE 0 END)
@@ -66,10 +104,17 @@ def j3_adaptive_kl_stream(spark, sf_dir):
     return finish(S.adaptive_kl_stream(spark, _step_dir(spark, sf_dir), _KL_INIT, _KL_TARGET, _KL_HORIZON))
 
 
-@register("j4_curriculum_stream")
+@register("j4_curriculum_stream", f"""WITH {Q.STEP_LOG},
+sizes AS (SELECT (SELECT count(*) FROM documents) AS n_main, (SELECT count(*) FROM benchmark) AS n_extra),
+slots AS (SELECT step::BIGINT AS step, slot FROM step_log, range(32) t(slot) WHERE run = 'view'),
+drawn AS (
+  SELECT step, slot, {Q.draw_sql("'42'", "step", "slot", "'source'")} / {float(1 << 52)} < least(0.5, step / 30.0 * 0.5) AS extra,
+         {Q.draw_sql("'42'", "step", "slot", "'index'")} AS u FROM slots)
+SELECT step, slot, CASE WHEN extra THEN 'extra' ELSE 'main' END AS source,
+       u % CASE WHEN extra THEN n_extra ELSE n_main END AS pick FROM drawn, sizes""")
 def j4_curriculum_stream(spark, sf_dir):
-    """Step stream joined to the static sources; equals the batch feed (tested)."""
+    """Step stream joined to the static sources; equals the batch feed."""
     ss = S.stream_session(spark)
     main = V.table(ss, sf_dir, "documents").select(F.col("doc_id").alias("row_id"))
     extra = V.table(ss, sf_dir, "benchmark").select(F.col("item_id").alias("row_id"))
-    return S.curriculum_stream(spark, _step_dir(spark, sf_dir), main, extra, 32, 30)
+    return S.curriculum_stream(spark, _step_dir(spark, sf_dir), "view", main, extra, 32, 30)

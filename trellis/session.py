@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -45,15 +46,19 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the cluster's shared checkpoint folder.
 
-    ``spark.checkpoint.dir`` is read from the session; only when it is unset
-    (local tests) is a scratch folder chosen here.
+    ``spark.checkpoint.dir`` is read from the session. Only where it is unset and
+    all work runs in this process (a ``local[...]`` master) is a scratch folder
+    chosen here: on a cluster it would be another disk on each machine.
     """
     try:
         conf_path = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+        master = spark.sparkContext.master
     except Exception:  # no SparkContext access (e.g. Spark Connect)
-        conf_path = None
+        conf_path, master = None, ""
     path = conf_path or spark.conf.get("spark.checkpoint.dir", None)
     if path is None:
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         path = tempfile.mkdtemp(prefix="trellis-ckpt-")
         spark.conf.set("spark.checkpoint.dir", path)
     try:
@@ -63,10 +68,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return path
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint into the shared checkpoint folder (never local)."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A folder for written tables inside the shared checkpoint folder."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables/{name}"
+
+
+def scratch_table(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` once into the shared folder and read it back, so that every
+    later use sees the same rows and survives lost executors."""
+    path = scratch_path(df.sparkSession, f"{name}-{uuid.uuid4().hex}")
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 _SHIPPED: set[int] = set()
@@ -74,8 +86,8 @@ _SHIPPED: set[int] = set()
 
 def ship_package(spark: SparkSession) -> None:
     """Make ``trellis`` importable in the Python workers (UDFs, pandas
-    operators): zip the package into the shared checkpoint folder once per
-    SparkContext and register it with ``addPyFile``."""
+    operators): zip it once per SparkContext and register it with
+    ``addPyFile``, which serves the archive to the executors."""
     import shutil
 
     try:

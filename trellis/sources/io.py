@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as Ty
 
+from trellis.session import scratch_path  # noqa: F401  (also used by callers of this module)
+
 # Schema of one prediction line (A5 / A4).
 PREDICTION_SCHEMA = Ty.StructType([
     Ty.StructField("pred", Ty.StringType()),
@@ -93,12 +95,3 @@ def save_batch(df: DataFrame, path: str) -> None:
 def load_batch(spark: SparkSession, path: str) -> DataFrame:
     """Load a saved batch."""
     return spark.read.parquet(path)
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A folder for written tables inside the session's shared checkpoint
-    folder (``spark.checkpoint.dir``)."""
-    from trellis.session import ensure_checkpoint_dir
-
-    base = ensure_checkpoint_dir(spark)
-    return f"{base.rstrip('/')}/tables/{name}"

@@ -2,12 +2,12 @@
 
 Every view is a pure DataFrame expression over whole tables, so its work grows
 with the data.  Each has an equivalent DuckDB form in
-:mod:`trellis.plans.oracle`.
+:mod:`trellis.plans.sqlkit`.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trellis.functions import text as T
@@ -20,28 +20,8 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
 SEQ_LEN = 128
 
 
-# Tables whose per-row work is CPU heavy (long texts, arrays).
-HEAVY = ("documents", "pages", "conversations", "embeddings")
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return spread(df) if name in HEAVY else df
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Round-robin the rows over the cluster's cores when the scan yields fewer
-    splits than cores (a small file with a single row group).  On large inputs
-    the scan already has many splits and no shuffle is added."""
-    try:
-        cores = df.sparkSession.sparkContext.defaultParallelism
-        splits = df.rdd.getNumPartitions()
-    except Exception:  # a session without RDD access (e.g. Spark Connect)
-        return df
-    if splits < cores:
-        # several slices per core so that long texts do not leave cores idle
-        return df.repartition(cores * 2)
-    return df
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def qa_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,36 +35,38 @@ def qa_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
                     (F.char_length("a.text") + F.char_length("b.text")).alias("length")))
 
 
+#: Consecutive documents that are paired in one group.
+PAIR_BLOCK = 256
+
+
 def doc_pairs(spark: SparkSession, sf_dir: str, text_fn=None) -> DataFrame:
     """Each document is a prediction; its neighbours by id are the references.
 
     ``answers`` holds the texts of documents ``doc_id-1`` and ``doc_id+1`` that
     exist (one or two), ``length`` is the item's character count and the
-    dataset is the document language.  Built with one shuffle: every document
-    is emitted once per role (itself, reference of the next, reference of the
-    previous) keyed by the target id and grouped (three rows per key at most),
-    instead of two self-joins that would shuffle the text five times.
-    ``text_fn`` (a Column function) is applied to each document once, before
-    pairing — e.g. a normaliser, so that prediction and references are not
-    normalised again per pair.
+    dataset is the document language.  Documents are dealt by blocks of
+    consecutive ids; the two at a block's ends go to the next block as well
+    (``2 / PAIR_BLOCK`` copies of the text), where ``lag`` and ``lead`` find the
+    neighbours of a block's own documents.  ``text_fn`` (a Column function) is
+    applied to each document once, before pairing — e.g. a normaliser, so that
+    prediction and references are not normalised again per pair.
     """
     d = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "n_chars")
     if text_fn is not None:
         d = d.withColumn("text", text_fn(F.col("text")))
-    roles = d.select(F.explode(F.array(
-        F.struct(F.col("doc_id").alias("key"), F.lit(0).alias("role"), "text", "lang", "n_chars"),
-        F.struct((F.col("doc_id") - 1).alias("key"), F.lit(1).alias("role"), "text", "lang", "n_chars"),
-        F.struct((F.col("doc_id") + 1).alias("key"), F.lit(2).alias("role"), "text", "lang", "n_chars"),
-    )).alias("r")).select("r.*")
-    g = roles.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("role", "text", "lang", "n_chars"))).alias("s"))
-    own = F.col("s")[0]
-    # role 2 (the previous document) sorts after role 1 (the next one); the
-    # reference order is previous, next
-    refs = F.filter(F.col("s"), lambda x: x["role"] > 0)
-    ordered = F.transform(F.reverse(refs), lambda x: x["text"])
-    return (g.filter(own["role"] == 0)
-            .select(F.col("key").alias("doc_id"), own["lang"].alias("dataset"), own["text"].alias("pred"),
-                    ordered.alias("answers"), own["n_chars"].alias("length")))
+
+    def block(x):
+        return F.floor(x / PAIR_BLOCK)
+
+    dealt = d.withColumn("_b", F.explode(F.array_distinct(F.array(
+        block(F.col("doc_id")), block(F.col("doc_id") - 1), block(F.col("doc_id") + 1)))))
+    w = Window.partitionBy("_b").orderBy("doc_id")
+    near = [F.when(step("doc_id", 1).over(w) == F.col("doc_id") + at, step("text", 1).over(w))
+            for step, at in ((F.lag, -1), (F.lead, 1))]
+    paired = dealt.select("*", F.filter(F.array(*near), lambda x: x.isNotNull()).alias("answers"))
+    return (paired.filter(F.col("_b") == block(F.col("doc_id")))
+            .select("doc_id", F.col("lang").alias("dataset"), F.col("text").alias("pred"), "answers",
+                    F.col("n_chars").alias("length")))
 
 
 def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -179,8 +161,6 @@ def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     sequence); scores are the event values; critic values and log-probs are
     fixed transforms of the value so that every statistic has real inputs.
     """
-    from pyspark.sql import Window
-
     s = seqs(spark, sf_dir)
     w = Window.partitionBy("user_id", "piece").orderBy("pos")
     prior = F.max(F.col("is_eos").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, -1))
@@ -233,8 +213,14 @@ def logits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("logits"), "label")
 
 
+#: Documents of one feed batch in the length-balancing input.
+FEED_BATCH = 50
+
+
 def lens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Length-balancing input: one item per document, batch = source."""
-    d = table(spark, sf_dir, "documents")
-    return d.select(F.col("source").alias("batch_id"), "doc_id",
-                    T.word_count("text").cast("int").alias("n_tokens"))
+    """Length-balancing input: the documents in id order, cut into feed batches
+    of FEED_BATCH items (a short last batch is dropped, as the feed does)."""
+    from trellis.operators.curriculum import batches
+
+    d = table(spark, sf_dir, "documents").select("doc_id", T.word_count("text").cast("int").alias("n_tokens"))
+    return batches(d, FEED_BATCH, id_col="doc_id").select("batch_id", "doc_id", "n_tokens")

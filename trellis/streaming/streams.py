@@ -1,11 +1,11 @@
 """Streaming jobs.
 
 Every job reads a file stream, applies the same column builders and
-operators as the batch jobs, and writes through ``foreachBatch`` tagged with
-the micro-batch id, so a replayed batch is recognised and the sink stays
-exactly-once on read.  Sinks and checkpoints live in the shared checkpoint
-folder.  ``run_available_now`` drains everything available and stops, which
-makes ``stream == batch`` testable.
+operators as the batch jobs, and writes through ``foreachBatch`` into one folder
+per micro-batch: a replayed micro-batch overwrites its own folder, so the sink
+holds every row exactly once.  Sinks and checkpoints live in the shared
+checkpoint folder.  ``run_available_now`` drains everything available and stops,
+which makes ``stream == batch`` testable.
 """
 
 from __future__ import annotations
@@ -19,13 +19,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as Ty
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from trellis.functions import rewards as R
+from trellis.operators.curriculum import draws
+from trellis.operators.rewards import score_evidence
 from trellis.sources.io import scratch_path
 
+_BATCH_ID = "trellis_batch_id"
+
 
 def _sink(path: str):
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.withColumn("_batch_id", F.lit(batch_id)).write.mode("append").parquet(path)
+        batch.write.mode("overwrite").parquet(f"{path}/{_BATCH_ID}={batch_id}")
 
     return write
 
@@ -53,15 +56,12 @@ def run_available_now(stream: DataFrame, name: str, output_mode: str = "append")
 
 def read_sink(spark: SparkSession, path: str, schema: Ty.StructType, keys: list[str] | None = None) -> DataFrame:
     """Read a sink back; with ``keys`` keep the latest micro-batch's row per key
-    (update-mode aggregates), otherwise drop replayed duplicates."""
-    full = Ty.StructType(list(schema.fields) + [Ty.StructField("_batch_id", Ty.LongType())])
-    df = spark.read.schema(full).parquet(path)
+    (update-mode aggregates)."""
+    df = spark.read.schema(Ty.StructType([*schema.fields, Ty.StructField(_BATCH_ID, Ty.LongType())])).parquet(path)
     if keys:
-        latest = df.groupBy(*keys).agg(F.max("_batch_id").alias("_batch_id"))
-        df = df.join(latest, [*keys, "_batch_id"])
-    else:
-        df = df.dropDuplicates([c for c in df.columns])
-    return df.drop("_batch_id")
+        latest = df.groupBy(*keys).agg(F.max(_BATCH_ID).alias(_BATCH_ID))
+        df = df.join(latest, [*keys, _BATCH_ID])
+    return df.select(*[f.name for f in schema.fields])
 
 
 # ---------------------------------------------------------------- J1
@@ -83,19 +83,14 @@ def file_stream(spark: SparkSession, path: str, schema: str, **options) -> DataF
 EVENTS_SCHEMA = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
 
-def score_stream(spark: SparkSession, source_dir: str, responses_fn) -> DataFrame:
-    """Evidence reward (verbatim spans) on arriving responses."""
+def score_stream(spark: SparkSession, source_dir: str, responses_fn, soft: bool = True) -> DataFrame:
+    """Evidence reward on arriving responses, the batch scorer unchanged
+    (``soft=False``: verbatim spans only)."""
     batch_spark, spark = spark, stream_session(spark)
     docs = file_stream(spark, source_dir, "doc_id long, text string, lang string, source string, n_chars long",
                        maxFilesPerTrigger=1)
-    resp = responses_fn(docs)
-    scored = (resp.withColumn("format_score", R.evidence_format("response"))
-              .withColumn("accuracy", R.set_f1(R.extract_answer("response"), "ground_truth"))
-              .withColumn("spans", R.retrieval_spans("response"))
-              .withColumn("span_score", R.span_score("spans", F.aggregate(
-                  R.exact_credits("spans", "context"), F.lit(0.0), lambda a, e: a + e)))
-              .withColumn("reward", R.evidence_reward("format_score", "accuracy", "span_score"))
-              .select("doc_id", "format_score", "accuracy", "span_score", "reward"))
+    scored = score_evidence(responses_fn(docs), "doc_id", soft=soft).select(
+        "doc_id", "format_score", "accuracy", "span_score", "reward")
     sink = run_available_now(scored, "score-stream")
     return read_sink(batch_spark, sink, scored.schema)
 
@@ -103,12 +98,12 @@ def score_stream(spark: SparkSession, source_dir: str, responses_fn) -> DataFram
 # ---------------------------------------------------------------- J2
 
 def metric_windows(spark: SparkSession, events_dir: str, window: str = "1 day", delay: str = "6 hours",
-                   slide: str | None = None) -> DataFrame:
+                   slide: str | None = None, **options) -> DataFrame:
     """Per event type and tumbling (or sliding) event-time window: count,
     mean and max value, with a watermark; rows later than the watermark are
     dropped by the engine."""
     batch_spark, spark = spark, stream_session(spark)
-    ev = file_stream(spark, events_dir, EVENTS_SCHEMA)
+    ev = file_stream(spark, events_dir, EVENTS_SCHEMA, **options)
     ev = ev.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay)
     w = F.window("ts", window, slide) if slide else F.window("ts", window)
     agg = (ev.groupBy(w.alias("w"), "event_type")
@@ -135,68 +130,74 @@ def session_metrics(spark: SparkSession, events_dir: str, gap: str = "2 hours",
 
 # ---------------------------------------------------------------- J3
 
-_KL_STATE = Ty.StructType([Ty.StructField("value", Ty.DoubleType()), Ty.StructField("last_step", Ty.IntegerType())])
+_KL_STATE = Ty.StructType([
+    Ty.StructField("value", Ty.DoubleType()), Ty.StructField("next_step", Ty.IntegerType()),
+    # steps that came before their predecessor
+    Ty.StructField("early_step", Ty.ArrayType(Ty.IntegerType())), Ty.StructField("early_kl", Ty.ArrayType(Ty.DoubleType())),
+    Ty.StructField("early_n", Ty.ArrayType(Ty.LongType()))])
 _KL_OUT = Ty.StructType([Ty.StructField("run", Ty.StringType()), Ty.StructField("step", Ty.IntegerType()),
                          Ty.StructField("kl_coef", Ty.DoubleType()), Ty.StructField("kl_coef_next", Ty.DoubleType())])
 
 
-def _kl_controller(init: float, target: float, horizon: float):
+def _kl_controller(init: float, target: float, horizon: float, first_step: int):
     def fn(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        value, last = (state.get if state.exists else (init, -1))
-        pdf = pd.concat(list(batches)).sort_values("step")
+        value, due, steps, kls, ns = state.get if state.exists else (init, first_step, [], [], [])
+        waiting = dict(zip(steps, zip(kls, ns)))
+        for pdf in batches:
+            for step, kl, n in zip(pdf["step"].tolist(), pdf["kl"].tolist(), pdf["n"].tolist()):
+                if step >= due:  # an earlier one was applied before this replay
+                    waiting[step] = (kl, n)
         rows = []
-        for step, kl, n in zip(pdf["step"], pdf["kl"], pdf["n"]):
-            if step <= last:
-                continue  # replayed step: already applied
-            err = min(max(kl / target - 1.0, -0.2), 0.2)
-            new = value * (1.0 + err * n / horizon)
-            rows.append((key[0], int(step), value, new))
-            value, last = new, int(step)
-        state.update((value, last))
+        while due in waiting:
+            kl, n = waiting.pop(due)
+            error = min(max(kl / target - 1.0, -0.2), 0.2)
+            after = value * (1.0 + error * n / horizon)
+            rows.append((key[0], due, value, after))
+            value, due = after, due + 1
+        left = sorted(waiting)
+        state.update((value, due, left, [waiting[x][0] for x in left], [waiting[x][1] for x in left]))
         yield pd.DataFrame(rows, columns=["run", "step", "kl_coef", "kl_coef_next"])
 
     return fn
 
 
-def adaptive_kl_stream(spark: SparkSession, step_dir: str, init: float, target: float, horizon: float) -> DataFrame:
+STEP_SCHEMA = "run string, kl double, n long, seconds double, step int"
+
+
+def adaptive_kl_stream(spark: SparkSession, step_dir: str, init: float, target: float, horizon: float,
+                       first_step: int = 0, files_per_trigger: int = 10) -> DataFrame:
     """The adaptive KL coefficient as per-run state, updated in step order
-    as steps arrive (the log is partitioned by step; ten step files per
-    micro-batch, applied in step order; a replayed step is skipped)."""
+    whatever order the files come in: a step that is early waits in the state for
+    its predecessor, a replayed one is skipped.  Steps that never get their
+    predecessor are an error, raised when the stream has been drained."""
     batch_spark, spark = spark, stream_session(spark)
-    steps = spark.readStream.schema("run string, kl double, n long, seconds double, step int") \
-        .option("maxFilesPerTrigger", 10).parquet(step_dir)
+    steps = spark.readStream.schema(STEP_SCHEMA).option("maxFilesPerTrigger", files_per_trigger).parquet(step_dir)
     out = steps.groupBy("run").applyInPandasWithState(
-        _kl_controller(init, target, horizon), _KL_OUT, _KL_STATE, "append", GroupStateTimeout.NoTimeout)
-    sink = run_available_now(out, "adaptive-kl")
-    return read_sink(batch_spark, sink, _KL_OUT)
+        _kl_controller(init, target, horizon, first_step), _KL_OUT, _KL_STATE, "append", GroupStateTimeout.NoTimeout)
+    done = read_sink(batch_spark, run_available_now(out, "adaptive-kl"), _KL_OUT)
+    seen = batch_spark.read.schema(STEP_SCHEMA).parquet(step_dir).where(F.col("step") >= first_step).select("run", "step").distinct()
+    lost = seen.join(done, ["run", "step"], "left_anti").groupBy("run").agg(F.min("step").alias("step")).limit(5).collect()
+    if lost:
+        raise ValueError(f"steps without their predecessor: {[(r.run, r.step) for r in lost]}")
+    return done
 
 
 # ---------------------------------------------------------------- J4
 
-def curriculum_stream(spark: SparkSession, step_dir: str, main: DataFrame, extra: DataFrame, batch_size: int,
+def curriculum_stream(spark: SparkSession, step_dir: str, run: str, main: DataFrame, extra: DataFrame, batch_size: int,
                       max_steps: int, seed: int = 42) -> DataFrame:
-    """Each arriving step expands to its slots, draws source and row
-    (pure function of seed/step/slot) and joins the static sources."""
-    from trellis.operators.curriculum import mix_ratio, uniform
-
-    n_main, n_extra = main.count(), extra.count()
-    batch_spark = spark
-    spark = main.sparkSession
-    steps = spark.readStream.schema("run string, kl double, n long, seconds double, step int") \
-        .option("maxFilesPerTrigger", 10).parquet(step_dir).select("step").dropDuplicates(["step"])
+    """Each arriving step of one run expands to its slots, draws source and
+    row (the batch feed's own draw) and joins the static sources.  A run logs a
+    step once, so no state is kept."""
+    from trellis.operators.batch import dense_size
+
+    n_main, n_extra = dense_size(main), dense_size(extra)
+    batch_spark, spark = spark, main.sparkSession
+    steps = spark.readStream.schema(STEP_SCHEMA).option("maxFilesPerTrigger", 10).parquet(step_dir).where(F.col("run") == run)
     slots = steps.select(F.col("step").cast("long").alias("step"),
-                         F.explode(F.sequence(F.lit(0), F.lit(batch_size - 1))).alias("slot")) \
-        .withColumn("slot", F.col("slot").cast("long"))
-    use_extra = uniform(seed, F.col("step"), F.col("slot"), F.lit("source")) < mix_ratio(F.col("step"), max_steps)
-    h = F.xxhash64(F.lit(seed), F.col("step"), F.col("slot"), F.lit("index"))
-    drawn = (slots.withColumn("source", F.when(use_extra, F.lit("extra")).otherwise(F.lit("main")))
-             .withColumn("pick", F.when(F.col("source") == "extra", F.pmod(h, F.lit(max(n_extra, 1))))
-                         .otherwise(F.pmod(h, F.lit(n_main)))))
-    m = main.withColumn("source", F.lit("main")).withColumnRenamed("row_id", "pick").select("source", "pick")
-    e = extra.withColumn("source", F.lit("extra")).withColumnRenamed("row_id", "pick").select("source", "pick")
-    joined = drawn.join(m.unionByName(e), ["source", "pick"])
-    sink = run_available_now(joined.select("step", "slot", "source", "pick"), "curriculum-stream")
-    return read_sink(batch_spark, sink, Ty.StructType([Ty.StructField("step", Ty.LongType()),
-                                                 Ty.StructField("slot", Ty.LongType()),
-                                                 Ty.StructField("source", Ty.StringType()),
-                                                 Ty.StructField("pick", Ty.LongType())]))
+                         F.explode(F.sequence(F.lit(0).cast("long"), F.lit(batch_size - 1).cast("long"))).alias("slot"))
+    m = main.select(F.lit("main").alias("source"), F.col("row_id").alias("pick"))
+    e = extra.select(F.lit("extra").alias("source"), F.col("row_id").alias("pick"))
+    out = draws(slots, n_main, n_extra, max_steps, seed).join(m.unionByName(e), ["source", "pick"]) \
+        .select("step", "slot", "source", "pick")
+    return read_sink(batch_spark, run_available_now(out, "curriculum-stream"), out.schema)
