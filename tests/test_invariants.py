@@ -228,15 +228,81 @@ def test_registry_contract(spark):
     assert df.count() > 0
 
 
+def test_long_sequences_discount_without_underflow(spark):
+    """Sequences longer than a block of the discounted sum, and streams cut at
+    another length, against the backward recursion."""
+    rnd = random.Random(4)
+    for c, n in ((0.5, 3000), (0.99 * 0.95, 12_000), (1e-4, 200), (1.0, 500), (0.0, 50)):
+        x = [rnd.gauss(0, 5) for _ in range(n)]
+        df = spark.createDataFrame([(0, i, v) for i, v in enumerate(x)], "s int, pos int, x double")
+        got = {r.pos: r.y for r in A.discounted_suffix_sum(df, ["s"], "pos", F.col("x"), c, "y").collect()}
+        acc = 0.0
+        for i in range(n - 1, -1, -1):
+            acc = x[i] + c * acc
+            assert got[i] == pytest.approx(acc, rel=1e-9, abs=1e-9), (c, i)
+    with pytest.raises(ValueError):
+        A.discounted_suffix_sum(df, ["s"], "pos", F.col("x"), 1.5, "y")
+    t = V.tokens(spark, SF_SMALL, seq_len=4)
+    assert t.agg(F.max("pos")).first()[0] == 3 and t.select("piece").distinct().count() > 1
+    assert t.count() == V.table(spark, SF_SMALL, "events").count()
+
+
+def test_batch_constants(spark):
+    df = spark.createDataFrame([(0, "a", 1), (1, "b", 2)], "row_id long, v string, w int")
+    a, b = B.Batch(df.select("row_id", "v"), {"step": 1, "k": [1]}), B.Batch(df.select("row_id", "w"), {"step": 1})
+    both = a.union(b)
+    assert both.meta == {"step": 1, "k": [1]} and both.rows.count() == 2
+    with pytest.raises(ValueError, match="two values"):
+        a.union(B.Batch(b.rows, {"step": 2}))
+    with pytest.raises(Exception, match="missing on one side"):
+        B.union(df, df.limit(1)).collect()
+    taken, rest = both.pop(["v"], ["k"])
+    assert (taken.meta, rest.meta) == ({"k": [1]}, {"step": 1}) and rest.rows.columns == ["row_id", "w"]
+    assert both.select(["w"], ["step"]).meta == {"step": 1}
+    assert B.Batch.concat([a, a]).rows.count() == 4
+    with pytest.raises(ValueError, match="does not cover"):
+        B.reorder(df, spark.createDataFrame([(0, 0)], "row_id long, new_pos long"))
+    with pytest.raises(Exception, match="more rows than"):
+        B.collate(df.withColumn("batch", F.lit(0)), "batch", ["v"], max_rows=1).collect()
+
+
+def test_user_scorer(spark):
+    from trellis.operators import rewards as OR
+
+    OR.register_scorer("length-of-test", lambda df, key, **kw: df.withColumn("reward", F.length("response").cast("double")))
+    df = spark.createDataFrame([(1, "abc")], "row_id long, response string")
+    assert OR.score_rollouts(df, "length-of-test").first().reward == 3.0
+    with pytest.raises(ValueError):
+        OR.register_scorer("math", lambda df, key: df)
+    with pytest.raises(NotImplementedError):
+        OR.score_rollouts(df, "no such scorer")
+
+
+def test_pack_budget(spark):
+    from trellis.operators.prompts import pack_sequences
+
+    rnd = random.Random(5)
+    rows = [(s, p, 1) for s in range(60) for p in range(rnd.randint(1, 9))]
+    df = spark.createDataFrame(rows, "s int, pos int, mask int")
+    out = pack_sequences(df, ["s"], 16, 9).collect()
+    assert len(out) == len(rows)
+    for pack in {r.pack for r in out}:
+        assert sorted(r.packed_pos for r in out if r.pack == pack) == list(range(sum(r.pack == pack for r in out)))
+        assert sum(r.pack == pack for r in out) <= 16
+    with pytest.raises(Exception, match="more than 3 tokens"):
+        pack_sequences(df, ["s"], 16, 3).collect()
+
+
 def test_corpus_contains_short_and_long_spans(spark):
     from trellis.operators.spans import corpus_contains
 
-    docs = spark.createDataFrame([(0, "alpha beta gamma delta"), (1, "betamax gamma"), (2, "x y z")],
+    docs = spark.createDataFrame([(0, "alpha beta gamma delta"), (1, "betamax gamma"), (2, "x y z"), (3, "x  y\n\tz "), (4, ""), (5, None)],
                                  "doc_id long, text string")
     items = spark.createDataFrame([(0, "beta"), (1, "ta gam"), (2, "alpha beta gamma"), (3, "a"), (4, "q"),
-                                   (5, "beta gamma delta")], "item_id long, span string")
+                                   (5, "beta gamma delta"), (6, " "), (7, "\n\t"), (8, "  "), (9, ""), (10, None), (11, "x nowhere y z"),
+                                   (12, "x  y"), (13, " y\n")], "item_id long, span string")
     got = sorted(tuple(r) for r in corpus_contains(docs, items, "doc_id", "text", "item_id", "span").collect())
-    want = sorted((i, d) for i, s in items.collect() for d, t in docs.collect() if s in t)
+    want = sorted((i, d) for i, s in items.collect() for d, t in docs.collect() if s and t and s in t)
     assert got == want
 
 

@@ -31,3 +31,19 @@ def test_read_json_examples_none_and_suffix(spark):
         pass
     else:
         raise AssertionError("non-JSON path accepted")
+
+
+def test_split_selection(spark):
+    import pytest
+
+    from trellis.session import scratch_path
+
+    path = scratch_path(spark, f"split-test-{os.getpid()}-{id(spark)}")
+    spark.range(5).write.mode("overwrite").parquet(f"{path}/folders/test")
+    assert IO.read_examples(spark, f"{path}/folders@test").count() == 5
+    spark.range(7).write.mode("overwrite").parquet(f"{path}/plain")
+    assert IO.read_examples(spark, f"{path}/plain").count() == 7
+    with pytest.raises(ValueError, match="no split"):
+        IO.read_examples(spark, f"{path}/plain@test")
+    with pytest.raises(FileNotFoundError):
+        IO.read_examples(spark, f"{path}/nowhere")

@@ -68,54 +68,43 @@ def masked_whiten(df: DataFrame, x: str, mask: str, out: str, by: Sequence[str]
     return j.withColumn(out, w).drop("mean", "var", "n_valid")
 
 
-def discounted_suffix_sum(df: DataFrame, seq_keys: Sequence[str], pos: str, x: Column, c: float,
-                          out: str, max_len: int = 4096) -> DataFrame:
-    """``out_t = sum_{k>=t} c^(k-t) x_k`` within each sequence.
-
-    c = 1 is a suffix-sum window; 0 < c < 1 uses the closed form
-    ``sum_{k>=t} c^k x_k / c^t`` (exact in double while ``c^max_len`` stays far
-    from underflow), otherwise a backward numpy pass per sequence.
-    """
+def discounted_suffix_sum(df: DataFrame, seq_keys: Sequence[str], pos: str, x: Column, c: float, out: str) -> DataFrame:
+    """``out_t = sum_{k>=t} c^(k-t) x_k`` within each sequence, 0 <= c <= 1, for
+    sequences of any length and all in windows.
+
+    Positions are cut into blocks of so many that ``c^block`` is about e^-300.
+    Inside a block the sum is ``sum c^j x_j / c^j'`` over offsets j from the block's
+    start, which neither under- nor overflows.  From the next block comes its whole
+    sum, discounted by the distance to it; what lies beyond has a weight below
+    e^-300 and no part in a double."""
+    if not 0.0 <= c <= 1.0:
+        raise ValueError(f"the discount must be between 0 and 1: {c}")
     w = _seq_window(seq_keys, pos).rowsBetween(Window.currentRow, Window.unboundedFollowing)
     if c == 1.0:
         return df.withColumn(out, F.sum(x).over(w))
     if c == 0.0:
         return df.withColumn(out, x)
-    if 0.0 < c < 1.0 and max_len * -math.log(c) < 600.0:
-        scale = F.pow(F.lit(c), F.col(pos).cast("double"))
-        return df.withColumn(out, F.sum(x * scale).over(w) / scale)
-    return _suffix_sum_grouped(df.withColumn("_x", x), seq_keys, pos, "_x", c, out).drop("_x")
-
-
-def _suffix_sum_grouped(df: DataFrame, seq_keys, pos, x, c, out) -> DataFrame:
-    from pyspark.sql import types as Ty
-
-    schema = Ty.StructType(list(df.schema.fields) + [Ty.StructField(out, Ty.DoubleType())])
-
-    def fn(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(pos)
-        vals = pdf[x].to_numpy(dtype="float64")
-        acc, res = 0.0, np.empty_like(vals)
-        for i in range(len(vals) - 1, -1, -1):
-            acc = vals[i] + c * acc
-            res[i] = acc
-        pdf[out] = res
-        return pdf
-
-    # one group = one sequence, bounded by the maximum response length
-    return df.groupBy(*seq_keys).applyInPandas(fn, schema)
+    size = max(1, int(-300.0 / math.log(c)))
+    offset = F.col(pos) % size
+    scaled = x * F.pow(F.lit(c), offset.cast("double"))
+    blocked = df.withColumn("_block", F.floor(F.col(pos) / size)).withColumn("_scaled", scaled)
+    inside = Window.partitionBy(*seq_keys, "_block").orderBy(pos).rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    following = Window.partitionBy(*seq_keys).orderBy("_block").rangeBetween(1, 1)
+    own = F.sum("_scaled").over(inside) / F.pow(F.lit(c), offset.cast("double"))
+    after = F.coalesce(F.sum("_scaled").over(following), F.lit(0.0)) * F.pow(F.lit(c), (size - offset).cast("double"))
+    return blocked.withColumn(out, own + after).drop("_block", "_scaled")
 
 
 def gae(df: DataFrame, seq_keys: Sequence[str], pos: str = "pos", reward: str = "reward",
         values: str = "vals", mask: str = "mask", gamma: float = 1.0, lam: float = 1.0,
-        by: Sequence[str] = (), max_len: int = 4096) -> DataFrame:
+        by: Sequence[str] = ()) -> DataFrame:
     """``delta = r + gamma*V' - V`` (V' = 0 after the last position),
     ``A = delta + gamma*lam*A'``; returns = A + V; advantages whitened over the
     batch with the mask (not masked afterwards)."""
     w = _seq_window(seq_keys, pos)
     delta = F.col(reward) + gamma * F.coalesce(F.lead(values, 1).over(w), F.lit(0.0)) - F.col(values)
     out = df.withColumn("_delta", delta)
-    out = discounted_suffix_sum(out, seq_keys, pos, F.col("_delta"), gamma * lam, "_adv_raw", max_len)
+    out = discounted_suffix_sum(out, seq_keys, pos, F.col("_delta"), gamma * lam, "_adv_raw")
     out = out.withColumn("returns", F.col("_adv_raw") + F.col(values))
     out = masked_whiten(out, "_adv_raw", mask, "advantages", by)
     return out.drop("_delta", "_adv_raw")
@@ -145,13 +134,13 @@ def rloo(df: DataFrame, uid: str = "uid", score: str = "score", out: str = "adva
 
 
 def reinforce_pp(df: DataFrame, seq_keys: Sequence[str], pos: str = "pos", reward: str = "reward",
-                 mask: str = "mask", gamma: float = 1.0, by: Sequence[str] = (), max_len: int = 4096) -> DataFrame:
+                 mask: str = "mask", gamma: float = 1.0, by: Sequence[str] = ()) -> DataFrame:
     """Reverse discounted return whose carry is reset after a masked
     position; advantages = whitened returns × mask; returns unmasked."""
     w = _seq_window(seq_keys, pos).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     seg = F.sum(1 - F.col(mask)).over(w)
     out = df.withColumn("_seg", seg)
-    out = discounted_suffix_sum(out, [*seq_keys, "_seg"], pos, F.col(reward), gamma, "returns", max_len)
+    out = discounted_suffix_sum(out, [*seq_keys, "_seg"], pos, F.col(reward), gamma, "returns")
     out = masked_whiten(out, "returns", mask, "advantages", by)
     return out.withColumn("advantages", F.col("advantages") * F.col(mask)).drop("_seg")
 

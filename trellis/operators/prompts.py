@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from trellis.functions import arrays as AR
 from trellis.functions.text import col, py_strip
+from trellis.operators.sequence import running_sum
 
 # The vision placeholder that replaces "<image>".
 VISION_PLACEHOLDER = "<|vision_start|><|image_pad|><|vision_end|>"
@@ -46,25 +47,48 @@ def chatml(messages) -> Column:
     return F.concat(F.array_join(turns, ""), F.lit("<|im_start|>assistant\n"))
 
 
-def render_chat(prompt, family: str, tuned_marker: str | None = None, template=chatml,
-                assistant_name: str = "Qwen", vendor: str = "Alibaba Cloud") -> Column:
-    """Per-family chat wrapping.  Families wrapped by a tokenizer template
-    take the template as a parameter (``messages -> string``).  A model whose
-    name contains ``tuned_marker`` gets the evidence-format system prompt;
-    a ``no_syspmt`` model gets the instruction as a prompt prefix instead."""
+def llama3(messages) -> Column:
+    """The header form of the third Llama generation, with the generation prompt."""
+    turns = F.transform(col(messages), lambda m: F.concat(F.lit("<|start_header_id|>"), m["role"], F.lit("<|end_header_id|>\n\n"),
+                                                          m["content"], F.lit("<|eot_id|>")))
+    return F.concat(F.lit("<|begin_of_text|>"), F.array_join(turns, ""), F.lit("<|start_header_id|>assistant<|end_header_id|>\n\n"))
+
+
+# System texts and wrappers of the chat families.
+SYSTEM_TEXT = {"Qwen2.5": "You are Qwen, created by Alibaba Cloud. You are a helpful assistant.",
+               "Llama": "You are Llama, created by Meta. You are a helpful assistant."}
+VICUNA_HEADER = ("A chat between a curious user and an artificial intelligence assistant. "
+                 "The assistant gives helpful, detailed, and polite answers to the user's questions.")
+WRAPPERS = (  # the first whose name is part of the model's
+    ("chatglm3", "<|user|>\n", "<|assistant|>"),
+    ("chatglm", "[Round 1]\n\n\u95ee\uff1a", "\n\n\u7b54\uff1a"),
+    ("longchat", VICUNA_HEADER + " USER: ", " ASSISTANT:"),
+    ("vicuna", VICUNA_HEADER + " USER: ", " ASSISTANT:"),
+    ("llama2", "[INST]", "[/INST]"),
+    ("xgen", HUMAN_HEADER + " ### Human: ", "\n###"),
+    ("internlm", "<|User|>:", "<eoh>\n<|Bot|>:"),
+)
+
+
+def render_chat(prompt, family: str, tuned_marker: str | None = None, templates: dict | None = None) -> Column:
+    """Per-family chat wrapping.  Families with a system text go through a
+    tokenizer template (``messages -> string``), which ``templates`` replaces by
+    family.  A model whose name contains ``tuned_marker`` gets the evidence-format
+    instruction in the system text; a ``no_syspmt`` model gets it before the
+    prompt.  A model of no known family takes the prompt as it is."""
     p = col(prompt)
-    if "llama2" in family:
-        return F.concat(F.lit("[INST]"), p, F.lit("[/INST]"))
-    if "xgen" in family:
-        return F.concat(F.lit(HUMAN_HEADER + " ### Human: "), p, F.lit("\n###"))
-    if "internlm" in family:
-        return F.concat(F.lit("<|User|>:"), p, F.lit("<eoh>\n<|Bot|>:"))
-    content = f"You are {assistant_name}, created by {vendor}. You are a helpful assistant."
-    if tuned_marker and tuned_marker in family:
-        content = content + " " + EVIDENCE_INSTRUCTION
-    if "no_syspmt" in family:
-        p = F.concat(F.lit(EVIDENCE_INSTRUCTION + "\n\n"), p)
-    return template(chat_messages(p, content))
+    for name, template in ({"Qwen2.5": chatml, "Llama": llama3} | (templates or {})).items():
+        if name in family and "chatglm3" not in family:
+            system = SYSTEM_TEXT[name]
+            if tuned_marker and tuned_marker in family:
+                system += " " + EVIDENCE_INSTRUCTION
+            if "no_syspmt" in family:
+                p = F.concat(F.lit(EVIDENCE_INSTRUCTION + "\n\n"), p)
+            return template(chat_messages(p, system))
+    for name, before, after in WRAPPERS:
+        if name in family:
+            return F.concat(F.lit(before), p, F.lit(after))
+    return p
 
 
 _SLOT = re.compile(r"\{(context|input)\}")
@@ -128,25 +152,34 @@ def with_eos_mask(df: DataFrame, seq_keys: Sequence[str], is_eos: str, pos: str
     return df.withColumn(out, F.when(prior == 1, 0).otherwise(1))
 
 
-def pack_sequences(df: DataFrame, pack: str, seq_keys: Sequence[str], pos: str = "pos",
-                   mask: str = "mask") -> DataFrame:
-    """C14 re-aimed as sequence packing: masked tokens are dropped, each
-    sequence gets its start offset in its pack (running sum of lengths in
-    sequence order) and every kept token its offset in the packed stream."""
+def pack_sequences(df: DataFrame, seq_keys: Sequence[str], budget: int, max_len: int, pos: str = "pos",
+                   mask: str = "mask", out: str = "pack") -> DataFrame:
+    """C14 re-aimed as sequence packing by token budget: masked tokens are
+    dropped, sequences follow each other in key order, and a pack takes those
+    that begin inside one stretch of ``budget - max_len + 1`` tokens, so no pack
+    exceeds ``budget``.  Each kept token gets its pack, its sequence's offset
+    there (``cu_start``) and its own (``packed_pos``).  A sequence of more than
+    ``max_len`` tokens fails the job."""
+    if not 0 < max_len <= budget:
+        raise ValueError("the budget must hold a longest sequence")
     kept = df.filter(F.col(mask) != 0)
-    lens = kept.groupBy(pack, *seq_keys).agg(F.count(F.lit(1)).alias("seq_len"))
-    w = Window.partitionBy(pack).orderBy(*seq_keys)
-    starts = lens.withColumn("cu_start", F.coalesce(F.sum("seq_len").over(
-        w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    j = kept.join(starts, [pack, *seq_keys])
-    wpos = Window.partitionBy(pack, *seq_keys).orderBy(pos)
+    short = F.when(F.col("seq_len") <= max_len, F.lit(True)).otherwise(
+        F.raise_error(F.lit(f"a sequence has more than {max_len} tokens")).cast("boolean"))
+    lens = kept.groupBy(*seq_keys).agg(F.count(F.lit(1)).alias("seq_len")).filter(short)
+    starts = running_sum(lens, seq_keys, "seq_len", "cu_start")
+    starts = starts.withColumn(out, F.floor(F.col("cu_start") / (budget - max_len + 1)))
+    first = F.min("cu_start").over(Window.partitionBy(out))  # at most `budget` sequences
+    starts = starts.withColumn("cu_start", F.col("cu_start") - first)
+    j = kept.join(starts, list(seq_keys))
+    wpos = Window.partitionBy(*seq_keys).orderBy(pos)
     return j.withColumn("packed_pos", F.col("cu_start") + F.row_number().over(wpos) - 1)
 
 
 def next_token_labels(packed: DataFrame, pack: str, token: str, order: str = "packed_pos",
                       out: str = "label") -> DataFrame:
     """Labels are the packed stream rolled left by one (the last label of a
-    sequence is the next sequence's first token; masked later)."""
+    sequence is the next sequence's first token; masked later).  A pack is bounded
+    by its token budget."""
     w = Window.partitionBy(pack).orderBy(order)
     return packed.withColumn(out, F.lead(token, 1).over(w))
 

@@ -84,3 +84,16 @@ def global_rank(df: DataFrame, order: Sequence[str], out: str = "rn",
     offsets = sizes.select(_PID, F.coalesce(F.sum(_CNT).over(before), F.lit(0)).alias(_OFF))
     joined = table.join(F.broadcast(offsets), _PID)
     return joined.select(*[F.col(f"`{c}`") for c in df.columns], (F.col(_LR) + F.col(_OFF)).cast("long").alias(out))
+
+
+def running_sum(df: DataFrame, order: Sequence[str], weight: str, out: str = "start",
+                num_partitions: int | None = None) -> DataFrame:
+    """Sum of ``weight`` over all rows before each row in the total order
+    ``order``: the sum inside the sorted partition plus the partitions before."""
+    table = _sorted_once(df, list(order), num_partitions)
+    inside = Window.partitionBy(_PID).orderBy(_LR).rowsBetween(Window.unboundedPreceding, -1)
+    sums = table.groupBy(_PID).agg(F.sum(weight).alias(_CNT))
+    before = Window.orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.select(_PID, F.coalesce(F.sum(_CNT).over(before), F.lit(0)).alias(_OFF))
+    joined = table.withColumn(_LR, F.coalesce(F.sum(weight).over(inside), F.lit(0))).join(F.broadcast(offsets), _PID)
+    return joined.select(*[F.col(f"`{c}`") for c in df.columns], (F.col(_LR) + F.col(_OFF)).alias(out))

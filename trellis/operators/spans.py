@@ -4,18 +4,21 @@
 is answered exactly without pairing everything with everything:
 
 * spans of three or more words: any verbatim occurrence contains each
-  *interior* word of the span as a whole white-space token of the document,
-  so an equi-join of the span's longest interior word with the documents'
-  distinct tokens yields a superset of the hits, then ``contains`` verifies;
+  *interior* word of the span as a whole white-space token of the document, so an
+  equi-join on the span's interior word that the fewest documents hold yields a
+  superset of the hits, then ``contains`` verifies;
 * spans of one or two words: their first word is a substring of some
   document token, so a q-gram index over the token *vocabulary* (not over
   raw text) finds the candidate tokens exactly; candidate documents come
-  from the (document, token) postings and are verified with ``contains``.
+  from the (document, token) postings and are verified with ``contains``;
+* spans of white space only: they stand inside one of the document's runs of
+  white space. The distinct runs are few; runs and spans meet on their first
+  character.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trellis.functions import text as T
@@ -23,42 +26,43 @@ from trellis.functions import text as T
 QGRAM = 3
 
 
-def _longest(words: Column) -> Column:
-    ranked = F.sort_array(F.transform(words, lambda w: F.struct((-F.length(w)).alias("k"), w.alias("w"))))
-    return F.element_at(ranked, 1)["w"]
+def _verified(cand: DataFrame, spans: DataFrame, docs: DataFrame, doc_key: str, doc_text: str, item_key: str, span: str) -> DataFrame:
+    """The candidate pairs whose document holds the span."""
+    pairs = cand.join(spans.select(item_key, span), item_key)
+    return (docs.select(doc_key, doc_text).join(pairs, doc_key).filter(F.contains(F.col(doc_text), F.col(span)))
+            .select(item_key, doc_key))
 
 
 def corpus_contains(docs: DataFrame, items: DataFrame, doc_key: str, doc_text: str,
                     item_key: str, span: str) -> DataFrame:
-    """All ``(item_key, doc_key)`` with ``doc_text`` containing ``span`` verbatim."""
-    words = T.py_split(span)
-    spans = items.select(item_key, span, words.alias("_w")).filter(F.col(span) != "")
+    """All ``(item_key, doc_key)`` with ``doc_text`` containing ``span`` verbatim;
+    a null or empty span has no hits."""
+    spans = items.select(item_key, span, T.py_split(span).alias("_w")).filter(F.col(span) != "")
     tokens = docs.select(doc_key, F.explode(F.array_distinct(T.py_split(doc_text))).alias("_tok"))
-    text = docs.select(doc_key, doc_text)
 
-    # long spans: interior-word equi-join, then verify
-    long = (spans.filter(F.size("_w") >= 3)
-            .select(item_key, span, _longest(F.slice("_w", 2, F.size("_w") - 2)).alias("_tok")))
-    long_cand = long.join(tokens, "_tok").select(item_key, doc_key).distinct()
-    long_hits = (long_cand.join(long.select(item_key, span), item_key)
-                 .join(text, doc_key)
-                 .filter(F.instr(F.col(doc_text), F.col(span)) > 0)
-                 .select(item_key, doc_key))
+    # long spans: the interior word that the fewest documents hold
+    long = spans.filter(F.size("_w") >= 3)
+    interior = long.select(item_key, F.explode(F.array_distinct(F.slice("_w", 2, F.size("_w") - 2))).alias("_tok"))
+    held = tokens.join(interior.select("_tok").distinct(), "_tok", "left_semi").groupBy("_tok").agg(F.count(F.lit(1)).alias("_df"))
+    rarest = interior.join(held, "_tok").groupBy(item_key).agg(
+        F.min_by("_tok", F.struct("_df", "_tok")).alias("_tok"), F.count(F.lit(1)).alias("_found"))
+    # a span with an interior word that no document holds has no hits
+    rarest = rarest.join(long.select(item_key, F.size(F.array_distinct(F.slice("_w", 2, F.size("_w") - 2))).alias("_n")), item_key)
+    cand = rarest.filter("_found = _n").select(item_key, "_tok").join(tokens, "_tok").select(item_key, doc_key)
 
-    short = spans.filter(F.size("_w") < 3).select(item_key, span, F.element_at("_w", 1).alias("_w1"))
-    if short.isEmpty():
-        # the vocabulary q-gram index is only built when short spans exist
-        return long_hits
-    vocab = tokens.select("_tok").distinct()
-    grams = vocab.select("_tok", F.explode(F.array_distinct(F.flatten(F.transform(
-        F.sequence(F.lit(1), F.lit(QGRAM)),
-        lambda q: F.transform(F.sequence(F.lit(1), F.greatest(F.length("_tok") - q + 1, F.lit(1))),
-                              lambda i: F.substring("_tok", i, q)))))).alias("_g"))
-    keyed = short.withColumn("_g", F.substring("_w1", 1, QGRAM))
-    cand_tok = (keyed.join(grams, "_g").filter(F.instr(F.col("_tok"), F.col("_w1")) > 0)
-                .select(item_key, "_tok").distinct())
-    cand = cand_tok.join(tokens, "_tok").select(item_key, doc_key).distinct()
-    short_hits = (cand.join(short.select(item_key, span), item_key).join(text, doc_key)
-                  .filter(F.instr(F.col(doc_text), F.col(span)) > 0)
-                  .select(item_key, doc_key))
-    return long_hits.unionByName(short_hits)
+    # short spans: their first word inside a token of the vocabulary
+    short = spans.filter(F.size("_w").between(1, 2)).select(item_key, span, F.get("_w", F.lit(0)).alias("_w1"))
+    starts = F.sequence(F.lit(1), F.greatest(F.length("_tok"), F.lit(1)))
+    vocab = tokens.select("_tok").distinct().select("_tok", F.explode(F.array_distinct(F.flatten(F.transform(
+        F.sequence(F.lit(1), F.lit(QGRAM)), lambda q: F.transform(starts, lambda i: F.substring("_tok", i, q)))))).alias("_g"))
+    inside = (short.withColumn("_g", F.substring("_w1", 1, QGRAM)).join(vocab, "_g")
+              .filter(F.contains("_tok", F.col("_w1"))).select(item_key, "_tok").distinct())
+    cand = cand.unionByName(inside.join(tokens, "_tok").select(item_key, doc_key))
+
+    # blank spans: inside a run of white space
+    blank = spans.filter(F.size("_w") == 0).select(item_key, span, F.substring(span, 1, 1).alias("_c"))
+    runs = docs.select(doc_key, F.explode(F.array_distinct(F.regexp_extract_all(doc_text, F.lit("(\\s+)"), 1))).alias("_run"))
+    kinds = runs.select("_run").distinct().select("_run", F.explode(F.array_distinct(F.split("_run", ""))).alias("_c"))
+    within = blank.join(kinds, "_c").filter(F.contains("_run", F.col(span))).select(item_key, "_run").distinct()
+    cand = cand.unionByName(within.join(runs, "_run").select(item_key, doc_key)).distinct()
+    return _verified(cand, spans, docs, doc_key, doc_text, item_key, span)

@@ -35,11 +35,15 @@ def b0_assign_row_ids(spark, sf_dir):
     return finish(out.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "row_id"))
 
 
-@register("b2_check_consistency", f"""WITH {Q.ARRAYS}
-SELECT count(*) AS n_inconsistent FROM arrays WHERE len(ids) <> len(vals)""")
+@register("b2_check_consistency", """
+SELECT doc_id AS row_id, len(string_split(text, chr(10)))::INTEGER AS n_lines, len(string_split(text, ' '))::INTEGER AS n_words
+FROM documents WHERE len(string_split(text, chr(10))) <> len(string_split(text, ' '))""")
 def b2_check_consistency(spark, sf_dir):
-    a = V.arrays(spark, sf_dir)
-    return B.check_consistency(a, ["ids", "vals"]).agg(F.count(F.lit(1)).alias("n_inconsistent"))
+    """Rows whose two arrays differ in length: here lines and words, which agree
+    for few documents."""
+    d = V.table(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("row_id"), F.split("text", "\n").alias("lines"), F.split("text", " ").alias("words"))
+    return B.check_consistency(d, ["lines", "words"]).select("row_id", F.size("lines").alias("n_lines"), F.size("words").alias("n_words"))
 
 
 @register("b3_select", "SELECT o_orderkey AS row_id, o_custkey, o_totalprice FROM orders")
@@ -66,6 +70,20 @@ def b6_union(spark, sf_dir):
     return B.union(o.select("row_id", "o_custkey", "o_totalprice"), o.select("row_id", "o_custkey", "o_orderstatus"))
 
 
+@register("b6_union_tables", """
+SELECT o_orderkey AS row_id, o_custkey, o_totalprice, n_items, items_price FROM orders
+JOIN (SELECT l_orderkey, count(*) AS n_items, round(sum(l_extendedprice), 2) AS items_price FROM lineitem GROUP BY l_orderkey) ON l_orderkey = o_orderkey
+UNION ALL
+SELECT o_orderkey, o_custkey, o_totalprice, 0, 0.0 FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)""")
+def b6_union_tables(spark, sf_dir):
+    """Two different tables with one shared column, and batch constants that agree."""
+    o = _orders(spark, sf_dir).select("row_id", "o_custkey", "o_totalprice")
+    items = V.table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("row_id")).agg(
+        F.count(F.lit(1)).alias("n_items"), F.round(F.sum("l_extendedprice"), 2).alias("items_price"))
+    side = o.select("row_id", "o_custkey").join(items, "row_id", "left").na.fill({"n_items": 0, "items_price": 0.0})
+    return finish(B.Batch(o, {"step": 1}).union(B.Batch(side, {"step": 1, "epoch": 0})).rows)
+
+
 @register("b7_concat", """
 SELECT c_custkey AS row_id, c_name AS name FROM customer
 UNION ALL SELECT s_suppkey + (SELECT count(*) FROM customer), s_name FROM supplier""")
@@ -139,10 +157,11 @@ def b16_minibatches(spark, sf_dir):
     return B.minibatches(_orders(spark, sf_dir).select("row_id"), 500, 2)
 
 
-@register("b16_minibatches_shuffled")
+@register("b16_minibatches_shuffled", """
+SELECT row_id, epoch, (row_number() OVER (PARTITION BY epoch ORDER BY md5(concat_ws(':', '7', epoch, row_id)), row_id) - 1) // 500 AS minibatch
+FROM (SELECT o_orderkey AS row_id, e::INTEGER AS epoch FROM orders, range(2) t(e))""")
 def b16_minibatches_shuffled(spark, sf_dir):
-    """Seeded per-epoch order; invariant-checked (every row once per epoch,
-    equal mini-batch sizes) in the tests."""
+    """Seeded per-epoch order."""
     return B.minibatches(_orders(spark, sf_dir).select("row_id"), 500, 2, seed=7)
 
 
@@ -161,14 +180,17 @@ def b18_size_report(spark, sf_dir):
     return finish(B.size_report(o.drop("pad")))
 
 
+_COLLATE = 64
+
+
 @register("b19_collate", f"""WITH {Q.ARRAYS},
-x AS (SELECT user_id // 40 AS batch, user_id, piece, len(ids)::INTEGER AS n FROM arrays)
-SELECT batch, list(n ORDER BY user_id, piece) AS n FROM x GROUP BY batch""")
+x AS (SELECT row_number() OVER (ORDER BY user_id, piece) - 1 AS i, len(ids)::INTEGER AS n FROM arrays)
+SELECT i // {_COLLATE} AS batch, list(n ORDER BY i) AS n FROM x GROUP BY batch""")
 def b19_collate(spark, sf_dir):
-    a = V.arrays(spark, sf_dir)
-    a = a.select((F.col("user_id") / 40).cast("long").alias("batch"),
-                 (F.col("user_id") * 1000 + F.col("piece")).alias("row_id"), F.size("ids").alias("n"))
-    return B.collate(a, "batch", ["n"])
+    """Batches of a declared number of rows."""
+    a = V.arrays(spark, sf_dir).select("user_id", "piece", F.size("ids").alias("n"))
+    a = B.assign_row_ids(a, ["user_id", "piece"]).withColumn("batch", F.floor(F.col("row_id") / _COLLATE))
+    return B.collate(a, "batch", ["n"], max_rows=_COLLATE)
 
 
 @register("b20_append_reduce", f"""WITH {Q.STEP_LOG}
@@ -241,17 +263,35 @@ def c1_chat_messages(spark, sf_dir):
                     .alias("rendered"))
 
 
-@register("c2_render_chat", r"""
-SELECT conv_id, turn, '[INST]' || text || '[/INST]' AS llama2,
-       '<|User|>:' || text || '<eoh>' || chr(10) || '<|Bot|>:' AS internlm,
-       '<|im_start|>system' || chr(10) || 'You are Qwen, created by Alibaba Cloud. You are a helpful assistant.<|im_end|>'
-         || chr(10) || '<|im_start|>user' || chr(10) || text || '<|im_end|>' || chr(10) || '<|im_start|>assistant' || chr(10) AS chatml
-FROM conversations WHERE role = 'user'""")
+def _sql_text(x: str) -> str:
+    return "'" + x.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
+
+
+def _chat_sql() -> str:
+    wrapped = {name: (before, after) for name, before, after in P.WRAPPERS}
+    cols = [f"{_sql_text(wrapped[k][0])} || text || {_sql_text(wrapped[k][1])} AS {k}" for k in wrapped]
+    nl = "chr(10)"
+    cols.append(f"""'<|im_start|>system' || {nl} || {_sql_text(P.SYSTEM_TEXT['Qwen2.5'])} || '<|im_end|>' || {nl} || '<|im_start|>user' || {nl}
+      || text || '<|im_end|>' || {nl} || '<|im_start|>assistant' || {nl} AS qwen""")
+    cols.append(f"""'<|begin_of_text|><|start_header_id|>system<|end_header_id|>' || {nl} || {nl} || {_sql_text(P.SYSTEM_TEXT['Llama'])}
+      || '<|eot_id|><|start_header_id|>user<|end_header_id|>' || {nl} || {nl} || text
+      || '<|eot_id|><|start_header_id|>assistant<|end_header_id|>' || {nl} || {nl} AS llama3""")
+    tuned = f"{P.SYSTEM_TEXT['Qwen2.5']} {P.EVIDENCE_INSTRUCTION}"
+    cols.append(f"""'<|im_start|>system' || {nl} || {_sql_text(tuned)} || '<|im_end|>' || {nl} || '<|im_start|>user' || {nl}
+      || text || '<|im_end|>' || {nl} || '<|im_start|>assistant' || {nl} AS tuned""")
+    return f"SELECT conv_id, turn, {', '.join(cols)}, text AS other FROM conversations WHERE role = 'user'"
+
+
+_MODELS = {"chatglm3": "chatglm3-6b-32k", "chatglm": "chatglm2-6b", "longchat": "longchat-v1.5-7b-32k", "vicuna": "vicuna-v1.5-7b-16k",
+           "llama2": "llama2-7b-chat-4k", "xgen": "xgen-7b-8k", "internlm": "internlm-7b-8k", "qwen": "Qwen2.5-7B-Instruct",
+           "llama3": "Meta-Llama-3.1-8B-Instruct", "tuned": "Qwen2.5-7B-Instruct-tuned", "other": "some-other-model"}
+
+
+@register("c2_render_chat", _chat_sql())
 def c2_render_chat(spark, sf_dir):
+    """Every chat family, a tuned model, and a model of no known family."""
     c = V.table(spark, sf_dir, "conversations").filter(F.col("role") == "user")
-    return c.select("conv_id", "turn", P.render_chat("text", "llama2-7b-chat-4k").alias("llama2"),
-                    P.render_chat("text", "internlm-7b-8k").alias("internlm"),
-                    P.render_chat("text", "Qwen2.5-7B-Instruct").alias("chatml"))
+    return c.select("conv_id", "turn", *[P.render_chat("text", m, tuned_marker="tuned").alias(k) for k, m in _MODELS.items()])
 
 
 _DATASETS_SQL = "[" + ", ".join("'" + n + "'" for n in DATASET_METRIC) + "]"
@@ -335,6 +375,20 @@ def c7_position_ids(spark, sf_dir):
     return a.select("user_id", "piece", AR.position_ids("mask").alias("position_ids"))
 
 
+@register("c7_token_positions", f"""WITH {Q.TOKENS}
+SELECT user_id, piece, pos, greatest(sum(mask) OVER (PARTITION BY user_id, piece ORDER BY pos ROWS UNBOUNDED PRECEDING) - 1, 0)::BIGINT AS position_id
+FROM tokens""")
+def c7_token_positions(spark, sf_dir):
+    """C7 at token grain."""
+    return P.with_position_ids(V.tokens(spark, sf_dir), ["user_id", "piece"]).select("user_id", "piece", "pos", "position_id")
+
+
+@register("c8_token_eos_mask", f"""WITH {Q.TOKENS} SELECT user_id, piece, pos, mask FROM tokens""")
+def c8_token_eos_mask(spark, sf_dir):
+    """C8 at token grain."""
+    return P.with_eos_mask(V.seqs(spark, sf_dir), ["user_id", "piece"], "is_eos").select("user_id", "piece", "pos", "mask")
+
+
 @register("c8_eos_mask", _ARR + f"""
 SELECT user_id, piece, {Q.eos_mask_sql('ids', 4)} AS mask FROM arrays""")
 def c8_eos_mask(spark, sf_dir):
@@ -414,19 +468,23 @@ def c13_image_placeholder(spark, sf_dir):
     return p.select("page_id", P.image_placeholder("html").alias("prompt"))
 
 
+#: Tokens a pack holds at most, and a sequence.
+_BUDGET = 4096
+_STRETCH = _BUDGET - V.SEQ_LEN + 1
+
 _PACK_SQL = f"""WITH {Q.TOKENS},
-kept AS (SELECT user_id // 40 AS pack, * FROM tokens WHERE mask <> 0),
-lens AS (SELECT pack, user_id, piece, count(*) AS seq_len FROM kept GROUP BY ALL),
-st AS (SELECT *, coalesce(sum(seq_len) OVER (PARTITION BY pack ORDER BY user_id, piece
-              ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS cu_start FROM lens),
-packed AS (SELECT k.pack, k.user_id, k.piece, k.pos, k.event_id, s.cu_start,
-                  (s.cu_start + row_number() OVER (PARTITION BY k.pack, k.user_id, k.piece ORDER BY k.pos) - 1)::BIGINT AS packed_pos
-           FROM kept k JOIN st s USING (pack, user_id, piece))"""
+kept AS (SELECT * FROM tokens WHERE mask <> 0),
+lens AS (SELECT user_id, piece, count(*) AS seq_len FROM kept GROUP BY ALL),
+st AS (SELECT *, coalesce(sum(seq_len) OVER (ORDER BY user_id, piece ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM lens),
+pk AS (SELECT *, start // {_STRETCH} AS pack FROM st),
+cu AS (SELECT *, start - min(start) OVER (PARTITION BY pack) AS cu_start FROM pk),
+packed AS (SELECT s.pack, k.user_id, k.piece, k.pos, k.event_id, s.cu_start,
+                  (s.cu_start + row_number() OVER (PARTITION BY k.user_id, k.piece ORDER BY k.pos) - 1)::BIGINT AS packed_pos
+           FROM kept k JOIN cu s USING (user_id, piece))"""
 
 
 def _packed(spark, sf_dir):
-    t = V.tokens(spark, sf_dir).withColumn("pack", (F.col("user_id") / 40).cast("long"))
-    return P.pack_sequences(t, "pack", ["user_id", "piece"])
+    return P.pack_sequences(V.tokens(spark, sf_dir), ["user_id", "piece"], _BUDGET, V.SEQ_LEN)
 
 
 @register("c14_sequence_packing", _PACK_SQL + """
@@ -442,6 +500,15 @@ def c15_next_token_labels(spark, sf_dir):
     return lab.select("pack", "packed_pos", "event_id", "label")
 
 
+@register("c14_pack_sizes", _PACK_SQL + f"""
+SELECT pack, count(*) AS n_tokens, max(packed_pos) AS last_pos, count(*) <= {_BUDGET} AS within_budget FROM packed GROUP BY pack""")
+def c14_pack_sizes(spark, sf_dir):
+    """No pack exceeds its budget, and its positions have no gap."""
+    return _packed(spark, sf_dir).groupBy("pack").agg(
+        F.count(F.lit(1)).alias("n_tokens"), F.max("packed_pos").alias("last_pos"),
+        (F.count(F.lit(1)) <= _BUDGET).alias("within_budget"))
+
+
 @register("c16_response_window", _ARR + f"""
 SELECT user_id, piece, list_transform(list_concat(vals, {Q.zeros('128 - len(vals)', 'DOUBLE')})[8:127], lambda x: round(x, 6) + 0.0) AS window
 FROM arrays""")

@@ -287,9 +287,23 @@ def h9_serpentine_balance(spark, sf_dir):
 # ------------------------------------------------------------------ A*
 
 
-@register("a1_read_examples", "SELECT doc_id, lang, source, n_chars FROM documents")
+@register("a1_read_examples", "SELECT doc_id, lang, source, n_chars FROM documents WHERE doc_id % 10 = 3")
 def a1_read_examples(spark, sf_dir):
-    return IO.read_examples(spark, f"{sf_dir}/documents.parquet@test").select("doc_id", "lang", "source", "n_chars")
+    """``path@test`` of a folder with one sub-folder per split."""
+    path = IO.scratch_path(spark, f"splits-{uuid.uuid4().hex}")
+    d = V.table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars")
+    d.where("doc_id % 10 = 3").write.parquet(f"{path}/test")
+    d.where("doc_id % 10 <> 3").write.parquet(f"{path}/train")
+    return IO.read_examples(spark, f"{path}@test")
+
+
+@register("a1_read_split_column", "SELECT doc_id, lang FROM documents WHERE doc_id % 10 <> 3")
+def a1_read_split_column(spark, sf_dir):
+    """The default split of a table with a ``split`` column."""
+    path = IO.scratch_path(spark, f"splits-{uuid.uuid4().hex}")
+    d = V.table(spark, sf_dir, "documents")
+    d.select("doc_id", "lang", F.when(F.col("doc_id") % 10 == 3, "test").otherwise("train").alias("split")).write.parquet(path)
+    return IO.read_examples(spark, path)
 
 
 @register("a3_export_read_jsonl", "SELECT item_id, text FROM benchmark")
@@ -304,7 +318,7 @@ def a3_export_read_jsonl(spark, sf_dir):
 
 
 @register("a5_append_read_predictions", f"""WITH {Q.QA_PAIRS}
-SELECT dataset, count(*) AS n_items, sum(length)::BIGINT AS total_length FROM qa_pairs GROUP BY dataset""")
+SELECT dataset, pred, answers[1] AS answer, length::BIGINT AS length, pred AS raw_pred FROM qa_pairs""")
 def a5_append_read_predictions(spark, sf_dir):
     """A5 then A4: append prediction lines per dataset, read them back."""
     qa = V.qa_pairs(spark, sf_dir).select("dataset", "pred", "answers", F.col("length").cast("long").alias("length"),
@@ -313,15 +327,35 @@ def a5_append_read_predictions(spark, sf_dir):
     path = IO.scratch_path(spark, f"pred-{uuid.uuid4().hex}")
     IO.append_predictions(qa, path)
     back = IO.read_predictions(spark, path)
-    return back.groupBy("dataset").agg(F.count(F.lit(1)).alias("n_items"), F.sum("length").alias("total_length"))
+    return back.select("dataset", "pred", F.col("answers")[0].alias("answer"), "length", "raw_pred")
 
 
-@register("a7_save_load_batch", "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice FROM orders")
+@register("a7_save_load_batch", """
+SELECT o_orderkey AS row_id, o_custkey, o_orderstatus, o_totalprice, 7 AS step, 'orders' AS origin FROM orders""")
 def a7_save_load_batch(spark, sf_dir):
-    o = V.table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice")
+    """A batch with its constants, saved and loaded."""
+    from trellis.operators.batch import Batch
+
+    o = V.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("row_id"), "o_custkey", "o_orderstatus", "o_totalprice")
     path = IO.scratch_path(spark, f"batch-{uuid.uuid4().hex}")
-    IO.save_batch(o, path)
-    return IO.load_batch(spark, path)
+    Batch(o, {"step": 7, "origin": "orders"}).save(path)
+    back = Batch.load(spark, path)
+    return back.rows.select("*", F.lit(back.meta["step"]).alias("step"), F.lit(back.meta["origin"]).alias("origin"))
+
+
+@register("a8_metric_table", f"""WITH {Q.STEP_LOG}
+SELECT step::INTEGER AS step, run || '/kl' AS name, {Q.r6('kl')} AS value FROM step_log
+UNION ALL SELECT step::INTEGER, run || '/n', n::DOUBLE FROM step_log""")
+def a8_metric_table(spark, sf_dir):
+    """The table backend: metrics of a stream's micro-batches, appended through
+    ``foreachBatch`` and read back."""
+    from trellis.operators.metrics import to_long
+    from trellis.streaming.streams import log_stream
+
+    long = to_long(V.step_log(spark, sf_dir), ["run", "step"], {"kl": "kl", "n": "n"})
+    source = IO.scratch_path(spark, f"metrics-in-{uuid.uuid4().hex}")
+    long.select("step", F.concat_ws("/", "run", "name").alias("name"), "value").write.parquet(source)
+    return finish(log_stream(spark, source).select("step", "name", "value"))
 
 
 def _samples_sql():

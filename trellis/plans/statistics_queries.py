@@ -93,14 +93,28 @@ def g7_compute_rewards(spark, sf_dir):
 _G, _L = 0.99, 0.95
 
 
-@register("g8_gae", TOK + f""",
-d AS (SELECT *, score + {_G} * coalesce(lead(vals) {W_SEQ}, 0.0) - vals AS delta FROM tokens),
-a AS (SELECT *, sum(delta * power({_G * _L}, pos)) {W_SUFFIX} / power({_G * _L}, pos) AS adv_raw FROM d),
+#: The same sums as recursions from the last position back.
+_RECURSIVE = TOK.replace("WITH", "WITH RECURSIVE", 1)
+_GAE_SQL = f"""
+d AS (SELECT *, score + {_G} * coalesce(lead(vals) {W_SEQ}, 0.0) - vals AS delta,
+             pos = max(pos) OVER (PARTITION BY user_id, piece) AS is_last FROM tokens),
+a AS (
+  SELECT *, delta AS adv_raw FROM d WHERE is_last
+  UNION ALL SELECT d.*, d.delta + {_G * _L} * a.adv_raw FROM a JOIN d ON d.user_id = a.user_id AND d.piece = a.piece AND d.pos = a.pos - 1)"""
+_RETURN_SQL = f"""
+e AS (SELECT *, pos = max(pos) OVER (PARTITION BY user_id, piece) AS is_last FROM tokens),
+r AS (
+  SELECT *, score AS returns FROM e WHERE is_last
+  UNION ALL SELECT e.*, e.score + {_G} * CASE WHEN r.mask <> 0 THEN r.returns ELSE 0 END
+  FROM r JOIN e ON e.user_id = r.user_id AND e.piece = r.piece AND e.pos = r.pos - 1)"""
+
+
+@register("g8_gae", _RECURSIVE + f""",{_GAE_SQL},
 {_whiten_sql('a', 'adv_raw')}
 SELECT user_id, piece, pos, {Q.r6('(adv_raw - mu) / sqrt(va + 1e-8)')} AS advantages,
        {Q.r6('adv_raw + vals')} AS returns FROM a, st""")
 def g8_gae(spark, sf_dir):
-    out = A.gae(V.tokens(spark, sf_dir), SEQ, reward="score", gamma=_G, lam=_L, max_len=V.SEQ_LEN)
+    out = A.gae(V.tokens(spark, sf_dir), SEQ, reward="score", gamma=_G, lam=_L)
     return finish(out.select("user_id", "piece", "pos", "advantages", "returns"))
 
 
@@ -125,15 +139,12 @@ def g10_rloo(spark, sf_dir):
     return finish(out.select("uid", "sample_id", "score", "advantages"))
 
 
-@register("g11_reinforce_pp", TOK + f""",
-s AS (SELECT *, sum(1 - mask) {W_PREFIX} AS seg FROM tokens),
-r AS (SELECT *, sum(score * power({_G}, pos)) OVER (PARTITION BY user_id, piece, seg ORDER BY pos
-                ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) / power({_G}, pos) AS returns FROM s),
+@register("g11_reinforce_pp", _RECURSIVE + f""",{_RETURN_SQL},
 {_whiten_sql('r', 'returns')}
 SELECT user_id, piece, pos, {Q.r6('(returns - mu) / sqrt(va + 1e-8) * mask')} AS advantages,
        {Q.r6('returns')} AS returns FROM r, st""")
 def g11_reinforce_pp(spark, sf_dir):
-    out = A.reinforce_pp(V.tokens(spark, sf_dir), SEQ, reward="score", gamma=_G, max_len=V.SEQ_LEN)
+    out = A.reinforce_pp(V.tokens(spark, sf_dir), SEQ, reward="score", gamma=_G)
     return finish(out.select("user_id", "piece", "pos", "advantages", "returns"))
 
 
@@ -155,16 +166,11 @@ def g12_remax(spark, sf_dir):
     return finish(out.select("user_id", "piece", "pos", "returns", "advantages"))
 
 
-_DISPATCH_SQL = TOK + f""",
-d AS (SELECT *, score + {_G} * coalesce(lead(vals) {W_SEQ}, 0.0) - vals AS delta FROM tokens),
-a AS (SELECT *, sum(delta * power({_G * _L}, pos)) {W_SUFFIX} / power({_G * _L}, pos) AS adv_raw FROM d),
+_DISPATCH_SQL = _RECURSIVE + f""",{_GAE_SQL},{_RETURN_SQL},
 sa AS (SELECT sum(adv_raw * mask) / sum(mask) AS mu, var_samp(CASE WHEN mask <> 0 THEN adv_raw END) AS va FROM a),
 gae AS (SELECT (adv_raw - mu) / sqrt(va + 1e-8) AS adv FROM a, sa),
-s2 AS (SELECT *, sum(1 - mask) {W_PREFIX} AS seg FROM tokens),
-r2 AS (SELECT *, sum(score * power({_G}, pos)) OVER (PARTITION BY user_id, piece, seg ORDER BY pos
-                 ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) / power({_G}, pos) AS ret FROM s2),
-sr AS (SELECT sum(ret * mask) / sum(mask) AS mu, var_samp(CASE WHEN mask <> 0 THEN ret END) AS va FROM r2),
-rpp AS (SELECT (ret - mu) / sqrt(va + 1e-8) * mask AS adv FROM r2, sr),
+sr AS (SELECT sum(returns * mask) / sum(mask) AS mu, var_samp(CASE WHEN mask <> 0 THEN returns END) AS va FROM r),
+rpp AS (SELECT (returns - mu) / sqrt(va + 1e-8) * mask AS adv FROM r, sr),
 b AS (SELECT user_id, piece, min(score) AS baseline FROM tokens GROUP BY user_id, piece),
 rmx AS (SELECT sum(t.score * t.mask) OVER (PARTITION BY t.user_id, t.piece ORDER BY t.pos
                ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) - b.baseline * t.mask AS adv
@@ -188,8 +194,8 @@ def g13_advantage_dispatch(spark, sf_dir):
     t = V.tokens(spark, sf_dir)
     g = V.groups(spark, sf_dir)
     parts = [
-        A.compute_advantage(t, "gae", seq_keys=SEQ, reward="score", gamma=_G, lam=_L, max_len=V.SEQ_LEN).select(F.lit("gae").alias("kind"), "advantages"),
-        A.compute_advantage(t, "reinforce_plus_plus", seq_keys=SEQ, reward="score", gamma=_G, max_len=V.SEQ_LEN).select(F.lit("reinforce_plus_plus").alias("kind"), "advantages"),
+        A.compute_advantage(t, "gae", seq_keys=SEQ, reward="score", gamma=_G, lam=_L).select(F.lit("gae").alias("kind"), "advantages"),
+        A.compute_advantage(t, "reinforce_plus_plus", seq_keys=SEQ, reward="score", gamma=_G).select(F.lit("reinforce_plus_plus").alias("kind"), "advantages"),
         A.compute_advantage(A.greedy_baseline(t, _baselines(t), SEQ), "remax", seq_keys=SEQ, reward="score").select(F.lit("remax").alias("kind"), "advantages"),
         A.compute_advantage(g, "grpo").select(F.lit("grpo").alias("kind"), "advantages"),
         A.compute_advantage(g, "rloo").select(F.lit("rloo").alias("kind"), "advantages"),
@@ -371,7 +377,7 @@ SELECT name, {Q.r6('value')} AS value FROM (
   UNION ALL SELECT 'critic/values/min', v3 FROM w UNION ALL SELECT 'critic/vf_explained_var', ev FROM w)""")
 def i2_data_metrics(spark, sf_dir):
     t = A.apply_kl_penalty(V.tokens(spark, sf_dir), SEQ, _BETA)
-    t = A.gae(t, SEQ, reward="token_level_rewards", gamma=_G, lam=_L, max_len=V.SEQ_LEN)
+    t = A.gae(t, SEQ, reward="token_level_rewards", gamma=_G, lam=_L)
     return finish(MT.data_metrics(t, SEQ, 128))
 
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as Ty
@@ -29,13 +27,22 @@ def parse_path(spec: str) -> tuple[str, str]:
 
 
 def read_examples(spark: SparkSession, spec: str) -> DataFrame:
-    """A1: local directory or file → parquet.  As in the reference, the split
-    of a local path is parsed but not applied (``train`` is used); a remote
-    dataset hub is not built."""
-    path, _split = parse_path(spec)
-    if not (os.path.isdir(path) or os.path.isfile(path) or "://" in path):
-        raise FileNotFoundError(f"{path}: remote dataset hubs are not supported")
-    return spark.read.parquet(path)
+    """A1: ``path`` or ``path@split`` → the parquet rows of that split: the
+    sub-folder named like the split, else the rows whose ``split`` column says so.
+    Without either the path holds one split, ``train``; asking for another is an
+    error. A remote dataset hub is not built."""
+    path, split = parse_path(spec)
+    names = _list(spark, path)
+    if not names:
+        raise FileNotFoundError(f"{path}: no such folder or file (remote dataset hubs are not supported)")
+    if split in names or f"{split}.parquet" in names:
+        return spark.read.parquet(f"{path}/{split if split in names else split + '.parquet'}")
+    df = spark.read.parquet(path)
+    if "split" in df.columns:
+        return df.where(F.col("split") == split).drop("split")
+    if split != "train":
+        raise ValueError(f"{path} has no split {split!r}")
+    return df
 
 
 def read_json_examples(spark: SparkSession, path: str | None, schema: Ty.StructType | None = None) -> DataFrame | None:
@@ -88,7 +95,7 @@ def write_report(scores: DataFrame, path: str, key: str = "dataset", value: str
 
 
 def save_batch(df: DataFrame, path: str) -> None:
-    """Persist a batch (parquet)."""
+    """Persist a batch (parquet); with constants: :class:`trellis.operators.batch.Batch`."""
     df.write.mode("overwrite").parquet(path)
 
 

@@ -15,8 +15,9 @@ from trellis.functions import text as T
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
-# Longest token sequence the seqs view builds (a response never exceeds the
-# model's maximum response length; event streams are cut into such pieces).
+# Default of the longest token sequence that the seqs view builds (a response
+# never exceeds the model's maximum response length; event streams are cut into
+# such pieces). Every view of sequences takes it as a parameter.
 SEQ_LEN = 128
 
 
@@ -132,11 +133,11 @@ def groups(spark: SparkSession, sf_dir: str) -> DataFrame:
                      F.col("l_discount").alias("score"), F.col("l_extendedprice").alias("price"))
 
 
-def seqs(spark: SparkSession, sf_dir: str) -> DataFrame:
+def seqs(spark: SparkSession, sf_dir: str, seq_len: int = SEQ_LEN) -> DataFrame:
     """Token-grain sequences from ``events``.
 
     A user's events in ``(ts, event_id)`` order are cut into pieces of at most
-    :data:`SEQ_LEN` positions (``seq_id = (user_id, piece)``); reward = value,
+    ``seq_len`` positions (``seq_id = (user_id, piece)``); reward = value,
     eos = purchase.  The position is a distributed rank (no single-key window),
     see :func:`trellis.operators.sequence.ranked`.
     """
@@ -146,22 +147,22 @@ def seqs(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = ranked(ev, ["user_id"], ["ts", "event_id"], "rn")
     return r.select(
         "user_id",
-        (F.col("rn") / SEQ_LEN).cast("long").alias("piece"),
-        (F.col("rn") % SEQ_LEN).cast("int").alias("pos"),
+        (F.col("rn") / seq_len).cast("long").alias("piece"),
+        (F.col("rn") % seq_len).cast("int").alias("pos"),
         "ts", "event_id",
         F.col("value").alias("reward"),
         (F.col("event_type") == "purchase").alias("is_eos"),
     )
 
 
-def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+def tokens(spark: SparkSession, sf_dir: str, seq_len: int = SEQ_LEN) -> DataFrame:
     """Response-token table over :func:`seqs`.
 
     ``mask`` is the eos mask (1 up to and including the first eos of the
     sequence); scores are the event values; critic values and log-probs are
     fixed transforms of the value so that every statistic has real inputs.
     """
-    s = seqs(spark, sf_dir)
+    s = seqs(spark, sf_dir, seq_len)
     w = Window.partitionBy("user_id", "piece").orderBy("pos")
     prior = F.max(F.col("is_eos").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, -1))
     old_lp = -F.log1p("reward") / 10.0
@@ -182,17 +183,17 @@ EVENT_TOKEN = {"view": 1, "click": 2, "error": 3, "purchase": 4, "signup": 5}
 EOS_ID = 4
 
 
-def arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+def arrays(spark: SparkSession, sf_dir: str, seq_len: int = SEQ_LEN) -> DataFrame:
     """Array form of :func:`seqs`: one row per sequence piece (at most
-    SEQ_LEN tokens), ``ids`` = event-type token ids in position order and
+    ``seq_len`` tokens), ``ids`` = event-type token ids in position order and
     ``vals`` = the event values."""
     ev = table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "event_type", "value")
     from trellis.operators.sequence import ranked
 
     r = ranked(ev, ["user_id"], ["ts", "event_id"], "rn")
     code = F.create_map(*[F.lit(x) for kv in EVENT_TOKEN.items() for x in kv])[F.col("event_type")]
-    r = r.select("user_id", (F.col("rn") / SEQ_LEN).cast("long").alias("piece"),
-                 (F.col("rn") % SEQ_LEN).cast("int").alias("pos"), code.cast("long").alias("id"), "value")
+    r = r.select("user_id", (F.col("rn") / seq_len).cast("long").alias("piece"),
+                 (F.col("rn") % seq_len).cast("int").alias("pos"), code.cast("long").alias("id"), "value")
     g = r.groupBy("user_id", "piece").agg(F.sort_array(F.collect_list(F.struct("pos", "id", "value"))).alias("s"))
     return g.select("user_id", "piece", F.col("s")["id"].alias("ids"), F.col("s")["value"].alias("vals"))
 

@@ -201,3 +201,16 @@ def curriculum_stream(spark: SparkSession, step_dir: str, run: str, main: DataFr
     out = draws(slots, n_main, n_extra, max_steps, seed).join(m.unionByName(e), ["source", "pick"]) \
         .select("step", "slot", "source", "pick")
     return read_sink(batch_spark, run_available_now(out, "curriculum-stream"), out.schema)
+
+
+# ---------------------------------------------------------------- A8
+
+METRIC_SCHEMA = "step int, name string, value double"
+
+
+def log_stream(spark: SparkSession, source_dir: str, files_per_trigger: int = 2) -> DataFrame:
+    """A8 as a stream: arriving ``(step, name, value)`` rows go to the metrics
+    table, one folder per micro-batch; returns the table."""
+    batch_spark, spark = spark, stream_session(spark)
+    rows = file_stream(spark, source_dir, METRIC_SCHEMA, maxFilesPerTrigger=files_per_trigger)
+    return read_sink(batch_spark, run_available_now(rows, "metrics"), rows.schema)
