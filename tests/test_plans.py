@@ -4,7 +4,7 @@ and filters pushed; batch statistics are not single-partition windows."""
 from conftest import SF_SMALL
 from trellis.plans.catalog import load
 
-QUERIES, _ = load()
+QUERIES, ORACLE = load()
 
 PYTHON_NODES = ("BatchEvalPython", "ArrowEvalPython", "FlatMapGroupsInPandas", "MapInPandas", "PythonUDF")
 
@@ -13,11 +13,22 @@ def _plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-def test_native_queries_have_no_python(spark):
-    for name in ("f16_dataset_score", "f4_qa_f1", "e8_evidence_reward_exact", "g9_grpo", "g10_rloo",
-                 "i1_reduce_metrics", "f8_classification", "b6_union", "c17_strip_markers"):
+#: Queries with a statement whose operator is a kernel in Python by design.
+KERNELS = {"e6_soft_case_hits", "e8_reward_bounds", "e11_math_reward", "f6_rouge_l", "b21_map_chunks"}
+#: Their inputs are written tables; planning them runs jobs, so they are checked by
+#: results elsewhere.
+WRITTEN = ("a", "h", "j", "g1_", "g2_", "g3_", "g4_", "g5_", "g6_", "g7_", "g8_", "g11", "g12", "g13", "g14", "g15", "g16", "g17", "g18",
+           "g21", "g22", "i2", "c7", "c8", "c9", "c10", "c11", "c12", "c14", "c15", "c16", "c6", "c4", "b0", "b16", "b19", "d2", "d4", "d6")
+
+
+def test_native_queries_have_no_python_and_no_all_pairs(spark):
+    """Every query with a statement that reads its tables directly."""
+    names = [n for n in ORACLE if n not in KERNELS and not n.startswith(WRITTEN)]
+    assert len(names) > 60
+    for name in names:
         plan = _plan(QUERIES[name](spark, SF_SMALL))
         assert not any(p in plan for p in PYTHON_NODES), name
+        assert "CartesianProduct" not in plan, name
 
 
 def test_scan_is_pruned_and_filter_pushed(spark):

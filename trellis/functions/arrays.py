@@ -37,9 +37,9 @@ def pad_or_truncate(arr, max_len: int, pad_value, left_pad: bool = True, truncat
     elif truncation == "left":
         longer = F.slice(a, -max_len, max_len)
     elif truncation == "error":
-        longer = F.raise_error(F.concat(n.cast("string"), F.lit(f" is larger than {max_len}.")))
+        longer = F.raise_error(F.concat(n.cast("string"), F.lit(f" tokens do not fit into {max_len}")))
     else:
-        raise NotImplementedError(f"Unknown truncation method {truncation}.")
+        raise NotImplementedError(f"truncation is left, right or error, not {truncation!r}")
     return F.when(n < max_len, padded).when(n > max_len, longer).otherwise(a)
 
 

@@ -43,8 +43,8 @@ def masked_moments(df: DataFrame, x: str, mask: str, by: Sequence[str] = ()) ->
     return df.groupBy(*by).agg(
         n.alias("n_valid"),
         (F.sum(F.col(x) * F.col(mask)) / F.nullif(F.sum(F.col(mask).cast("double")), F.lit(0.0))).alias("mean"),
-        F.when(n == 0, F.raise_error(F.lit("At least one element in the mask has to be 1.")))
-         .when(n == 1, F.raise_error(F.lit("The sum of the mask is one, which can cause a division by zero.")))
+        F.when(n == 0, F.raise_error(F.lit("the mask selects no position")))
+         .when(n == 1, F.raise_error(F.lit("the mask selects one position only: there is no variance")))
          .otherwise(var).alias("var"))
 
 
