@@ -135,7 +135,8 @@ def _proposed(texts: DataFrame, hot: int) -> list[tuple[bytes, bytes]]:
 
     some = train.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < share).select("text")
     found = some.transform(map_arrow, pairs, "h binary, w binary, n long").groupBy("h", "w").agg(F.sum("n").alias("n"))
-    return [(bytes(r.h), bytes(r.w)) for r in found.where("n > 1").orderBy(F.desc("n"), "h", "w").limit(hot).collect()]
+    top = found.where("n > 1").orderBy(F.desc("n"), "h", "w").limit(hot).toArrow()
+    return list(zip(top.column("h").to_pylist(), top.column("w").to_pylist()))
 
 
 def _counts(texts: DataFrame, proposed: list[tuple[bytes, bytes]]) -> DataFrame:
@@ -219,10 +220,11 @@ class Words:
         clash = words.groupBy("id").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("id")
         floor = self._floor(words, head)
         own = words.where(F.col("n") >= floor).unionByName(words.join(clash, "id", "left_semi").where(F.col("n") < floor))
-        rows = sorted((-r.n, bytes(r.word)) for r in own.select("word", "n").collect())  # bounded by head, but for clashes
-        self.ids = MARKS | {w: FIRST + k for k, (_, w) in enumerate(rows)}
-        self.counts = np.array([docs, docs] + [-n for n, _ in rows], np.int64)
-        times = {r.pair: r.n for r in table.where("pair >= 0").select("pair", "n").collect()}  # bounded by hot
+        frequent = own.select("word", "n").toArrow().sort_by([("n", "descending"), ("word", "ascending")])  # bounded by head, but for clashes
+        self.ids = MARKS | {w: FIRST + k for k, w in enumerate(frequent.column("word").to_pylist())}
+        self.counts = np.concatenate(([docs, docs], frequent.column("n").to_numpy())).astype(np.int64)
+        pairs = table.where("pair >= 0").select("pair", "n").toArrow()  # bounded by hot
+        times = dict(zip(pairs.column("pair").to_pylist(), pairs.column("n").to_pylist()))
         self.hot = {(self.ids[h], self.ids[w]): times[k] for k, (h, w) in enumerate(proposed)
                     if times.get(k, 0) > LARGE + 1 and h in self.ids and w in self.ids}
 
@@ -453,8 +455,8 @@ def score(docs: DataFrame, head: int = HEAD, hot: int = HOT) -> DataFrame:
     backs = shared_table(_histories(counted, words, stars), "katz-weights")
     width = len(words.counts)
     known = np.zeros(width)
-    for r in backs.where((F.col("h") >= 0) & (F.col("h") < width)).collect():  # bounded by head
-        known[r.h] = r.back
+    own = backs.where((F.col("h") >= 0) & (F.col("h") < width)).toArrow()  # bounded by head
+    known[own.column("h").to_numpy()] = own.column("back").to_numpy()
     chunks = counted.where("kind = 'chunk'")
     lost = chunks.where(F.size("th") > 0).select("chunk", F.explode(F.arrays_zip("trow", "th")).alias("x")).select(
         "chunk", F.col("x.trow").alias("at"), F.col("x.th").alias("h"))
