@@ -36,7 +36,7 @@ from trellis.llm.common import ALNUM_BYTES, map_arrow, shared_table, with_row
 #: Words of the benchmark in one broadcast index.
 BLOCK_WORDS = 1_000_000
 #: Words of documents that are scanned together.
-SCAN_WORDS = 1 << 20
+SCAN_WORDS = 1 << 17
 _M1, _M2, _C = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 

@@ -40,7 +40,7 @@ OVERLAP = 3.0
 PENALTY = 1.5
 ROUNDS = 12
 #: Code points of documents that are handled together.
-SCAN_CHARS = 1 << 20
+SCAN_CHARS = 1 << 18
 
 
 @cache
