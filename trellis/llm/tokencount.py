@@ -120,7 +120,8 @@ def token_counts(docs: DataFrame, model_path: str | None = None, head: int = HEA
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     words = shared_table(vocabulary(docs.select("text"), model_path), "pre-tokens")
     floor = _head_floor(words, head)
-    known = {r.token: r.pieces for r in words.where(F.col("n") >= floor).select("token", "pieces").collect()}  # bounded by head
+    frequent = words.where(F.col("n") >= floor).select("token", "pieces").toArrow()  # bounded by head
+    known = dict(zip(frequent.column("token").to_pylist(), frequent.column("pieces").to_pylist()))
     schema = "row long, mark long, token string, n int, doc_id long, n_bytes long"
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
