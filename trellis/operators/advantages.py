@@ -4,7 +4,7 @@ Token tables carry one row per response token with explicit sequence keys and
 a position.  Per-sequence windows are bounded by the maximum response length;
 group statistics (GRPO/RLOO) are aggregates joined back (the join splits hot
 groups under AQE) rather than windows over a group; batch statistics are
-scalar subqueries or a broadcast of one row per batch, never a
+scalar subqueries or a join with one row per batch, never a
 single-partition window.
 """
 
@@ -51,7 +51,7 @@ def masked_moments(df: DataFrame, x: str, mask: str, by: Sequence[str] = ()) ->
 def _attach_batch_stats(df: DataFrame, stats: DataFrame, by: Sequence[str]) -> DataFrame:
     if by:
         # one row per batch: bounded by the number of batches (steps)
-        return df.join(F.broadcast(stats), list(by), "left")
+        return df.join(stats, list(by), "left")  # one row per batch: Spark broadcasts it by its size
     row = stats.select("mean", "var")
     return df.withColumn("mean", row.select("mean").scalar()).withColumn("var", row.select("var").scalar())
 

@@ -278,6 +278,14 @@ def f18_category_average(spark, sf_dir):
     return finish(OE.category_average(OE.dataset_score(scored), cfg))
 
 
+@register("f18_category_average_all")
+def f18_category_average_all(spark, sf_dir):
+    """Category macro averages over all datasets, each with its own metric."""
+    cfg = OE.dataset_config(spark)
+    scored = OE.score_by_dataset(_dispatch_items(spark, sf_dir), cfg)
+    return finish(OE.category_average(OE.dataset_score(scored), cfg))
+
+
 @register("f19_generation_limits", f"""
 WITH items AS (SELECT doc_id, {"[" + ", ".join("'" + n + "'" for n in OE.DATASET_METRIC) + "]"}[doc_id % 23 + 1] AS dataset FROM documents)
 SELECT doc_id, dataset, CASE WHEN dataset = '2hop_qa_v2' THEN NULL ELSE 4096 END AS max_gen, 32768 AS max_input
