@@ -61,10 +61,17 @@ def test_scores_match_the_recursion(spark, head, hot, monkeypatch):
     monkeypatch.setattr(katz, "BUCKET", 60)
     monkeypatch.setattr(katz, "CHUNK_DOCS", 7)
     docs = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string").repartition(3)
-    rows = katz.score(docs, head, hot).collect()
+    scored, model = katz.learn_and_score(docs, head, hot)
+    rows = scored.collect()
+    names = {r.id: bytes(r.word) for r in model.words.collect()} | {katz.START: "<start>", katz.END: "</end>"}
     train = [zlib.crc32(str(i).encode()) % 10 != 0 for i in range(len(TEXTS))]
     want = direct(TEXTS, train)
     assert len(rows) == len(TEXTS) and 0 < sum(train) < len(TEXTS)
+    words = [katz.words_of(t.encode() if t else None) for t, on in zip(TEXTS, train) if on]
+    bigrams = Counter(p for w in words for p in zip(["<start>"] + w, w + ["</end>"]))
+    assert {(names[r.h], names[r.w]): r.n for r in model.bigrams.collect()} == bigrams
+    assert {r.id: r.n for r in model.words.where("n > 0").collect()} == {
+        i: n for i, x in names.items() if (n := sum(w.count(x) for w in words))}
     for r in rows:
         n_tokens, n_known, n, base, score = want[r.doc_id]
         assert (r.n_tokens, r.n_known, r.train_tokens, r.train) == (n_tokens, n_known, n, train[r.doc_id])

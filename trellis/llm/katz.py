@@ -38,6 +38,8 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -56,6 +58,8 @@ LARGE, LOSS = 5, 0.75
 #: Transitions a bucket gets, about, and documents and tokens of a chunk at most.
 BUCKET, CHUNK_DOCS, CHUNK_TOKENS = 1_000_000, 8192, 2_000_000
 GATHER = 400_000
+#: Entries of one row of the counts table.
+PART = 100_000
 #: Ids of a text's start and end, and their stand-ins among words (no word has a space).
 START, END, FIRST = 0, 1, 2
 MARKS = {b" start": START, b" end": END}
@@ -159,7 +163,15 @@ def _counts(texts: DataFrame, proposed: list[tuple[bytes, bytes]]) -> DataFrame:
                 word, n = zip(*rows[k:k + 50_000])
                 yield pa.RecordBatch.from_arrays([pa.array(word, pa.binary()), pa.array([-1] * len(n), pa.int32()), pa.array(n, pa.int64())], ["word", "pair", "n"])
 
-        look = vocabulary.get
+        look, line = vocabulary.get, []
+
+        def count_pairs() -> None:
+            ids = np.array(line, np.int64)
+            line.clear()
+            code = (ids[:-1] * width + ids[1:])[(ids[:-1] > 0) & (ids[1:] > 0)]
+            at = np.minimum(np.searchsorted(keys, code), len(keys) - 1)
+            pairs[:] += np.bincount(order[at[keys[at] == code]], minlength=len(keys))
+
         for b in batches:
             for t, train in zip(b.column(0).cast(pa.binary()).to_pylist(), b.column(1).to_pylist()):
                 words = words_of(t)
@@ -168,13 +180,15 @@ def _counts(texts: DataFrame, proposed: list[tuple[bytes, bytes]]) -> DataFrame:
                 else:
                     seen.update(words)
                     if len(keys):
-                        ids = np.array([look(w, 0) for w in marked(words)], np.int64)
-                        code = (ids[:-1] * width + ids[1:])[(ids[:-1] > 0) & (ids[1:] > 0)]
-                        at = np.minimum(np.searchsorted(keys, code), len(keys) - 1)
-                        np.add.at(pairs, order[at[keys[at] == code]], 1)
+                        line += map(look, marked(words), repeat(0))
+                        line.append(0)  # no pair across texts
+                        if len(line) > GATHER:
+                            count_pairs()
                 if len(seen) + len(other) > GATHER:
                     yield from passed()
                     seen, other = Counter(), set()
+        if line:
+            count_pairs()
         yield from passed()
         some = np.flatnonzero(pairs)
         yield pa.RecordBatch.from_arrays([pa.array([b""] * len(some), pa.binary()), pa.array(some, pa.int32()), pa.array(pairs[some])], ["word", "pair", "n"])
@@ -221,6 +235,7 @@ class Words:
         floor = self._floor(words, head)
         own = words.where(F.col("n") >= floor).unionByName(words.join(clash, "id", "left_semi").where(F.col("n") < floor))
         frequent = own.select("word", "n").toArrow().sort_by([("n", "descending"), ("word", "ascending")])  # bounded by head, but for clashes
+        self.table, self.frequent = words, frequent.select(["word"]).append_column("own", pa.array(range(FIRST, FIRST + len(frequent)), pa.int64()))
         self.ids = MARKS | {w: FIRST + k for k, w in enumerate(frequent.column("word").to_pylist())}
         self.counts = np.concatenate(([docs, docs], frequent.column("n").to_numpy())).astype(np.int64)
         pairs = table.where("pair >= 0").select("pair", "n").toArrow()  # bounded by hot
@@ -263,26 +278,25 @@ def _sent(texts: DataFrame, words: Words) -> DataFrame:
     past_start = float(np.log10(max(1, words.totals.docs)))
     split = 1 + counts // (BUCKET // 8)  # a history's share of buckets
 
-    def chunk_rows(chunk: int, docs: list, ids: list[list[int]]) -> pa.RecordBatch:
-        sizes = np.array([len(x) + 2 for x in ids])
-        flat = np.fromiter((y for x in ids for y in (START, *x, END)), np.int64, int(sizes.sum()))
-        row = np.repeat(np.arange(len(ids)), sizes)
+    def chunk_rows(chunk: int, docs: list, sizes_: list[int], line: list[int]) -> pa.RecordBatch:
+        sizes, flat, n_docs = np.array(sizes_), np.array(line, np.int64), len(docs)
+        row = np.repeat(np.arange(n_docs), sizes)
         step = flat[1:] != START  # no transition into the next document
         h, w, at = flat[:-1][step], flat[1:][step], row[1:][step]
         train = np.array([d[1] for d in docs])
         frequent = (w >= 0) & (w < width)
         fw = np.where(frequent, w, 0)
-        n_known = np.bincount(at, frequent & (counts[fw] > 0), len(ids))
-        base_sum = np.bincount(at, np.where(frequent, base[fw], 0), len(ids))
-        past_sum = np.bincount(at, np.where(frequent & (w != END), past[fw], 0), len(ids)) + past_start
-        seen = np.zeros(len(ids))
+        n_known = np.bincount(at, frequent & (counts[fw] > 0), n_docs)
+        base_sum = np.bincount(at, np.where(frequent, base[fw], 0), n_docs)
+        past_sum = np.bincount(at, np.where(frequent & (w != END), past[fw], 0), n_docs) + past_start
+        seen = np.zeros(n_docs)
         fh = (h >= 0) & (h < width)
         rest = np.ones(len(h), bool)
         if len(hot_keys):
             code = np.where(fh & frequent, h * width + fw, -1)
             k = np.minimum(np.searchsorted(hot_keys, code), len(hot_keys) - 1)
             is_hot = hot_keys[k] == code
-            seen += np.bincount(at[is_hot], hot_logs[k[is_hot]], len(ids))
+            seen += np.bincount(at[is_hot], hot_logs[k[is_hot]], n_docs)
             rest = ~is_hot
         h, w, at, frequent, fh = h[rest], w[rest], at[rest], frequent[rest], fh[rest]
         mixed = _mix(w)
@@ -314,18 +328,21 @@ def _sent(texts: DataFrame, words: Words) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk = TaskContext.get().partitionId() << 24  # the task's rows come in a fixed order
-        ids, docs, listed, size = Ids(known), [], [], 0
+        ids, docs, sizes, line = Ids(known), [], [], []
         for b in batches:
             names, flags, texts_ = b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(1).cast(pa.binary())
             for i, (name, flag) in enumerate(zip(names, flags)):
-                listed.append(list(map(ids.__getitem__, words_of(texts_[i].as_py()))))
+                words_ = words_of(texts_[i].as_py())
+                line.append(START)
+                line += map(ids.__getitem__, words_)
+                line.append(END)
                 docs.append((name, flag))
-                size += len(listed[-1])
-                if len(docs) >= CHUNK_DOCS or size >= CHUNK_TOKENS:
-                    yield chunk_rows(chunk, docs, listed)
-                    chunk, ids, docs, listed, size = chunk + 1, Ids(known), [], [], 0
+                sizes.append(len(words_) + 2)
+                if len(docs) >= CHUNK_DOCS or len(line) >= CHUNK_TOKENS:
+                    yield chunk_rows(chunk, docs, sizes, line)
+                    chunk, ids, docs, sizes, line = chunk + 1, Ids(known), [], [], []
         if docs:
-            yield chunk_rows(chunk, docs, listed)
+            yield chunk_rows(chunk, docs, sizes, line)
 
     return texts.select("doc_id", "text", "train").transform(map_arrow, run, _SENT)
 
@@ -335,14 +352,15 @@ def _sent(texts: DataFrame, words: Words) -> DataFrame:
 _HISTORY = [f"m{r}" for r in range(1, LARGE + 1)] + ["large", "mass"]
 _BACK = ("kind string, chunk long, docs " + _DOC_SQL + ", row array<smallint>, c array<int>, wrow array<smallint>, wc array<int>, "
          "urow array<smallint>, uh array<int>, uc array<int>, trow array<smallint>, th array<bigint>, "
-         "h array<bigint>, sums array<double>, types array<bigint>")
+         "h array<bigint>, sums array<double>, types array<bigint>, w array<bigint>, n array<int>")
 
 
 def _counted(sent: DataFrame, words: Words) -> DataFrame:
     """Rows of kind ``chunk`` (documents; counts of transitions ``c`` by ``row``; of
     rare words ``wc`` by ``wrow``; unseen transitions: word counts ``uc`` by ``urow``
-    with the frequent history ``uh``, else -1; rare histories ``th`` by ``trow``) and
-    of kind ``model`` (histories ``h`` with their ``sums``; types by count)."""
+    with the frequent history ``uh``, else -1; rare histories ``th`` by ``trow``), of
+    kind ``bigram`` (``h``, ``w``, ``n``: the counts) and of kind ``model`` (histories
+    ``h`` with their ``sums``; types by count)."""
     counts, width, totals = words.counts, len(words.counts), words.totals
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
@@ -357,56 +375,54 @@ def _counted(sent: DataFrame, words: Words) -> DataFrame:
         for i in range(table.num_rows):
             if docs[i].is_valid:
                 put(kind="chunk", chunk=chunks[i], docs=docs[i].as_py())
-        cols = {n: table.column(n).combine_chunks() for n in ("h", "w", "row", "lh", "lw", "lrow")}
-
-        def joined(a: str, b: str, kind) -> np.ndarray:
-            return np.concatenate([cols[a].flatten().to_numpy().astype(kind), cols[b].flatten().to_numpy().astype(kind)])
-
-        h, w, row = joined("h", "lh", np.int64), joined("w", "lw", np.int64), joined("row", "lrow", np.int16)
-        sizes = [np.diff(cols[x].offsets.to_numpy()) for x in ("h", "lh")]
-        pack = np.concatenate([np.repeat(np.arange(table.num_rows), s) for s in sizes])
-        train = np.array(flags, bool)[pack]
-        if not len(h):
-            return _table(out)
-        order = np.lexsort((w, h))
-        hs, ws = h[order], w[order]
-        new = np.concatenate(([True], (hs[1:] != hs[:-1]) | (ws[1:] != ws[:-1])))
-        starts = np.flatnonzero(new)
-        times = np.add.reduceat(train[order].astype(np.int64), starts)
-        c = np.empty(len(h), np.int64)
-        c[order] = np.repeat(times, np.diff(np.append(starts, len(h))))
-        rare = (w < 0) | (w >= width)
-        wc = np.where(rare, 0, counts[np.where(rare, 0, w)])
-        if rare.any():  # all occurrences of a rare word are here
-            _, inverse = np.unique(w[rare], return_inverse=True)
-            wc[rare] = np.bincount(inverse, train[rare]).astype(np.int64)[inverse]
-        # each history's sums over its types here
-        first = order[starts]
-        on = times > 0
-        th, tc, tw = h[first][on], times[on], wc[first][on]
-        types = np.bincount(np.minimum(tc, LARGE + 2), minlength=LARGE + 3)[1:LARGE + 2]
-        if len(th):
-            at = np.flatnonzero(np.concatenate(([True], th[1:] != th[:-1])))
-            parts = [tc == r for r in range(1, LARGE + 1)] + [tc > LARGE, 10.0 ** totals.log_word(tw)]
-            sums = np.stack([np.add.reduceat(p.astype(float), at) for p in parts], axis=1)
-            for k in range(0, len(at), 100_000):  # by history, a part at a time
-                put(kind="model", h=th[at[k:k + 100_000]], sums=sums[k:k + 100_000].ravel())
-        put(kind="model", types=types)
-        # each chunk's own occurrences
-        rh = (h < 0) | (h >= width)
-        order = np.lexsort((row, pack))
-        bounds = np.flatnonzero(np.concatenate(([True], pack[order][1:] != pack[order][:-1])))
-        for a, b in zip(bounds.tolist(), [*bounds[1:].tolist(), len(order)]):
-            o = order[a:b]
-            seen, word, lost = o[c[o] > 0], o[rare[o]], o[c[o] == 0]
-            tail = lost[rh[lost]]
-            put(kind="chunk", chunk=chunks[pack[o[0]]], row=row[seen], c=c[seen], wrow=row[word], wc=wc[word],
-                urow=row[lost], uh=np.where(rh[lost], -1, h[lost]), uc=wc[lost], trow=row[tail], th=h[tail])
+        tables = [tuple(table.column(n).combine_chunks() for n in names) for names in (("h", "w", "row"), ("lh", "lw", "lrow"))]
+        found = np.zeros(LARGE + 1, np.int64)
+        for part in tables:  # pairs of frequent words, and others: no bigram is in both
+            h, w, row = (x.flatten().to_numpy() for x in part)
+            h, w = h.astype(np.int64), w.astype(np.int64)
+            if not len(h):
+                continue
+            sizes = np.diff(part[0].offsets.to_numpy())
+            train = np.repeat(np.array(flags, bool), sizes)
+            wide = part is tables[1]
+            order = np.lexsort((w, h)) if wide else np.argsort((h << 32) | w)
+            hs, ws = h[order], w[order]
+            starts = np.flatnonzero(np.concatenate(([True], (hs[1:] != hs[:-1]) | (ws[1:] != ws[:-1]))))
+            times = np.add.reduceat(train[order].astype(np.int64), starts)
+            c = np.empty(len(h), np.int64)
+            c[order] = np.repeat(times, np.diff(np.append(starts, len(h))))
+            rare, rh = (w < 0) | (w >= width), (h < 0) | (h >= width)
+            wc = counts[np.where(rare, 0, w)]
+            if wide and rare.any():  # all occurrences of a rare word are here
+                _, inverse = np.unique(w[rare], return_inverse=True)
+                wc[rare] = np.bincount(inverse, train[rare]).astype(np.int64)[inverse]
+            # each history's sums over its types here
+            first, on = order[starts], times > 0
+            th, tc, tw = h[first][on], times[on], wc[first][on]
+            found += np.bincount(np.minimum(tc, LARGE + 2), minlength=LARGE + 3)[1:LARGE + 2]
+            for k in range(0, len(th), PART):
+                put(kind="bigram", h=th[k:k + PART], w=w[first][on][k:k + PART], n=tc[k:k + PART])
+            if len(th):
+                at = np.flatnonzero(np.concatenate(([True], th[1:] != th[:-1])))
+                parts = [tc == r for r in range(1, LARGE + 1)] + [tc > LARGE, 10.0 ** totals.log_word(tw)]
+                sums = np.stack([np.add.reduceat(p.astype(float), at) for p in parts], axis=1)
+                for k in range(0, len(at), PART):
+                    put(kind="model", h=th[at[k:k + PART]], sums=sums[k:k + PART].ravel())
+            # each chunk's own occurrences: a pack's stand together
+            stops = np.cumsum(sizes)
+            for i in np.flatnonzero(sizes).tolist():
+                a, b = int(stops[i] - sizes[i]), int(stops[i])
+                o = a + np.argsort(row[a:b], kind="stable")
+                seen, word, lost = o[c[o] > 0], o[rare[o]], o[c[o] == 0]
+                tail = lost[rh[lost]]
+                put(kind="chunk", chunk=chunks[i], row=row[seen], c=c[seen], wrow=row[word], wc=wc[word],
+                    urow=row[lost], uh=np.where(rh[lost], -1, h[lost]), uc=wc[lost], trow=row[tail], th=h[tail])
+        put(kind="model", types=found)
         return _table(out)
 
     types = {"kind": pa.string(), "chunk": pa.int64(), "docs": pa.list_(_DOC), "c": pa.list_(pa.int32()), "wc": pa.list_(pa.int32()),
              "uh": pa.list_(pa.int32()), "uc": pa.list_(pa.int32()), "th": pa.list_(pa.int64()), "h": pa.list_(pa.int64()),
-             "sums": pa.list_(pa.float64()), "types": pa.list_(pa.int64())}
+             "sums": pa.list_(pa.float64()), "types": pa.list_(pa.int64()), "w": pa.list_(pa.int64()), "n": pa.list_(pa.int32())}
 
     def _table(out: dict[str, list]) -> pa.Table:
         return pa.table({n: pa.array(v, types.get(n, pa.list_(pa.int16()))) for n, v in out.items()})
@@ -438,9 +454,30 @@ def _histories(counted: DataFrame, words: Words, stars: np.ndarray) -> DataFrame
     return total.select("h", F.log10(rest / F.greatest(1 - F.col("mass"), F.lit(float(words.totals.unknown)))).alias("back"))
 
 
+@dataclass(frozen=True)
+class Model:
+    """What was learned, as tables that stay in the shared folder."""
+
+    #: (word, id, n): words of all texts and their training occurrences.
+    words: DataFrame
+    #: (h, w, n): counts of the seen bigrams, by the ids of their words (0: start,
+    #: 1: end). P(w|h) = n* / count of h.
+    bigrams: DataFrame
+    #: (h, back): log10 of alpha(h) times the count of h.
+    weights: DataFrame
+    totals: Totals
+    #: n* of small bigram counts; larger ones lose LOSS.
+    stars: np.ndarray
+
+
 def score(docs: DataFrame, head: int = HEAD, hot: int = HOT) -> DataFrame:
     """``docs`` (doc_id, text), a row per row: doc_id, train, n_tokens, n_known,
     train_tokens, base_score, score (log10 probability of the text)."""
+    return learn_and_score(docs, head, hot)[0]
+
+
+def learn_and_score(docs: DataFrame, head: int = HEAD, hot: int = HOT) -> tuple[DataFrame, Model]:
+    """The scores, and the model."""
     texts = _texts(docs)
     words = Words(texts, head, hot)
     path = shared_path(docs.sparkSession, "katz-counts")
@@ -492,5 +529,13 @@ def score(docs: DataFrame, head: int = HEAD, hot: int = HOT) -> DataFrame:
             "n_tokens": pa.array([d["n_tokens"] for d in docs_], pa.int64()), "n_known": pa.array(n_known, pa.int64()),
             "train_tokens": pa.array([totals.tokens] * n, pa.int64()), "base_score": pa.array(base, pa.float64()), "score": pa.array(total, pa.float64())})
 
-    return parts.groupBy("chunk").applyInArrow(
+    scored = parts.groupBy("chunk").applyInArrow(
         run, "doc_id long, train boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    spark = docs.sparkSession
+    pairs = counted.where("kind = 'bigram'").select(F.explode(F.arrays_zip("h", "w", "n")).alias("x")).select("x.*")
+    sure = [(h, w, n) for (h, w), n in words.hot.items()]  # bounded by hot
+    if sure:
+        pairs = pairs.unionByName(spark.createDataFrame(sure, "h long, w long, n int"))
+    own = spark.createDataFrame(words.frequent, "word binary, own long")
+    named = words.table.join(own, "word", "left").select("word", F.coalesce("own", "id").alias("id"), "n")
+    return scored, Model(named, pairs, backs, totals, stars)
