@@ -151,6 +151,8 @@ def _counts(texts: DataFrame, proposed: list[tuple[bytes, bytes]]) -> DataFrame:
     codes = np.array([vocabulary[h] * width + vocabulary[w] for h, w in proposed], np.int64)
     order = np.argsort(codes)
     keys = codes[order]
+    opens, closes = np.zeros(width, bool), np.zeros(width, bool)  # words that begin or end one
+    opens[codes // width], closes[codes % width] = True, True
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
@@ -168,7 +170,8 @@ def _counts(texts: DataFrame, proposed: list[tuple[bytes, bytes]]) -> DataFrame:
         def count_pairs() -> None:
             ids = np.array(line, np.int64)
             line.clear()
-            code = (ids[:-1] * width + ids[1:])[(ids[:-1] > 0) & (ids[1:] > 0)]
+            both = np.flatnonzero(opens[ids[:-1]] & closes[ids[1:]])
+            code = ids[both] * width + ids[both + 1]
             at = np.minimum(np.searchsorted(keys, code), len(keys) - 1)
             pairs[:] += np.bincount(order[at[keys[at] == code]], minlength=len(keys))
 
@@ -273,6 +276,8 @@ def _sent(texts: DataFrame, words: Words) -> DataFrame:
     known, counts, n_buckets = words.ids, words.counts, words.buckets()
     width = len(counts)
     hot_keys = np.array(sorted(h * width + w for h, w in words.hot), np.int64)
+    opens, closes = np.zeros(width, bool), np.zeros(width, bool)  # words that begin or end one
+    opens[hot_keys // width], closes[hot_keys % width] = True, True
     hot_logs = np.log10(np.array([words.hot[k // width, k % width] for k in hot_keys.tolist()], float) - LOSS)
     base, past = words.totals.log_base(counts), np.log10(np.maximum(counts, 1))
     past_start = float(np.log10(max(1, words.totals.docs)))
@@ -293,15 +298,19 @@ def _sent(texts: DataFrame, words: Words) -> DataFrame:
         fh = (h >= 0) & (h < width)
         rest = np.ones(len(h), bool)
         if len(hot_keys):
-            code = np.where(fh & frequent, h * width + fw, -1)
+            likely = np.flatnonzero(fh & frequent & opens[np.where(fh, h, 0)] & closes[fw])
+            code = h[likely] * width + fw[likely]
             k = np.minimum(np.searchsorted(hot_keys, code), len(hot_keys) - 1)
             is_hot = hot_keys[k] == code
-            seen += np.bincount(at[is_hot], hot_logs[k[is_hot]], n_docs)
-            rest = ~is_hot
+            seen += np.bincount(at[likely[is_hot]], hot_logs[k[is_hot]], n_docs)
+            rest[likely[is_hot]] = False
         h, w, at, frequent, fh = h[rest], w[rest], at[rest], frequent[rest], fh[rest]
         mixed = _mix(w)
-        shares = np.where(fh, split[np.where(fh, h, 0)], 1).astype(np.uint64)
-        key = np.where(frequent, _mix(_mix(h) + mixed % shares), mixed)
+        by_history = _mix(h)
+        shares = np.where(fh, split[np.where(fh, h, 0)], 1)
+        large = np.flatnonzero(shares > 1)
+        by_history[large] += mixed[large] % shares[large].astype(np.uint64)
+        key = np.where(frequent, _mix(by_history), mixed)
         bucket = (key % np.uint64(n_buckets)).astype(np.int64)
         group = (bucket * 2 + train[at]) * 2 + ~(frequent & fh)
         order = np.argsort((group << 32) | (h & 0xFFFFFFFF))
