@@ -59,15 +59,9 @@ def ranked(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str =
     table = _sorted_once(df, [*keys, *order], num_partitions)
     local = table.withColumn(_LR, F.row_number().over(Window.partitionBy(_PID, *keys).orderBy(_LR)) - 1)
     parts = table.groupBy(_PID, *keys).agg(F.count(F.lit(1)).alias(_CNT))
-    # a key that goes on from an earlier partition: at most one per partition
-    first = table.where(F.col(_LR) == 0).select(_PID, *keys)
-    opening = (parts.alias("p").join(F.broadcast(first).alias("f"), _same("p", "f", keys))
-               .select(F.col(f"p.{_PID}").alias(_PID), *[F.col(f"p.`{k}`").alias(k) for k in keys]))
-    last = table.groupBy(_PID).agg(F.max_by(F.struct(*keys), _LR).alias("_k")).select(_PID, *[F.col(f"_k.`{k}`").alias(k) for k in keys])
-    edges = opening.unionByName(last).distinct()  # at most two keys per partition
-    sizes = (parts.alias("p").join(F.broadcast(edges).alias("e"), _same("p", "e", keys), "left_semi"))
     before = Window.partitionBy(*keys).orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.withColumn(_OFF, F.sum(_CNT).over(before)).where(F.col(_OFF).isNotNull())
+    # a key that goes on from an earlier partition: at most one per partition
+    offsets = parts.withColumn(_OFF, F.sum(_CNT).over(before)).where(F.col(_OFF).isNotNull())
     joined = local.alias("l").join(F.broadcast(offsets).alias("o"), _same("l", "o", keys), "left")
     position = (F.col(f"l.{_LR}") + F.coalesce(F.col(f"o.{_OFF}"), F.lit(0))).cast("long")
     return joined.select(*[F.col(f"l.`{c}`").alias(c) for c in df.columns], position.alias(out))

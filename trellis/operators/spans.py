@@ -50,18 +50,22 @@ def corpus_contains(docs: DataFrame, items: DataFrame, doc_key: str, doc_text: s
     rarest = rarest.join(long.select(item_key, F.size(F.array_distinct(F.slice("_w", 2, F.size("_w") - 2))).alias("_n")), item_key)
     cand = rarest.filter("_found = _n").select(item_key, "_tok").join(tokens, "_tok").select(item_key, doc_key)
 
-    # short spans: their first word inside a token of the vocabulary
+    # short spans: their first word inside a token of the vocabulary, whose grams are
+    # as long as those of the words that are asked for (none are made for none)
     short = spans.filter(F.size("_w").between(1, 2)).select(item_key, span, F.get("_w", F.lit(0)).alias("_w1"))
+    lengths = short.select(F.collect_set(F.least(F.length("_w1"), F.lit(QGRAM)))).scalar()
     starts = F.sequence(F.lit(1), F.greatest(F.length("_tok"), F.lit(1)))
-    vocab = tokens.select("_tok").distinct().select("_tok", F.explode(F.array_distinct(F.flatten(F.transform(
-        F.sequence(F.lit(1), F.lit(QGRAM)), lambda q: F.transform(starts, lambda i: F.substring("_tok", i, q)))))).alias("_g"))
+    asked = tokens.withColumn("_q", lengths).where(F.size("_q") > 0).select("_tok", "_q").distinct()
+    vocab = asked.select("_tok", F.explode(F.array_distinct(F.flatten(F.transform(
+        "_q", lambda q: F.transform(starts, lambda i: F.substring("_tok", i, q)))))).alias("_g"))
     inside = (short.withColumn("_g", F.substring("_w1", 1, QGRAM)).join(vocab, "_g")
               .filter(F.contains("_tok", F.col("_w1"))).select(item_key, "_tok").distinct())
     cand = cand.unionByName(inside.join(tokens, "_tok").select(item_key, doc_key))
 
     # blank spans: inside a run of white space
     blank = spans.filter(F.size("_w") == 0).select(item_key, span, F.substring(span, 1, 1).alias("_c"))
-    runs = docs.select(doc_key, F.explode(F.array_distinct(F.regexp_extract_all(doc_text, F.lit("(\\s+)"), 1))).alias("_run"))
+    some = docs.withColumn("_any", blank.select(F.count(F.lit(1)) > 0).scalar()).where("_any")
+    runs = some.select(doc_key, F.explode(F.array_distinct(F.regexp_extract_all(doc_text, F.lit("(\\s+)"), 1))).alias("_run"))
     kinds = runs.select("_run").distinct().select("_run", F.explode(F.array_distinct(F.split("_run", ""))).alias("_c"))
     within = blank.join(kinds, "_c").filter(F.contains("_run", F.col(span))).select(item_key, "_run").distinct()
     cand = cand.unionByName(within.join(runs, "_run").select(item_key, doc_key)).distinct()

@@ -21,8 +21,17 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
 SEQ_LEN = 128
 
 
+# Tables whose per-row work is CPU heavy (long texts, arrays).
+HEAVY = ("documents", "pages", "conversations", "embeddings")
+#: Session setting, off unless set: deal the rows of heavy tables to so many
+#: partitions, for input files with fewer row groups than there are cores.
+INPUT_PARTITIONS = "trellis.input.partitions"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    n = spark.conf.get(INPUT_PARTITIONS, None) if name in HEAVY else None
+    return df.repartition(int(n)) if n else df
 
 
 def qa_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,18 +58,18 @@ def doc_pairs(spark: SparkSession, sf_dir: str, text_fn=None) -> DataFrame:
     consecutive ids; the two at a block's ends go to the next block as well
     (``2 / PAIR_BLOCK`` copies of the text), where ``lag`` and ``lead`` find the
     neighbours of a block's own documents.  ``text_fn`` (a Column function) is
-    applied to each document once, before pairing — e.g. a normaliser, so that
+    applied to each document before pairing — e.g. a normaliser, so that
     prediction and references are not normalised again per pair.
     """
-    d = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "n_chars")
-    if text_fn is not None:
-        d = d.withColumn("text", text_fn(F.col("text")))
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang", "n_chars")
 
     def block(x):
         return F.floor(x / PAIR_BLOCK)
 
     dealt = d.withColumn("_b", F.explode(F.array_distinct(F.array(
-        block(F.col("doc_id")), block(F.col("doc_id") - 1), block(F.col("doc_id") + 1)))))
+        block(F.col("doc_id")), block(F.col("doc_id") - 1), block(F.col("doc_id") + 1))))).repartition("_b")
+    if text_fn is not None:  # behind the exchange that the window needs anyway
+        dealt = dealt.withColumn("text", text_fn(F.col("text")))
     w = Window.partitionBy("_b").orderBy("doc_id")
     near = [F.when(step("doc_id", 1).over(w) == F.col("doc_id") + at, step("text", 1).over(w))
             for step, at in ((F.lag, -1), (F.lead, 1))]

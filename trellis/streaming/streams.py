@@ -156,7 +156,8 @@ def _kl_controller(init: float, target: float, horizon: float, first_step: int):
             value, due = after, due + 1
         left = sorted(waiting)
         state.update((value, due, left, [waiting[x][0] for x in left], [waiting[x][1] for x in left]))
-        yield pd.DataFrame(rows, columns=["run", "step", "kl_coef", "kl_coef_next"])
+        if rows:
+            yield pd.DataFrame(rows, columns=["run", "step", "kl_coef", "kl_coef_next"])
 
     return fn
 
