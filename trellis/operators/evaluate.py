@@ -173,15 +173,16 @@ def length_bucket_score(scored: DataFrame, length: str = "length", dataset: str
                         score: str = "score") -> DataFrame:
     """per dataset and length bucket ``round(100*mean, 2)``; NaN when a
     bucket is empty (every dataset gets all three buckets)."""
-    agg = (scored.withColumn("bucket", E.length_bucket(length))
-           .groupBy(dataset, "bucket")
-           .agg(F.count(F.lit(1)).alias("n_items"), F.avg(score).alias("mean_score")))
-    grid = agg.select(dataset).distinct().withColumn(
-        "bucket", F.explode(F.array(F.lit("0-4k"), F.lit("4-8k"), F.lit("8k+"))))
-    out = grid.join(agg, [dataset, "bucket"], "left")
-    return out.select(
-        dataset, "bucket", F.coalesce("n_items", F.lit(0)).alias("n_items"),
-        F.coalesce(F.round(F.col("mean_score") * 100.0, 2), F.lit(float("nan"))).alias("score"))
+    bucket = E.length_bucket(length)
+    names = ("0-4k", "4-8k", "8k+")
+    agg = scored.groupBy(dataset).agg(
+        *[F.count(F.when(bucket == b, 1)).alias(f"n{i}") for i, b in enumerate(names)],
+        *[F.avg(F.when(bucket == b, F.col(score))).alias(f"m{i}") for i, b in enumerate(names)])
+    grid = F.explode(F.array(*[F.struct(F.lit(b).alias("bucket"), F.col(f"n{i}").alias("n"), F.col(f"m{i}").alias("m"))
+                               for i, b in enumerate(names)])).alias("x")
+    return agg.select(dataset, grid).select(
+        dataset, "x.bucket", F.col("x.n").alias("n_items"),
+        F.coalesce(F.round(F.col("x.m") * 100.0, 2), F.lit(float("nan"))).alias("score"))
 
 
 def category_average(ds_scores: DataFrame, config: DataFrame) -> DataFrame:
