@@ -84,3 +84,52 @@ def test_planted_passages_and_edges(spark):
     found = {r.doc_id: r for r in kept.collect()}
     assert set(found) == {3, 12, 20, 21, 22, 30, 31} and found[12].n_chars == len(found[12].text)
     assert L.dedup_lines(docs.limit(0)).count() == 0
+
+
+def runs(docs, min_words):
+    """Ranks to delete per document: every run of lines that any earlier document
+    holds too, by all pairs of documents and all places."""
+    lines = {d: [x.strip() for x in t.split("\n") if x.strip()] for d, t in docs.items()}
+    out = {d: set() for d in docs}
+    for d in docs:
+        for a in (a for a in docs if a < d):
+            for i in range(len(lines[a])):
+                for j in range(len(lines[d])):
+                    n = 0
+                    while i + n < len(lines[a]) and j + n < len(lines[d]) and lines[a][i + n] == lines[d][j + n]:
+                        n += 1
+                    if sum(len(x.split()) for x in lines[d][j:j + n]) >= min_words:
+                        out[d].update(range(j, j + n))
+    return out
+
+
+def test_passages_equal_all_pairs(spark):
+    rng = random.Random(4)
+    docs = {}
+    for i in range(60):
+        lines = [f"s{n} " + "w " * (n % 4) for n in rng.sample(range(60), 25)]  # 1 to 4 words, none twice in a document
+        if i > 5 and i % 3 == 0:
+            other = docs[rng.randrange(i)].split("\n")
+            at = rng.randrange(len(other) - 4)
+            part = other[at:at + rng.randrange(3, 15)]
+            lines = [x for x in lines if x not in part]
+            lines[4:4] = part
+        docs[i] = "\n".join(lines)
+    docs[60] = docs[59]  # an exact copy of short lines
+    frame = spark.createDataFrame(list(docs.items()), "doc_id long, text string").repartition(5)
+    want = runs(docs, L.MIN_WORDS)
+    got = {r.doc_id: r for r in L.dedup_lines(frame, passages=True).selectExpr("row.doc_id", "text", "n_deleted").collect()}
+    assert got[60].text == "" and len(got) == len(docs)
+    for d, t in docs.items():
+        assert got[d].text == "\n".join(x for n, x in enumerate(t.split("\n")) if n not in want[d])
+    owners = direct(docs, L.MIN_WORDS)
+    assert any(len(owners[d]) < len(want[d]) for d in docs)
+
+
+def test_passage_whose_lines_have_other_owners(spark):
+    passage = [f"four words of {n}" for n in range(14)]
+    rows = [(1, "\n".join(x for p in passage[::2] for x in (p, f"one's own line, number {p}"))), (2, "\n".join(passage)),
+            (3, "\n".join(["mine", *passage, "too"]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.text for r in L.deduped_documents(docs).collect()}
+    assert got == {1: rows[0][1], 2: rows[1][1], 3: "mine\ntoo"}

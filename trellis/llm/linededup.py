@@ -3,8 +3,15 @@
 Overlapping documents are found through shared line hashes: every line that more
 than one document holds belongs to its first document (smallest doc_id), and each
 later holder is paired with that owner. The pairs of a line are as many as its
-holders, rare or common, so no line is too frequent to take part, and a
-document meets each of its earlier copies' first source.
+holders, rare or common, so no line is too frequent to take part.
+
+The owner of a passage's lines need not be a document that holds the passage. So
+neighbouring lines are hashed too (``passages``): from each line shorter than
+``min_words``, the fewest lines from it on, and up to it, that have so many words
+(at most ``min_words`` lines, two hashes a line). Such a window goes from every
+document but its first. Every line of a run of at least ``min_words`` words lies in
+a window inside the run or is as long itself, so a run that any earlier document
+holds goes whole, whoever owns its lines.
 
 A pair is aligned by patience diff: lines that occur once on either side are
 anchors, the longest increasing run of anchors is kept, and neighbouring anchors
@@ -48,6 +55,31 @@ def line_keys(text: bytes) -> Iterator[tuple[int, int, int, int, int]]:
             yield n, k, xxh64_intdigest(line, 1) - (1 << 63), xxh64_intdigest(line, 2) - (1 << 63), len(line.split())
 
 
+def window_keys(text: bytes, min_words: int) -> Iterator[tuple[int, int, int, int, int, int]]:
+    """(rank of the first line, ordinal of the equal window, hash, second hash,
+    words, lines) of the shortest runs of lines that begin or end at a line of
+    fewer than ``min_words`` words and have ``min_words``."""
+    from xxhash import xxh64_intdigest
+
+    lines = [x for x in map(bytes.strip, text.split(b"\n")) if x]
+    words = [len(x.split()) for x in lines]
+    found: set[tuple[int, int]] = set()
+    for i, n in enumerate(words):
+        if n < min_words:
+            for step in (1, -1):
+                j, total = i, n
+                while total < min_words and 0 <= j + step < len(lines):
+                    j += step
+                    total += words[j]
+                if total >= min_words:
+                    found.add((min(i, j), max(i, j) + 1))
+    seen: dict[bytes, int] = {}
+    for a, b in sorted(found):
+        window = b"\n".join(lines[a:b])  # no single line has a line feed
+        k = seen[window] = seen.get(window, 0) + 1
+        yield a, k, xxh64_intdigest(window, 1) - (1 << 63), xxh64_intdigest(window, 2) - (1 << 63), sum(words[a:b]), b - a
+
+
 def longest_increasing(values: list[int]) -> list[int]:
     """Indices of a longest strictly increasing subsequence (patience sorting)."""
     tops: list[int] = []
@@ -88,41 +120,48 @@ def _identity(id_: Column, text: Column) -> list[Column]:
     return [F.coalesce(id_.cast("long"), F.lit(_LAST)).alias("id"), F.xxhash64(F.lit(7), text).alias("body")]
 
 
-def _lines(docs: DataFrame) -> DataFrame:
-    """(id, body, rank: number among lines with a word, k, h, g, words)."""
+def _lines(docs: DataFrame, min_words: int, passages: bool) -> DataFrame:
+    """(id, body, rank: number among lines with a word, k, h, g, words, span: lines,
+    more than one for windows)."""
     schema = pa.schema([("id", pa.int64()), ("body", pa.int64()), ("rank", pa.int32()), ("k", pa.int32()),
-                        ("h", pa.int64()), ("g", pa.int64()), ("words", pa.int32())])
+                        ("h", pa.int64()), ("g", pa.int64()), ("words", pa.int32()), ("span", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids, bodies, texts = b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).cast(pa.binary())
             rows: list[tuple] = []
             for i, (id_, body) in enumerate(zip(ids, bodies)):
-                rows += [(id_, body, rank, *x[1:]) for rank, x in enumerate(line_keys(texts[i].as_py() or b""))]
+                text = texts[i].as_py() or b""
+                rows += [(id_, body, rank, *x[1:], 1) for rank, x in enumerate(line_keys(text))]
+                if passages:
+                    rows += [(id_, body, *x) for x in window_keys(text, min_words)]
                 if len(rows) > 50_000 or i + 1 == len(ids):
                     cols = list(zip(*rows)) or [[]] * len(schema)
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, schema.types)], schema=schema)
                     rows = []
 
     return docs.select(*_identity(F.col("doc_id"), F.col("text")), F.col("text").cast("string")).transform(
-        map_arrow, run, "id long, body long, rank int, k int, h long, g long, words int")
+        map_arrow, run, "id long, body long, rank int, k int, h long, g long, words int, span int")
 
 
-def deletions(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+def deletions(docs: DataFrame, min_words: int = MIN_WORDS, passages: bool = False) -> DataFrame:
     """(id, body, ranks: numbers of the lines to delete) of documents that lose lines."""
-    lines = _lines(docs)
+    lines = _lines(docs, min_words, passages)
     holder = F.struct("id", "body", "rank")
     owners = lines.groupBy("h", "g", "k").agg(F.min(holder).alias("own"), F.max(holder).alias("last")).where(
         "own.id != last.id OR own.body != last.body").select("h", "g", "k", "own")
     owners = shared_table(owners, "shared-lines")  # a table, so that AQE can split a line that very many hold
     common = join_checked(lines, owners, ["h", "g", "k"], "inner").where("own.id != id OR own.body != body")
     pairs = common.groupBy(F.col("own.id").alias("a"), F.col("own.body").alias("b"), "id", "body").agg(
-        F.collect_list(F.struct(F.col("own.rank").alias("x"), F.col("rank").alias("y"), "words")).alias("pairs"))
+        F.collect_list(F.struct(F.col("own.rank").alias("x"), F.col("rank").alias("y"), "words", "span")).alias("pairs"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ranks = [aligned_blocks([(p["x"], p["y"], p["words"]) for p in pairs], min_words)
-                     for pairs in b.column(2).to_pylist()]
+            ranks = []
+            for pairs in b.column(2).to_pylist():
+                gone = set(aligned_blocks([(p["x"], p["y"], p["words"]) for p in pairs if p["span"] == 1], min_words))
+                gone.update(y for p in pairs if p["span"] > 1 for y in range(p["y"], p["y"] + p["span"]))
+                ranks.append(sorted(gone))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ranks, pa.list_(pa.int32()))],
                                              ["id", "body", "ranks"])
 
@@ -130,10 +169,11 @@ def deletions(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     return cut.groupBy("id", "body").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ranks")))).alias("ranks"))
 
 
-def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, passages: bool = False) -> DataFrame:
     """``docs`` (doc_id, text, ...) to (row: all other columns, text: what is
-    left, n_lines: lines with a word, n_deleted: of them deleted)."""
-    cut = deletions(docs, min_words)
+    left, n_lines: lines with a word, n_deleted: of them deleted). Without
+    ``passages``, a document meets only the first owners of its lines."""
+    cut = deletions(docs, min_words, passages)
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("row"), *_identity(F.col("doc_id"), F.col("text")), F.col("text").cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,7 +201,7 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 def deduped_documents(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """The documents with their columns; those that lose their every line go.
     ``n_chars``, where it exists, follows the new text."""
-    found = dedup_lines(docs, min_words).where("n_lines = 0 OR n_deleted < n_lines")
+    found = dedup_lines(docs, min_words, passages=True).where("n_lines = 0 OR n_deleted < n_lines")
     at = {"text": F.col("text"), "n_chars": F.when(F.col("n_deleted") > 0, F.length("text").cast("long")).otherwise(F.col("row.n_chars"))
           if "n_chars" in docs.columns else None}
     return found.select(*[(at[c] if c in at else F.col(f"row.`{c}`")).alias(c) for c in docs.columns])

@@ -98,7 +98,7 @@ def mix_digest(mixed):
 
 @register("op10_line_dedup")
 def op10_line_dedup(spark, sf_dir):
-    found = linededup.dedup_lines(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = linededup.dedup_lines(read_table(spark, sf_dir, "documents").select("doc_id", "text"), passages=True)
     return found.select(F.col("row.doc_id").cast("long").alias("doc_id"), "n_lines", "n_deleted", "text")
 
 
