@@ -71,3 +71,28 @@ def test_edges(spark):
     got = S.main_texts(pages).selectExpr("row.page_id", "row.url", "text").collect()
     assert sorted(r.text for r in got) == ["", "", "", "t"]
     assert S.main_texts(pages.limit(0)).count() == 0
+
+
+def test_article_below_a_marked_wrapper():
+    for wrapper in ("class='page has-sidebar'", "class=no-comments", "id='header-and-content'", "role=banner"):
+        assert text(f"<div {wrapper}><p>crumbs</p><article><p>real</p><div class=share>to all</div></article></div>") == "real"
+        assert text(f"<main><div {wrapper}><article>real</article></div></main>") == "real"
+    comments = '<div id="comments"><article class="comment-body">hm</article></div>'
+    assert text(f"<article>real</article>{comments}<div class=related><article>next</article></div>") == "real"
+    assert text(f"<div><p>real</p></div>{comments}") == "real"
+
+
+def test_importance_overrules_names(spark):
+    def page(i):
+        story = f"<h2>Story {i}</h2><p>Body of number {i}</p>"
+        if i < 20:
+            return f'<body><h1>Title {i}</h1><div class="page has-sidebar"><div class="sidebar"><p>Always here</p></div>{story}</div></body>'
+        return f'<body><article>{story}<p>A closing line of {i}</p><div class="comments"><p>Hm {i}</p></div></article></body>'
+
+    rows = [(i, f"http://{'a' if i < 20 else 'b'}.example.org/{i}", page(i)) for i in range(40)]
+    rows += [(100, "http://few.example.org/", "<div class=story><p>Here</p></div><div class=ad><p>Buy</p></div>")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+    got = {r.page_id: r.text for r in S.main_texts(pages).selectExpr("row.page_id", "text").collect()}
+    assert got[7] == "Title 7 Story 7 Body of number 7"
+    assert got[27] == "Story 27 Body of number 27 A closing line of 27"
+    assert got[100] == "Here"

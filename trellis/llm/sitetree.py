@@ -10,7 +10,10 @@ content below it, which counts less the deeper it lies. A branch in which nothin
 reaches ``threshold`` says the same on page after page and is removed from each.
 
 A host with few pages says little, so known boilerplate goes by tag, role and
-class first, and a page that marks its article keeps to it.
+class first, and a page that marks its article keeps to it. A class, id or role is
+only a hint: an article below such an element is read all the same, and where the
+host has enough pages an important branch stays whatever its name. On a page with
+an article that no name marks, only a marked branch with most of its text does.
 
 On Spark the tree is never built: one pass emits (host, path, feature) counts,
 summed map-side and then by key, so a host with a third of all pages is as many
@@ -73,9 +76,9 @@ _SCOPE = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("tabl
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
-def _attributes(raw: str) -> tuple[str, bool]:
-    """(label part of class and id, whether they mark boilerplate)."""
-    label, noise = [], False
+def _attributes(raw: str) -> tuple[str, bool, bool]:
+    """(label part of class and id, whether names mark boilerplate, whether hidden)."""
+    label, noise, hidden = [], False, False
     for name, value in _ATTR.findall(raw):
         name, value = name.lower(), value.strip("\"'")
         if name in ("class", "id"):
@@ -83,24 +86,28 @@ def _attributes(raw: str) -> tuple[str, bool]:
         if name in ("class", "id", "role"):
             noise |= any(w.lower() in _HINTS for w in _WORD.findall(value))
         elif name == "hidden" or name == "aria-hidden" and value.lower() == "true":
-            noise = True
+            hidden = True
         elif name == "style":
-            noise |= bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I))
-    return "".join(label), noise
+            hidden |= bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I))
+    return "".join(label), noise, hidden
 
 
 class Page:
     """The blocks of one page in order, and the labels of each path's children."""
 
     def __init__(self, html: str):
-        #: (path, text, marked as boilerplate, inside the article, characters in links)
-        self.blocks: list[tuple[str, str, bool, bool, int]] = []
+        #: (path, text, boilerplate by tag or hidden, inside the article, characters in
+        #: links, paths marked by name, and those above the article)
+        self.blocks: list[tuple[str, str, bool, bool, int, tuple[str, ...], tuple[str, ...]]] = []
         self.children: dict[str, list[str]] = {"": []}
+        #: Paths that a name marks.
+        self.marked: set[str] = set()
         self._parse(html)
 
     def _parse(self, html: str) -> None:
-        # open elements: tag, path, boilerplate, inside the article, path of its block, depth
-        stack: list[tuple[str, str, bool, bool, str, int]] = [("", "", False, False, "", 0)]
+        # open elements: tag, path, boilerplate, inside the article, path of its block, depth,
+        # marked paths, those above the article, inside more than <main>
+        stack: list[tuple] = [("", "", False, False, "", 0, (), (), False)]
         opened: Counter[str] = Counter()
         text: list[str] = []
         links = linked = 0
@@ -111,7 +118,7 @@ class Page:
             line = " ".join("".join(text).split())
             text.clear()
             if line:
-                self.blocks.append((stack[-1][4], line, stack[-1][2], stack[-1][3], linked))
+                self.blocks.append((stack[-1][4], line, stack[-1][2], stack[-1][3], linked, stack[-1][6], stack[-1][7]))
             linked = 0
 
         def add(piece: str) -> None:
@@ -162,8 +169,8 @@ class Page:
                             break
                         if stack[k][0] in _SCOPE.get(name, ()):
                             break
-            _, path, noise, inside, holder, depth = stack[-1]
-            label, marked = _attributes(raw) if raw and not raw.isspace() else ("", False)
+            _, path, noise, inside, holder, depth, marks, above, deep = stack[-1]
+            label, marked, hidden = _attributes(raw) if raw and not raw.isspace() else ("", False, False)
             label = (tag + label)[:LABEL].replace("/", "")
             self.children.setdefault(path, []).append(label)
             if tag in _VOID or raw.endswith("/") and tag not in _BLOCK:
@@ -174,22 +181,38 @@ class Page:
                 continue
             marked &= tag not in ("html", "body")
             root = tag in _ROOT or "itemprop" in raw and "articleBody" in raw
-            noise = noise or (marked and not (root and not inside)) or tag in _NOISE or tag == "header" and not inside
+            noise = noise or (hidden and tag not in ("html", "body") and not (root and not inside)) or tag in _NOISE or tag == "header" and not inside
             links += tag == "a"
             if depth < DEPTH:
                 path = f"{path}/{label}"
                 self.children.setdefault(path, [])
+            if root and not deep and not noise and not (marked and (marks or inside)):
+                above, marks = above + marks, ()  # an article below marked elements
+                inside, deep = True, tag != "main"
+            elif marked:
+                self.marked.add(path)
+                marks = marks if path in marks else marks + (path,)
             opened[tag] += 1
-            stack.append((tag, path, noise, inside or root and not noise, path if tag in _BLOCK else holder, depth + 1))
+            stack.append((tag, path, noise, inside, path if tag in _BLOCK else holder, depth + 1, marks, above, deep))
         flush()
 
-    def text(self, removed: frozenset[str] | set[str] = frozenset()) -> str:
-        """The main text, without the branches at the given paths."""
-        kept = [b for b in self.blocks if not b[2]]
-        if any(b[3] for b in kept):
-            kept = [b for b in kept if b[3]]
-        else:  # no marked article: lists of links are menus
-            kept = [b for b in kept if 2 * b[4] <= len(b[1])] or kept
+    def text(self, removed: frozenset[str] | set[str] = frozenset(), important: frozenset[str] | set[str] = frozenset()) -> str:
+        """The main text, without the branches at the paths ``removed``. Names do not
+        mark those at the paths ``important``."""
+        seen = [b for b in self.blocks if not b[2]]
+        article = [b for b in seen if b[3] and not b[6]]
+        if any(not b[5] for b in article):
+            most = Counter()
+            for b in article:
+                most.update(dict.fromkeys(b[5], len(b[1])))
+            size = sum(len(b[1]) for b in article)
+            kept = [b for b in article if all(m in important and 2 * most[m] > size for m in b[5])]
+        else:
+            kept = [b for b in seen if all(m in important for m in b[5])]
+            if any(b[3] for b in kept) and all(b[3] or b[5] for b in kept):
+                kept = [b for b in kept if b[3]]
+            else:  # no article, or one below a mark: lists of links are menus
+                kept = [b for b in kept if b[3] or 2 * b[4] <= len(b[1])] or kept
         if removed:
             kept = [b for b in kept if not any(p in removed for p in branches(b[0]))] or kept
         return " ".join(b[1] for b in kept)
@@ -210,7 +233,7 @@ def host_of(url: Column) -> Column:
 
 def site_features(pages: DataFrame) -> DataFrame:
     """(host, html) to (host, path, feature, is_text, n): on how many of the host's
-    pages the path has that style or text."""
+    pages the path has that style or text; where a name marks it (``is_text`` null)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh64_intdigest
@@ -229,6 +252,7 @@ def site_features(pages: DataFrame) -> DataFrame:
                 page = Page(html)
                 seen.update((host, path, xxh64_intdigest("|".join(x)) - (1 << 63), False) for path, x in page.children.items())
                 seen.update({(host, x[0], xxh64_intdigest(x[1]) - (1 << 63), True) for x in page.blocks})
+                seen.update((host, path, 0, None) for path in page.marked)
                 if len(seen) > GATHER:
                     yield passed(seen)
                     seen = Counter()
@@ -241,15 +265,16 @@ def site_features(pages: DataFrame) -> DataFrame:
 
 def importance(features: DataFrame) -> DataFrame:
     """(host, path, pages, importance, most: the largest content importance in the
-    branch) of every branch that holds text."""
+    branch, marked: by name on some page) of every branch that holds text."""
     n_log = F.col("n") * F.log("n")
     at = features.groupBy("host", "path").agg(
         F.sum(F.when(~F.col("is_text"), F.col("n"))).alias("pages"),
         F.sum(F.when(~F.col("is_text"), n_log)).alias("style_log"),
-        F.sum(F.when(F.col("is_text"), F.col("n")).otherwise(0)).alias("texts"), F.sum(F.when(F.col("is_text"), n_log)).alias("text_log"))
+        F.sum(F.when(F.col("is_text"), F.col("n")).otherwise(0)).alias("texts"), F.sum(F.when(F.col("is_text"), n_log)).alias("text_log"),
+        F.max(F.col("is_text").isNull()).alias("marked"))
     spread = F.log(F.greatest("pages", F.lit(2)))
     rated = at.select(
-        "host", "path", "pages", "texts", ((F.log("pages") - F.col("style_log") / F.col("pages")) / spread).alias("presentation"),
+        "host", "path", "pages", "texts", "marked", ((F.log("pages") - F.col("style_log") / F.col("pages")) / spread).alias("presentation"),
         (1 - F.col("text_log") / F.col("texts") / spread).alias("content"))
     # content below each branch, by the depth at which it lies
     steps = F.split(F.col("path"), "/")
@@ -260,26 +285,28 @@ def importance(features: DataFrame) -> DataFrame:
              .groupBy("host", "path").agg((F.sum(F.col("content") * F.col("weight")) / F.sum("weight")).alias("content_below"),
                                           F.max("content").alias("most")))
     mixed = (1 - DECAY) * F.col("presentation") + DECAY * F.col("content_below")
-    return rated.join(below, ["host", "path"]).select("host", "path", "pages", mixed.alias("importance"), "most")
+    return rated.join(below, ["host", "path"]).select("host", "path", "pages", mixed.alias("importance"), "most", "marked")
 
 
 def main_texts(pages: DataFrame, threshold: float = THRESHOLD, least_pages: int = LEAST_PAGES) -> DataFrame:
     """``pages`` (url, html, ...) to (row: all other columns and url, text)."""
     rows = pages.select(F.struct(*[F.col(f"`{c}`") for c in pages.columns if c != "html"]).alias("row"),
                         F.col("html").cast("string").alias("html"), host_of(F.col("url").cast("string")).alias("host"))
-    low = importance(site_features(rows)).where((F.col("pages") >= least_pages) & (F.greatest("importance", "most") < threshold))
-    removed = low.groupBy("host").agg(F.collect_set("path").alias("removed"))  # bounded by the host's templates
+    low = F.greatest("importance", "most") < threshold
+    told = importance(site_features(rows)).where((F.col("pages") >= least_pages) & (low | F.col("marked")))
+    removed = told.groupBy("host").agg(F.collect_set(F.when(low, F.col("path"))).alias("removed"),  # bounded by the host's templates
+                                       F.collect_set(F.when(~low, F.col("path"))).alias("important"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, gone = None, frozenset()
+        last, gone, kept = None, frozenset(), frozenset()
         for b in batches:
             texts = []
-            for html, paths in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
+            for html, *paths in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist()):
                 if paths != last:
-                    last, gone = paths, frozenset(paths or ())
-                texts.append(Page(html).text(gone) if html else "")
+                    last, gone, kept = paths, frozenset(paths[0] or ()), frozenset(paths[1] or ())
+                texts.append(Page(html).text(gone, kept) if html else "")
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], ["row", "text"])
 
     removed = shared_table(removed, "removed-branches")
-    joined = join_checked(rows, removed, "host", "left").select("row", "html", "removed")
+    joined = join_checked(rows, removed, "host", "left").select("row", "html", "removed", "important")
     return joined.transform(map_arrow, run, with_row(joined, "text string"))
