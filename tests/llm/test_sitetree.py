@@ -96,3 +96,15 @@ def test_importance_overrules_names(spark):
     assert got[7] == "Title 7 Story 7 Body of number 7"
     assert got[27] == "Story 27 Body of number 27 A closing line of 27"
     assert got[100] == "Here"
+
+
+def test_copies_count_once(spark):
+    def page(i):
+        return f"<body><section><p>Body of number {i}</p><p>More of number {i}</p></section>{f'<h2>Story {i}</h2>' if i else ''}</body>"
+
+    rows = [(i, "http://x.example.org/", page(max(0, i - 70))) for i in range(100)]  # 71 rows are the same page
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(7)
+    got = {r.page_id: r.text for r in S.main_texts(pages).selectExpr("row.page_id", "text").collect()}
+    assert got[90] == "Body of number 20 More of number 20 Story 20" and got[3] == "Body of number 0 More of number 0"
+    features = S.site_features(pages.withColumn("host", S.host_of(S.F.col("url"))))
+    assert features.where("path = '/body/section' AND NOT is_text").agg(S.F.sum("n")).first()[0] == 30

@@ -22,8 +22,8 @@ host are bounded by its templates; they go to the pages by a join on the host,
 broadcast when counted to be few. A second pass cuts each page's text.
 
 Defined results: a null or empty html and a page without article text give an
-empty text; a null url is a host of its own; repeated rows each get a row and
-count as pages; an empty table gives an empty table; extra columns are kept in
+empty text; a null url is a host of its own; repeated rows and copies of a page
+each get a row and count as one page of their host; an empty table gives an empty table; extra columns are kept in
 ``row`` and ignored by the query.
 """
 
@@ -231,9 +231,19 @@ def host_of(url: Column) -> Column:
     return F.lower(F.coalesce(F.regexp_extract(url, r"^[^/?#]*//(?:[^/?#@]*@)?([^/:?#]*)", 1), F.lit("")))
 
 
+def _weighted(pages: DataFrame) -> DataFrame:
+    """(host, html) to (host, html, copies: pages of the host with the same html)."""
+    page = [F.xxhash64("html").alias("page"), F.octet_length("html").alias("size")]
+    rows = pages.select("host", F.col("html").cast("string").alias("html")).where("html != ''")
+    many = shared_table(rows.select("host", *page).groupBy("host", "page", "size").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1"), "page-copies")
+    return join_checked(rows.select("host", "html", *page), many, ["host", "page", "size"], "left").select(
+        "host", "html", F.coalesce("copies", F.lit(1)).alias("copies"))
+
+
 def site_features(pages: DataFrame) -> DataFrame:
     """(host, html) to (host, path, feature, is_text, n): on how many of the host's
-    pages the path has that style or text; where a name marks it (``is_text`` null)."""
+    distinct pages the path has that style or text; where a name marks it
+    (``is_text`` null). Each of a page's copies adds its share to n."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh64_intdigest
@@ -241,26 +251,26 @@ def site_features(pages: DataFrame) -> DataFrame:
         def passed(seen: Counter) -> pa.RecordBatch:
             host, path, feature, is_text = zip(*seen) if seen else ([],) * 4
             return pa.RecordBatch.from_arrays([pa.array(host, pa.string()), pa.array(path, pa.string()), pa.array(feature, pa.int64()),
-                                               pa.array(is_text, pa.bool_()), pa.array(list(seen.values()), pa.int64())],
+                                               pa.array(is_text, pa.bool_()), pa.array([float(n) for n in seen.values()], pa.float64())],
                                               ["host", "path", "feature", "is_text", "n"])
 
         seen: Counter = Counter()
         for b in batches:
-            for host, html in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                if not html:
-                    continue
+            for host, html, copies in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
                 page = Page(html)
-                seen.update((host, path, xxh64_intdigest("|".join(x)) - (1 << 63), False) for path, x in page.children.items())
-                seen.update({(host, x[0], xxh64_intdigest(x[1]) - (1 << 63), True) for x in page.blocks})
-                seen.update((host, path, 0, None) for path in page.marked)
+                found = {(host, path, xxh64_intdigest("|".join(x)) - (1 << 63), False) for path, x in page.children.items()}
+                found.update((host, x[0], xxh64_intdigest(x[1]) - (1 << 63), True) for x in page.blocks)
+                found.update((host, path, 0, None) for path in page.marked)
+                seen.update(found if copies == 1 else dict.fromkeys(found, 1 / copies))
                 if len(seen) > GATHER:
                     yield passed(seen)
                     seen = Counter()
         yield passed(seen)
 
-    return pages.select("host", F.col("html").cast("string")).transform(
-        map_arrow, run, "host string, path string, feature long, is_text boolean, n long").groupBy(
-        "host", "path", "feature", "is_text").agg(F.sum("n").alias("n"))
+    # the shares of all copies make one, but for rounding
+    return _weighted(pages).transform(
+        map_arrow, run, "host string, path string, feature long, is_text boolean, n double").groupBy(
+        "host", "path", "feature", "is_text").agg(F.round(F.sum("n")).cast("long").alias("n"))
 
 
 def importance(features: DataFrame) -> DataFrame:
