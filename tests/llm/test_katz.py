@@ -90,3 +90,11 @@ def test_held_out_texts_gain_over_the_base(spark, documents):
     rows = katz.score(documents).collect()
     held = [r for r in rows if not r.train]
     assert held and sum(r.score for r in held) > sum(r.base_score for r in held)
+
+
+def test_copies_take_part_in_the_sample(spark, monkeypatch):
+    monkeypatch.setattr(katz, "SAMPLE_DOCS", 60)
+    rows = [(i, f"copied text{i % 3}" if i % 5 < 3 else f"own{i} words{i}") for i in range(1500)]  # three texts, 300 copies each
+    texts = katz._texts(spark.createDataFrame(rows, "doc_id long, text string"))
+    found = katz._proposed(texts, 1 << 16)
+    assert {(b"copied", b"text%d" % k) for k in range(3)} <= set(found)

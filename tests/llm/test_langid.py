@@ -58,3 +58,14 @@ def test_edges(spark):
     untaught = docs.withColumn("lang", langid.F.lit(None).cast("string"))
     assert {r.lang_pred for r in langid.identified(docs, untaught).collect()} == {"und"}
     assert langid.identified(docs.limit(0), docs.limit(0)).count() == 0
+
+
+def test_copies_take_part_in_the_sample(spark):
+    rows = [(i, f"{'xyz' if i % 3 else 'uvw'} abc" if i % 4 else f"own {i}", "en") for i in range(4000)]  # two texts, 1500 copies or more together
+    model = langid.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"), 200)
+
+    def times(word):  # trigrams of the sample relative to those of "abc"
+        logs = [np.exp(model["en"][langid.trigrams([x])[1]]).sum() for x in (word, "abc")]
+        return logs[0] / logs[1]
+
+    assert 0.45 < times("xyz") < 0.9 and 0.15 < times("uvw") < 0.55

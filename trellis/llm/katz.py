@@ -15,8 +15,9 @@ How it is laid out on Spark:
   (at most HEAD) get small ids that every task knows; any other is its 64-bit hash.
   Words whose hashes collide join the frequent ones, so ids are unique.
 * The most frequent bigrams (at most HOT, proposed by a bounded sample, counted
-  over all training texts) are evaluated where the text is read. So no
-  bigram is left that a large part of the documents hold.
+  over all training texts) are evaluated where the text is read. The sample is
+  one of rows, so copies of a text take part in proportion, and no bigram is left
+  that a large part of the documents hold, unless more than HOT are such.
 * All other transitions are dealt to buckets: by their word where it is rare, else
   by their history, which is split by word in proportion to its count. A bucket
   holds all occurrences of its bigrams, and of its rare words; it counts them and
@@ -137,7 +138,9 @@ def _proposed(texts: DataFrame, hot: int) -> list[tuple[bytes, bytes]]:
         h, w, n = zip(*often) if often else ((), (), ())
         yield pa.RecordBatch.from_arrays([pa.array(h, pa.binary()), pa.array(w, pa.binary()), pa.array(n, pa.int64())], ["h", "w", "n"])
 
-    some = train.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < share).select("text")
+    # by row, not by content: copies are neither all in the sample nor all out of it
+    row = F.xxhash64("doc_id", "text", F.monotonically_increasing_id())
+    some = train.where(F.pmod(row, F.lit(1_000_000)) < share).select("text")
     found = some.transform(map_arrow, pairs, "h binary, w binary, n long").groupBy("h", "w").agg(F.sum("n").alias("n"))
     top = found.where("n > 1").orderBy(F.desc("n"), "h", "w").limit(hot).toArrow()
     return list(zip(top.column("h").to_pylist(), top.column("w").to_pylist()))

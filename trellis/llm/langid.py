@@ -8,7 +8,8 @@ not add languages. The prediction is the language with the largest share in the
 selected set, the score its share.
 
 Training counts trigrams per language on a sample of at most about
-``sample_docs`` labelled documents per language (picked by a hash of the text);
+``sample_docs`` labelled documents per language (picked by a hash of id and text,
+so that copies of a text take part in proportion);
 that bounds the model's cost, the model itself is languages x BUCKETS counts.
 Prediction sees the whole text of every document, in one pass without a shuffle.
 
@@ -88,13 +89,13 @@ def may_train(doc_id: Column) -> Column:
 
 
 def learn(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> dict[str, np.ndarray]:
-    """``docs`` (text, lang) to trigram log-probabilities by language."""
-    known = docs.where("lang IS NOT NULL AND text IS NOT NULL").select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
+    """``docs`` (doc_id, text, lang) to trigram log-probabilities by language."""
+    known = docs.where("lang IS NOT NULL AND text IS NOT NULL").select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     sizes = known.groupBy("lang").count()
     share = {r.lang: min(1.0, sample_docs / r["count"]) for r in sizes.collect()}  # one row per language
     if not share:
         return {}
-    pick = F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < F.element_at(
+    pick = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000)) < F.element_at(
         F.create_map(*[F.lit(x) for k, v in share.items() for x in (k, int(v * 1_000_000))]), F.col("lang"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,7 +113,7 @@ def learn(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> dict[str, np.ndarr
             at = np.flatnonzero(counts)
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(at)), pa.array(at), pa.array(counts[at])], ["lang", "bucket", "n"])
 
-    counts = known.where(pick).transform(map_arrow, count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    counts = known.where(pick).select("text", "lang").transform(map_arrow, count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     model: dict[str, np.ndarray] = {name: np.zeros(BUCKETS) for name in sorted(share)}
     for r in counts.collect():  # bounded: languages x BUCKETS
         model[r.lang][r.bucket] = r.n
