@@ -16,7 +16,7 @@ from trellis.llm.common import read_table, shared_table
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a determined main language go."""
+    """Documents go for which no language can be determined; mixtures stay."""
     return langid.accepted(docs, docs)
 
 

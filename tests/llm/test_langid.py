@@ -69,3 +69,13 @@ def test_copies_take_part_in_the_sample(spark):
         return logs[0] / logs[1]
 
     assert 0.45 < times("xyz") < 0.9 and 0.15 < times("uvw") < 0.55
+
+
+def test_mixtures_are_accepted(spark, documents):
+    texts = {r.lang: r.text for r in documents.where("n_chars > 2000 AND n_chars < 3000").collect()}
+    mixed = "\n".join(texts[x][:2000] for x in ("de", "en", "fr"))
+    docs = spark.createDataFrame([(1, mixed, None), (2, "1 2 3", None)], "doc_id long, text string, lang string")
+    training = documents.select("doc_id", "text", "lang")
+    score = langid.identified(docs, training).where("row.doc_id = 1").first().score
+    assert score < 0.5  # no language has half of it
+    assert [r.doc_id for r in langid.accepted(docs, training).collect()] == [1]

@@ -194,7 +194,8 @@ def identified(docs: DataFrame, training: DataFrame, sample_docs: int = SAMPLE_D
     return _predicted(docs.select(F.struct("*").alias("row"), F.col("text").cast("string").alias("text")), model)
 
 
-def accepted(docs: DataFrame, training: DataFrame, least_share: float = 0.5, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
-    """The documents, columns as they are, with a determined main language."""
+def accepted(docs: DataFrame, training: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
+    """The documents, columns as they are, for which a language can be determined;
+    mixtures of languages are among them, however small the largest share."""
     found = identified(docs, training, sample_docs)
-    return found.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least_share)).select("row.*")
+    return found.where(F.col("lang_pred") != UNDETERMINED).select("row.*")
