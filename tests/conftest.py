@@ -6,9 +6,6 @@ import pytest
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path.insert(0, ROOT)
 
-SF_SMALL = "/root/testdata/sf0.001"
-SF_CHECK = "/root/testdata/sf0.01"
-
 
 @pytest.fixture(scope="session")
 def spark():
@@ -26,9 +23,3 @@ def spark():
     ensure_checkpoint_dir(s)
     yield s
     s.stop()
-
-
-def one(df):
-    rows = df.collect()
-    assert len(rows) == 1, rows
-    return rows[0]

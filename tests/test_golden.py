@@ -5,7 +5,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import one
+from support import one
 from trellis.functions import arrays as AR
 from trellis.functions import evaluate as E
 from trellis.functions import math as M

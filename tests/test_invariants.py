@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from conftest import SF_SMALL
+from support import SF_SMALL
 from trellis.functions.similarity import lcs_length, soft_hits
 from trellis.operators import advantages as A
 from trellis.operators import balance as H

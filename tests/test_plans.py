@@ -1,7 +1,7 @@
 """Plan checks: native queries keep Python out of the plan; scans are pruned
 and filters pushed; batch statistics are not single-partition windows."""
 
-from conftest import SF_SMALL
+from support import SF_SMALL
 from trellis.plans.catalog import load
 
 QUERIES, ORACLE = load()

@@ -5,7 +5,7 @@ import uuid
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SF_SMALL
+from support import SF_SMALL
 from trellis.operators import curriculum as D
 from trellis.plans.catalog import load
 from trellis.session import scratch_path
