@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from trellis.llm import decontaminate, katz, langid, licenses, linededup, mixing, quality, simhash, sitetree, tokencount
+from trellis.llm import decontaminate, filteraudit, katz, langid, licenses, linededup, mixing, quality, simhash, sitetree, tokencount
 from trellis.llm.common import read_table
 from trellis.llm.registry import ORACLE, QUERIES, register
 
@@ -202,3 +202,38 @@ def op4_katz_backoff(spark, sf_dir):
     found = katz.score(read_table(spark, sf_dir, "documents"))
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 10 == 0, F.lit(False))
     return found.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+_LETTERS = ", ".join(f"('{f}', {1 << k})" for k, f in enumerate(filteraudit.FILTERS))
+
+
+@register("op11_filter_audit", f"""
+WITH w AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{_WORDS}') AS ws FROM documents),
+l AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id),
+m AS (
+  SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+         CASE WHEN len(ws) < 200 THEN 1 ELSE 0 END + CASE WHEN 100 * len(list_distinct(ws)) < 50 * len(ws) THEN 2 ELSE 0 END
+         + CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 2 * length(t) THEN 4 ELSE 0 END
+         + CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 8 ELSE 0 END
+         + CASE WHEN coalesce(w.doc_id > min(w.doc_id) OVER (PARTITION BY t), false) THEN 16 ELSE 0 END AS bits
+  FROM w LEFT JOIN l ON l.doc_id = w.doc_id),
+c AS (SELECT part, bits, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM m GROUP BY part, bits),
+f(name, bit) AS (VALUES {_LETTERS}),
+o AS (
+  SELECT a.name || b.name || c.name || d.name || e.name AS filter_order, [a.bit, b.bit, c.bit, d.bit, e.bit] AS bit
+  FROM f a, f b, f c, f d, f e WHERE a.bit | b.bit | c.bit | d.bit | e.bit = 31),
+s AS (SELECT filter_order, bit, unnest(range(1, 6)) AS step FROM o),
+q AS (SELECT filter_order, step, bit[step] AS own, list_sum(bit[1 : step]) - bit[step] AS before FROM s)
+SELECT part, filter_order, step::INTEGER AS step,
+       coalesce(sum(n) FILTER (bits & (own | before::BIGINT) = 0), 0)::BIGINT AS kept,
+       coalesce(sum(n) FILTER (bits & own <> 0 AND bits & before::BIGINT = 0), 0)::BIGINT AS removed,
+       coalesce(sum(n) FILTER (bits & own <> 0 AND bits & before::BIGINT <> 0), 0)::BIGINT AS redundant,
+       coalesce(sum(n) FILTER (bits = own), 0)::BIGINT AS unique_fails,
+       coalesce(sum(good) FILTER (bits & own <> 0 AND bits & before::BIGINT = 0), 0)::BIGINT AS good_lost,
+       coalesce(sum(toxic) FILTER (bits & own <> 0 AND bits & before::BIGINT = 0), 0)::BIGINT AS toxic_lost,
+       coalesce(sum(n * 120 // greatest(bit_count(bits), 1)) FILTER (bits & own <> 0), 0)::BIGINT AS shapley
+FROM c, q GROUP BY part, filter_order, step""")
+def op11_filter_audit(spark, sf_dir):
+    found = filteraudit.audit(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+    return found.select("part", "filter_order", "step", "kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost", "shapley")
