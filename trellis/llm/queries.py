@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from trellis.llm import decontaminate, filteraudit, katz, langid, licenses, linededup, mixing, quality, simhash, sitetree, tokencount
+from trellis.llm import decontaminate, filteraudit, katz, langid, licenses, linededup, merkle, mixing, quality, simhash, sitetree, tokencount
 from trellis.llm.common import read_table
 from trellis.llm.registry import ORACLE, QUERIES, register
 
@@ -237,3 +237,52 @@ FROM c, q GROUP BY part, filter_order, step""")
 def op11_filter_audit(spark, sf_dir):
     found = filteraudit.audit(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
     return found.select("part", "filter_order", "step", "kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost", "shapley")
+
+
+_H = "sha256(concat({}))".format(", ".join(
+    f"coalesce(strlen({c}::VARCHAR)::VARCHAR || ':' || {c}::VARCHAR, '-')" for c in ("doc_id", "source", "lang", "n_chars", "{text}")))
+#: Unsigned crc32 (reflected, polynomial 0xEDB88320) of the id's decimal text.
+_CRC = """xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+    lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda x, k: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)))"""
+
+
+@register("op12_merkle", f"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce('=' || lang, '') AS grp, {_H.format(text="text")} AS leaf,
+         CASE WHEN {_CRC} % 3 = 0 THEN {_H.format(text="translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} END AS changed
+  FROM documents),
+leaves AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY doc_id NULLS FIRST, leaf, r) - 1 AS idx FROM d),
+tree AS (  -- the last node of a group stays as it is
+  SELECT 0 AS level, grp, idx, leaf AS digest FROM leaves
+  UNION ALL
+  SELECT level + 1, grp, idx // 8, sha256(string_agg(digest, '' ORDER BY idx))
+  FROM (SELECT *, count(*) OVER (PARTITION BY grp) AS n FROM tree) WHERE n > 1 GROUP BY level, grp, idx // 8),
+last AS (SELECT grp, max(level) AS level FROM tree GROUP BY grp),
+subroots AS (SELECT grp, level, digest, row_number() OVER (ORDER BY grp) - 1 AS idx FROM tree JOIN last USING (grp, level)),
+top AS (
+  SELECT 0 AS level, idx, digest FROM subroots
+  UNION ALL
+  SELECT level + 1, idx // 8, sha256(string_agg(digest, '' ORDER BY idx))
+  FROM (SELECT *, count(*) OVER () AS n FROM top) WHERE n > 1 GROUP BY level, idx // 8),
+root AS (SELECT digest AS root FROM top ORDER BY level DESC LIMIT 1),
+height AS (SELECT grp, level AS h, idx AS place, digest AS subroot FROM subroots),
+nodes AS (  -- one numbering of levels: a group's own, then those over the subroots
+  SELECT t.grp, t.level, t.idx, t.digest FROM tree t JOIN height USING (grp) WHERE t.level < h
+  UNION ALL
+  SELECT grp, h + top.level, top.idx, top.digest FROM top, height),
+runs AS (SELECT grp, level, idx // 8 AS up, list(digest ORDER BY idx) AS kids FROM nodes GROUP BY grp, level, idx // 8),
+climb AS (
+  SELECT r, grp, h, place, 0 AS level, CASE WHEN h = 0 THEN place ELSE idx END AS idx, coalesce(changed, leaf) AS folded, '' AS proof
+  FROM leaves JOIN height USING (grp)
+  UNION ALL
+  SELECT c.r, c.grp, h, place, c.level + 1, CASE WHEN c.level + 1 = h THEN place ELSE c.idx // 8 END,
+         sha256(array_to_string(kids[1 : c.idx % 8], '') || folded || array_to_string(kids[c.idx % 8 + 2 :], '')),
+         proof || array_to_string(kids[1 : c.idx % 8], '') || array_to_string(kids[c.idx % 8 + 2 :], '')
+  FROM climb c JOIN runs ON runs.grp = c.grp AND runs.level = c.level AND runs.up = c.idx // 8
+  WHERE len(kids) > 1 OR c.idx >= 8),
+ends AS (SELECT r, folded, proof FROM climb QUALIFY level = max(level) OVER (PARTITION BY r))
+SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, folded AS folded_root, folded = root AS verified
+FROM leaves JOIN height USING (grp) JOIN ends USING (r), root""")
+def op12_merkle(spark, sf_dir):
+    found = merkle.proofs(merkle.manifest(read_table(spark, sf_dir, "documents")))
+    return found.select("doc_id", "leaf", "subroot", "root", F.sha2("proof", 256).alias("proof_sha256"), "folded_root", "verified")
