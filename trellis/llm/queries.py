@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from trellis.llm import decontaminate, filteraudit, katz, langid, licenses, linededup, merkle, mixing, quality, simhash, sitetree, tokencount
+from trellis.llm import classifier, decontaminate, filteraudit, katz, langid, licenses, linededup, merkle, mixing, quality, simhash, sitetree, tokencount
 from trellis.llm.common import read_table
 from trellis.llm.registry import ORACLE, QUERIES, register
 
@@ -286,3 +286,12 @@ FROM leaves JOIN height USING (grp) JOIN ends USING (r), root""")
 def op12_merkle(spark, sf_dir):
     found = merkle.proofs(merkle.manifest(read_table(spark, sf_dir, "documents")))
     return found.select("doc_id", "leaf", "subroot", "root", F.sha2("proof", 256).alias("proof_sha256"), "folded_root", "verified")
+
+
+@register("op13_quality_classifier")
+def op13_quality_classifier(spark, sf_dir):
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = classifier.classify(docs, read_table(spark, sf_dir, "labels"))
+    id_ = F.col("row.doc_id")
+    return found.select(id_.cast("long").alias("doc_id"), F.coalesce(~classifier.may_train(id_), F.lit(False)).alias("held_out"), "score",
+                        (F.col("score") >= 0.3).cast("int").alias("predicted"))
