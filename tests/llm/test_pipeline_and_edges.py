@@ -19,6 +19,9 @@ CONTRACTS = {
     "op8_simhash": ["doc_id", "fingerprint", "component_id"],
     "op9_decontaminate": ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"],
     "op10_line_dedup": ["doc_id", "n_lines", "n_deleted", "text"],
+    "op11_filter_audit": ["part", "filter_order", "step", "kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost", "shapley"],
+    "op12_merkle": ["doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified"],
+    "op13_quality_classifier": ["doc_id", "held_out", "score", "predicted"],
 }
 
 

@@ -147,12 +147,13 @@ def manifest(docs: DataFrame) -> Manifest:
     link = None
     for rows in upper:
         link = rows if link is None else link.unionByName(rows)
+    no_parent = {c: F.lit(None).cast(t) for c, t in {"p_grp": "string", "p_level": "int", "p_idx": "long", "left": "binary", "right": "binary"}.items()}
     if link is None:  # one group, or none: its subroot is the root
-        none = {"p_grp": "string", "p_level": "int", "p_idx": "long", "left": "binary", "right": "binary"}
-        ends = [own.drop("place").withColumns({c: F.lit(None).cast(t) for c, t in none.items()}).withColumn("subroot", F.lit(True))]
+        ends = [own.drop("place").withColumns(no_parent).withColumn("subroot", F.lit(True))]
     else:
         above = link.where("level = 0").select(F.col("idx").alias("place"), "p_grp", "p_level", "p_idx", "left", "right")
-        ends = [own.join(above, "place").drop("place").withColumn("subroot", F.lit(True)), link.where("level > 0")]
+        ends = [own.join(above, "place").drop("place").withColumn("subroot", F.lit(True)), link.where("level > 0"),
+                top.withColumns(no_parent).withColumn("subroot", F.lit(False))]
     nodes = ends[0]
     for rows in [*ends[1:], *links]:
         nodes = nodes.unionByName(rows)
