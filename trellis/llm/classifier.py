@@ -9,11 +9,11 @@ and short texts weigh alike. A score is the sigmoid of a sparse dot product.
 
 Learning reads at most about ``sample_rows`` labelled rows (all where there are
 fewer), picked by hash: the ids first, so that the labels reach the documents as a
-bounded broadcast and no text is shuffled, then the rows, so that a repeated id
-cannot fill the sample. Their features are a written table in ``SHARDS`` parts. In
-each round every part goes on from the common state with its own updates, row by row,
-and the parts' states are averaged; a state has two numbers a bucket. Scoring is one
-pass over all whole texts without a shuffle.
+bounded broadcast, then the rows, so that a repeated id cannot fill the sample. Their
+features are a written table of about ``SHARDS`` parts, which every round reads without
+a shuffle: each part goes on from the common state with its own updates, row by row,
+and the parts' states are averaged by their rows; a state has two numbers a bucket.
+Scoring is one pass over all whole texts without a shuffle.
 
 Defined results: a null text, an empty one and one without words have no features and
 score the model's bias; a null ``doc_id`` is not learned from; where an id has several
@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from trellis.llm.common import map_arrow, shared_table, with_row
 
 #: Hashed features; the bias has a place after them.
-BUCKETS = 1 << 18
+BUCKETS = 1 << 17
 #: Labelled rows that are learned from, about, and the parts they make.
 SAMPLE_ROWS, SHARDS = 24_000, 8
 #: Rounds over the sample.
@@ -95,8 +95,8 @@ def _pieces(text: bytes) -> Iterator[bytes]:
     yield text[at:]
 
 
-def features(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text's number, bucket, value) of the texts' features, in order."""
+def ngrams(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text's number, bucket, count) of the texts' features, in order."""
     docs, words = [], []
     few, size, begun = [], 0, 0
 
@@ -130,9 +130,13 @@ def features(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndar
     pairs = np.where(a == b, _REPEAT, _mixed(a * np.uint64(3) + b))
     bucket = np.concatenate((word, pairs)) >> np.uint64(64 - BUCKETS.bit_length() + 1)
     key, count = np.unique(np.concatenate((doc, doc[pair])) * BUCKETS + bucket.astype(np.int64), return_counts=True)
-    doc, value = key // BUCKETS, 1 + np.log(count)
-    length = np.sqrt(np.bincount(doc, value * value, len(texts)))
-    return doc, key % BUCKETS, value / length[doc]
+    return key // BUCKETS, key % BUCKETS, count
+
+
+def values(doc: np.ndarray, count: np.ndarray, n: int) -> np.ndarray:
+    """The features' values, of texts numbered below ``n``."""
+    value = 1 + np.log(count)
+    return value / np.sqrt(np.bincount(doc, value * value, n))[doc]
 
 
 def weights(z: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -193,31 +197,39 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_
     order = F.xxhash64("doc_id", "text", F.monotonically_increasing_id())
     rows = rows.withColumn("at", order).where(picked(F.col("at"), rows.count()))
 
+    rows = rows.select("at", "label", "text", F.pmod("at", F.lit(SHARDS)).alias("shard")).repartition(SHARDS, "shard")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in _portions(batches, 2):
-            doc, bucket, value = features(texts)
-            stops = np.searchsorted(doc, np.arange(len(texts) + 1))
-            offsets = pa.array(stops, pa.int32())
+            doc, bucket, count = ngrams(texts)
+            stops = pa.array(np.searchsorted(doc, np.arange(len(texts) + 1)), pa.int32())
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), part.column(1), pa.ListArray.from_arrays(offsets, pa.array(bucket, pa.int32())),
-                 pa.ListArray.from_arrays(offsets, pa.array(value, pa.float64()))], ["at", "label", "bucket", "value"])
+                [part.column(0), part.column(1), pa.ListArray.from_arrays(stops, pa.array(bucket, pa.int32())),
+                 pa.ListArray.from_arrays(stops, pa.array(count, pa.int32()))], ["at", "label", "bucket", "count"])
 
-    found = rows.select("at", "label", "text").transform(map_arrow, run, "at long, label double, bucket array<int>, value array<double>")
-    return shared_table(found.withColumn("shard", F.pmod("at", F.lit(SHARDS)).cast("int")), "quality-sample")
+    return shared_table(rows.transform(map_arrow, run, "at long, label double, bucket array<int>, count array<int>"), "quality-sample")
 
 
 def _round(z0: np.ndarray, n0: np.ndarray, seed: int):
-    """One part's updates from the common state, as a function of its rows."""
+    """One part's updates from the common state, as a function of its rows: the state
+    times the number of rows, and (at -1) that number."""
 
-    def run(table: pa.Table) -> pa.Table:
-        z, n, one = z0.copy(), n0.copy(), np.ones(1)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = [b for b in batches if b.num_rows]  # a bounded part of the sample
+        if not part:
+            return
+        table = pa.Table.from_batches(part)
+        z, n = z0.copy(), n0.copy()
         ats, labels = table.column("at").to_numpy(), table.column("label").to_numpy()
-        buckets, values = table.column("bucket").combine_chunks(), table.column("value").combine_chunks()
+        buckets, counts = table.column("bucket").combine_chunks(), table.column("count").combine_chunks()
         for i in np.lexsort((ats, ats * (2 * seed + 1) % 1009)):  # another order in each round
-            at = np.append(buckets[int(i)].values.to_numpy(), BUCKETS)
-            update(z, n, at, np.append(values[int(i)].values.to_numpy(), one), labels[i])
+            at, count = buckets[int(i)].values.to_numpy(), counts[int(i)].values.to_numpy()
+            value = values(np.zeros(len(at), np.int64), count, 1)
+            update(z, n, np.append(at, BUCKETS), np.append(value, 1.0), labels[i])
         at = np.flatnonzero(n)
-        return pa.table({"at": pa.array(at, pa.int32()), "z": pa.array(z[at]), "n": pa.array(n[at])})
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.append(at, -1), pa.int32()), pa.array(np.append(z[at], 1) * len(ats), pa.float32()),
+             pa.array(np.append(n[at], 1) * len(ats), pa.float32())], ["at", "z", "n"])
 
     return run
 
@@ -225,13 +237,15 @@ def _round(z0: np.ndarray, n0: np.ndarray, seed: int):
 def train(rows: DataFrame, rounds: int = ROUNDS) -> np.ndarray:
     """Weights of the buckets, and the bias, from :func:`training_rows`."""
     z, n = np.zeros(BUCKETS + 1), np.zeros(BUCKETS + 1)
-    parts = max(1, rows.select("shard").distinct().count())
     for k in range(rounds):
-        states = rows.groupBy("shard").applyInArrow(_round(z, n, k), "at int, z double, n double")  # a bounded part of the sample
-        mean = states.groupBy("at").agg((F.sum("z") / parts).alias("z"), (F.sum("n") / parts).alias("n")).toArrow()  # at most BUCKETS + 1 rows
+        states = rows.transform(map_arrow, _round(z, n, k), "at int, z float, n float")
+        total = states.groupBy("at").agg(F.sum("z").alias("z"), F.sum("n").alias("n")).toArrow()  # at most BUCKETS + 2 rows
+        at, sums = total.column("at").to_numpy(), [total.column(c).to_numpy() for c in ("z", "n")]
+        if not len(at):
+            break
+        size = sums[0][at < 0][0]
         z, n = np.zeros(BUCKETS + 1), np.zeros(BUCKETS + 1)
-        at = mean.column("at").to_numpy()
-        z[at], n[at] = mean.column("z").to_numpy(), mean.column("n").to_numpy()
+        z[at[at >= 0]], n[at[at >= 0]] = (x[at >= 0] / size for x in sums)
     return weights(z, n)
 
 
@@ -242,8 +256,8 @@ def scored(docs: DataFrame, weight: np.ndarray) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in _portions(batches, 1):
-            doc, bucket, value = features(texts)
-            total = weight[BUCKETS] + np.bincount(doc, weight[bucket] * value, len(texts))
+            doc, bucket, count = ngrams(texts)
+            total = weight[BUCKETS] + np.bincount(doc, weight[bucket] * values(doc, count, len(texts)), len(texts))
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sigmoid(total), pa.float64())], ["row", "score"])
 
     return rows.transform(map_arrow, run, with_row(rows, "score double"))
