@@ -71,3 +71,73 @@ def test_replayed_batch_overwrites_itself_and_equal_rows_stay(spark):
     write(df, 0)
     write(df, 1)
     assert sorted(r.x for r in S.read_sink(spark, path, df.schema).collect()) == [1, 1, 1, 1, 2, 2]
+
+
+def test_a_job_resumes_where_it_stopped(spark):
+    """Stopped after each file, the runs together give what one run gives, and no row twice."""
+    steps = [3, 0, 4, 1, 2]
+    whole = sorted(S.adaptive_kl_stream(spark, _steps(spark, steps), 0.2, 0.3, 100.0).collect())
+    path, home, sizes = scratch_path(spark, f"steps-{uuid.uuid4().hex}"), S.new_home(spark, "kl"), []
+    for k in steps:
+        spark.createDataFrame([(r, 0.1 * (k + 1), 10 + k, 1.0, k) for r in ("a", "b")], S.STEP_SCHEMA).coalesce(1).write.mode("append").parquet(path)
+        done = S.adaptive_kl_stream(spark, path, 0.2, 0.3, 100.0, home=home, complete=False)
+        sizes.append(done.count())
+        waiting = {r.step for r in S.waiting_steps(S.stream_session(spark), home).collect()}
+        assert waiting == {x for x in steps[:len(sizes)] if x >= sizes[-1] // 2}
+    assert sizes == [0, 2, 2, 4, 10] and sorted(done.collect()) == whole
+    again = S.adaptive_kl_stream(spark, path, 0.2, 0.3, 100.0, home=home)  # nothing new
+    assert sorted(again.collect()) == whole
+
+
+def test_crash_inside_a_micro_batch(spark, monkeypatch):
+    path, home = scratch_path(spark, f"rows-{uuid.uuid4().hex}"), S.new_home(spark, "metrics")
+    for k in range(6):
+        spark.createDataFrame([(k, f"m{i}", float(i)) for i in range(5)], S.METRIC_SCHEMA).coalesce(1).write.mode("append").parquet(path)
+    real = S._sink
+
+    def breaking(at):
+        write = real(at)
+
+        def run(batch, batch_id):
+            write(batch, batch_id)
+            if batch_id == 1:  # written, but not committed
+                raise RuntimeError("lost")
+        return run
+
+    monkeypatch.setattr(S, "_sink", breaking)
+    with pytest.raises(Exception, match="lost"):
+        S.log_stream(spark, path, home=home)
+    monkeypatch.setattr(S, "_sink", real)
+    rows = S.log_stream(spark, path, home=home)
+    assert rows.count() == 30 and rows.distinct().count() == 30
+
+
+def test_waiting_steps_are_bounded_while_the_stream_runs(spark):
+    with pytest.raises(Exception, match="3 steps of run . wait for step 1"):
+        S.adaptive_kl_stream(spark, _steps(spark, [0, 2, 3, 4]), 0.2, 0.3, 100.0, files_per_trigger=1, max_waiting=2)
+
+
+def test_timer_reports_a_step_that_does_not_come(spark):
+    s = S.stream_session(spark)
+    s.conf.set("spark.sql.streaming.stateStore.providerClass", S.ROCKSDB)
+    steps = s.readStream.schema(S.STEP_SCHEMA).parquet(_steps(spark, [0, 2]))
+    q = S.adaptive_kl(steps, 0.2, 0.3, 100.0, patience_ms=1000).writeStream.foreachBatch(lambda d, i: None).option(
+        "checkpointLocation", S.new_home(spark, "kl") + "/checkpoint").trigger(processingTime="500 milliseconds").start()
+    try:
+        with pytest.raises(Exception, match="step 1 of run . has not come"):
+            assert not q.awaitTermination(90)
+    finally:
+        q.stop()
+
+
+def test_steps_delivered_again_yield_nothing(spark):
+    rows = lambda name: sorted(QUERIES[name](spark, SF_SMALL).collect())
+    assert rows("j4_curriculum_resumed") == rows("j4_curriculum_stream")
+
+
+def test_folders_are_asked_of_their_own_file_system(spark):
+    path = scratch_path(spark, f"events-{uuid.uuid4().hex}.parquet")
+    spark.range(3).selectExpr("CAST(id AS INT) AS step", "'a' AS name", "1D AS value").coalesce(1).write.parquet(path)
+    for form in (path, path if path.startswith("file:") else f"file://{path}"):
+        assert S.is_folder(spark, form) and S.log_stream(spark, form).count() == 3
+    assert not S.is_folder(spark, path + "-none")
