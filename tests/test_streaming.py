@@ -121,7 +121,7 @@ def test_timer_reports_a_step_that_does_not_come(spark):
     s = S.stream_session(spark)
     s.conf.set("spark.sql.streaming.stateStore.providerClass", S.ROCKSDB)
     steps = s.readStream.schema(S.STEP_SCHEMA).parquet(_steps(spark, [0, 2]))
-    q = S.adaptive_kl(steps, 0.2, 0.3, 100.0, patience_ms=1000).writeStream.foreachBatch(lambda d, i: None).option(
+    q = S.adaptive_kl(steps, 0.2, 0.3, 100.0, patience_ms=1000).writeStream.foreachBatch(lambda d, i: d.collect()).option(
         "checkpointLocation", S.new_home(spark, "kl") + "/checkpoint").trigger(processingTime="500 milliseconds").start()
     try:
         with pytest.raises(Exception, match="step 1 of run . has not come"):
