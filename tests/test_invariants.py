@@ -301,9 +301,30 @@ def test_corpus_contains_short_and_long_spans(spark):
     items = spark.createDataFrame([(0, "beta"), (1, "ta gam"), (2, "alpha beta gamma"), (3, "a"), (4, "q"),
                                    (5, "beta gamma delta"), (6, " "), (7, "\n\t"), (8, "  "), (9, ""), (10, None), (11, "x nowhere y z"),
                                    (12, "x  y"), (13, " y\n")], "item_id long, span string")
-    got = sorted(tuple(r) for r in corpus_contains(docs, items, "doc_id", "text", "item_id", "span").collect())
     want = sorted((i, d) for i, s in items.collect() for d, t in docs.collect() if s and t and s in t)
-    assert got == want
+    for block in (8_000_000, 9):  # one scan of the documents, and one for each of some blocks of spans
+        got = corpus_contains(docs, items, "doc_id", "text", "item_id", "span", block_chars=block)
+        assert sorted(tuple(r) for r in got.collect()) == want
+    none = corpus_contains(docs, items.where("span = ''"), "doc_id", "text", "item_id", "span")
+    assert none.columns == ["item_id", "doc_id"] and none.collect() == []
+
+
+def test_corpus_contains_with_equal_spans_and_rows(spark):
+    from trellis.operators.spans import corpus_contains
+
+    docs = spark.createDataFrame([("a", "so it is"), ("a", "so it is"), (None, "it")], "k string, t string")
+    items = spark.createDataFrame([(1, "it"), (2, "it"), (2, "it"), (None, "so")], "i int, s string")
+    got = sorted((tuple(r) for r in corpus_contains(docs, items, "k", "t", "i", "s").collect()), key=repr)
+    assert got == sorted([(i, k) for k, t in docs.collect() for i, s in items.collect() if s in t], key=repr)
+
+
+def test_corpus_contains_scans_once(spark):
+    from trellis.operators.spans import corpus_contains
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    items = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet").select("item_id", "text")
+    plan = corpus_contains(docs, items, "doc_id", "text", "item_id", "text")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "Aggregate" not in plan
 
 
 def test_grpo_with_a_hot_group_matches_python(spark):
@@ -336,3 +357,22 @@ def test_soft_credit_paths_agree(spark):
     shared = OR.score_evidence(rep, "row_id", context_key="doc_id").select("row_id", "reward")
     local = OR.score_evidence(rep, "row_id").select("row_id", "reward")
     assert shared.exceptAll(local).count() == 0 and local.exceptAll(shared).count() == 0
+
+
+@pytest.mark.parametrize("ids", [[0, 2, 2, 3, 3, 4, 7, 7, 8], [0, 1, 1], [1, 2], [0, None], [-1, 0], [0, 40_000], [0, 0], [None]])
+def test_ids_that_do_not_number_the_rows(spark, ids):
+    from trellis.operators.batch import dense_size
+
+    with pytest.raises(ValueError, match="without gaps or repeats"):
+        dense_size(spark.createDataFrame([(i,) for i in ids], "row_id long"))
+
+
+def test_dense_ids_in_any_order(spark):
+    from trellis.operators.batch import dense_size, reorder
+
+    df = spark.range(100_000).withColumnRenamed("id", "row_id").orderBy(F.hash("row_id"))
+    assert dense_size(df) == 100_000 and dense_size(df.limit(0)) == 0
+    rows = spark.createDataFrame([(i, f"r{i}") for i in range(9)], "row_id long, x string")
+    wrong = spark.createDataFrame(list(zip(range(9), [0, 2, 2, 3, 3, 4, 7, 7, 8])), "row_id long, new_pos long")
+    with pytest.raises(ValueError, match="without gaps or repeats"):
+        reorder(rows, wrong).collect()

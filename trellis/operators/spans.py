@@ -1,72 +1,93 @@
 """Corpus-wide verbatim span search (E5 over whole tables).
 
-``contains(doc, span)`` for every (document, span) pair is a theta join.  It
-is answered exactly without pairing everything with everything:
-
-* spans of three or more words: any verbatim occurrence contains each
-  *interior* word of the span as a whole white-space token of the document, so an
-  equi-join on the span's interior word that the fewest documents hold yields a
-  superset of the hits, then ``contains`` verifies;
-* spans of one or two words: their first word is a substring of some
-  document token, so a q-gram index over the token *vocabulary* (not over
-  raw text) finds the candidate tokens exactly; candidate documents come
-  from the (document, token) postings and are verified with ``contains``;
-* spans of white space only: they stand inside one of the document's runs of
-  white space. The distinct runs are few; runs and spans meet on their first
-  character.
+``contains(doc, span)`` for every (document, span) pair is a theta join. Here the
+distinct spans become multi-pattern automata (Aho-Corasick), and every document runs
+through an automaton once: all spans in one pass over its raw text, whatever their
+length, without tokens, gram indexes or a verification join.
+
+Spans come in blocks of about ``BLOCK_CHARS`` characters, dealt by hash, so what a
+task holds is bounded however many spans there are; the documents are scanned once
+for each block. A scan shuffles nothing: it emits the pairs it found, a span as a pair
+of 64-bit hashes, which then meet the items that ask for it (items with equal spans,
+however many, are one pattern).
 """
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as Ty
+
+from trellis.session import ship_package
+
+#: Characters of the spans of one block.
+BLOCK_CHARS = 8_000_000
+
+_LAST: dict[str, object] = {}
+
+
+def _automaton(key: str, spans: pa.Array):
+    """The automaton of a block: built once per Python worker that meets the block."""
+    if key not in _LAST:
+        from ahocorasick import Automaton
+
+        found = Automaton()
+        for i, s in enumerate(spans.to_pylist()):
+            found.add_word(s, i)
+        found.make_automaton()
+        _LAST.clear()  # one block at a time
+        _LAST[key] = found
+    return _LAST[key]
+
+
+def _blocks(spans: DataFrame, block_chars: int) -> Iterator[pa.Table]:
+    """The rows of ``spans`` (span, _h, _g) in blocks of bounded size."""
+    size = spans.agg(F.coalesce(F.sum(F.length("span") + 1), F.lit(0)).alias("n")).head().n
+    n = -(-size // block_chars)
+    for k in range(n):
+        yield (spans if n == 1 else spans.where(F.pmod("_g", F.lit(n)) == k)).toArrow()
 
-from trellis.functions import text as T
 
-QGRAM = 3
+def _scan(docs: DataFrame, block: pa.Table) -> DataFrame:
+    """``docs`` (key, text) to (key, _h, _g): the block's spans that each text holds."""
+    spans, h, g = (block.column(c).combine_chunks() for c in ("span", "_h", "_g"))
+    key_field = docs.schema.fields[0]
+    mark = uuid.uuid4().hex
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find = _automaton(mark, spans)
+        for b in batches:
+            rows: list[int] = []
+            hits: list[int] = []
+            for i, text in enumerate(b.column(1).to_pylist()):
+                if text:
+                    own = {k for _, k in find.iter(text)}
+                    rows += [i] * len(own)
+                    hits += own
+            at = pa.array(hits, pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows, pa.int64())), h.take(at), g.take(at)], [key_field.name, "_h", "_g"])
 
-def _verified(cand: DataFrame, spans: DataFrame, docs: DataFrame, doc_key: str, doc_text: str, item_key: str, span: str) -> DataFrame:
-    """The candidate pairs whose document holds the span."""
-    pairs = cand.join(spans.select(item_key, span), item_key)
-    return (docs.select(doc_key, doc_text).join(pairs, doc_key).filter(F.contains(F.col(doc_text), F.col(span)))
-            .select(item_key, doc_key))
+    ship_package(docs.sparkSession)
+    return docs.mapInArrow(run, Ty.StructType([key_field, *Ty.StructType.fromDDL("_h long, _g long").fields]))
 
 
 def corpus_contains(docs: DataFrame, items: DataFrame, doc_key: str, doc_text: str,
-                    item_key: str, span: str) -> DataFrame:
+                    item_key: str, span: str, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """All ``(item_key, doc_key)`` with ``doc_text`` containing ``span`` verbatim;
-    a null or empty span has no hits."""
-    spans = items.select(item_key, span, T.py_split(span).alias("_w")).filter(F.col(span) != "")
-    tokens = docs.select(doc_key, F.explode(F.array_distinct(T.py_split(doc_text))).alias("_tok"))
-
-    # long spans: the interior word that the fewest documents hold
-    long = spans.filter(F.size("_w") >= 3)
-    interior = long.select(item_key, F.explode(F.array_distinct(F.slice("_w", 2, F.size("_w") - 2))).alias("_tok"))
-    held = tokens.join(interior.select("_tok").distinct(), "_tok", "left_semi").groupBy("_tok").agg(F.count(F.lit(1)).alias("_df"))
-    rarest = interior.join(held, "_tok").groupBy(item_key).agg(
-        F.min_by("_tok", F.struct("_df", "_tok")).alias("_tok"), F.count(F.lit(1)).alias("_found"))
-    # a span with an interior word that no document holds has no hits
-    rarest = rarest.join(long.select(item_key, F.size(F.array_distinct(F.slice("_w", 2, F.size("_w") - 2))).alias("_n")), item_key)
-    cand = rarest.filter("_found = _n").select(item_key, "_tok").join(tokens, "_tok").select(item_key, doc_key)
-
-    # short spans: their first word inside a token of the vocabulary, whose grams are
-    # as long as those of the words that are asked for (none are made for none)
-    short = spans.filter(F.size("_w").between(1, 2)).select(item_key, span, F.get("_w", F.lit(0)).alias("_w1"))
-    lengths = short.select(F.collect_set(F.least(F.length("_w1"), F.lit(QGRAM)))).scalar()
-    starts = F.sequence(F.lit(1), F.greatest(F.length("_tok"), F.lit(1)))
-    asked = tokens.withColumn("_q", lengths).where(F.size("_q") > 0).select("_tok", "_q").distinct()
-    vocab = asked.select("_tok", F.explode(F.array_distinct(F.flatten(F.transform(
-        "_q", lambda q: F.transform(starts, lambda i: F.substring("_tok", i, q)))))).alias("_g"))
-    inside = (short.withColumn("_g", F.substring("_w1", 1, QGRAM)).join(vocab, "_g")
-              .filter(F.contains("_tok", F.col("_w1"))).select(item_key, "_tok").distinct())
-    cand = cand.unionByName(inside.join(tokens, "_tok").select(item_key, doc_key))
-
-    # blank spans: inside a run of white space
-    blank = spans.filter(F.size("_w") == 0).select(item_key, span, F.substring(span, 1, 1).alias("_c"))
-    some = docs.withColumn("_any", blank.select(F.count(F.lit(1)) > 0).scalar()).where("_any")
-    runs = some.select(doc_key, F.explode(F.array_distinct(F.regexp_extract_all(doc_text, F.lit("(\\s+)"), 1))).alias("_run"))
-    kinds = runs.select("_run").distinct().select("_run", F.explode(F.array_distinct(F.split("_run", ""))).alias("_c"))
-    within = blank.join(kinds, "_c").filter(F.contains("_run", F.col(span))).select(item_key, "_run").distinct()
-    cand = cand.unionByName(within.join(runs, "_run").select(item_key, doc_key)).distinct()
-    return _verified(cand, spans, docs, doc_key, doc_text, item_key, span)
+    a null or empty span has no hits, and neither has a null text."""
+    both = [F.xxhash64(F.lit(k), F.col(span)).alias(c) for k, c in enumerate(("_h", "_g"))]
+    asked = items.where(F.col(span) != "").select(item_key, F.col(span).cast("string").alias("span"), *both)
+    texts = docs.select(doc_key, F.col(doc_text).cast("string").alias("text"))
+    found = None
+    for block in _blocks(asked.select("span", "_h", "_g").distinct(), block_chars):
+        if not block.num_rows:
+            continue
+        hits = _scan(texts, block)
+        found = hits if found is None else found.unionByName(hits)
+    if found is None:
+        return asked.select(item_key).join(texts.select(doc_key), F.lit(False))
+    return found.join(asked.select(item_key, "_h", "_g"), ["_h", "_g"]).select(item_key, doc_key)
