@@ -376,3 +376,34 @@ def test_dense_ids_in_any_order(spark):
     wrong = spark.createDataFrame(list(zip(range(9), [0, 2, 2, 3, 3, 4, 7, 7, 8])), "row_id long, new_pos long")
     with pytest.raises(ValueError, match="without gaps or repeats"):
         reorder(rows, wrong).collect()
+
+
+def test_matching_blocks_equal_difflib():
+    from trellis.functions.similarity import matching_characters
+
+    rng = random.Random(5)
+    for k in range(1500):
+        letters = "ab" if k % 3 == 0 else "abcdefgh ()=_" if k % 3 == 1 else [chr(200 + i) for i in range(150)]
+        n, m = (rng.randrange(0, 60), rng.randrange(0, 60)) if k % 10 else (rng.randrange(150, 700), rng.randrange(190, 700))
+        a = "".join(rng.choice(letters) for _ in range(n))
+        b = "".join(rng.choice(letters) for _ in range(m))
+        if k % 4 == 0:  # near copies
+            b = "".join(c for c in a if rng.random() > 0.1) + b[:20]
+        want = sum(x.size for x in difflib.SequenceMatcher(None, a, b).get_matching_blocks())
+        assert matching_characters(a, b) == want, (a, b)
+
+
+def test_long_lines_stay_cheap():
+    import time
+
+    from trellis.functions.similarity import edit_ratio
+
+    rng = random.Random(6)
+    line = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz(){}=_. ") for _ in range(20_000))
+    other = line[:7000] + "x" * 50 + line[9000:] + "tail"
+    for a, b in ((line, other), (line, line), (line, line[::-1]), ("a" * 20_000, "a" * 19_999 + "b")):
+        begun = time.perf_counter()
+        got = edit_ratio(a, b)
+        assert time.perf_counter() - begun < 2
+        if (a, b) != (line, line[::-1]):
+            assert got == int(round(100 * difflib.SequenceMatcher(None, a, b).ratio())) / 100
