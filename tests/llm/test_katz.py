@@ -98,3 +98,17 @@ def test_copies_take_part_in_the_sample(spark, monkeypatch):
     texts = katz._texts(spark.createDataFrame(rows, "doc_id long, text string"))
     found = katz._proposed(texts, 1 << 16)
     assert {(b"copied", b"text%d" % k) for k in range(3)} <= set(found)
+
+
+@pytest.mark.parametrize("hot", [0, 1 << 16])
+def test_counts_above_32_bits(spark, monkeypatch, hot):
+    times = 3_000_000_000
+    real = katz._counts
+    monkeypatch.setattr(katz, "_counts", lambda *a: real(*a).withColumn("n", katz.F.col("n") * times))
+    docs = spark.createDataFrame([(i, f"common words here number{i % 4} common words") for i in range(30)], "doc_id long, text string")
+    scored, model = katz.learn_and_score(docs, hot=hot)
+    rows = scored.collect()
+    assert len(rows) == 30 and all(r.train_tokens > 1 << 31 and np.isfinite(r.score) for r in rows)
+    assert model.words.agg(katz.F.max("n")).first()[0] > 1 << 31
+    assert dict(model.bigrams.dtypes)["n"] == "bigint" and (not hot or model.bigrams.agg(katz.F.max("n")).first()[0] > 1 << 31)
+    assert all(kind == "array<bigint>" for name, kind in (x.split() for x in katz._BACK.replace(katz._DOC_SQL, "x").split(", ")) if name in ("c", "wc", "uc", "n"))

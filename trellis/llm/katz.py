@@ -362,9 +362,9 @@ def _sent(texts: DataFrame, words: Words) -> DataFrame:
 # -- buckets: counts, sent back -------------------------------------------------------
 
 _HISTORY = [f"m{r}" for r in range(1, LARGE + 1)] + ["large", "mass"]
-_BACK = ("kind string, chunk long, docs " + _DOC_SQL + ", row array<smallint>, c array<int>, wrow array<smallint>, wc array<int>, "
-         "urow array<smallint>, uh array<int>, uc array<int>, trow array<smallint>, th array<bigint>, "
-         "h array<bigint>, sums array<double>, types array<bigint>, w array<bigint>, n array<int>")
+_BACK = ("kind string, chunk long, docs " + _DOC_SQL + ", row array<smallint>, c array<bigint>, wrow array<smallint>, wc array<bigint>, "
+         "urow array<smallint>, uh array<int>, uc array<bigint>, trow array<smallint>, th array<bigint>, "
+         "h array<bigint>, sums array<double>, types array<bigint>, w array<bigint>, n array<bigint>")
 
 
 def _counted(sent: DataFrame, words: Words) -> DataFrame:
@@ -432,9 +432,9 @@ def _counted(sent: DataFrame, words: Words) -> DataFrame:
         put(kind="model", types=found)
         return _table(out)
 
-    types = {"kind": pa.string(), "chunk": pa.int64(), "docs": pa.list_(_DOC), "c": pa.list_(pa.int32()), "wc": pa.list_(pa.int32()),
-             "uh": pa.list_(pa.int32()), "uc": pa.list_(pa.int32()), "th": pa.list_(pa.int64()), "h": pa.list_(pa.int64()),
-             "sums": pa.list_(pa.float64()), "types": pa.list_(pa.int64()), "w": pa.list_(pa.int64()), "n": pa.list_(pa.int32())}
+    types = {"kind": pa.string(), "chunk": pa.int64(), "docs": pa.list_(_DOC), "c": pa.list_(pa.int64()), "wc": pa.list_(pa.int64()),
+             "uh": pa.list_(pa.int32()), "uc": pa.list_(pa.int64()), "th": pa.list_(pa.int64()), "h": pa.list_(pa.int64()),
+             "sums": pa.list_(pa.float64()), "types": pa.list_(pa.int64()), "w": pa.list_(pa.int64()), "n": pa.list_(pa.int64())}
 
     def _table(out: dict[str, list]) -> pa.Table:
         return pa.table({n: pa.array(v, types.get(n, pa.list_(pa.int16()))) for n, v in out.items()})
@@ -547,7 +547,7 @@ def learn_and_score(docs: DataFrame, head: int = HEAD, hot: int = HOT) -> tuple[
     pairs = counted.where("kind = 'bigram'").select(F.explode(F.arrays_zip("h", "w", "n")).alias("x")).select("x.*")
     sure = [(h, w, n) for (h, w), n in words.hot.items()]  # bounded by hot
     if sure:
-        pairs = pairs.unionByName(spark.createDataFrame(sure, "h long, w long, n int"))
+        pairs = pairs.unionByName(spark.createDataFrame(sure, "h long, w long, n long"))
     own = spark.createDataFrame(words.frequent, "word binary, own long")
     named = words.table.join(own, "word", "left").select("word", F.coalesce("own", "id").alias("id"), "n")
     return scored, Model(named, pairs, backs, totals, stars)
