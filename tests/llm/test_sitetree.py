@@ -29,7 +29,7 @@ def test_broken_pages():
     assert text("<ul><li><a href=x>menu one</a><li><a href=y>menu two</a></ul><p>text of it</p>") == "text of it"
     many = "<b>" * 30_000 + "<br>x</i>" * 30_000 + "<p><div>" * 30_000 + "</p>" * 30_000
     assert text(many) == "x " * 29_999 + "x"
-    assert max(map(len, S.Page(many).children)) <= S.DEPTH * (S.LABEL + 1)
+    assert max(map(len, S.Page(many).children)) <= (S.DEPTH + 1) * (S.LABEL + 18)
     long = "<article>" + "<div>" * 3000 + "deep " * 50_000 + "</article>"
     assert text(long) == ("deep " * 50_000).strip()
 
@@ -108,3 +108,18 @@ def test_copies_count_once(spark):
     assert got[90] == "Body of number 20 More of number 20 Story 20" and got[3] == "Body of number 0 More of number 0"
     features = S.site_features(pages.withColumn("host", S.host_of(S.F.col("url"))))
     assert features.where("path = '/body/section' AND NOT is_text").agg(S.F.sum("n")).first()[0] == 30
+
+
+def test_long_labels_and_deep_branches_stay_apart(spark):
+    utility = " ".join(f"u{k:03d}-{'x' * 12}".replace("0", "o") for k in range(20))  # a prefix as long as many frameworks make it
+    assert len(utility) > 3 * S.LABEL
+
+    def page(i, deep):
+        frame = "<div>" * deep
+        return (f"<body>{frame}<div class='{utility} zone-a'><p>The same words on every page</p></div>"
+                f"<div class='{utility} zone-b'><p>Body of number {i} is here</p></div></body>")
+
+    rows = [(i, f"http://h{deep}.example.org/{i}", page(i, deep)) for deep in (0, 90) for i in range(deep, deep + 40)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+    got = {r.page_id: r.text for r in S.main_texts(pages).selectExpr("row.page_id", "text").collect()}
+    assert got[7] == "Body of number 7 is here" and got[97] == "Body of number 97 is here"

@@ -45,8 +45,9 @@ THRESHOLD = 0.5
 LEAST_PAGES = 8
 #: Weight of what lies one level deeper.
 DECAY = 0.9
-#: Labels of a path, and characters of a label, that tell branches apart; what lies
-#: deeper belongs to the branch above it. Texts are not affected.
+#: Labels and characters of a label that a path spells out: a longer label ends in a
+#: hash of the whole, and what lies deeper is one more label, a hash of the rest of its
+#: path. Different branches have different paths, whatever their labels and depth.
 DEPTH, LABEL = 64, 80
 #: Distinct (host, path, feature) that a task gathers before it passes them on.
 GATHER = 300_000
@@ -92,6 +93,22 @@ def _attributes(raw: str) -> tuple[str, bool, bool]:
     return "".join(label), noise, hidden
 
 
+def _hashed(text: str) -> str:
+    from xxhash import xxh64_hexdigest
+
+    return "~" + xxh64_hexdigest(text.encode("utf-8", "surrogatepass"))
+
+
+def _below(path: str, label: str, depth: int) -> str:
+    """The path of the element ``label`` in the one at ``path``, which is ``depth`` deep."""
+    if depth < DEPTH:
+        return f"{path}/{label}"
+    if depth == DEPTH:
+        return f"{path}/{_hashed(label)}"
+    spelled, _, rest = path.rpartition("/")
+    return f"{spelled}/{_hashed(f'{rest}/{label}')}"
+
+
 class Page:
     """The blocks of one page in order, and the labels of each path's children."""
 
@@ -171,7 +188,9 @@ class Page:
                             break
             _, path, noise, inside, holder, depth, marks, above, deep = stack[-1]
             label, marked, hidden = _attributes(raw) if raw and not raw.isspace() else ("", False, False)
-            label = (tag + label)[:LABEL].replace("/", "")
+            label = (tag + label).replace("/", "")
+            if len(label) > LABEL:
+                label = label[:LABEL] + _hashed(label)
             self.children.setdefault(path, []).append(label)
             if tag in _VOID or raw.endswith("/") and tag not in _BLOCK:
                 continue
@@ -183,9 +202,8 @@ class Page:
             root = tag in _ROOT or "itemprop" in raw and "articleBody" in raw
             noise = noise or (hidden and tag not in ("html", "body") and not (root and not inside)) or tag in _NOISE or tag == "header" and not inside
             links += tag == "a"
-            if depth < DEPTH:
-                path = f"{path}/{label}"
-                self.children.setdefault(path, [])
+            path = _below(path, label, depth)
+            self.children.setdefault(path, [])
             if root and not deep and not noise and not (marked and (marks or inside)):
                 above, marks = above + marks, ()  # an article below marked elements
                 inside, deep = True, tag != "main"
