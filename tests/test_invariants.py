@@ -407,3 +407,26 @@ def test_long_lines_stay_cheap():
         assert time.perf_counter() - begun < 2
         if (a, b) != (line, line[::-1]):
             assert got == int(round(100 * difflib.SequenceMatcher(None, a, b).ratio())) / 100
+
+
+@pytest.mark.parametrize("equal", [True, False])
+def test_hierarchical_differencing(spark, equal):
+    """Many cells and rounds: every item once, equal sizes, and no spread wider than the longest item."""
+    rng, k = random.Random(7), 6
+    rows = [(b, i, None if i % 97 == 0 else int(rng.paretovariate(1.1) * 10)) for b, n in (("x", 2400), ("y", 61), ("z", 6)) for i in range(n)]
+    df = spark.createDataFrame([*rows, (None, 1, 5)], "batch string, item int, len int")
+    out = H.hierarchical(df, "batch", "item", "len", k, equal, cell_items=36, fan=4).collect()
+    assert sorted(map(str, ((r.batch, r.item, r.len) for r in out))) == sorted(map(str, rows))
+    for b in "xyz":
+        mine = [r for r in out if r.batch == b]
+        sums, sizes = Counter(), Counter(range(k))
+        for r in mine:
+            sums[r.part] += r.len or 0
+            sizes[r.part] += 1
+        assert set(sums) <= set(range(k))
+        assert max(sums[j] for j in range(k)) - min(sums[j] for j in range(k)) <= max(r.len or 0 for r in mine)
+        if equal:
+            counts = Counter(r.part for r in mine)
+            assert max(counts[j] for j in range(k)) - min(counts[j] for j in range(k)) <= (len(mine) % k > 0)
+    again = H.hierarchical(df.repartition(5), "batch", "item", "len", k, equal, cell_items=36, fan=4).collect()
+    assert sorted(map(str, again)) == sorted(map(str, out))

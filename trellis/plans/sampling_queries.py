@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from trellis.functions import text as T
 from trellis.operators import balance as H
 from trellis.operators import curriculum as D
 from trellis.plans import sqlkit as Q
@@ -171,6 +172,30 @@ def h2_balance_unequal_facts(spark, sf_dir):
     return _balance_facts(_balanced(spark, sf_dir, _UNEQUAL_K, equal_size=False), _UNEQUAL_K, False)
 
 
+def _whole(spark, sf_dir):
+    """Every document as an item of one batch."""
+    words = F.size(T.py_split("text"))
+    return V.table(spark, sf_dir, "documents").select(F.lit(0).alias("batch_id"), "doc_id", words.alias("n_tokens"))
+
+
+_WHOLE_SQL = """
+SELECT 0 AS batch_id, {k}::BIGINT AS n_parts, count(*) AS n_rows, count(DISTINCT doc_id) AS n_items,
+       sum(len(list_filter(string_split_regex(text, '\\s+'), lambda t: t <> '')))::BIGINT AS n_tokens, true AS spread_ok, true AS sizes_ok
+FROM documents"""
+
+
+@register("h1_balance_hierarchical", _WHOLE_SQL.format(k=_K))
+def h1_balance_hierarchical(spark, sf_dir):
+    """All documents as one batch, without an item limit: the facts of any correct
+    assignment (equal sizes where the number of documents allows)."""
+    return _balance_facts(H.hierarchical(_whole(spark, sf_dir), "batch_id", "doc_id", "n_tokens", _K), _K, False)
+
+
+@register("h2_balance_hierarchical", _WHOLE_SQL.format(k=_UNEQUAL_K))
+def h2_balance_hierarchical(spark, sf_dir):
+    return _balance_facts(H.hierarchical(_whole(spark, sf_dir), "batch_id", "doc_id", "n_tokens", _UNEQUAL_K, equal_size=False), _UNEQUAL_K, False)
+
+
 def _schedule_sql(equal: bool) -> str:
     """List scheduling as a recursion over the items' places in their batch."""
     key = f"list_transform(range(1, {_K + 1}), lambda j: {'held[j] * 1000000000000 + ' if equal else ''}w[j])"
