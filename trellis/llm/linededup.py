@@ -1,83 +1,81 @@
 """Line dedup by pairwise alignment.
 
-Overlapping documents are found through shared line hashes: every line that more
-than one document holds belongs to its first document (smallest doc_id), and each
-later holder is paired with that owner. The pairs of a line are as many as its
-holders, rare or common, so no line is too frequent to take part.
-
-The owner of a passage's lines need not be a document that holds the passage. So
-neighbouring lines are hashed too (``passages``): from each line shorter than
-``min_words``, the fewest lines from it on, and up to it, that have so many words
-(at most ``min_words`` lines, two hashes a line). Such a window goes from every
-document but its first. Every line of a run of at least ``min_words`` words lies in
-a window inside the run or is as long itself, so a run that any earlier document
-holds goes whole, whoever owns its lines.
-
-A pair is aligned by patience diff: lines that occur once on either side are
-anchors, the longest increasing run of anchors is kept, and neighbouring anchors
-form blocks. A line that repeats inside a document is told apart by its ordinal
-(the n-th occurrence of the line), so each line is an anchor. What is left over
-crosses the alignment (a moved block); it is aligned again until nothing is left.
-Blocks of at least ``min_words`` words are deleted from the later document.
+Overlapping documents are found through rare runs of lines. From every line of a
+document, the fewest lines on that have ``MIN_WORDS`` words are hashed; such a run is
+rare if at most half of all documents hold it (or at most ``FEW``, which tell nothing):
+what more hold is a template of the corpus, no copy. Each later holder of a rare run
+is paired with the run's first document (smallest doc_id). So the pairs grow with the
+lines, however many documents share a run, and a document meets for every run some
+earlier document that holds it whole: any passage of ``MIN_WORDS`` words or more that
+an earlier document has, in full lines, begins with a run that leads to one.
+
+A pair is aligned once, over all lines of both documents, by patience diff: equal
+lines at the ends are matched, then lines that occur once on either side are anchors,
+the longest increasing run of anchors is kept, and the gaps between them are aligned in
+the same way (where no line is unique, the n-th occurrences are matched). Lines that
+follow each other on both sides of the alignment make a block; what an alignment
+leaves over may be moved, so it is matched to runs of the earlier document as it
+stands. A block goes from the later document if it holds a rare run. Single lines that
+many documents happen to have stay, unless they lie in such a block or are as long as
+a run by themselves.
 
 Defined results: lines are compared without surrounding white space, blank lines
-never match and stay; null and empty texts are unchanged; equal lines of equal
-ids (repeated rows: same doc_id, same text) are one document and each row gets
-the same result; a null doc_id comes after all others; an empty table gives an
-empty table; other columns stay as they are.
+never match and stay; null and empty texts are unchanged; rows with equal ids and
+equal texts are one document and each row gets the same result; a null doc_id comes
+after all others; equal ids with different texts are ordered by a hash of the text; a
+very long text is as many lines as it has, its pairs are aligned one at a time; an
+empty table gives an empty table; other columns stay as they are.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_left
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trellis.llm.common import join_checked, map_arrow, shared_table, with_row
+from trellis.llm.common import map_arrow, shared_table, with_row
 
-MIN_WORDS = 5
+#: Words of a run of lines that tells a copy.
+MIN_WORDS = 20
+#: A run is rare in at most this share of the documents, or in at most FEW.
+RARE_SHARE, FEW = 0.5, 100
+#: Lines that a task hands on at once.
+GATHER = 100_000
 _LAST = (1 << 63) - 1
+_BASE = 0x9E3779B97F4A7C15
 
 
-def line_keys(text: bytes) -> Iterator[tuple[int, int, int, int, int]]:
-    """(line number, ordinal of the equal line, hash, second hash, words) of the
-    lines that hold a word."""
+def line_hashes(text: bytes | None) -> tuple[list[int], list[int]]:
+    """Hash and number of words of the lines that hold a word."""
     from xxhash import xxh64_intdigest
 
-    seen: dict[bytes, int] = {}
-    for n, line in enumerate(text.split(b"\n")):
+    hashes, words = [], []
+    for line in (text or b"").split(b"\n"):
         line = line.strip()
         if line:
-            k = seen[line] = seen.get(line, 0) + 1
-            yield n, k, xxh64_intdigest(line, 1) - (1 << 63), xxh64_intdigest(line, 2) - (1 << 63), len(line.split())
-
-
-def window_keys(text: bytes, min_words: int) -> Iterator[tuple[int, int, int, int, int, int]]:
-    """(rank of the first line, ordinal of the equal window, hash, second hash,
-    words, lines) of the shortest runs of lines that begin or end at a line of
-    fewer than ``min_words`` words and have ``min_words``."""
-    from xxhash import xxh64_intdigest
-
-    lines = [x for x in map(bytes.strip, text.split(b"\n")) if x]
-    words = [len(x.split()) for x in lines]
-    found: set[tuple[int, int]] = set()
-    for i, n in enumerate(words):
-        if n < min_words:
-            for step in (1, -1):
-                j, total = i, n
-                while total < min_words and 0 <= j + step < len(lines):
-                    j += step
-                    total += words[j]
-                if total >= min_words:
-                    found.add((min(i, j), max(i, j) + 1))
-    seen: dict[bytes, int] = {}
-    for a, b in sorted(found):
-        window = b"\n".join(lines[a:b])  # no single line has a line feed
-        k = seen[window] = seen.get(window, 0) + 1
-        yield a, k, xxh64_intdigest(window, 1) - (1 << 63), xxh64_intdigest(window, 2) - (1 << 63), sum(words[a:b]), b - a
+            hashes.append(xxh64_intdigest(line) - (1 << 63))
+            words.append(len(line.split()))
+    return hashes, words
+
+
+def runs(hashes: np.ndarray, words: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first line, line after the last, hash) of the fewest lines from each line on
+    that have ``min_words`` words, where there are as many."""
+    total = np.concatenate(([0], np.cumsum(words)))
+    start = np.arange(len(hashes))
+    end = np.searchsorted(total, total[:-1] + min_words)
+    start, end = start[end <= len(hashes)], end[end <= len(hashes)]
+    n = len(hashes)
+    up, down = (np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(max(0, n), x, np.uint64)))) for x in (_BASE, pow(_BASE, -1, 1 << 64)))
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(hashes.astype(np.uint64) * up[:n])))
+    h = ((sums[end] - sums[start]) * down[start]) ^ ((end - start).astype(np.uint64) * np.uint64(0xD1B54A32D192ED03))
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return start, end, (h ^ (h >> np.uint64(32))).view(np.int64)
 
 
 def longest_increasing(values: list[int]) -> list[int]:
@@ -97,22 +95,65 @@ def longest_increasing(values: list[int]) -> list[int]:
     return out[::-1]
 
 
-def aligned_blocks(pairs: list[tuple[int, int, int]], min_words: int) -> list[int]:
-    """``pairs``: (rank in the earlier document, rank in the later one, words) of
-    common lines. Ranks of the later document's lines to delete."""
-    left = sorted(set(pairs), key=lambda x: x[1])
-    out: list[int] = []
-    while left:
-        kept = longest_increasing([p[0] for p in left])
-        block: list[tuple[int, int, int]] = []
-        for p in [left[i] for i in kept] + [(-9, -9, 0)]:
-            if block and (p[0] != block[-1][0] + 1 or p[1] != block[-1][1] + 1):
-                if sum(x[2] for x in block) >= min_words:
-                    out += [x[1] for x in block]
-                block = []
-            block.append(p)
-        on = set(kept)
-        left = [p for i, p in enumerate(left) if i not in on]
+def patience(a: Sequence[int], b: Sequence[int]) -> list[tuple[int, int]]:
+    """Matched lines (place in ``a``, place in ``b``) of a patience diff, in order."""
+    out: list[tuple[int, int]] = []
+    todo = [(0, len(a), 0, len(b))]
+    while todo:
+        alo, ahi, blo, bhi = todo.pop()
+        while alo < ahi and blo < bhi and a[alo] == b[blo]:
+            out.append((alo, blo))
+            alo, blo = alo + 1, blo + 1
+        while alo < ahi and blo < bhi and a[ahi - 1] == b[bhi - 1]:
+            ahi, bhi = ahi - 1, bhi - 1
+            out.append((ahi, bhi))
+        if alo == ahi or blo == bhi:
+            continue
+        na, nb = Counter(a[alo:ahi]), Counter(b[blo:bhi])
+        place = {a[i]: i for i in range(alo, ahi) if na[a[i]] == 1}
+        anchors = [(place[b[j]], j) for j in range(blo, bhi) if nb[b[j]] == 1 and b[j] in place]
+        if anchors:
+            anchors = [anchors[i] for i in longest_increasing([x for x, _ in anchors])]
+            edges = [(alo - 1, blo - 1), *anchors, (ahi, bhi)]
+            todo += [(x + 1, u, y + 1, v) for (x, y), (u, v) in zip(edges, edges[1:])]
+            out += anchors
+        else:  # every common line repeats: its n-th occurrences belong together
+            nth: dict[int, list[int]] = {}
+            for i in range(alo, ahi):
+                nth.setdefault(a[i], []).append(i)
+            seen: Counter[int] = Counter()
+            both = []
+            for j in range(blo, bhi):
+                if seen[b[j]] < len(nth.get(b[j], ())):
+                    both.append((nth[b[j]][seen[b[j]]], j))
+                    seen[b[j]] += 1
+            out += [both[i] for i in longest_increasing([x for x, _ in both])]
+    return sorted(out)
+
+
+def blocks(a: Sequence[int], b: Sequence[int]) -> list[tuple[int, int]]:
+    """(first line in ``b``, line after the last) of the common blocks of two
+    documents: those of the alignment, and moved ones in what it leaves over."""
+    matched = patience(a, b)
+    out, begin = [], 0
+    for i in range(1, len(matched) + 1):
+        if i == len(matched) or (matched[i][0] - matched[i - 1][0], matched[i][1] - matched[i - 1][1]) != (1, 1):
+            out.append((matched[begin][1], matched[i - 1][1] + 1))
+            begin = i
+    left = sorted(set(range(len(b))) - {y for _, y in matched})
+    first: dict[int, int] = {}
+    for i in range(len(a) - 1, -1, -1):
+        first[a[i]] = i
+    at, stop = -1, -1  # the earlier document's line that would go on the run, and the later's
+    for y in left:
+        if y == stop and at < len(a) and a[at] == b[y]:
+            out[-1] = (out[-1][0], y + 1)
+        elif b[y] in first:
+            at = first[b[y]]
+            out.append((y, y + 1))
+        else:
+            continue
+        at, stop = at + 1, y + 1
     return out
 
 
@@ -120,60 +161,101 @@ def _identity(id_: Column, text: Column) -> list[Column]:
     return [F.coalesce(id_.cast("long"), F.lit(_LAST)).alias("id"), F.xxhash64(F.lit(7), text).alias("body")]
 
 
-def _lines(docs: DataFrame, min_words: int, passages: bool) -> DataFrame:
-    """(id, body, rank: number among lines with a word, k, h, g, words, span: lines,
-    more than one for windows)."""
-    schema = pa.schema([("id", pa.int64()), ("body", pa.int64()), ("rank", pa.int32()), ("k", pa.int32()),
-                        ("h", pa.int64()), ("g", pa.int64()), ("words", pa.int32()), ("span", pa.int32())])
+def _line_table(docs: DataFrame) -> DataFrame:
+    """(id, body, hashes, words: of the lines with a word), a row per document, written."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, bodies, texts = b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).cast(pa.binary())
-            rows: list[tuple] = []
-            for i, (id_, body) in enumerate(zip(ids, bodies)):
-                text = texts[i].as_py() or b""
-                rows += [(id_, body, rank, *x[1:], 1) for rank, x in enumerate(line_keys(text))]
-                if passages:
-                    rows += [(id_, body, *x) for x in window_keys(text, min_words)]
-                if len(rows) > 50_000 or i + 1 == len(ids):
-                    cols = list(zip(*rows)) or [[]] * len(schema)
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, schema.types)], schema=schema)
-                    rows = []
-
-    return docs.select(*_identity(F.col("doc_id"), F.col("text")), F.col("text").cast("string")).transform(
-        map_arrow, run, "id long, body long, rank int, k int, h long, g long, words int, span int")
-
-
-def deletions(docs: DataFrame, min_words: int = MIN_WORDS, passages: bool = False) -> DataFrame:
-    """(id, body, ranks: numbers of the lines to delete) of documents that lose lines."""
-    lines = _lines(docs, min_words, passages)
-    holder = F.struct("id", "body", "rank")
-    owners = lines.groupBy("h", "g", "k").agg(F.min(holder).alias("own"), F.max(holder).alias("last")).where(
-        "own.id != last.id OR own.body != last.body").select("h", "g", "k", "own")
-    owners = shared_table(owners, "shared-lines")  # a table, so that AQE can split a line that very many hold
-    common = join_checked(lines, owners, ["h", "g", "k"], "inner").where("own.id != id OR own.body != body")
-    pairs = common.groupBy(F.col("own.id").alias("a"), F.col("own.body").alias("b"), "id", "body").agg(
-        F.collect_list(F.struct(F.col("own.rank").alias("x"), F.col("rank").alias("y"), "words", "span")).alias("pairs"))
+            texts, hashes, words, begin = b.column(2).cast(pa.binary()), [], [], 0
+            size = 0
+            for i in range(b.num_rows):
+                h, w = line_hashes(texts[i].as_py())
+                hashes.append(h)
+                words.append(w)
+                size += len(h)
+                if size > GATHER or i + 1 == b.num_rows:
+                    part = b.slice(begin, i + 1 - begin)
+                    yield pa.RecordBatch.from_arrays(
+                        [part.column(0), part.column(1), pa.array(hashes, pa.list_(pa.int64())), pa.array(words, pa.list_(pa.int32()))],
+                        ["id", "body", "hashes", "words"])
+                    hashes, words, begin, size = [], [], i + 1, 0
+
+    rows = docs.select(*_identity(F.col("doc_id"), F.col("text")), F.col("text").cast("string"))
+    return shared_table(rows.transform(map_arrow, run, "id long, body long, hashes array<long>, words array<int>"), "document-lines")
+
+
+def _runs(lines: DataFrame, min_words: int) -> DataFrame:
+    """(id, body, h, at: first lines): the distinct runs of each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            rows: list[int] = []
+            keys: list[int] = []
+            places: list[list[int]] = []
+            for i in range(b.num_rows):
+                start, _, h = runs(b.column(2)[i].values.to_numpy(), b.column(3)[i].values.to_numpy(), min_words)
+                own: dict[int, list[int]] = {}
+                for k, y in zip(h.tolist(), start.tolist()):
+                    own.setdefault(k, []).append(y)
+                rows += [i] * len(own)
+                keys += own.keys()
+                places += own.values()
+                if len(rows) > GATHER or i + 1 == b.num_rows:
+                    at = pa.array(rows, pa.int64())
+                    yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(keys, pa.int64()), pa.array(places, pa.list_(pa.int32()))],
+                                                     ["id", "body", "h", "at"])
+                    rows, keys, places = [], [], []
+
+    return lines.transform(map_arrow, run, "id long, body long, h long, at array<int>")
+
+
+def overlaps(lines: DataFrame, min_words: int, rare: int) -> DataFrame:
+    """(a, b: the earlier document's id and body; id, body: the later one's; at: first
+    lines of the rare runs in it for which they are paired)."""
+    found = _runs(lines, min_words)
+    holder = F.struct("id", "body")
+    owners = found.groupBy("h").agg(F.min(holder).alias("own"), F.max(holder).alias("last"), F.count(F.lit(1)).alias("n"))
+    owners = owners.where((F.col("own") != F.col("last")) & (F.col("n") <= rare)).select("h", "own")
+    owners = shared_table(owners, "rare-runs")  # a table, so that AQE can split a run that very many hold
+    pairs = found.join(owners, "h").where("own.id != id OR own.body != body")
+    return pairs.groupBy(F.col("own.id").alias("a"), F.col("own.body").alias("b"), "id", "body").agg(
+        F.array_distinct(F.flatten(F.collect_list("at"))).alias("at"))  # no more than the document's lines
+
+
+def deletions(docs: DataFrame, min_words: int = MIN_WORDS, rare_share: float = RARE_SHARE) -> DataFrame:
+    """(id, body, ranks: numbers of the lines to delete) of documents that lose lines."""
+    lines = _line_table(docs)
+    pairs = shared_table(overlaps(lines, min_words, max(FEW, int(rare_share * lines.count()))), "line-pairs")
+    each = lines.dropDuplicates(["id", "body"])  # rows that repeat are one document
+    sides = pairs.join(each.select("id", "body", "hashes", "words"), ["id", "body"]).join(
+        each.select(F.col("id").alias("a"), F.col("body").alias("b"), F.col("hashes").alias("earlier")), ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
             ranks = []
-            for pairs in b.column(2).to_pylist():
-                gone = set(aligned_blocks([(p["x"], p["y"], p["words"]) for p in pairs if p["span"] == 1], min_words))
-                gone.update(y for p in pairs if p["span"] > 1 for y in range(p["y"], p["y"] + p["span"]))
-                ranks.append(sorted(gone))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ranks, pa.list_(pa.int32()))],
-                                             ["id", "body", "ranks"])
-
-    cut = pairs.select("id", "body", "pairs").transform(map_arrow, run, "id long, body long, ranks array<int>").where(F.size("ranks") > 0)
+            for i in range(batch.num_rows):
+                at, b, words, a = (batch.column(k)[i].values.to_numpy() for k in range(2, 6))
+                start, end, _ = runs(b, words, min_words)
+                stops = dict(zip(start.tolist(), end.tolist()))
+                rare = sorted((y, stops[y]) for y in at.tolist())
+                firsts = [y for y, _ in rare]
+                gone: list[int] = []
+                for y, z in blocks(a.tolist(), b.tolist()):
+                    k = bisect_left(firsts, y)  # the first rare run that begins in the block ends soonest
+                    if k < len(rare) and rare[k][1] <= z:
+                        gone += range(y, z)
+                ranks.append(gone)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ranks, pa.list_(pa.int32()))], ["id", "body", "ranks"])
+
+    cut = sides.select("id", "body", "at", "hashes", "words", "earlier").transform(
+        map_arrow, run, "id long, body long, ranks array<int>").where(F.size("ranks") > 0)
     return cut.groupBy("id", "body").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ranks")))).alias("ranks"))
 
 
-def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, passages: bool = False) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, rare_share: float = RARE_SHARE) -> DataFrame:
     """``docs`` (doc_id, text, ...) to (row: all other columns, text: what is
-    left, n_lines: lines with a word, n_deleted: of them deleted). Without
-    ``passages``, a document meets only the first owners of its lines."""
-    cut = deletions(docs, min_words, passages)
+    left, n_lines: lines with a word, n_deleted: of them deleted)."""
+    cut = deletions(docs, min_words, rare_share)
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("row"), *_identity(F.col("doc_id"), F.col("text")), F.col("text").cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,7 +283,7 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, passages: bool = Fa
 def deduped_documents(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """The documents with their columns; those that lose their every line go.
     ``n_chars``, where it exists, follows the new text."""
-    found = dedup_lines(docs, min_words, passages=True).where("n_lines = 0 OR n_deleted < n_lines")
+    found = dedup_lines(docs, min_words).where("n_lines = 0 OR n_deleted < n_lines")
     at = {"text": F.col("text"), "n_chars": F.when(F.col("n_deleted") > 0, F.length("text").cast("long")).otherwise(F.col("row.n_chars"))
           if "n_chars" in docs.columns else None}
     return found.select(*[(at[c] if c in at else F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
