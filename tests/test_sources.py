@@ -47,3 +47,34 @@ def test_split_selection(spark):
         IO.read_examples(spark, f"{path}/plain@test")
     with pytest.raises(FileNotFoundError):
         IO.read_examples(spark, f"{path}/nowhere")
+
+
+def test_a_failed_append_leaves_nothing(spark):
+    import pytest
+    from pyspark.sql import functions as F
+
+    from trellis.session import scratch_path
+
+    path = scratch_path(spark, f"append-test-{os.getpid()}-{id(spark)}")
+    good = spark.range(20).select(F.lit("trec").alias("dataset"), F.col("id").cast("string").alias("pred"))
+    IO.append_predictions(good, path)
+    broken = spark.range(20, 400).repartition(6).select(
+        F.when(F.col("id") % 2 == 0, "lsht").otherwise("trec").alias("dataset"),
+        F.when(F.col("id") == 333, F.raise_error(F.lit("lost")).cast("string")).otherwise(F.col("id").cast("string")).alias("pred"))
+    with pytest.raises(Exception, match="lost"):
+        IO.append_predictions(broken, path)
+    kept = IO.read_predictions(spark, path)
+    assert sorted(int(r.pred) for r in kept.collect()) == list(range(20)) and {r.dataset for r in kept.collect()} == {"trec"}
+
+
+def test_both_layouts_in_either_order(spark):
+    """Reading partitioned folders does not change how flat files are read."""
+    from pyspark.sql import functions as F
+
+    from trellis.session import scratch_path
+
+    path = scratch_path(spark, f"layout-test-{os.getpid()}-{id(spark)}")
+    IO.append_predictions(spark.range(3).select(F.lit("trec").alias("dataset"), F.lit("x").alias("pred")), path)
+    before = list(IO.PREDICTION_SCHEMA.names)
+    assert IO.read_predictions(spark, path).count() == 3 and IO.PREDICTION_SCHEMA.names == before
+    test_read_predictions_flat_files(spark)

@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as Ty
 
+from trellis.session import ship_package
 from trellis.operators.sequence import global_rank
 
 ROW_ID = "row_id"
@@ -301,6 +302,30 @@ def map_chunks(df: DataFrame, fn, schema) -> DataFrame:
     return df.mapInArrow(fn, schema)
 
 
+def register_chunk_function(spark: SparkSession, name: str, start, step, schema: str, end=None) -> None:
+    """B21 as a table function for SQL:
+    ``SELECT * FROM name(TABLE(t) PARTITION BY chunk ORDER BY row_id)``.
+
+    Spark deals the chunks, in their order, to the tasks; a chunk is folded row by row
+    (``start() -> state``, ``step(state, row) -> (state, rows out)``, and after its last
+    row ``end(state) -> rows out``), so it is never held as a whole, however long."""
+
+    class Chunk:
+        def __init__(self):
+            self.state = start()
+
+        def eval(self, row: Ty.Row):
+            self.state, out = step(self.state, row)
+            yield from out
+
+        def terminate(self):
+            if end is not None:
+                yield from end(self.state)
+
+    ship_package(spark)
+    spark.udtf.register(name, F.udtf(Chunk, returnType=schema))
+
+
 def broadcast_args(df: DataFrame, args: DataFrame, on: Sequence[str], max_rows: int = 100_000) -> DataFrame:
     """The same table for every row. ``args`` is broadcast when it was
     counted to have at most ``max_rows`` rows; else it is an ordinary join."""

@@ -197,6 +197,18 @@ def category_average(ds_scores: DataFrame, config: DataFrame) -> DataFrame:
             .drop("_total"))
 
 
+def category_rollup(ds_scores: DataFrame, config: DataFrame) -> DataFrame:
+    """F18 with its datasets: a row per dataset, per category (macro average) and
+    overall, ``rollup(category, dataset)``; ``all`` stands for what a row sums over.
+    The overall row averages the datasets, as :func:`category_average` does."""
+    cfg = F.broadcast(config.filter(F.col("category").isNotNull()).select("dataset", "category"))
+    sums = ds_scores.join(cfg, "dataset", "inner").rollup("category", "dataset").agg(
+        F.count(F.lit(1)).alias("n_datasets"), F.sum("n_items").alias("n_items"), F.avg("mean_score").alias("macro_mean"),
+        *[F.grouping(c).alias(f"_{c}") for c in ("category", "dataset")])
+    return sums.select(*[F.when(F.col(f"_{c}") == 1, F.lit("all")).otherwise(F.col(c)).alias(c) for c in ("category", "dataset")],
+                       "n_datasets", "n_items", "macro_mean")
+
+
 def generation_limits(items: DataFrame, config: DataFrame, model: str, limits: dict[str, int] | None = None) -> DataFrame:
     """max new tokens per dataset (config lookup) and max input of the model,
     from ``limits`` (model name to length; a model it lacks has no limit)."""

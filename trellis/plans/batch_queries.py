@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 import re
+import uuid
+
+from pyspark.sql import functions as F
 
 from trellis.functions import arrays as AR
 from trellis.operators import batch as B
@@ -217,6 +218,24 @@ def b21_map_chunks(spark, sf_dir):
     return finish(B.map_chunks(o, fn, "row_id long, doubled double"))
 
 
+@register("b21_chunk_function", f"""
+SELECT o_custkey AS chunk, o_orderkey AS row_id, {Q.r6('sum(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderkey)')} AS running,
+       false AS last FROM orders
+UNION ALL SELECT o_custkey, count(*), {Q.r6('sum(o_totalprice)')}, true FROM orders GROUP BY o_custkey""")
+def b21_chunk_function(spark, sf_dir):
+    """The table function from SQL: running totals inside a customer's orders, and a
+    closing row (count and total) a chunk."""
+    def step(state, row):
+        n, total = state[0] + 1, state[1] + row.o_totalprice
+        return (n, total, row.o_custkey), [(row.o_custkey, row.o_orderkey, total, False)]
+
+    name, view = (f"{x}_{uuid.uuid4().hex}" for x in ("running_totals", "orders_in_chunks"))
+    B.register_chunk_function(spark, name, lambda: (0, 0.0, None), step, "chunk long, row_id long, running double, last boolean",
+                              lambda state: [(state[2], state[0], state[1], True)])
+    V.table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_totalprice").createOrReplaceTempView(view)
+    return finish(spark.sql(f"SELECT * FROM {name}(TABLE({view}) PARTITION BY o_custkey ORDER BY o_orderkey)"))
+
+
 @register("b22_broadcast_args", """
 SELECT c_custkey, n_name FROM customer JOIN nation ON n_nationkey = c_nationkey""")
 def b22_broadcast_args(spark, sf_dir):

@@ -243,7 +243,7 @@ def f15_metric_dispatch(spark, sf_dir):
     return finish(OE.dataset_score(scored))
 
 
-def _qa_dataset_sql():
+def _qa_dataset_sql(report: str):
     names = list(OE.DATASET_METRIC)
     arr = "[" + ", ".join("'" + n + "'" for n in names) + "]"
     qa = [n for n, m in OE.DATASET_METRIC.items() if m == "qa_f1"]
@@ -262,20 +262,34 @@ items AS (SELECT doc_id * 2 + i - 1 AS k, doc_id, pred, answers[i] AS ans
 per_ans AS (SELECT items.doc_id, {Q.f1_expr()} AS s FROM items LEFT JOIN ov ON ov.k = items.k),
 best AS (SELECT doc_id, greatest(0.0, max(s)) AS score FROM per_ans GROUP BY doc_id),
 scored AS (SELECT it1.doc_id, it1.dataset, coalesce(best.score, 0.0) AS score FROM it1 LEFT JOIN best USING (doc_id)),
-ds AS (SELECT dataset, avg(score) AS mean_score FROM scored GROUP BY dataset),
+ds AS (SELECT dataset, avg(score) AS mean_score, count(*) AS n_items FROM scored GROUP BY dataset),
 cat AS (SELECT *, CASE dataset {cats} END AS category FROM ds WHERE CASE dataset {cats} END IS NOT NULL)
-SELECT coalesce(category, 'all') AS category, count(*) AS n_datasets, {Q.r6('avg(mean_score)')} AS macro_mean
-FROM cat GROUP BY ROLLUP (category)"""
+{report}"""
 
 
-@register("f18_category_average", _qa_dataset_sql())
-def f18_category_average(spark, sf_dir):
-    """Category macro averages over the QA-metric datasets (with ``rollup``)."""
+def _qa_dataset_scores(spark, sf_dir):
+    """(scores of the QA-metric datasets, the dataset table)."""
     items = _dispatch_items(spark, sf_dir)
     cfg = OE.dataset_config(spark)
     qa = items.join(F.broadcast(cfg.filter(F.col("metric") == "qa_f1").select("dataset")), "dataset")
-    scored = OE.best_of_references(OE.prepare_pred(qa), "qa_f1")
-    return finish(OE.category_average(OE.dataset_score(scored), cfg))
+    return OE.dataset_score(OE.best_of_references(OE.prepare_pred(qa), "qa_f1")), cfg
+
+
+@register("f18_category_average", _qa_dataset_sql(f"""
+SELECT coalesce(category, 'all') AS category, count(*) AS n_datasets, {Q.r6('avg(mean_score)')} AS macro_mean
+FROM cat GROUP BY ROLLUP (category)"""))
+def f18_category_average(spark, sf_dir):
+    """Category macro averages over the QA-metric datasets (with ``rollup``)."""
+    return finish(OE.category_average(*_qa_dataset_scores(spark, sf_dir)))
+
+
+@register("f18_category_rollup", _qa_dataset_sql(f"""
+SELECT coalesce(category, 'all') AS category, coalesce(dataset, 'all') AS dataset, count(*) AS n_datasets,
+       sum(n_items)::BIGINT AS n_items, {Q.r6('avg(mean_score)')} AS macro_mean
+FROM cat GROUP BY ROLLUP (category, dataset)"""))
+def f18_category_rollup(spark, sf_dir):
+    """The same with a row per dataset: ``rollup(category, dataset)``."""
+    return finish(OE.category_rollup(*_qa_dataset_scores(spark, sf_dir)))
 
 
 @register("f18_category_average_all")

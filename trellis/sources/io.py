@@ -73,7 +73,7 @@ def read_predictions(spark: SparkSession, path: str) -> DataFrame:
     ``<dataset>.jsonl`` files take it from the file name up to the first dot."""
     has_partitions = any(name.startswith("dataset=") for name in _list(spark, path))
     if has_partitions:
-        return spark.read.schema(PREDICTION_SCHEMA.add("dataset", Ty.StringType())).json(path)
+        return spark.read.schema(Ty.StructType([*PREDICTION_SCHEMA.fields, Ty.StructField("dataset", Ty.StringType())])).json(path)
     df = spark.read.schema(PREDICTION_SCHEMA).json(f"{path}/*.jsonl")
     return df.withColumn("dataset", F.split_part(F.col("_metadata.file_name"), F.lit("."), F.lit(1)))
 
