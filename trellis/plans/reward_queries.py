@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from trellis.functions import rewards as R
@@ -196,21 +197,27 @@ def e15_score_by_name(spark, sf_dir):
 _EXACT = f"0.7 * ({_ACC}) + 0.1 * ({Q.evidence_format_sql('response')}) + 0.2 * ({_SPAN_SCORE})"
 
 
+#: Neighbouring ids that make a batch of rollouts.
+_ROLLOUTS = 64
+
+
 def _placed(spark, sf_dir, soft):
-    """Scores on the last token of each response; the width is that of the longest."""
+    """Scores on the last token of each response; the width is that of the longest of
+    its batch, so one long response widens no other batch."""
     out = OR.score_evidence(V.responses(spark, sf_dir), "doc_id", soft=soft)
     out = finish(out.select("doc_id", "reward", T.word_count("response").alias("response_len")))
-    width = V.responses(spark, sf_dir).select(F.max(T.word_count("response"))).scalar()
-    return OR.place_rewards(out.withColumn("width", width), "width").select("doc_id", "response_len", "token_level_scores")
+    batch = Window.partitionBy(F.floor(F.col("doc_id") / _ROLLOUTS))
+    return OR.place_rewards(out.withColumn("width", F.max("response_len").over(batch)), "width").select(
+        "doc_id", "response_len", "token_level_scores")
 
 
 @register("e16_place_reward", _RESP + f""",
 sc AS (SELECT doc_id, {Q.r6(_EXACT)} AS reward, len({Q.ws_split('response')})::INTEGER AS response_len FROM responses),
-m AS (SELECT max(response_len) AS width FROM sc)
+m AS (SELECT *, max(response_len) OVER (PARTITION BY doc_id // {_ROLLOUTS}) AS width FROM sc)
 SELECT doc_id, response_len, list_transform(range(0, width),
        lambda i: CASE WHEN i = (CASE WHEN response_len = 0 THEN width - 1 ELSE response_len - 1 END)
                  THEN reward ELSE 0.0 END) AS token_level_scores
-FROM sc, m""")
+FROM m""")
 def e16_place_reward(spark, sf_dir):
     """The verbatim reward, which SQL can check."""
     return _placed(spark, sf_dir, False)
