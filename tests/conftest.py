@@ -11,7 +11,7 @@ sys.path.insert(0, ROOT)
 def spark():
     from pyspark.sql import SparkSession
 
-    from trellis.session import ensure_checkpoint_dir
+    from trellis.session import ensure_checkpoint_dir, remove_run_tables
 
     s = (SparkSession.builder.master("local[*]")
          .config("spark.sql.shuffle.partitions", "8")
@@ -22,4 +22,5 @@ def spark():
     s.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(s)
     yield s
+    remove_run_tables(s)
     s.stop()

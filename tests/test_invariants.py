@@ -430,3 +430,17 @@ def test_hierarchical_differencing(spark, equal):
             assert max(counts[j] for j in range(k)) - min(counts[j] for j in range(k)) <= (len(mine) % k > 0)
     again = H.hierarchical(df.repartition(5), "batch", "item", "len", k, equal, cell_items=36, fan=4).collect()
     assert sorted(map(str, again)) == sorted(map(str, out))
+
+
+def test_numbered_events_are_shared_and_follow_the_files(spark, tmp_path):
+    from trellis.operators.sequence import ranked
+
+    ev = V.table(spark, SF_SMALL, "events")
+    folder = str(tmp_path)
+    ev.write.parquet(f"{folder}/events.parquet")
+    first = V.numbered_events(spark, folder)
+    want = ranked(ev.select("user_id", "ts", "event_id", "event_type", "value"), ["user_id"], ["ts", "event_id"], "rn")
+    assert sorted(first.collect()) == sorted(want.collect())
+    assert V.numbered_events(spark, folder).inputFiles() == first.inputFiles()
+    ev.limit(7).write.mode("append").parquet(f"{folder}/events.parquet")
+    assert V.numbered_events(spark, folder).count() == ev.count() + 7 and first.count() == ev.count()

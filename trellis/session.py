@@ -68,9 +68,23 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return path
 
 
+def run_folder(spark: SparkSession) -> str:
+    """This application's folder for written tables, inside the shared checkpoint
+    folder; :func:`remove_run_tables` removes it."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/trellis/{spark.sparkContext.applicationId}"
+
+
+def remove_run_tables(spark: SparkSession) -> bool:
+    """Delete all tables this application has written for its own use. For the end of
+    a run: DataFrames that read such a table cannot be evaluated afterwards. Homes of
+    streams that the caller named lie elsewhere and stay."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(run_folder(spark))
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A folder for written tables inside the shared checkpoint folder."""
-    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables/{name}"
+    """A folder for written tables inside the application's shared folder."""
+    return f"{run_folder(spark)}/tables/{name}"
 
 
 def scratch_table(df: DataFrame, name: str) -> DataFrame:

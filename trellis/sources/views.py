@@ -7,6 +7,8 @@ with the data.  Each has an equivalent DuckDB form in
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -142,19 +144,42 @@ def groups(spark: SparkSession, sf_dir: str) -> DataFrame:
                      F.col("l_discount").alias("score"), F.col("l_extendedprice").alias("price"))
 
 
+#: Numbered events by their source: where they are written, and their schema.
+_NUMBERED: dict[tuple, tuple] = {}
+
+
+def numbered_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``events`` with ``rn``, the place of an event among its user's in ``(ts,
+    event_id)`` order: a distributed rank (no single-key window), see
+    :func:`trellis.operators.sequence.ranked`.
+
+    Ranking sorts the whole table, so it is done once for an application and kept as a
+    written table that all sequence views read. It is told by the table's files (their
+    number, bytes and time of change): other files are ranked anew."""
+    from trellis.operators.sequence import ranked
+    from trellis.session import run_folder, scratch_path
+
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/events.parquet")
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    held = fs.getContentSummary(path)
+    key = (run_folder(spark), sf_dir, held.getFileCount(), held.getLength(), fs.getFileStatus(path).getModificationTime())
+    if key not in _NUMBERED:
+        ev = table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "event_type", "value")
+        numbered, at = ranked(ev, ["user_id"], ["ts", "event_id"], "rn"), scratch_path(spark, f"numbered-events-{uuid.uuid4().hex}")
+        numbered.write.option("compression", "zstd").parquet(at)
+        _NUMBERED[key] = at, numbered.schema
+    at, schema = _NUMBERED[key]
+    return spark.read.schema(schema).parquet(at)
+
+
 def seqs(spark: SparkSession, sf_dir: str, seq_len: int = SEQ_LEN) -> DataFrame:
     """Token-grain sequences from ``events``.
 
     A user's events in ``(ts, event_id)`` order are cut into pieces of at most
     ``seq_len`` positions (``seq_id = (user_id, piece)``); reward = value,
-    eos = purchase.  The position is a distributed rank (no single-key window),
-    see :func:`trellis.operators.sequence.ranked`.
+    eos = purchase (:func:`numbered_events`).
     """
-    from trellis.operators.sequence import ranked
-
-    ev = table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "event_type", "value")
-    r = ranked(ev, ["user_id"], ["ts", "event_id"], "rn")
-    return r.select(
+    return numbered_events(spark, sf_dir).select(
         "user_id",
         (F.col("rn") / seq_len).cast("long").alias("piece"),
         (F.col("rn") % seq_len).cast("int").alias("pos"),
@@ -196,10 +221,7 @@ def arrays(spark: SparkSession, sf_dir: str, seq_len: int = SEQ_LEN) -> DataFram
     """Array form of :func:`seqs`: one row per sequence piece (at most
     ``seq_len`` tokens), ``ids`` = event-type token ids in position order and
     ``vals`` = the event values."""
-    ev = table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "event_type", "value")
-    from trellis.operators.sequence import ranked
-
-    r = ranked(ev, ["user_id"], ["ts", "event_id"], "rn")
+    r = numbered_events(spark, sf_dir)
     code = F.create_map(*[F.lit(x) for kv in EVENT_TOKEN.items() for x in kv])[F.col("event_type")]
     r = r.select("user_id", (F.col("rn") / seq_len).cast("long").alias("piece"),
                  (F.col("rn") % seq_len).cast("int").alias("pos"), code.cast("long").alias("id"), "value")
