@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trellis.session import ensure_checkpoint_dir, ship_package
+from trellis.session import run_folder, ship_package
 
 #: Space, tab, line feed, vertical tab, form feed, carriage return: the only
 #: word separators of the white-space tokenisation. ``bytes.split()`` splits on
@@ -32,8 +32,8 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that all machines share (``spark.checkpoint.dir``)."""
-    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/trellis-llm/{name}-{uuid.uuid4().hex}"
+    """A new path in the application's folder, which all machines share."""
+    return f"{run_folder(spark)}/llm/{name}-{uuid.uuid4().hex}"
 
 
 def shared_table(df: DataFrame, name: str) -> DataFrame:
