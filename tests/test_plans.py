@@ -14,7 +14,8 @@ def _plan(df):
 
 
 #: Queries with a statement whose operator is a kernel in Python by design.
-KERNELS = {"e6_soft_case_hits", "e8_reward_bounds", "e11_math_reward", "f6_rouge_l", "b21_map_chunks"}
+KERNELS = {"e6_soft_case_hits", "e8_reward_bounds", "e11_math_reward", "f6_rouge_l", "b21_map_chunks", "b21_chunk_function",
+           "e5_corpus_contains"}
 #: Their inputs are written tables; planning them runs jobs, so they are checked by
 #: results elsewhere.
 WRITTEN = ("a", "h", "j", "g1_", "g2_", "g3_", "g4_", "g5_", "g6_", "g7_", "g8_", "g11", "g12", "g13", "g14", "g15", "g16", "g17", "g18",
@@ -49,3 +50,24 @@ def test_whiten_moves_only_partial_aggregates_to_one_partition(spark):
 def test_group_stats_are_aggregates_not_group_windows(spark):
     plan = _plan(QUERIES["g9_grpo"](spark, SF_SMALL))
     assert "HashAggregate" in plan and "Window" not in plan
+
+
+def test_stored_batches_are_merged_without_a_shuffle(spark):
+    import uuid
+
+    from pyspark.sql import functions as F
+
+    from trellis.operators import batch as B
+
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = spark.range(5000).select(F.col("id").alias("row_id"), (F.col("id") * 2).alias("x"))
+        perm = rows.select("row_id", (F.lit(4999) - F.col("row_id")).alias("new_pos"))
+        a, b, p = (B.store_bucketed(d, f"stored_{uuid.uuid4().hex}", 4) for d in (rows, rows.withColumn("y", F.lit(1)), perm))
+        for joined in (B.union(a, b), B.reorder(a, p)):
+            assert "Exchange" not in _plan(joined) and "SortMergeJoin" in _plan(joined)
+            assert joined.count() == 5000
+        assert "Exchange" in _plan(B.union(rows, rows.withColumn("y", F.lit(1))))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)

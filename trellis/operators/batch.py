@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as Ty
 
-from trellis.session import ship_package
+from trellis.session import scratch_path, ship_package
 from trellis.operators.sequence import global_rank
 
 ROW_ID = "row_id"
@@ -165,6 +165,17 @@ def union(a: DataFrame, b: DataFrame) -> DataFrame:
     return checked.filter(F.col("_chk")).select(*cols)
 
 
+def store_bucketed(df: DataFrame, name: str, buckets: int) -> DataFrame:
+    """``df`` as a table in ``buckets`` buckets of ``row_id``, sorted in each: tables
+    stored with the same number of buckets are merged on ``row_id`` (B6, B10) without
+    a shuffle of either. The rows are dealt once here, a file a bucket; the table lies
+    in the application's shared folder and is registered under ``name``."""
+    spark = df.sparkSession
+    (df.repartition(buckets, ROW_ID).write.bucketBy(buckets, ROW_ID).sortBy(ROW_ID).mode("overwrite").option("compression", "zstd")
+     .option("path", scratch_path(spark, f"bucketed-{name}")).saveAsTable(name))
+    return spark.table(name)
+
+
 def concat(parts: Sequence[DataFrame]) -> DataFrame:
     """Row concatenation; ``row_id`` re-based by the sizes of the parts before."""
     out, offset = None, 0

@@ -85,6 +85,29 @@ def b6_union_tables(spark, sf_dir):
     return finish(B.Batch(o, {"step": 1}).union(B.Batch(side, {"step": 1, "epoch": 0})).rows)
 
 
+#: Buckets of a stored batch; a cluster takes a few for each of its cores.
+_BUCKETS = 16
+
+
+@register("b6_union_bucketed", """
+SELECT o_orderkey AS row_id, o_custkey, o_totalprice, o_orderstatus FROM orders""")
+def b6_union_bucketed(spark, sf_dir):
+    """Two stored batches, merged without a shuffle."""
+    o = _orders(spark, sf_dir)
+    a, b = (B.store_bucketed(o.select("row_id", "o_custkey", c), f"batch_{uuid.uuid4().hex}", _BUCKETS) for c in ("o_totalprice", "o_orderstatus"))
+    return B.union(a, b)
+
+
+@register("b10_reorder_bucketed", """
+SELECT (SELECT count(*) FROM orders) - 1 - o_orderkey AS row_id, o_totalprice FROM orders""")
+def b10_reorder_bucketed(spark, sf_dir):
+    """A stored batch and a stored permutation (here: from back to front)."""
+    o = _orders(spark, sf_dir).select("row_id", "o_totalprice")
+    perm = o.select("row_id", (F.lit(o.count() - 1) - F.col("row_id")).alias("new_pos"))
+    a, p = (B.store_bucketed(x, f"batch_{uuid.uuid4().hex}", _BUCKETS) for x in (o, perm))
+    return B.reorder(a, p)
+
+
 @register("b7_concat", """
 SELECT c_custkey AS row_id, c_name AS name FROM customer
 UNION ALL SELECT s_suppkey + (SELECT count(*) FROM customer), s_name FROM supplier""")
