@@ -47,6 +47,13 @@ def test_policies_and_ablation(spark, documents):
                 assert rows[rule].n_only == sum(b & m == 1 << k for b in bits) and rows[rule].n_docs == len(bits)
 
 
+def test_ablation_of_every_version_in_one_pass(spark, documents):
+    book = Q.ledger(documents)
+    got = sorted(tuple(r) for r in Q.ablations(book).collect())
+    assert got == sorted((v, *r) for v in Q.POLICIES for r in Q.ablation(book, v).collect())
+    assert Q.ablations(book.limit(0)).count() == 0
+
+
 def test_good_documents_are_kept(spark):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     good = spark.read.parquet("/root/testdata/sf0.1/labels.parquet").where("quality = 1")

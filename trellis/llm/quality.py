@@ -121,3 +121,20 @@ def ablation(book: DataFrame, policy: str = "v2") -> DataFrame:
     return each.groupBy(F.col("r.rule").alias("rule")).agg(
         F.sum(F.when(hit, F.col("n")).otherwise(0)).alias("n_failed"),
         F.sum(F.when(F.col("bits") == F.col("r.bit"), F.col("n")).otherwise(0)).alias("n_only"), F.sum("n").alias("n_docs"))
+
+
+def ablations(book: DataFrame, policies: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
+    """:func:`ablation` of every policy version (``policy``, ...) in one pass: the
+    ledger is summed up once, into at most ``2 ** len(RULES)`` patterns of failures,
+    and every policy is a mask on those."""
+    policies = POLICIES if policies is None else policies
+    patterns = book.groupBy("fail_bits").agg(F.count(F.lit(1)).alias("n"))
+    names = [name for name, _ in RULES]
+    asked = F.explode(F.array(*[
+        F.struct(F.lit(version).alias("policy"), F.lit(rule).alias("rule"), F.lit(1 << names.index(rule)).cast("long").alias("bit"),
+                 F.lit(mask(rules)).cast("long").alias("mask")) for version, rules in policies.items() for rule in rules]))
+    each = patterns.select("fail_bits", "n", asked.alias("r")).select("fail_bits", "n", "r.*")
+    bits = F.col("fail_bits")
+    return each.groupBy("policy", "rule").agg(
+        F.sum(F.when(bits.bitwiseAND(F.col("bit")) != 0, F.col("n")).otherwise(0)).alias("n_failed"),
+        F.sum(F.when(bits.bitwiseAND(F.col("mask")) == F.col("bit"), F.col("n")).otherwise(0)).alias("n_only"), F.sum("n").alias("n_docs"))

@@ -119,7 +119,7 @@ def op2_token_counts(spark, sf_dir):
 _MASK = quality.mask(quality.POLICIES["v2"])
 
 
-@register("op5_quality_ledger", f"""
+_LEDGER_SQL = f"""
 WITH d AS (
   SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text,
          regexp_extract_all(coalesce(text, ''), '{_WORDS}') AS w,
@@ -133,7 +133,10 @@ m AS (
          (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words,
          len(lines)::BIGINT AS n_lines, length(regexp_replace(text, '[^!]', '', 'g'))::BIGINT AS n_exclaims
   FROM d LEFT JOIN rep USING (r)),
-b AS (SELECT *, ({" + ".join(f"CASE WHEN {c} THEN {1 << k} ELSE 0 END" for k, (_, c) in enumerate(quality.RULES))})::BIGINT AS fail_bits FROM m)
+b AS (SELECT *, ({" + ".join(f"CASE WHEN {c} THEN {1 << k} ELSE 0 END" for k, (_, c) in enumerate(quality.RULES))})::BIGINT AS fail_bits FROM m)"""
+
+
+@register("op5_quality_ledger", _LEDGER_SQL + f"""
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, fail_bits, 'v2' AS policy,
        fail_bits & {quality.mask(quality.BASE)} <> 0 AS base_failed, fail_bits & {_MASK} = 0 AS kept FROM b""")
 def op5_quality_ledger(spark, sf_dir):
@@ -143,6 +146,20 @@ def op5_quality_ledger(spark, sf_dir):
                        "n_repeat_words", "fail_bits", "policy", base.alias("base_failed"), "kept")
 
 
+_POLICY_ROWS = ", ".join(f"('{version}', '{rule}', {1 << [n for n, _ in quality.RULES].index(rule)}, {quality.mask(rules)})"
+                          for version, rules in quality.POLICIES.items() for rule in rules)
+
+
+@register("quality_policy_ablation", _LEDGER_SQL + f""",
+p(policy, rule, bit, mask) AS (VALUES {_POLICY_ROWS})
+SELECT policy, rule, sum(CASE WHEN fail_bits & bit <> 0 THEN 1 ELSE 0 END)::BIGINT AS n_failed,
+       sum(CASE WHEN fail_bits & mask = bit THEN 1 ELSE 0 END)::BIGINT AS n_only, count(*) AS n_docs
+FROM b, p GROUP BY policy, rule""")
+def quality_policy_ablation(spark, sf_dir):
+    """The other half of op5: what each rule of each policy version removes alone."""
+    return quality.ablations(quality.ledger(read_table(spark, sf_dir, "documents")))
+
+
 _ALNUM = "[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 _LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _TEMPLATE_ROWS = ", ".join(f"('{label}', {licenses.template_tokens(text)!r}::VARCHAR[])" for label, text in licenses.TEMPLATES)
