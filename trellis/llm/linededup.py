@@ -162,7 +162,8 @@ def _identity(id_: Column, text: Column) -> list[Column]:
 
 
 def _line_table(docs: DataFrame) -> DataFrame:
-    """(id, body, hashes, words: of the lines with a word), a row per document, written."""
+    """(id, body, hashes, words: of the lines with a word), a row per document (rows that
+    repeat are one), written: so AQE can split a document that very many are paired with."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -181,7 +182,8 @@ def _line_table(docs: DataFrame) -> DataFrame:
                     hashes, words, begin, size = [], [], i + 1, 0
 
     rows = docs.select(*_identity(F.col("doc_id"), F.col("text")), F.col("text").cast("string"))
-    return shared_table(rows.transform(map_arrow, run, "id long, body long, hashes array<long>, words array<int>"), "document-lines")
+    lines = rows.transform(map_arrow, run, "id long, body long, hashes array<long>, words array<int>")
+    return shared_table(lines.dropDuplicates(["id", "body"]), "document-lines")
 
 
 def _runs(lines: DataFrame, min_words: int) -> DataFrame:
@@ -226,9 +228,8 @@ def deletions(docs: DataFrame, min_words: int = MIN_WORDS, rare_share: float = R
     """(id, body, ranks: numbers of the lines to delete) of documents that lose lines."""
     lines = _line_table(docs)
     pairs = shared_table(overlaps(lines, min_words, max(FEW, int(rare_share * lines.count()))), "line-pairs")
-    each = lines.dropDuplicates(["id", "body"])  # rows that repeat are one document
-    sides = pairs.join(each.select("id", "body", "hashes", "words"), ["id", "body"]).join(
-        each.select(F.col("id").alias("a"), F.col("body").alias("b"), F.col("hashes").alias("earlier")), ["a", "b"])
+    sides = pairs.join(lines, ["id", "body"]).join(
+        lines.select(F.col("id").alias("a"), F.col("body").alias("b"), F.col("hashes").alias("earlier")), ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
