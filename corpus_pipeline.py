@@ -4,6 +4,13 @@ Each stage takes ``(spark, docs, sf_dir)`` and works on all that its predecessor
 kept; the output is written as Parquet into the shared folder and read back as
 the next stage's ``docs``. All stages but the last return the columns of
 ``documents``; the last adds how often the mix takes each document.
+
+Edge cases, the same in every stage: any column may be null and further columns pass
+through, whatever their names (the last stage's own columns replace those of the same
+name); a null, empty or blank text goes in the first stage, for it has no language;
+texts are read whole, however long; rows that repeat are judged alike, and the
+near-duplicate stage keeps one of them; a null id comes after all others; an empty
+table stays empty.
 """
 
 from __future__ import annotations
@@ -39,7 +46,9 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document with its share of the mix: repeats, and words taken."""
     mixed = mixing.mix(docs)
-    return mixed.select("row.*", "size", "source_size", "target", "repeats", (F.col("size") * F.col("repeats")).alias("taken"))
+    own = ["size", "source_size", "target", "repeats"]
+    return mixed.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns if c not in (*own, "taken")],
+                        *own, (F.col("size") * F.col("repeats")).alias("taken"))
 
 
 STAGES = [

@@ -81,6 +81,9 @@ def test_stages_on_a_hostile_table(spark, hostile, benchmark):
         out = stage(spark, docs, folder)
         assert out.columns == docs.columns and out.dtypes == docs.dtypes, name
         docs = spark.createDataFrame(out.collect(), out.schema)
+    last = corpus_pipeline.source_mix(spark, docs, folder)  # it has a column `size` of its own
+    assert len(last.columns) == len(set(last.columns)) and last.count() == docs.count() > 0
+    last.write.parquet(shared_path(spark, "hostile-mix"))
     for _, stage in corpus_pipeline.STAGES:
         stage(spark, docs.limit(0), folder).collect()
 
