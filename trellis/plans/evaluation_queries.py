@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from trellis.functions import evaluate as E
@@ -243,6 +245,53 @@ def f15_metric_dispatch(spark, sf_dir):
     return finish(OE.dataset_score(scored))
 
 
+def _native_dispatch_sql():
+    """Every native metric on its datasets, each by the statement of its own query."""
+    names = list(OE.DATASET_METRIC)
+    metric = " ".join(f"WHEN '{d}' THEN '{m}'" for d, m in OE.DATASET_METRIC.items() if m in OE.NATIVE_METRICS)
+    zh = Q.f1_table("zh", "k", _zh_toks_sql("pred"), _zh_toks_sql("ans"))
+    for name in ("toks", "cnt", "ov"):  # the same statement under names of its own
+        zh = re.sub(rf"\b{name}\b", f"zh_{name}", zh)
+    return f"""
+WITH {Q.DOC_PAIRS},
+it0 AS (SELECT doc_id, {"[" + ", ".join("'" + n + "'" for n in names) + "]"}[doc_id % {len(names)} + 1] AS dataset, pred, answers FROM doc_pairs),
+it1 AS (SELECT doc_id, dataset, CASE dataset {metric} END AS metric,
+               CASE WHEN dataset IN ('trec', 'triviaqa', 'samsum', 'lsht')
+                    THEN split_part(regexp_replace(pred, '^\n+', ''), chr(10), 1) ELSE pred END AS pred, answers FROM it0),
+items AS (SELECT doc_id * 2 + i - 1 AS k, doc_id, metric, pred, answers[i] AS ans
+          FROM (SELECT *, unnest(range(1, len(answers) + 1)) AS i FROM it1 WHERE metric IS NOT NULL)),
+en AS (SELECT * FROM items WHERE metric = 'qa_f1'), zh AS (SELECT * FROM items WHERE metric = 'qa_f1_zh'),
+{Q.f1_table('en', 'k', Q.norm_tokens('pred'), Q.norm_tokens('ans'))},
+{zh},
+ids AS (SELECT k, regexp_extract_all(pred, '\d+') AS nums,
+               CASE metric WHEN 'retrieval' THEN regexp_extract(ans, 'Paragraph (\d+)', 1)
+                           WHEN 'retrieval_zh' THEN regexp_extract(ans, '段落(\d+)', 1) ELSE ans END AS id
+        FROM items WHERE metric IN ('retrieval', 'retrieval_zh', 'count')),
+cls AS (SELECT list_sort(list_distinct(list(lang))) AS classes FROM documents),
+m AS (SELECT * FROM (SELECT k, pred, ans, unnest(classes) AS c, unnest(range(1, len(classes) + 1)) AS i FROM items, cls WHERE metric = 'classification')
+      WHERE contains(pred, c)),
+m2 AS (SELECT *, (contains(ans, c) AND c <> ans) AS rem, row_number() OVER (PARTITION BY k ORDER BY i) AS j FROM m),
+m3 AS (SELECT *, sum(CASE WHEN rem THEN 0 ELSE 1 END) OVER (PARTITION BY k ORDER BY j ROWS UNBOUNDED PRECEDING) AS grp FROM m2),
+m4 AS (SELECT *, row_number() OVER (PARTITION BY k, grp ORDER BY j) - CASE WHEN grp = 0 THEN 0 ELSE 1 END AS r FROM m3),
+per_ans AS (
+  SELECT k, {Q.f1_expr()} AS s FROM ov
+  UNION ALL SELECT k, {Q.f1_expr()} FROM zh_ov
+  UNION ALL SELECT k, CASE WHEN len(nums) = 0 THEN 0.0 ELSE len(list_filter(nums, lambda n: n = id))::DOUBLE / len(nums) END FROM ids
+  UNION ALL SELECT k, CASE WHEN sum(CASE WHEN c = ans THEN 1 ELSE 0 END) > 0 THEN 1.0 / count(*) ELSE 0.0 END
+            FROM m4 WHERE NOT (rem AND r % 2 = 1) GROUP BY k),
+best AS (SELECT doc_id, greatest(0.0, max(s)) AS score FROM items JOIN per_ans USING (k) GROUP BY doc_id),
+scored AS (SELECT dataset, coalesce(score, 0.0) AS score FROM it1 LEFT JOIN best USING (doc_id) WHERE metric IS NOT NULL)
+SELECT dataset, count(*) AS n_items, {Q.r6('avg(score)')} AS mean_score, round(100.0 * avg(score), 2) AS score FROM scored GROUP BY dataset"""
+
+
+@register("f15_native_dispatch", _native_dispatch_sql())
+def f15_native_dispatch(spark, sf_dir):
+    """The part of the dispatch whose metrics SQL can express (six of nine)."""
+    cfg = OE.dataset_config(spark)
+    native = F.broadcast(cfg.where(F.col("metric").isin(*OE.NATIVE_METRICS)).select("dataset"))
+    return finish(OE.dataset_score(OE.score_by_dataset(_dispatch_items(spark, sf_dir).join(native, "dataset"), cfg)))
+
+
 def _qa_dataset_sql(report: str):
     names = list(OE.DATASET_METRIC)
     arr = "[" + ", ".join("'" + n + "'" for n in names) + "]"
