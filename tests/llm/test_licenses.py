@@ -18,11 +18,13 @@ def direct(text, threshold=L.THRESHOLD):
     words = re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", low)
     places = {label: [i for i in range(len(words)) if words[i:i + len(p.split())] == p.split()] for p, label in L.PHRASES.items()}
     found = {}
-    for line in low.split("\n"):
-        block = set(re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", line))
+    longest = max(len(re.findall("[0-9a-z]+", t.lower())) for _, t in L.TEMPLATES)
+    for begin in range(0, len(words), longest):
+        block = set(words[begin:begin + 2 * longest])
         for label, t in L.TEMPLATES:
             t = set(L.template_tokens(t))
-            if len(block & t) >= math.ceil(threshold * len(t) - 1e-9):
+            own = [w for w in L.MARKS.get(label, ("mit",)) if w in t]
+            if all(w in block for w in own) and len(block & t) >= math.ceil(threshold * len(t) - 1e-9):
                 found[label] = max(found.get(label, 0), len(block & t) / len(t))
     return len(words), places, found
 
@@ -49,3 +51,29 @@ def test_edges(spark):
 def test_no_python(spark, documents):
     plan = L.scan(documents)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:"""
+MPL = """# This Source Code Form is subject to the terms of the Mozilla Public
+# License, v. 2.0. If a copy of the MPL was not distributed with this"""
+
+
+def test_wrapped_notices_and_near_misses(spark):
+    filler = " ".join(f"w{i}" for i in range(50))
+    cases = {"bsd": BSD, "mpl-2.0": MPL, "mit": "released\nunder\nthe\nMIT\nlicense"}
+    rows = [(i, f"{filler[:40 * i]}\n{x}\n{filler}") for i, x in enumerate(cases.values())]
+    rows += [(10, "Released under the GPL license"), (11, "the license of the book was released last year under new terms"),
+             (12, "Licensed under CC BY 4.0"), (13, " ".join(f"{w} {filler}" for w in "released under the mit license".split()))]
+    got = {r.doc_id: [m.label for m in r.matches or []] for r in L.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[i] for i in range(3)] == [[x] for x in cases]
+    assert got[10] == got[11] == got[12] == got[13] == []
+
+
+@pytest.mark.parametrize("label", sorted({label for label, _ in L.TEMPLATES}))
+def test_every_template_is_found_anywhere(spark, label):
+    notices = [t for name, t in L.TEMPLATES if name == label]
+    rows = [(k * 100 + i, " ".join(f"w{n}" for n in range(i)) + " " + t.replace(" ", "\n") + " and more of it " * 9)
+            for k, t in enumerate(notices) for i in range(0, 40, 3)]
+    found = L.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert all(label in [m.label for m in r.matches or []] for r in found)

@@ -1,21 +1,24 @@
 """License scan: phrases, and an exact set-similarity join of text blocks with
 license templates. DataFrame functions only.
 
-A block is a line of the text; its tokens are the set of its words. A block
-matches a template when it holds at least ``threshold`` of the template's tokens.
+A block is a window of words, whatever the line breaks: windows are twice as long as
+the longest template and begin that far from each other, so every stretch of words as
+long as a template lies in one. A block's tokens are the set of its words. It matches
+a template when it holds at least ``threshold`` of the template's tokens, and among
+them those that tell the license from others with much the same words (``MARKS``).
 The join orders tokens by their number of occurrences in the whole corpus, rarest
 first. To reach the overlap o = ceil(threshold * |T|) a block must share one of
 the template's first |T| - o + 1 tokens (prefix filter), have o tokens itself
 (length filter), and have o tokens from the shared one on, on either side
 (positional filter). What passes is verified by intersecting the sets.
 
-Only the templates' words are counted and only blocks with a prefix token are
-kept, so texts are read twice and never shuffled. The templates are a fixed,
+Only the templates' words are counted, and only texts with a prefix token are cut
+into blocks, of which those with one are kept; texts are read twice and never shuffled. The templates are a fixed,
 small parameter; their words are the only literals in the plan.
 
 Defined results: null, empty and word-less texts have no places, no labels and
-score 0; repeated rows each get a row; an empty table gives an empty table; extra
-columns are ignored.
+score 0; repeated rows each get a row; a very long text is as many blocks as it has
+words for; an empty table gives an empty table; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -47,6 +50,18 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
     ("mpl-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
     ("reserved", "All rights reserved"),
 )
+#: Words that a match must hold, by label: without them the notice is another one.
+MARKS: dict[str, tuple[str, ...]] = {
+    "apache-2.0": ("apache",),
+    "bsd": ("redistribution", "binary"),
+    "cc-by": ("creative", "commons", "attribution"),
+    "cc-by-nc": ("nc",),
+    "cc-by-sa": ("sa",),
+    "gpl-3.0": ("gnu",),
+    "mpl-2.0": ("mozilla",),
+}
+#: The same for templates that have one by themselves.
+NAMES = ("mit",)
 THRESHOLD = 0.8
 #: ASCII characters outside a-z and 0-9, but for the line feed.
 _GAP = "[\\x00-\\x09\\x0B-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
@@ -57,6 +72,16 @@ def template_tokens(text: str) -> list[str]:
     return sorted(set(re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", lower)))
 
 
+def marks(label: str, tokens: list[str]) -> list[str]:
+    """The tokens of a template that a match must hold."""
+    return [w for w in tokens if w in MARKS.get(label, NAMES)]
+
+
+def stride(templates: tuple[tuple[str, str], ...]) -> int:
+    """Words of the longest template: how far blocks begin from each other."""
+    return max((len(re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", text)) for _, text in templates), default=1)
+
+
 def _clean(text: Column) -> Column:
     """Lower-cased words parted by spaces, line feeds kept."""
     return F.regexp_replace(ascii_lower(F.coalesce(text, F.lit(""))), _GAP, " ")
@@ -115,14 +140,20 @@ def scan(docs: DataFrame, threshold: float = THRESHOLD,
         ws = sorted(ws, key=rank.__getitem__)
         need = math.ceil(threshold * len(ws) - 1e-9)
         prefix.update(ws[:len(ws) - need + 1])
-        rows += [(t, label, ws, need, k, w) for k, w in enumerate(ws[:len(ws) - need + 1])]
+        rows += [(t, label, ws, marks(label, ws), need, k, w) for k, w in enumerate(ws[:len(ws) - need + 1])]
     spark = docs.sparkSession
-    index = spark.createDataFrame(rows, "t int, label string, tokens array<string>, need int, place int, token string")
+    index = spark.createDataFrame(rows, "t int, label string, tokens array<string>, marks array<string>, need int, place int, token string")
 
     clean = _clean(F.col("text"))
     lits = F.array(*[F.lit(w) for w in sorted(prefix)])
-    blocks = F.filter(F.transform(F.split(clean, "\n"), lambda b: F.array_distinct(F.array_remove(F.split(b, " "), ""))),
-                      lambda b: F.arrays_overlap(b, lits))
+    step = stride(templates)
+
+    def windows(words: Column) -> Column:
+        cut = F.transform(F.sequence(F.lit(1), F.size(words), F.lit(step)), lambda i: F.slice(words, i, F.lit(2 * step)))
+        return F.transform(F.filter(cut, lambda b: F.arrays_overlap(b, lits)), F.array_distinct)
+
+    none = F.array().cast("array<array<string>>")
+    blocks = let(_words(clean), lambda words: F.when(F.arrays_overlap(words, lits), windows(words)).otherwise(none))
     base = shared_table(docs.select(
         F.monotonically_increasing_id().alias("at"), "doc_id", _phrases(clean).alias("p"), blocks.alias("blocks")), "license-blocks")
 
@@ -137,7 +168,8 @@ def scan(docs: DataFrame, threshold: float = THRESHOLD,
     hits = hits.where((F.col("size") >= F.col("need"))
                       & (F.least(F.col("size") - F.col("i"), F.size("tokens") - F.col("place")) >= F.col("need") - F.least("i", "place")))
     shared = F.size(F.array_intersect(F.col("known.token"), F.col("tokens")))
-    matched = (hits.withColumn("shared", shared).where(F.col("shared") >= F.col("need"))
+    marked = F.size(F.array_except("marks", "known.token")) == 0
+    matched = (hits.where(marked).withColumn("shared", shared).where(F.col("shared") >= F.col("need"))
                .groupBy("at", "label").agg(F.max(F.col("shared") / F.size("tokens")).alias("containment"))
                .groupBy("at").agg(F.array_sort(F.collect_list(F.struct("label", "containment"))).alias("matches")))
     places = F.struct(*[F.col(f"p.`{label}`").alias(label) for label in PHRASES.values()])

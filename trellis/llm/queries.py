@@ -162,7 +162,9 @@ def quality_policy_ablation(spark, sf_dir):
 
 _ALNUM = "[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 _LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
-_TEMPLATE_ROWS = ", ".join(f"('{label}', {licenses.template_tokens(text)!r}::VARCHAR[])" for label, text in licenses.TEMPLATES)
+_TEMPLATE_ROWS = ", ".join(f"('{label}', {ws!r}::VARCHAR[], {licenses.marks(label, ws)!r}::VARCHAR[])"
+                           for label, ws in ((label, licenses.template_tokens(text)) for label, text in licenses.TEMPLATES))
+_STRIDE = licenses.stride(licenses.TEMPLATES)
 
 
 def _phrase_sql(phrase, label):
@@ -176,11 +178,11 @@ WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOWERE
 v AS (SELECT r, w, unnest(range(1, len(w) + 1)) AS i FROM d),
 places AS ({" UNION ALL ".join(_phrase_sql(p, x) for p, x in licenses.PHRASES.items())}),
 base AS (SELECT r, count(*) AS n, min(pos) AS a, max(pos) AS b FROM places GROUP BY r),
-t(label, tokens) AS (VALUES {_TEMPLATE_ROWS}),
-lines AS (SELECT r, list_distinct(regexp_extract_all(unnest(string_split(t, chr(10))), '{_ALNUM}')) AS b FROM d),
+t(label, tokens, marks) AS (VALUES {_TEMPLATE_ROWS}),
+blocks AS (SELECT r, list_distinct(w[i : i + {2 * _STRIDE - 1}]) AS b FROM (SELECT r, w, unnest(range(1, len(w) + 1, {_STRIDE})) AS i FROM d)),
 m AS (
-  SELECT r, label, max(len(list_intersect(b, tokens)) / len(tokens)) AS c FROM lines, t
-  WHERE len(list_intersect(b, tokens)) >= ceil({licenses.THRESHOLD} * len(tokens) - 1e-9) GROUP BY r, label),
+  SELECT r, label, max(len(list_intersect(b, tokens)) / len(tokens)) AS c FROM blocks, t
+  WHERE len(list_intersect(b, tokens)) >= ceil({licenses.THRESHOLD} * len(tokens) - 1e-9) AND list_has_all(b, marks) GROUP BY r, label),
 bl AS (SELECT r, string_agg(label, ',' ORDER BY label) AS s FROM (SELECT DISTINCT r, label FROM places) GROUP BY r),
 al AS (
   SELECT r, string_agg(label, ',' ORDER BY label) AS s
