@@ -257,15 +257,15 @@ WITH {Q.DOC_PAIRS},
 it0 AS (SELECT doc_id, {"[" + ", ".join("'" + n + "'" for n in names) + "]"}[doc_id % {len(names)} + 1] AS dataset, pred, answers FROM doc_pairs),
 it1 AS (SELECT doc_id, dataset, CASE dataset {metric} END AS metric,
                CASE WHEN dataset IN ('trec', 'triviaqa', 'samsum', 'lsht')
-                    THEN split_part(regexp_replace(pred, '^\n+', ''), chr(10), 1) ELSE pred END AS pred, answers FROM it0),
+                    THEN split_part(regexp_replace(pred, '^\\n+', ''), chr(10), 1) ELSE pred END AS pred, answers FROM it0),
 items AS (SELECT doc_id * 2 + i - 1 AS k, doc_id, metric, pred, answers[i] AS ans
           FROM (SELECT *, unnest(range(1, len(answers) + 1)) AS i FROM it1 WHERE metric IS NOT NULL)),
 en AS (SELECT * FROM items WHERE metric = 'qa_f1'), zh AS (SELECT * FROM items WHERE metric = 'qa_f1_zh'),
 {Q.f1_table('en', 'k', Q.norm_tokens('pred'), Q.norm_tokens('ans'))},
 {zh},
-ids AS (SELECT k, regexp_extract_all(pred, '\d+') AS nums,
-               CASE metric WHEN 'retrieval' THEN regexp_extract(ans, 'Paragraph (\d+)', 1)
-                           WHEN 'retrieval_zh' THEN regexp_extract(ans, '段落(\d+)', 1) ELSE ans END AS id
+ids AS (SELECT k, regexp_extract_all(pred, '\\d+') AS nums,
+               CASE metric WHEN 'retrieval' THEN regexp_extract(ans, 'Paragraph (\\d+)', 1)
+                           WHEN 'retrieval_zh' THEN regexp_extract(ans, '段落(\\d+)', 1) ELSE ans END AS id
         FROM items WHERE metric IN ('retrieval', 'retrieval_zh', 'count')),
 cls AS (SELECT list_sort(list_distinct(list(lang))) AS classes FROM documents),
 m AS (SELECT * FROM (SELECT k, pred, ans, unnest(classes) AS c, unnest(range(1, len(classes) + 1)) AS i FROM items, cls WHERE metric = 'classification')
