@@ -15,7 +15,7 @@ def _plan(df):
 
 #: Queries with a statement whose operator is a kernel in Python by design.
 KERNELS = {"e6_soft_case_hits", "e8_reward_bounds", "e11_math_reward", "f6_rouge_l", "b21_map_chunks", "b21_chunk_function",
-           "e5_corpus_contains"}
+           "e5_corpus_contains", "f15_native_dispatch"}
 #: Their inputs are written tables; planning them runs jobs, so they are checked by
 #: results elsewhere.
 WRITTEN = ("a", "h", "j", "g1_", "g2_", "g3_", "g4_", "g5_", "g6_", "g7_", "g8_", "g11", "g12", "g13", "g14", "g15", "g16", "g17", "g18",
