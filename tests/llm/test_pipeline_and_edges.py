@@ -4,7 +4,8 @@ import pytest
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from trellis.llm import decontaminate, katz, langid, licenses, linededup, mixing, quality, simhash, sitetree, tokencount
+from trellis.llm import (classifier, decontaminate, filteraudit, katz, langid, licenses, linededup, merkle, mixing, quality, simhash,
+                         sitetree, tokencount)
 from trellis.llm.common import shared_path
 
 SF = "/root/testdata/sf0.01"
@@ -55,6 +56,8 @@ OPERATORS = {
     "simhash": lambda d: simhash.near_duplicates(d),
     "decontaminate": lambda d: decontaminate.contamination(d, d.selectExpr("doc_id AS item_id", "text").where("doc_id = 8")),
     "linededup": lambda d: linededup.dedup_lines(d),
+    "merkle": lambda d: merkle.proofs(merkle.manifest(d)),
+    "classifier": lambda d: classifier.classify(d, d.selectExpr("doc_id", "CAST(doc_id % 2 AS INT) AS quality", "text AS label")),
 }
 
 
@@ -67,6 +70,17 @@ def test_hostile_table(spark, hostile, name):
     assert len(OPERATORS[name](nulls).collect()) == hostile.count()
 
 
+def test_filter_audit_of_a_hostile_table(spark, hostile):
+    labels = hostile.selectExpr("doc_id", "CAST(doc_id % 2 AS INT) AS quality", "1 AS toxic", "source AS part")
+    nulls = hostile.select(*[corpus_pipeline.F.lit(None).cast(f.dataType).alias(f.name) for f in hostile.schema])
+    for docs in (hostile, nulls):
+        rows = filteraudit.audit(docs, labels).collect()
+        parts = {r.source or "" for r in docs.collect()}
+        assert len(rows) == 600 * len(parts) and {r.part for r in rows} == parts
+        for order in ("ABCDE", "EDCBA"):
+            assert sum(r.kept + r.removed for r in rows if r.filter_order == order and r.step == 1) == docs.count()
+
+
 def _folder(spark, tables):
     path = shared_path(spark, "test-tables")
     for name, frame in tables.items():
