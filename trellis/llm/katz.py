@@ -57,7 +57,7 @@ SAMPLE_DOCS = 4000
 #: Counts up to here are discounted by Good-Turing; larger ones lose LOSS.
 LARGE, LOSS = 5, 0.75
 #: Transitions a bucket gets, about, and documents and tokens of a chunk at most.
-BUCKET, CHUNK_DOCS, CHUNK_TOKENS = 1_000_000, 8192, 2_000_000
+BUCKET, CHUNK_DOCS, CHUNK_TOKENS = 800_000, 8192, 1_500_000
 GATHER = 400_000
 #: Entries of one row of the counts table.
 PART = 100_000
