@@ -49,6 +49,15 @@ def qa_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Consecutive documents that are paired in one group.
 PAIR_BLOCK = 256
+#: Bytes of the documents' files for one task that pairs them: many even tasks, where
+#: shuffle partitions merged to about one a core leave a second, nearly empty wave.
+PAIR_BYTES = 4 << 20
+
+
+def table_bytes(spark: SparkSession, sf_dir: str, name: str) -> int:
+    """Bytes of a table's files."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
 
 
 def doc_pairs(spark: SparkSession, sf_dir: str, text_fn=None) -> DataFrame:
@@ -68,8 +77,9 @@ def doc_pairs(spark: SparkSession, sf_dir: str, text_fn=None) -> DataFrame:
     def block(x):
         return F.floor(x / PAIR_BLOCK)
 
+    n = max(spark.sparkContext.defaultParallelism, -(-table_bytes(spark, sf_dir, "documents") // PAIR_BYTES))
     dealt = d.withColumn("_b", F.explode(F.array_distinct(F.array(
-        block(F.col("doc_id")), block(F.col("doc_id") - 1), block(F.col("doc_id") + 1))))).repartition("_b")
+        block(F.col("doc_id")), block(F.col("doc_id") - 1), block(F.col("doc_id") + 1))))).repartition(n, "_b")
     if text_fn is not None:  # behind the exchange that the window needs anyway
         dealt = dealt.withColumn("text", text_fn(F.col("text")))
     w = Window.partitionBy("_b").orderBy("doc_id")
