@@ -141,3 +141,16 @@ def test_folders_are_asked_of_their_own_file_system(spark):
     for form in (path, path if path.startswith("file:") else f"file://{path}"):
         assert S.is_folder(spark, form) and S.log_stream(spark, form).count() == 3
     assert not S.is_folder(spark, path + "-none")
+
+
+def test_score_stream_takes_many_files_at_once(spark, tmp_path):
+    """Twelve files are one micro-batch on any machine with three cores or more."""
+    from trellis.sources import views as V
+    from trellis.streaming import streams as S
+
+    path, home = str(tmp_path / "docs"), str(tmp_path / "home")
+    V.table(spark, SF_SMALL, "documents").repartition(12).write.parquet(path)
+    n = S.score_stream(spark, path, V.responses_from, soft=False, home=home).count()
+    assert n == V.table(spark, SF_SMALL, "documents").count()
+    batches = [x for x in (tmp_path / "home" / "sink").iterdir() if x.name.startswith("trellis_batch_id")]
+    assert len(batches) <= -(-12 // (S.FILES_PER_CORE * spark.sparkContext.defaultParallelism))

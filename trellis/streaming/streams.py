@@ -96,12 +96,18 @@ def file_stream(spark: SparkSession, path: str, schema: str, **options) -> DataF
 EVENTS_SCHEMA = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
 
-def score_stream(spark: SparkSession, source_dir: str, responses_fn, soft: bool = True, home: str | None = None) -> DataFrame:
+#: Files of a scoring micro-batch for each core: a file is little more than a task.
+FILES_PER_CORE = 4
+
+
+def score_stream(spark: SparkSession, source_dir: str, responses_fn, soft: bool = True, home: str | None = None,
+                 files_per_trigger: int | None = None) -> DataFrame:
     """Evidence reward on arriving responses, the batch scorer unchanged
-    (``soft=False``: verbatim spans only)."""
+    (``soft=False``: verbatim spans only).  A micro-batch takes so many files that
+    every core has work."""
     batch_spark, spark = spark, stream_session(spark)
     docs = file_stream(spark, source_dir, "doc_id long, text string, lang string, source string, n_chars long",
-                       maxFilesPerTrigger=1)
+                       maxFilesPerTrigger=files_per_trigger or FILES_PER_CORE * spark.sparkContext.defaultParallelism)
     scored = score_evidence(responses_fn(docs), "doc_id", soft=soft).select(
         "doc_id", "format_score", "accuracy", "span_score", "reward")
     sink = run_available_now(scored, "score-stream", home=home)
