@@ -109,6 +109,16 @@ def test_pairing_tasks_follow_the_documents_bytes(spark, monkeypatch):
     assert V.doc_pairs(spark, SF_SMALL).rdd.getNumPartitions() >= 40
 
 
+def test_groups_and_sequences_are_dealt_to_tasks_by_bytes(spark, monkeypatch):
+    """What a task of the advantage estimators sorts does not grow with the table."""
+    from trellis.plans.catalog import load as load_queries
+
+    monkeypatch.setattr(V, "DEALT_BYTES", V.table_bytes(spark, SF_SMALL, "lineitem") // 40)
+    out = load_queries()[0]["g9_grpo"](spark, SF_SMALL)
+    assert out.rdd.getNumPartitions() >= 40
+    assert out.count() == V.groups(spark, SF_SMALL).count()
+
+
 def test_zh_tokens_are_the_normalised_characters(spark):
     from trellis.functions import evaluate as E
     from trellis.functions import text as T

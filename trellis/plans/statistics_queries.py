@@ -122,12 +122,16 @@ def g8_gae(spark, sf_dir):
 _GROUP_STATS = f"WITH {Q.GROUPS}, gs AS (SELECT uid, count(*) AS n, avg(score) AS m, stddev_samp(score) AS sd FROM groups GROUP BY uid)"
 
 
+def _groups(spark, sf_dir):
+    return V.evenly_dealt(V.groups(spark, sf_dir), sf_dir, "lineitem", ["uid"])
+
+
 @register("g9_grpo", _GROUP_STATS + f"""
 SELECT g.uid, g.sample_id, g.score,
        {Q.r6('(g.score - CASE WHEN n = 1 THEN 0.0 ELSE m END) / (CASE WHEN n = 1 THEN 1.0 ELSE sd END + 1e-6)')} AS advantages
 FROM groups g JOIN gs ON gs.uid = g.uid""")
 def g9_grpo(spark, sf_dir):
-    out = A.grpo(V.groups(spark, sf_dir))
+    out = A.grpo(_groups(spark, sf_dir))
     return finish(out.select("uid", "sample_id", "score", "advantages"))
 
 
@@ -136,7 +140,7 @@ SELECT g.uid, g.sample_id, g.score,
        {Q.r6('CASE WHEN n > 1 THEN g.score * n / (n - 1) - m * n / (n - 1) ELSE g.score END')} AS advantages
 FROM groups g JOIN gs ON gs.uid = g.uid""")
 def g10_rloo(spark, sf_dir):
-    out = A.rloo(V.groups(spark, sf_dir))
+    out = A.rloo(_groups(spark, sf_dir))
     return finish(out.select("uid", "sample_id", "score", "advantages"))
 
 
@@ -192,8 +196,8 @@ UNION ALL SELECT 'rloo', count(*), {Q.r6('avg(adv)')} FROM rloo"""
 @register("g13_advantage_dispatch", _DISPATCH_SQL)
 def g13_advantage_dispatch(spark, sf_dir):
     """All five estimators through the dispatcher; per kind: rows and mean."""
-    t = V.tokens(spark, sf_dir)
-    g = V.groups(spark, sf_dir)
+    t = V.evenly_dealt(V.tokens(spark, sf_dir), sf_dir, "events", SEQ)
+    g = _groups(spark, sf_dir)
     parts = [
         A.compute_advantage(t, "gae", seq_keys=SEQ, reward="score", gamma=_G, lam=_L).select(F.lit("gae").alias("kind"), "advantages"),
         A.compute_advantage(t, "reinforce_plus_plus", seq_keys=SEQ, reward="score", gamma=_G).select(F.lit("reinforce_plus_plus").alias("kind"), "advantages"),

@@ -147,6 +147,19 @@ def tagged_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", resp.alias("response"), truth.alias("ground_truth"))
 
 
+#: Bytes of a table's files for one task of :func:`evenly_dealt`.
+DEALT_BYTES = 2 << 20
+
+
+def evenly_dealt(df: DataFrame, sf_dir: str, name: str, keys: list[str]) -> DataFrame:
+    """``df``, made from the table ``name``, dealt by ``keys`` to a number of tasks that
+    follows the table's bytes: what later joins and windows over these keys sort or
+    group in a task does not grow with the table."""
+    spark = df.sparkSession
+    n = max(spark.sparkContext.defaultParallelism, -(-table_bytes(spark, sf_dir, name) // DEALT_BYTES))
+    return df.repartition(n, *keys)
+
+
 def groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Group-relative input: uid = order key, one response per line item."""
     li = table(spark, sf_dir, "lineitem")
