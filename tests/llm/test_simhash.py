@@ -102,3 +102,20 @@ def test_documents(spark, documents):
     fps = [simhash.text_fingerprint(texts[i].encode()) for i in ids]
     assert [rows[i].fingerprint for i in ids] == [f"{f:016x}" for f in fps]
     assert [rows[i].component_id for i in ids] == slow_components(ids, fps)
+
+
+def test_walk_holds_few_node_pairs_at_once():
+    """A full node's walk stays in bounded memory (178 MB with a frontier of 2^20)."""
+    import tracemalloc
+
+    import numpy as np
+
+    from trellis.llm import simhash
+
+    a = np.unique(np.random.default_rng(1).integers(0, 1 << 63, 48_000).astype(np.uint64) * np.uint64(2))
+    tracemalloc.start()
+    try:
+        sum(len(i) for i, _ in simhash.trie_pairs(a, None, 0, 2, 63))
+        assert tracemalloc.get_traced_memory()[1] < 64e6
+    finally:
+        tracemalloc.stop()

@@ -38,7 +38,7 @@ from trellis.session import ship_package
 NODE_SIZE = 30_000
 DEPTHS = (6, 10, 14, 18, 22)
 #: Node pairs that a group's walk holds at once; beyond, it goes on in halves.
-FRONTIER = 1 << 20
+FRONTIER = 1 << 16
 _LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 
 
